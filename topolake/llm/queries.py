@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, simhash
+from . import langid, linededup, mixing, simhash
 from .util import table
 
 
@@ -27,9 +27,24 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats an earlier line or passage in every document: offsets, and what stays."""
+    found = linededup.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", F.col("removed"), gone.cast("long").alias("removed_chars"), F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document so that sources come to weights 5, 2, 1 in turn, at most three times each."""
+    drawn = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_langid": op5_langid,
+    "op7_linededup": op7_linededup,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {}
