@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .util import own, shared_dir
 
@@ -140,14 +140,17 @@ def train(labelled: DataFrame, order: Column, n: int = 4, per_lang: int = 1500,
     return Model(langs, table, chance, n)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for every document, from its whole text."""
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns of the documents, and lang_pred and score from each whole text; columns so named are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: SLOTS slots of 8 bytes at most
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    base = own(docs, *names)
+    at_text = names.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             lang, score = [], []
-            texts = b.column(1).to_pylist()
+            texts = b.column(at_text).to_pylist()
             at = 0
             while at < len(texts):  # about a million signs at a time
                 end, signs = at, 0
@@ -158,10 +161,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 lang += x
                 score.append(y)
                 at = end
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.concatenate(score or [np.zeros(0)]))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(np.concatenate(score or [np.zeros(0)]))], [*names, "lang_pred", "score"])
 
     shared_dir(docs.sparkSession)
-    return own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return base.mapInArrow(run, T.StructType([*base.schema, *T.StructType.fromDDL("lang_pred string, score double")]))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score for every document."""
+    found = annotate(own(docs, "doc_id", "text"), model)
+    return found.select(F.col("doc_id").cast("long"), "lang_pred", "score")
 
 
 def held_out() -> Column:

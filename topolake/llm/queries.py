@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, linededup, mixing, simhash
+import corpus_pipeline
+
+from . import langid, linededup, mixing, pieces, simhash
 from .util import table
 
 
@@ -15,18 +17,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
-def language_model(docs: DataFrame) -> langid.Model:
-    """Learned outside the held-out fold, on a sample of 1,500 documents a language by a hash of doc_id."""
-    return langid.train(docs.where(~langid.held_out()), F.xxhash64(F.lit("sample"), "doc_id"), per_lang=1500)
-
-
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; held_out marks the fold that training never saw."""
     docs = table(spark, sf_dir, "documents")
-    found = langid.identify(docs, language_model(docs))
+    found = langid.identify(docs, corpus_pipeline.language_model(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best segmentation, what the next two lose, and that its ids decode to its text."""
+    return pieces.encode(table(spark, sf_dir, "documents"), nbest=3, digest=True)
+
+
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeats an earlier line or passage in every document: offsets, and what stays."""
     found = linededup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -43,8 +45,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_langid": op5_langid,
+    "op6_pieces": op6_pieces,
     "op7_linededup": op7_linededup,
     "op9_mixing": op9_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {}

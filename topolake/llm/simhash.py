@@ -53,15 +53,15 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) per document; fp is the unsigned fingerprint's bits as a signed long."""
+    """(doc_id, fp, thash) per document; fp is the unsigned fingerprint's bits as a signed long, thash tells texts apart."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             fp = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "thash"])
 
     shared_dir(docs.sparkSession)
-    return own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("thash")).mapInArrow(run, "doc_id long, fp long, thash long")
 
 
 def _balls(radius: int) -> list[tuple[np.uint64, np.ndarray]]:
@@ -238,7 +238,7 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, thash: bool = False) -> DataFrame:
     """(doc_id, fingerprint, component_id) per document; component_id is the least doc_id reachable over the links."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -246,4 +246,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     rooted = cut(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     joined = prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["thash"] if thash else []))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The documents, of each near-duplicate group only the one of least doc_id (then of least text hash)."""
+    found = near_duplicates(docs, shingle, radius, thash=True)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("thash").alias("_thash")).withColumnRenamed("doc_id", "_doc")
+    names = docs.columns
+    keyed = own(docs, *names).withColumn("_t", F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_thash")))
+    return kept.dropDuplicates(["_doc", "_t"]).select(*(F.col(f"`{n}`") for n in names))
