@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import langid, linededup, mixing, pieces, simhash
+from . import imatch, langid, linededup, mixing, pieces, simhash
 from .util import table
 
 
@@ -36,6 +36,11 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("removed"), gone.cast("long").alias("removed_chars"), F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    return imatch.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document so that sources come to weights 5, 2, 1 in turn, at most three times each."""
     drawn = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
@@ -47,8 +52,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op6_pieces": op6_pieces,
     "op7_linededup": op7_linededup,
+    "op8_imatch": op8_imatch,
     "op9_mixing": op9_mixing,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {}
+def _imatch_sql() -> str:
+    def prints(packs: str) -> str:
+        one = "left(md5(case when len(m{k}) = 0 then '=' || whole else array_to_string(m{k}, ',') end), 8)"
+        return " || ".join(one.format(k=k).replace(f"m{k}", f"list_filter({packs}, lambda p: (p >> {k}) & 1 = 1)") for k in range(imatch.SUBSETS))
+
+    mask = " + ".join(f"case when ('0x' || substr(md5(term), {1 + 2 * k}, 2))::bigint < {256 // imatch.THIN[k % 4]} then {1 << k} else 0 end" for k in range(imatch.SUBSETS))
+    terms = "list_filter(list_distinct(string_split_regex(lower({t}), '[ \\t-\\r]+')), lambda x: x <> '')"
+    same = " + ".join(f"(substr(a.fp, {8 * k + 1}, 8) = substr({{b}}, {8 * k + 1}, 8))::int" for k in range(imatch.SUBSETS))
+    return f"""
+    with d as (select doc_id, coalesce(text, '') as text, coalesce(lead(coalesce(text, '')) over (order by doc_id desc), first_value(coalesce(text, '')) over (order by doc_id desc)) as following,
+        coalesce(lead(doc_id) over (order by doc_id desc), max(doc_id) over ()) as next from documents),
+    e as (select *, left(text, (length(text) - length(text) // 2)::bigint) || left(following, (length(text) // 2)::bigint) as edit from d),
+    df as (select term, count(*) as df from (select unnest({terms.format(t='text')}) as term from d) group by term),
+    lex as (select term, ((('0x' || substr(md5('#' || term), 1, 11))::bigint << 16) + {mask})::bigint as pack from df, (select count(*) as n from d)
+        where df >= greatest(n * exp(-{imatch.IDF_HIGH}), 2) and df <= n * exp(-{imatch.IDF_LOW})),
+    v as (select doc_id, 0 as version, text as t from e union all select doc_id, 1, edit from e),
+    x as (select doc_id, version, md5(t) as whole, unnest(case when len({terms.format(t='t')}) = 0 then [''] else {terms.format(t='t')} end) as term from v),
+    p as (select doc_id, version, whole, coalesce(list_sort(list(pack) filter (pack is not null)), []::bigint[]) as packs from x left join lex using (term) group by all),
+    f as (select doc_id, version, {prints('packs')} as fp from p)
+    select e.doc_id, length(e.text)::bigint as n_chars, sha256(e.edit) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
+        ({same.format(b='b.fp')})::double / {imatch.SUBSETS} as near_edited, ({same.format(b='c.fp')})::double / {imatch.SUBSETS} as near_next
+    from e join f a on a.doc_id = e.doc_id and a.version = 0 join f b on b.doc_id = e.doc_id and b.version = 1 join f c on c.doc_id = e.next and c.version = 0
+    """
+
+
+ORACLE: dict[str, str] = {"op8_imatch": _imatch_sql()}
