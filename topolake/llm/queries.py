@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import imatch, langid, linededup, mixing, pieces, simhash
+from . import imatch, langid, linededup, mixing, pieces, simhash, warc
 from .util import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back from the archives; equal payloads are kept once."""
+    found = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least=0))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, 64-bit fingerprints, links at 3 or fewer bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -48,6 +54,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op4_simhash": op4_simhash,
     "op5_langid": op5_langid,
     "op6_pieces": op6_pieces,
@@ -82,4 +89,11 @@ def _imatch_sql() -> str:
     """
 
 
-ORACLE: dict[str, str] = {"op8_imatch": _imatch_sql()}
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 5 * i}, 5))::bigint >> {s}) & 31)::int, 1)" for i in range(8) for s in (15, 10, 5, 0))
+_WARC = f"""
+with p as (select page_id, coalesce(html, '') as html, max(page_id) over (partition by coalesce(html, '')) as first, sha1(coalesce(html, '')) as h from pages)
+select page_id, strlen(html)::bigint as payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id <> first then first end as refers_to from p
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": _WARC, "op8_imatch": _imatch_sql()}
