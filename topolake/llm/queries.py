@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat, imatch, langid, linededup, mixing, pieces, simhash, warc
+from . import chat, imatch, langid, linededup, mixing, pieces, simhash, toxicity, warc
 from .util import stored, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document; fitted on at most 20,000 labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), max_docs=20_000))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back from the archives; equal payloads are kept once."""
     found = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least=0))
@@ -62,6 +68,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
