@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import chat, imatch, langid, linededup, mixing, pieces, simhash, toxicity, warc
+from . import bm25, chat, imatch, langid, linededup, mixing, pieces, simhash, toxicity, warc
 from .util import stored, table
 
 
@@ -67,6 +67,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents nearest by BM25 to every document whose id is divisible by 50, of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.search(bm25.build_index(docs), asked, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_linededup": op7_linededup,
     "op8_imatch": op8_imatch,
     "op9_mixing": op9_mixing,
+    "op10_bm25": op10_bm25,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -124,4 +132,15 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from c group by conv_id
 """
 
-ORACLE: dict[str, str] = {"op3_chat": _CHAT, "op2_warc": _WARC, "op8_imatch": _imatch_sql()}
+_BM25 = f"""
+with w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') as words from documents),
+d as (select doc_id, len(words) as dl from w), g as (select count(*) as n, avg(dl) as mean from d),
+p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(words) as term from w) group by all),
+df as (select term, count(*) as df from p group by term),
+s as (select q.doc_id as query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {bm25.K1 + 1} / (tf + {bm25.K1} * (1 - {bm25.B} + {bm25.B} * dl / mean))), 6) as score
+    from (select doc_id, term from p where doc_id % 50 = 0) q join p using (term) join df using (term) join d on d.doc_id = p.doc_id, g group by all)
+select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, score from s
+qualify row_number() over (partition by query_id order by score desc, doc_id) <= 10
+"""
+
+ORACLE: dict[str, str] = {"op10_bm25": _BM25, "op3_chat": _CHAT, "op2_warc": _WARC, "op8_imatch": _imatch_sql()}
