@@ -4,11 +4,11 @@ Documents are indexed in shards of `SHARD` documents: sorted term hashes, postin
 statistics (documents, mean length, document frequencies) are counted over all shards and the same for every shard, so a
 shard's scores are final and shards merge exactly.
 
-Queries go over the shards in blocks of bounded size. Within a shard a query's rare terms are scored from their postings;
-its common terms, of which each shard knows the greatest impact in every block of `BLOCK` documents, bound what a document
-could still gain. Only documents whose score so far and bound reach the k-th score known are finished; the best by rare
-terms are finished first to raise it, and it carries over from shard to shard within a task. Nothing that could enter the
-top k is skipped, so results are those of scoring everything.
+Queries go over the shards in blocks of bounded size. Within a shard the rare terms of many queries are scored from their
+postings at once. Of the common terms a shard knows the greatest impact in every block of `BLOCK` documents; with the best
+score by rare terms in the block that bounds what a document there can reach. Blocks that reach no query's k-th score so
+far are skipped, the others finished by the common terms' impacts. The k-th score carries over from shard to shard within
+a task. Nothing that could enter the top k is skipped, so results are those of scoring everything.
 
 score = sum over distinct query terms of ln(1 + (N - df + 0.5) / (df + 0.5)) x tf (k1 + 1) / (tf + k1 (1 - b + b dl / mean dl)),
 rounded to 6 decimals; ties go to the smaller doc_id. Terms are lower-cased (A-Z) words between white space.
@@ -26,12 +26,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .util import own, shared_dir, stored
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK = 16_384, 64
+#: Scores (queries x documents) that a shard works on at once.
+TABLE = 1 << 20
 #: The most terms of a shard that are also kept by document.
 COMMON = 512
 #: Bytes of text after which a shard is closed even with fewer documents.
@@ -121,35 +123,42 @@ class _Shard:
         self.most = dense.reshape(len(top), blocks, BLOCK).max(axis=2) if len(top) else np.zeros((0, blocks))
         self.dense = dense[:, :n]
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of (scores, ids) so far and of this shard."""
-        n, k = len(self.ids), len(scores)
-        row = self.row[terms]
-        rare = np.nonzero((row < 0) & (self.end[terms] > self.start[terms]))[0]
-        s, e = self.start[terms[rare]].tolist(), self.end[terms[rare]].tolist()
-        if s:
-            size = self.end[terms[rare]] - self.start[terms[rare]]
-            at = np.concatenate([np.arange(x, y) for x, y in zip(s, e, strict=True)])
-            part = np.bincount(self.doc[at], self.impact[at] * np.repeat(idf[rare], size), n)
+    def search(self, q: np.ndarray, terms: np.ndarray, idf: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Bring the k best of (scores, ids), a row a query, up to date; (q, term, idf) triples are the queries' terms."""
+        n, (count, k) = len(self.ids), scores.shape
+        row, size = self.row[terms], self.end[terms] - self.start[terms]
+        rare = (row < 0) & (size > 0)
+        # rare terms: all their postings at once
+        some = size[rare]
+        at = np.repeat(self.start[terms[rare]] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum()) if some.size else np.zeros(0, np.int64)
+        part = np.bincount(np.repeat(q[rare] * n, some) + self.doc[at], self.impact[at] * np.repeat(idf[rare], some), count * n).reshape(count, n)
+        # common terms: bounds by block, then sums where a bound may reach the k-th score
+        weight = np.zeros((count, len(self.dense)))
+        weight[q[row >= 0], row[row >= 0]] = idf[row >= 0]
+        if len(self.dense):
+            blocks = self.most.shape[1]
+            padded = np.zeros((count, blocks * BLOCK))
+            padded[:, :n] = part
+            bound = padded.reshape(count, blocks, BLOCK).max(axis=2) + weight @ self.most
+            first = np.argsort(-bound, axis=1, kind="stable")[:, :1]
+            live = (bound >= scores[:, -1:] - 1e-5).any(axis=0)
+            live[np.unique(first)] = True
+            if live.mean() < 0.5:
+                cols = np.nonzero(np.repeat(live, BLOCK)[:n])[0]
+                part, found = part[:, cols] + weight @ self.dense[:, cols], self.ids[cols]
+            else:
+                part += weight @ self.dense
+                found = self.ids
         else:
-            part = np.zeros(n)
-        common = np.nonzero(row >= 0)[0]
-        rows, w = row[common], idf[common]
-        bound = part + np.repeat(w @ self.most[rows], BLOCK)[:n]
-        # the best by their rare terms give a first k-th score, the bounds then leave few others
-        at = np.nonzero(bound > 0)[0]
-        if len(at) > 4 * k:
-            seeds = np.argpartition(-part, k)[:k]
-            sure = np.round(part[seeds] + w @ self.dense[rows][:, seeds], 6)
-            least = max(scores[-1], np.partition(np.r_[scores, sure], -k)[-k])
-            at = np.nonzero(bound >= max(least - 1e-5, 1e-9))[0]
-        if not len(at):
-            return scores, ids
-        score = np.round(part[at] + w @ self.dense[np.ix_(rows, at)], 6)
-        go = (score > 0) & (score >= scores[-1])
-        score, found = np.r_[scores, score[go]], np.r_[ids, self.ids[at[go]]]
-        best = np.lexsort((found, -score))[:k]
-        return score[best], found[best]
+            found = self.ids
+        least = np.maximum(scores[:, -1], np.partition(part, max(0, part.shape[1] - k), axis=1)[:, max(0, part.shape[1] - k)] - 1e-6)
+        hit_q, hit = np.nonzero((part >= least[:, None] - 1e-9) & (part > 0))
+        value, doc = np.round(part[hit_q, hit], 6), found[hit]
+        every_q, every_s, every_d = np.r_[np.repeat(np.arange(count), k), hit_q], np.r_[scores.ravel(), value], np.r_[ids.ravel(), doc]
+        order = np.lexsort((every_d, -every_s, every_q))
+        start = np.searchsorted(every_q[order], np.arange(count))
+        best = order[(start[:, None] + np.arange(k)).ravel()]
+        scores[:], ids[:] = every_s[best].reshape(count, k), every_d[best].reshape(count, k)
 
 
 def _queries(rows: DataFrame) -> DataFrame:
@@ -203,19 +212,26 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         def find(it: Iterator[pa.RecordBatch], shared=shared, asks=asks) -> Iterator[pa.RecordBatch]:
             ids, flat, ends, idf = asks.value
             scores, found = np.zeros((len(ids), k)), np.full((len(ids), k), _LAST)
+            starts = np.r_[0, ends[:-1]]
             for b in it:
                 for row in b.to_pylist():
                     shard = _Shard(row, shared.value, mean)
-                    s = 0
-                    for q, e in enumerate(ends):
-                        scores[q], found[q] = shard.search(flat[s:e], idf[flat[s:e]], scores[q], found[q])
-                        s = e
-            q, r = np.nonzero(scores > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(q.astype(np.int32)), pa.array(found[q, r]), pa.array(scores[q, r])], ["query_id", "q", "doc_id", "score"])
-
-        best = index.drop("n", "total").mapInArrow(find, "query_id long, q int, doc_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
-        top = best.withColumn("rank", rank).where(F.col("rank") <= k)
+                    step = max(1, TABLE // max(1, len(shard.ids)))
+                    for a in range(0, len(ids), step):
+                        z = min(a + step, len(ids))
+                        terms = flat[starts[a] : ends[z - 1]]
+                        q = np.repeat(np.arange(z - a), ends[a:z] - starts[a:z])
+                        shard.search(q, terms, idf[terms], scores[a:z], found[a:z])
+            full = (scores > 0).sum(axis=1)
+            keep = np.nonzero(full)[0]
+            flat_at = np.concatenate([np.arange(n) + i * k for i, n in zip(keep, full[keep], strict=True)]) if len(keep) else np.zeros(0, np.int64)
+            packed = pa.StructArray.from_arrays([pa.array(-scores.ravel()[flat_at]), pa.array(found.ravel()[flat_at])], ["neg", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(keep.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full[keep])].astype(np.int32)), packed)], ["query_id", "q", "best"])
+
+        # a task gives one row a query, its k best; they merge by query
+        best = index.drop("n", "total").mapInArrow(find, "query_id long, q int, best array<struct<neg:double,doc_id:bigint>>")
+        merged = best.groupBy("q").agg(F.first("query_id").alias("query_id"), F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+        top = merged.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", F.col("b.doc_id").alias("doc_id"), (F.col("pos") + 1).alias("rank"), (-F.col("b.neg")).alias("score"))
         out.append(stored(top.select(*(F.when(F.col(c) != _LAST, F.col(c)).alias(c) for c in ("query_id", "doc_id")), "rank", "score"), "found"))
     if not out:
         return spark.createDataFrame([], "query_id long, doc_id long, rank int, score double")
