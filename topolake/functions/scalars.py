@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+def element(of: Column, at: int | str | Column) -> Column:
+    """The value at a place (from 1, or back from -1) or key; null where there is none."""
+    return F.try_element_at(of, at if isinstance(at, Column) else F.lit(at))
+
+
 def slashes(path: Column) -> Column:
     """Backslashes as slashes."""
     return F.translate(path, "\\", "/")
@@ -15,12 +20,12 @@ def slashes(path: Column) -> Column:
 def node_parts(ref: Column, categories: list[str] = ("frontend", "backend", "core")) -> Column:
     """(category, class, method) of a dotted reference; a known category in front is cut; a sole part has method `execute`."""
     every = F.filter(F.split(F.trim(ref), r"\."), lambda x: x != "")
-    known = F.lower(F.element_at(every, 1)).isin(list(categories))
+    known = F.lower(element(every, 1)).isin(list(categories))
     parts = F.when(known, F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(1)))).otherwise(every)
     n = F.when(known, F.size(every) - 1).otherwise(F.size(every))
-    method = F.when(n >= 2, F.element_at(parts, -1)).otherwise(F.lit("execute"))
+    method = F.when(n >= 2, element(parts, -1)).otherwise(F.lit("execute"))
     klass = F.when(n >= 2, F.get(parts, (n - 2).cast("int"))).otherwise(F.get(parts, F.lit(0)))
-    return F.when(n > 0, F.struct(F.when(known, F.lower(F.element_at(every, 1))).alias("category"), klass.alias("class"), method.alias("method")))
+    return F.when(n > 0, F.struct(F.when(known, F.lower(element(every, 1))).alias("category"), klass.alias("class"), method.alias("method")))
 
 
 def demand_parts(entry: Column, index: Column) -> Column:
@@ -51,7 +56,7 @@ def runtime_id(value: Column) -> Column:
 def line_column(content: Column, index: Column) -> Column:
     """(line, column), from 1, of an offset into a text."""
     lines = F.split(F.left(content, F.greatest(index, F.lit(0)).cast("int")), r"\r?\n", -1)
-    return F.struct(F.size(lines).alias("line"), (F.char_length(F.element_at(lines, -1)) + 1).alias("column"))
+    return F.struct(F.size(lines).alias("line"), (F.char_length(element(lines, -1)) + 1).alias("column"))
 
 
 def api_path(value: Column) -> Column:
@@ -104,7 +109,7 @@ def service_id(call: Column) -> Column:
 
 def label_of_path(path: Column) -> Column:
     """A file's base name without a known ending, dashes and underscores as spaces."""
-    base = F.element_at(F.split(path, r"[\\/]"), -1)
+    base = element(F.split(path, r"[\\/]"), -1)
     return F.regexp_replace(F.regexp_replace(base, r"(?i)\.(tsx?|jsx?|py|json|ya?ml|toml)$", ""), "[-_]", " ")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import element
+
 from ..functions import scalars as X
 from .edges import adjacency
 from .graph import blast_radius, cycles
@@ -53,7 +55,7 @@ def fragment_groups(nodes: DataFrame, fan: DataFrame, least: int = 3) -> DataFra
     owner = F.when(F.size(parts) >= 2, F.get(parts, (F.size(parts) - 2).cast("int"))).otherwise(F.get(parts, F.lit(0)))
     path = F.trim(F.coalesce("source_path", F.lit("")))
     key = F.when(path != "", F.concat_ws("@", owner, path)).otherwise(owner)
-    rows = nodes.join(fan.select("node_id", "downstream_count"), "node_id", "left").select(key.alias("group_key"), "node_id", F.element_at(parts, -1).alias("method"), path.alias("path"), F.coalesce("downstream_count", F.lit(0)).alias("n"))
+    rows = nodes.join(fan.select("node_id", "downstream_count"), "node_id", "left").select(key.alias("group_key"), "node_id", element(parts, -1).alias("method"), path.alias("path"), F.coalesce("downstream_count", F.lit(0)).alias("n"))
     out = rows.groupBy("group_key").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("method").rlike(FRAGMENT)).alias("helpers"), F.countDistinct(F.when(F.col("path") != "", F.col("path"))).alias("paths"), F.avg("n").alias("mean_fanout"), F.sort_array(F.collect_list("node_id")).alias("members"))
     return out.where((F.col("size") >= least) & ((F.col("helpers") > 0) | ((F.col("paths") <= 1) & (F.col("mean_fanout") <= 1.5))))
 

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import element
+
 from ..functions import contracts as K
 from ..functions.scalars import slashes
 from .shared import first_by
@@ -115,7 +117,7 @@ def domain_id(path: Column, category: Column, prefixes: dict[str, list[str]]) ->
     low, found = F.lower(clean), []
     for name, patterns in prefixes.items():
         for p in sorted((x.replace("\\", "/").removeprefix("./").lower() for x in patterns if x), key=len, reverse=True):
-            rest = F.element_at(F.filter(F.split(F.substring(clean, len(p) + 1, 1 << 20), "/"), lambda x: x != ""), 1)
+            rest = element(F.filter(F.split(F.substring(clean, len(p) + 1, 1 << 20), "/"), lambda x: x != ""), 1)
             found.append(F.when((category == name) & ((low == p) | low.startswith(p + "/")), F.concat(F.lit("Domain."), F.concat_ws(".", category, rest))))
     parts = F.filter(F.split(clean, "/"), lambda x: x != "")
     other = F.when(F.size(parts) > 1, F.concat(F.lit("Domain."), F.concat_ws(".", category, F.get(parts, F.lit(0))))).otherwise(F.concat(F.lit("Domain."), category))

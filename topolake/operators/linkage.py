@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scalars import element
+
 from ..functions import scalars as X
 from .shared import first_by, small, top_by
 
@@ -62,7 +64,7 @@ def excluded(path: Column, patterns: list[str] = (), test_files: bool = True) ->
     """whether a source path is out of scope."""
     norm = clean_path(path)
     parts = F.filter(F.split(norm, "/"), lambda x: x != "")
-    base = F.coalesce(F.element_at(parts, -1), F.lit(""))
+    base = F.coalesce(element(parts, -1), F.lit(""))
     out = F.exists(parts, lambda x: x.isin(HARD_SEGMENTS)) | base.rlike(HARD_NAMES)
     if test_files:
         out = out | base.rlike(TEST_NAMES)
@@ -94,7 +96,7 @@ def scan_scope(paths: DataFrame, scopes: list[dict]) -> DataFrame:
     """
     norm = clean_path(F.col("source_path"))
     parts = F.filter(F.split(norm, "/"), lambda x: x != "")
-    base = F.coalesce(F.element_at(parts, -1), norm)
+    base = F.coalesce(element(parts, -1), norm)
     scored = []
     for i, s in enumerate(scopes):
         scores = [F.when((norm == p) | norm.startswith(p + "/"), F.lit(1000 + len(p))) for p in (x.strip("/").lower() for x in s.get("prefixes", [])) if p]
@@ -119,7 +121,7 @@ def owner(node_id: Column) -> Column:
 
 def method(node_id: Column) -> Column:
     parts = F.filter(F.split(F.coalesce(node_id, F.lit("")), r"\."), lambda x: x != "")
-    return F.coalesce(F.element_at(parts, -1), F.lit(""))
+    return F.coalesce(element(parts, -1), F.lit(""))
 
 
 def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12) -> DataFrame:
@@ -162,7 +164,7 @@ def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int
     # paths meet by their last two parts; a path of one part also by its name alone
     split = lambda p: F.split(p, "/")
     tail2 = lambda p: F.array_join(F.slice(split(p), F.greatest(F.size(split(p)) - 1, F.lit(1)), 2), "/")
-    name = lambda p: F.element_at(split(p), -1)
+    name = lambda p: element(split(p), -1)
     single = lambda p: F.size(split(p)) == 1
     r_path = lambda p: F.array_compact(F.array(F.when(~single(p), F.concat(F.lit("p:"), tail2(p))), F.concat(F.lit("m:"), name(p)), F.when(single(p), F.concat(F.lit("l:"), name(p)))))
     c_path = lambda p: F.array_compact(F.array(F.when(~single(p), F.concat(F.lit("p:"), tail2(p))), F.concat(F.lit("l:"), name(p)), F.when(single(p), F.concat(F.lit("m:"), name(p)))))

@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scalars import element
+
 from ..functions import contracts as K, scalars as X
 from .shared import first_by, small
 
@@ -73,7 +75,7 @@ def ghost_violations(nodes: DataFrame, policy: DataFrame, limit: int = 50) -> Da
     rows = nodes.select("node_id", X.language(F.col("source_path")).alias("language"), F.size(F.filter("demand", K.is_ghost)).alias("ghosts"), F.filter("ghost_reads", lambda g: g["retained"]).alias("kept"))
     p = lookup_policy(rows, policy)
     who = F.concat_ws(":", "language", F.coalesce("node_id", F.lit("unknown")))
-    weak = F.element_at(F.filter("kept", lambda g: F.coalesce(g["score"], F.lit(0)) < F.col("min_score")), 1)
+    weak = element(F.filter("kept", lambda g: F.coalesce(g["score"], F.lit(0)) < F.col("min_score")), 1)
     barred = ~F.col("include") & (F.col("ghosts") > 0)
     messages = F.when(barred, F.array(F.concat(who, F.lit(" disallows ghost in demand")))).otherwise(F.array_compact(F.array(
         F.when(F.col("include") & (F.col("ghosts") > F.col("top_k")), F.concat(who, F.lit(" ghost demand "), F.col("ghosts").cast("string"), F.lit(" exceeds topK="), F.col("top_k").cast("string"))),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import element
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -67,7 +69,7 @@ CATEGORIES = ["backend", "core", "frontend"]
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     """NODE rows of parts."""
     k = F.col("p_partkey")
-    pick = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
+    pick = lambda values, n: element(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
     s = lambda c: c.cast("string")
     node = F.concat(F.lit("Svc"), s(F.floor(k / 7)), F.lit("."), pick(METHODS, 7))
     path = F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/m"), s(k % 50), F.lit("."), pick(ENDINGS, 5))
@@ -121,8 +123,8 @@ def runtime_edges(spark: SparkSession, sf: str) -> DataFrame:
     """(id, src, dst, type, confidence, ord) between the nodes of one user's neighbouring event kinds."""
     r = runtime_nodes(spark, sf)
     i = F.col("ord")
-    to = F.concat_ws(".", F.element_at(F.array(*(F.lit(x) for x in ("view", "click", "purchase", "ghost"))), (i % 4 + 1).cast("int")), ((F.col("user_id") * 7 + i) % 60).cast("string"))
-    return r.select(F.when(i % 2 == 0, F.concat(F.lit("e"), i.cast("string"))).alias("id"), F.col("id").alias("src"), to.alias("dst"), F.element_at(F.array(F.lit("calls"), F.lit("reads"), F.lit("invokes")), (i % 3 + 1).cast("int")).alias("type"), F.lit(None).cast("string").alias("label"), F.col("metadata"), F.when(i % 10 > 0, (i % 100) / 100.0).alias("confidence"), "evidence", F.col("ord"))
+    to = F.concat_ws(".", element(F.array(*(F.lit(x) for x in ("view", "click", "purchase", "ghost"))), (i % 4 + 1).cast("int")), ((F.col("user_id") * 7 + i) % 60).cast("string"))
+    return r.select(F.when(i % 2 == 0, F.concat(F.lit("e"), i.cast("string"))).alias("id"), F.col("id").alias("src"), to.alias("dst"), element(F.array(F.lit("calls"), F.lit("reads"), F.lit("invokes")), (i % 3 + 1).cast("int")).alias("type"), F.lit(None).cast("string").alias("label"), F.col("metadata"), F.when(i % 10 > 0, (i % 100) / 100.0).alias("confidence"), "evidence", F.col("ord"))
 
 
 RUNTIME_EDGES = """re as (select case when ord % 2 = 0 then 'e' || ord end as id, id as src, ['view', 'click', 'purchase', 'ghost'][(ord % 4 + 1)::int] || '.' || ((user_id * 7 + ord) % 60) as dst,

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalars import element
+
 from ..functions import contracts as K, scalars as X
 from ..operators import advice, edges as E, governance, graph as G, linkage as L, merge as M, metrics as T, trend as R
 from ..operators.shared import top_by
@@ -241,10 +243,10 @@ query("g16_edge_cap", f"with {D.RUNTIME}, {D.RUNTIME_EDGES} select ord, coalesce
 
 _LAST = "arg_max({0}, ord) filter ({0} is not null)"
 query("a15_merge_nodes", f"with {D.RUNTIME} select id, {_LAST.format('type')} as type, {_LAST.format('label')} as label, {_LAST.format('source_path')} as source_path, {_LAST.format('category')} as category, max(ord)::varchar as last, count(distinct (ord % 3)) + 1 as keys, count(distinct (ord % 4, ord % 5, type)) as evidence from rt group by id")(
-    lambda s, d: M.merge_nodes(D.runtime_nodes(s, d)).select("id", "type", "label", "source_path", "category", F.element_at("metadata", "last").alias("last"), F.size("metadata").cast("long").alias("keys"), F.size("evidence").cast("long").alias("evidence"))
+    lambda s, d: M.merge_nodes(D.runtime_nodes(s, d)).select("id", "type", "label", "source_path", "category", element("metadata", "last").alias("last"), F.size("metadata").cast("long").alias("keys"), F.size("evidence").cast("long").alias("evidence"))
 )
 query("a15_merge_edges", f"with {D.RUNTIME}, {D.RUNTIME_EDGES} select src, type, dst, coalesce({_LAST.format('id')}, 'RuntimeEdge.' || src || '.' || type || '.' || dst) as id, max(coalesce(confidence, 0)) as confidence, max(ord)::varchar as last from re group by src, type, dst")(
-    lambda s, d: M.merge_edges(D.runtime_edges(s, d)).select("src", "type", "dst", "id", "confidence", F.element_at("metadata", "last").alias("last"))
+    lambda s, d: M.merge_edges(D.runtime_edges(s, d)).select("src", "type", "dst", "id", "confidence", element("metadata", "last").alias("last"))
 )
 query("u7_dedupe_nodes", "select l_partkey % 200 as k, min(l_orderkey * 10 + l_linenumber) as ord from lineitem group by all")(
     lambda s, d: M.dedupe_nodes(D.table(s, d, "lineitem").select((F.col("l_partkey") % 200).cast("string").alias("node_id"), F.lit("a").alias("source_path"), F.lit("c").alias("category"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))).select(F.col("node_id").cast("long").alias("k"), "ord")
@@ -282,7 +284,7 @@ query("j9_both_ways", """with l as (select 'a' as fv, 'x' || (event_id % 40) as
 select fv || '::' || f || '::r::' || tv || '::' || t as id, greatest(0.01, least(0.99, max(c))) as confidence from (select * from l union all select tv, t, fv, f, c from l) group by fv, f, tv, t""")(
     lambda s, d: M.both_ways(D.table(s, d, "events").select(F.lit("a").alias("from_view"), F.concat(F.lit("x"), (F.col("event_id") % 40).cast("string")).alias("from_id"), F.lit("b").alias("to_view"), F.concat(F.lit("y"), (F.col("event_id") % 60).cast("string")).alias("to_id"), F.lit("r").alias("relation"), F.round((F.col("event_id") % 97) / 97.0, 4).alias("confidence"), F.lit("why").alias("reason"), F.lit(None).cast("string").alias("source_path"), F.col("event_id").alias("ord"))).select("id", "confidence")
 )
-query("x26_rename_collisions")(lambda s, d: M.rename_collisions(D.parts(s, d).select(F.element_at(F.split("node_id", r"\."), -1).alias("node_id"), "source_path", "category")))
+query("x26_rename_collisions")(lambda s, d: M.rename_collisions(D.parts(s, d).select(element(F.split("node_id", r"\."), -1).alias("node_id"), "source_path", "category")))
 
 # set operations and drift
 
@@ -351,7 +353,13 @@ query("u4_overlap", f"with {D.PARTS} select node_id, len(list_intersect(string_s
 query("t8_top_per_group", "select l_suppkey, l_orderkey, l_linenumber, rank from (select *, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey, l_linenumber)::int as rank from lineitem) where rank <= 3")(
     lambda s, d: top_by(D.table(s, d, "lineitem"), ["l_suppkey"], 3, F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
 )
-query("c9_restructure")(lambda s, d: advice.restructure(D.parts(s, d), E.contract_edges(D.parts(s, d)), E.fanout_counts(E.produced(D.parts(s, d)), E.required(D.parts(s, d)))).select("operation", "target", F.array_join("targets", ",").alias("targets"), "score"))
+@query("c9_restructure")
+def c9(s, d):
+    """Proposals over the parts as nodes of one file: cycles to collapse, nodes to split, pieces to gather."""
+    nodes = D.parts(s, d).withColumn("source_path", F.lit("src/all.ts"))
+    return advice.restructure(nodes, E.contract_edges(nodes), E.fanout_counts(E.produced(nodes), E.required(nodes))).select("operation", "target", F.array_join("targets", ",").alias("targets"), "score")
+
+
 _FAN = "fan as (select src as node_id, count(distinct dst) as downstream_count from n_edges where src <> dst group by src)"
 query("a11_fragments", f"with {D.PARTS}, {_FAN} select split_part(node_id, '.', 1) || '@' || source_path as group_key, count(*) as size, count(*) filter (regexp_matches(split_part(node_id, '.', 2), '{advice.FRAGMENT}')) as helpers, 1::bigint as paths, avg(coalesce(downstream_count, 0)) as mean_fanout from nodes left join fan using (node_id) group by all having count(*) >= 1 and (count(*) filter (regexp_matches(split_part(node_id, '.', 2), '{advice.FRAGMENT}')) > 0 or avg(coalesce(downstream_count, 0)) <= 1.5)")(
     lambda s, d: advice.fragment_groups(D.parts(s, d), E.fanout_counts(E.produced(D.parts(s, d)), E.required(D.parts(s, d))), 1).select("group_key", "size", "helpers", "paths", "mean_fanout")
