@@ -131,7 +131,7 @@ class _Shard:
         # rare terms: all their postings at once
         some = size[rare]
         at = np.repeat(self.start[terms[rare]] - np.r_[0, np.cumsum(some)[:-1]], some) + np.arange(some.sum()) if some.size else np.zeros(0, np.int64)
-        part = np.bincount(np.repeat(q[rare] * n, some) + self.doc[at], self.impact[at] * np.repeat(idf[rare], some), count * n).reshape(count, n)
+        part = np.bincount(np.repeat(q[rare] * n, some) + self.doc[at], self.impact[at] * np.repeat(idf[rare], some), count * n).astype(float, copy=False).reshape(count, n)
         # common terms: bounds by block, then sums where a bound may reach the k-th score
         weight = np.zeros((count, len(self.dense)))
         weight[q[row >= 0], row[row >= 0]] = idf[row >= 0]

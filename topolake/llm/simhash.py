@@ -239,21 +239,24 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, thash: bool = False) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per document; component_id is the least doc_id reachable over the links."""
+    """(doc_id, fingerprint, component_id) per document; component_id is the least doc_id reachable over the links.
+
+    With `thash` also a hash that tells texts apart, and the component's root fingerprint.
+    """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(edges(distinct.select("fp"), radius))
     rooted = cut(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["thash"] if thash else []))
+    joined = prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["thash", "root"] if thash else []))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """The documents, of each near-duplicate group only the one of least doc_id (then of least text hash)."""
     found = near_duplicates(docs, shingle, radius, thash=True)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("thash").alias("_thash")).withColumnRenamed("doc_id", "_doc")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("_doc"), F.min("thash").alias("_thash"))
     names = docs.columns
     keyed = own(docs, *names).withColumn("_t", F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_thash")))
+    kept = keyed.join(first.drop("root"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_thash")))
     return kept.dropDuplicates(["_doc", "_t"]).select(*(F.col(f"`{n}`") for n in names))
