@@ -183,7 +183,7 @@ def ratio(part: Column, total: Column) -> Column:
 
 def confidence(value: Column) -> Column:
     """To four digits within 0.01 and 0.99; 0.5 for none."""
-    return F.coalesce(F.when(~F.isnan(value.cast("double")), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.round(value, 4)))), F.lit(0.5))
+    return F.coalesce(F.when(value.isNotNull() & ~F.isnan(value.cast("double")), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.round(value, 4)))), F.lit(0.5))
 
 
 def ratio_confidence(actual: Column, target: Column) -> Column:

@@ -95,10 +95,10 @@ def _hub_nodes(s, d):
     return a.unionByName(b).withColumn("demand", F.array().cast("array<string>"))
 
 
-@query("t1_risk_hubs", f"with {D.CONTRACTS}, {_DEG} select node_id, in_degree, out_degree, degree, degree as risk from deg where in_degree >= 60 or out_degree >= 700 order by risk desc, node_id limit 80")
+@query("t1_risk_hubs", f"with {D.CONTRACTS}, {_DEG} select node_id, in_degree, out_degree, degree, degree as risk from deg where in_degree >= 5 or out_degree >= 5 or degree >= 8 order by risk desc, node_id limit 80")
 def t1(s, d):
     """The riskiest nodes of the contract graph: contracts, equi-join, degrees, top 80."""
-    return R.risk(_hub_nodes(s, d), E.degrees(_edges(s, d)), 60, 700, 1 << 60).select("node_id", "in_degree", "out_degree", "degree", "risk")
+    return R.risk(_hub_nodes(s, d), E.degrees(_edges(s, d))).select("node_id", "in_degree", "out_degree", "degree", "risk")
 
 
 query("t1_risk_parts", f"with {D.PARTS}, {_DEG.replace('from edges', 'from n_edges')}, r as (select node_id, coalesce(in_degree, 0) as in_degree, coalesce(out_degree, 0) as out_degree, coalesce(degree, 0) as degree, ghosts > 0 as ghost, contains(node_id, 'execute') as execute_like from lang left join deg using (node_id)) select *, (degree + ghost::int * 5 + execute_like::int)::bigint as risk from r where ghost or in_degree >= 5 or out_degree >= 5 or degree >= 8 order by risk desc, node_id limit 80")(
