@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, functions as F
 from .util import own, shared_dir, stored
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK = 16_384, 64
+SHARD, BLOCK = 4096, 64
 #: Scores (queries x documents) that a shard works on at once.
-TABLE = 1 << 20
+TABLE = 1 << 19
 #: The most terms of a shard that are also kept by document.
 COMMON = 512
 #: Bytes of text after which a shard is closed even with fewer documents.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 16 << 20
 #: Terms (12 bytes each) of a block of queries that is sent to the executors at once.
 BLOCK_TERMS = 4_000_000
 _LAST = (1 << 63) - 1
@@ -48,7 +48,7 @@ def counted(text: str | None, cache: dict[bytes, int]) -> tuple[np.ndarray, np.n
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    if len(cache) > 300_000:
+    if len(cache) > 100_000:
         cache.clear()
     got = list(map(cache.get, words))
     if None in got:
