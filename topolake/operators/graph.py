@@ -92,6 +92,19 @@ def cycles(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where((F.col("n") > 1) | F.col("loop")).select("component", "members", F.array_join("members", " -> ").alias("signature"))
 
 
+def collapse(pairs: DataFrame, nodes: DataFrame, answers: DataFrame, demands: DataFrame) -> DataFrame:
+    """(macro_id, members, demand, answer): one node for each cycle, with the contracts that cross its boundary."""
+    from .edges import group_boundary
+
+    found = cycles(pairs, nodes)
+    outer = group_boundary(answers, demands, found.select(F.col("component").alias("group_id"), F.explode("members").alias("node_id")))
+    side = lambda s: F.sort_array(F.collect_set(F.when(F.col("side") == s, F.col("contract")))).alias(s)
+    lists = outer.groupBy("group_id").agg(side("demand"), side("answer"))
+    names = F.filter(F.transform("members", lambda m: F.regexp_replace(F.regexp_replace(m, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    return found.join(lists, found.component == lists.group_id, "left").select(F.concat(F.lit("MacroNode."), F.when(F.size(names) > 0, F.array_join(names, "__")).otherwise("Cycle")).alias("macro_id"), "members", F.coalesce("demand", none).alias("demand"), F.coalesce("answer", none).alias("answer"))
+
+
 def levels(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """(node_id, component, level): longest path of components that leads to each, by rounds until nothing rises."""
     a, b = comp.select(F.col("node_id").alias("src"), F.col("component").alias("cs")), comp.select(F.col("node_id").alias("dst"), F.col("component").alias("cd"))

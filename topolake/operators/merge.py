@@ -131,6 +131,24 @@ def change_problems(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
+def protocol_problems(changes: DataFrame, nodes: DataFrame, splits: DataFrame | None = None, least: float = 0.0, need_confidence: bool = False) -> DataFrame:
+    """C14: J19, and (ord, rule) for confidences that lack or fall short, and for split stages that lack or name another focus.
+
+    splits: (stage, focus, operation) of macro, meso and micro; all three or none, and all alike. Their rows have ord -1.
+    """
+    out = change_problems(changes, nodes)
+    if "confidence" in changes.columns:
+        low = changes.where(F.col("confidence") < least).select("ord", F.lit("low_confidence").alias("rule"))
+        out = out.unionByName(low)
+        if need_confidence:
+            out = out.unionByName(changes.where(F.col("confidence").isNull()).select("ord", F.lit("no_confidence").alias("rule")))
+    if splits is not None:
+        kinds = splits.agg(F.countDistinct("stage").alias("n"), F.countDistinct(F.trim("focus"), F.lower(F.trim("operation"))).alias("k"))
+        rule = F.when((F.col("n") > 0) & (F.col("n") < 3), "missing_stage").when(F.col("k") > 1, "focus_drift")
+        out = out.unionByName(kinds.select(F.lit(-1).cast("long").alias("ord"), rule.alias("rule")).where("rule is not null"))
+    return out
+
+
 #: Path parts that name no namespace.
 GENERIC_SEGMENTS = ["src", "app", "apps", "packages", "package", "lib", "core", "main", "index"]
 

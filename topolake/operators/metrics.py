@@ -159,7 +159,7 @@ def covered(raw: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def buckets(files: DataFrame, key: Column) -> DataFrame:
-    """A4: (bucket, total, triad, runtime, combined, ratios, covered and uncovered samples) of (file, t, r) rows by a key."""
+    """A4: (bucket, total, declared, runtime, combined, ratios, covered and uncovered samples) of (file, t, r) rows by a key."""
     rows = files.withColumn("bucket", key).withColumn("c", F.col("t") | F.col("r"))
     sample = lambda flag: F.slice(F.sort_array(F.collect_list(F.when(flag, F.col("file")))), 1, 20)
     out = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("total"), F.count_if("t").alias("declared"), F.count_if("r").alias("runtime"), F.count_if("c").alias("combined"))

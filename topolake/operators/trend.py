@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.scalars import ratio
+from .edges import degrees
 from .graph import cycles
 from .metrics import execute_like, has_ghost
 
@@ -67,6 +69,27 @@ def degraded(new_cycle_rows: DataFrame, broken: DataFrame, removed: DataFrame) -
     return out.withColumn("degraded", (F.col("new_cycles") > 0) | (F.col("broken_contracts") > 0) | (F.col("removed_edges") > 0))
 
 
+def snapshot(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """A snapshot as tables: `totals` (one row), `risk`, `degree` (a row a node) and `keys` (a row an edge).
+
+    Kept as rows, not as one document, so a snapshot of any size is written, and compared by joins.
+    """
+    degree = degrees(edges)
+    every = nodes.select("node_id").distinct().join(degree.select("node_id", "degree"), "node_id", "left").na.fill(0, ["degree"])
+    ghost = F.count_if(has_ghost(F.col("demand")))
+    totals = nodes.agg(F.count(F.lit(1)).alias("nodes"), ratio(F.count_if(execute_like(F.col("node_id"))), F.count(F.lit(1))).alias("execute_like_ratio"), ratio(ghost, F.count(F.lit(1))).alias("ghost_ratio")).join(edges.agg(F.count(F.lit(1)).alias("edges")))
+    return {"totals": totals, "risk": risk(nodes, degree), "degree": every, "keys": edge_keys(edges)}
+
+
+def report(now: dict[str, DataFrame], before: dict[str, DataFrame], most: int = 50) -> DataFrame:
+    """(measure, value) of what changed between two snapshots; edges count up to `most` a side, as they are listed."""
+    drift = edge_drift(now["keys"], before["keys"], most).groupBy(F.concat(F.lit("edges_"), "change").alias("measure")).agg(F.count(F.lit(1)).alias("value"))
+    shift = set_changes(now["risk"].select("node_id"), before["risk"].select("node_id"), "node_id").groupBy(F.concat(F.lit("risk_"), "change").alias("measure")).agg(F.count(F.lit(1)).alias("value"))
+    jumped = surges(now["degree"], before["degree"]).agg(F.count(F.lit(1)).alias("value")).select(F.lit("surges").alias("measure"), "value")
+    size = now["totals"].select(F.explode(F.array(F.struct(F.lit("nodes").alias("measure"), F.col("nodes").alias("value")), F.struct(F.lit("edges").alias("measure"), F.col("edges").alias("value")))).alias("x")).select("x.*")
+    return size.unionByName(drift).unionByName(shift).unionByName(jumped)
+
+
 def keep_newest(history: DataFrame, window: int = 26, by: str = "generated_at") -> DataFrame:
     """The newest snapshots."""
     return history.orderBy(F.desc(by)).limit(window)

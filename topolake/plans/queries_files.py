@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as X
 from ..operators import canonical, edges as E, focus, healing, knowledge, labels
-from ..operators.extract import promote, rows as R, runtime as RT, signatures as SG
+from ..operators.extract import imports, promote, rows as R, runtime as RT, signatures as SG
 from ..operators.shared import cut
 from ..sources import datasets, files as FS
 from ..sources.config import Parser
@@ -84,6 +84,19 @@ union all select 'T' || p_partkey || '.work_' || p_partkey, 'unknown (x)', 'void
 union all select 'Store' || p_partkey || 'Service._hide', 'None', 'void' from part where p_partkey % 5 = 3""")(
     lambda s, d: SG.leaves(SG.extract(source_files(s, d))).select("node_id", F.array_join("demand", ",").alias("demand"), F.array_join("answer", ",").alias("answer"))
 )
+query("c11_sync", "select p_partkey % 5 as k, count(*) as n from part where p_partkey % 5 < 4 group by 1")(
+    lambda s, d: SG.sync(source_files(s, d), s.createDataFrame([("web", "frontend", 0), ("core", "api", 1), ("core", "tasks", 2), ("core", "stores", 3)], "category string, prefix string, ord int"))[0]
+    .where("node_id not like '%.\\_hide'").groupBy(F.expr("case when source_path like 'api/%' then 0 when source_path like 'frontend/%' then 1 when source_path like 'tasks/%' then 2 else 3 end").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+)
+query("e12_registrations", "select 'Item' || (p_partkey % 7) || 's' as owner, 'list_' || p_partkey as name from part where p_partkey < 200")(
+    lambda s, d: SG.extract(D.table(s, d, "part").where("p_partkey < 200").select(F.concat(F.lit("api/r"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("app.get('/v/item"), (F.col("p_partkey") % 7).cast("string"), F.lit("s/:id', list_"), F.col("p_partkey").cast("string"), F.lit(")")).alias("content"), F.lit("api").alias("kind"))).select("owner", "name")
+)
+query("j20_imports", "select 'pkg/u' || p_partkey || '.py' as source_path, 'pkg/m' || (p_partkey % 5) || '.py' as defined_in, 'Result' as type from part where p_partkey < 100")(
+    lambda s, d: imports.resolve(
+        D.table(s, d, "part").where("p_partkey < 100").select(F.expr("concat('pkg/u', p_partkey, '.py')").alias("path"), F.lit("python").alias("language"), F.expr("concat('from .m', p_partkey % 5, ' import go as run', chr(10))").alias("content"))
+        .unionByName(s.range(5).select(F.expr("concat('pkg/m', id, '.py')").alias("path"), F.lit("python").alias("language"), F.lit("def go() -> Result: ...\n").alias("content")))
+    ).select("source_path", "defined_in", "type")
+)
 query("f11_suppressed", "select 'Store' || p_partkey || 'Service' as owner, '_hide' as name from part where p_partkey % 5 = 3")(
     lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).where("suppressed").where("name = '_hide'").select("owner", "name")
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import element
 
@@ -188,6 +188,9 @@ def a10(s, d):
     return E.group_boundary(a, b, members)
 
 
+query("g4_collapse", f"with {D.TRADE}, k as (select component, list_sort(list(node_id)) as m, bool_or(node_id in (select src from trade where src = dst)) as l from comp group by component) select 'MacroNode.' || array_to_string(list_transform(m, lambda x: regexp_replace(x, '[^A-Za-z0-9]+', '_', 'g')), '__') as macro_id, len(m)::int as members from k where len(m) > 1 or l")(
+    lambda s, d: G.collapse(_pairs(s, d), _nations(s, d), *_trade_contracts(s, d)[:2]).select("macro_id", F.size("members").alias("members"))
+)
 query("g12_fallback_partition", f"with {D.PARTS}, w as (select split_part(node_id, '.', 1) as owner, 1 + len(demand) + len(answer) as w from nodes) select owner, array_to_string(list(w order by w desc), ',') as partition from w group by owner")(
     lambda s, d: D.parts(s, d).groupBy(F.split("node_id", r"\.")[0].alias("owner")).agg(F.sort_array(F.collect_list(1 + F.size("demand") + F.size("answer")), asc=False).alias("p")).select("owner", F.array_join(F.col("p").cast("array<string>"), ",").alias("partition"))
 )
@@ -341,6 +344,23 @@ def _daily(s, d):
     return D.table(s, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _snapshot(s, d, m):
+    e = E.edges_of(_version(s, d, m), D.demands(s, d))
+    return R.snapshot(e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("demand", F.array().cast("array<string>")), e)
+
+
+query("c5_trend_report", f"""with {D.CONTRACTS}, {_VER}, {_KEYS}, nd as (select node_id, count(*) as n from (select src as node_id from ne union all select dst from ne) group by 1), od as (select node_id, count(*) as n from (select src as node_id from oe union all select dst from oe) group by 1),
+nio as (select node_id, sum(i) as i, sum(o) as o from (select dst as node_id, 1 as i, 0 as o from ne union all select src, 0, 1 from ne) group by 1), oio as (select node_id, sum(i) as i, sum(o) as o from (select dst as node_id, 1 as i, 0 as o from oe union all select src, 0, 1 from oe) group by 1),
+nr as (select node_id from nio where i >= 5 or o >= 5 or i + o >= 8 order by i + o desc, node_id limit 80), orr as (select node_id from oio where i >= 5 or o >= 5 or i + o >= 8 order by i + o desc, node_id limit 80),
+m as (select 'nodes' as measure, count(*) as value from nd union all select 'edges', count(*) from ne union all select 'edges_added', least(50, count(*)) from nk where key not in (select key from ok) union all select 'edges_removed', least(50, count(*)) from ok where key not in (select key from nk)
+union all select 'risk_added', count(*) from nr where node_id not in (select node_id from orr) union all select 'risk_removed', count(*) from orr where node_id not in (select node_id from nr)
+union all select 'surges', count(*) from nd full join od using (node_id) where abs(coalesce(nd.n, 0) - coalesce(od.n, 0)) >= 3) select measure, value::bigint as value from m where value > 0 or measure in ('nodes', 'edges', 'surges')""")(lambda s, d: R.report(_snapshot(s, d, 5), _snapshot(s, d, 7)))
+query("c14_protocol_problems", f"with {_CH} select ord, 'low_confidence' as rule from ch where ord % 10 < 5 union all select -1, 'focus_drift'")(
+    lambda s, d: M.protocol_problems(_changes(s, d).withColumn("confidence", (F.col("ord") % 10) / 10.0), _named(s, d), s.createDataFrame([("macro", "A.run", "split"), ("meso", "A.run", "Split"), ("micro", "B.run", "split")], "stage string, focus string, operation string"), 0.5).where("rule in ('low_confidence', 'focus_drift', 'missing_stage')")
+)
+query("t11_locale_order", "select n_nationkey, row_number() over (order by lower(n_name))::int as place from nation")(
+    lambda s, d: D.table(s, d, "nation").select("n_nationkey", F.row_number().over(Window.orderBy(F.collate(F.initcap("n_name"), "UNICODE"))).alias("place"))
+)
 query("t10_compare", "with h as (select ts::date as day, event_type, count(*) as n from events group by all) select day, event_type, n, lag(n) over w as prev_n, n - lag(n) over w as delta_n from h window w as (partition by event_type order by day)")(
     lambda s, d: R.compared(_daily(s, d), ["n"], "day", ["event_type"])
 )
