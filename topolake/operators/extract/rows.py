@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 DDL = (
     "kind string, id string, type string, label string, source_path string, category string, framework string, metadata map<string,string>, src string, dst string, confidence double, "
@@ -103,12 +103,15 @@ def run(files: DataFrame, extractors: list[tuple[str, Extractor]]) -> DataFrame:
     return found
 
 
+def place(late: bool = False) -> Column:
+    """Order of an extracted row over all files: by path, then place in the file; late ones come after all others."""
+    return F.concat(F.lit("\U0010ffff" if late else ""), F.coalesce("ev_path", "source_path", F.lit("")), F.lit("\0"), F.lpad(F.col("ord").cast("string"), 10, "0"))
+
+
 def split(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """RT_NODE, RT_EDGE and DIAG rows of extraction; ord is by path, then place, packed so that it is the same every run."""
+    """RT_NODE, RT_EDGE and DIAG rows of extraction; `ord` is a text of path and place, so order needs no numbering of files."""
     ev = F.array(F.struct(F.col("ev_path").alias("source_path"), F.col("ev_line").alias("line"), F.col("ev_column").alias("column"), F.col("ev_kind").alias("kind"), F.col("ev_text").alias("text"), F.col("ev_confidence").alias("confidence")))
-    # order over files by path without one sort of all rows: files are ranked, rows keep their place in the file
-    files = found.select(F.coalesce("ev_path", "source_path").alias("_p")).distinct().withColumn("_f", F.row_number().over(Window.orderBy("_p")))
-    rows = found.withColumn("_p", F.coalesce("ev_path", "source_path")).join(files, "_p").withColumn("ord", F.shiftleft(F.col("_f").cast("long"), 24) + F.col("ord"))
+    rows = found.withColumn("ord", place())
     nodes = rows.where("kind = 'node'").select("id", "type", "label", "source_path", "category", "framework", "metadata", ev.alias("evidence"), "ord")
     edges = rows.where("kind = 'edge'").select(F.lit(None).cast("string").alias("id"), "src", "dst", "type", "label", "metadata", "confidence", ev.alias("evidence"), "ord")
     diags = rows.where("kind = 'diag'").select("level", "code", "component", "message", "source_path", F.lit(None).cast("string").alias("node_id"))
