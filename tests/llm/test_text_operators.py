@@ -193,7 +193,7 @@ def test_pieces_n_best_matches_all_segmentations(spark):
         unit = " " + "".join(rng.choice("thaeino漢x") for _ in range(rng.randint(1, 8)))
         want = sorted(every(unit.replace(" ", pieces.SPACE)))
         assert [c for c, _ in lattice.segment(unit)] == want[:3]
-        ids, cost, gap = lattice.unit(unit)
+        ids, cost, gap = lattice.solve(unit)
         assert cost == want[0] and (len(want) == 1 or gap == want[1] - want[0])
     # over several units: sums of one choice each
     units = [" that", " hat", " none"]
