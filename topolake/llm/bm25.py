@@ -39,7 +39,7 @@ COMMON = 512
 #: Bytes of text after which a shard is closed even with fewer documents.
 SHARD_BYTES = 16 << 20
 #: Terms (12 bytes each) of a block of queries that is sent to the executors at once.
-BLOCK_TERMS = 4_000_000
+BLOCK_TERMS = 1_500_000
 _LAST = (1 << 63) - 1
 
 
