@@ -26,7 +26,9 @@ _PATH = "case p_partkey % 5 when 0 then concat('api/f', p_partkey, '.py') when 1
 
 
 def source_files(s: SparkSession, d: str) -> DataFrame:
-    rows = D.table(s, d, "part").select(F.expr(_PATH).alias("path"), F.expr(_CODE).alias("content"))
+    # texts are made after the keys are dealt out, so extraction runs on all cores though the table is one small file
+    keys = D.table(s, d, "part").select("p_partkey").repartition(s.sparkContext.defaultParallelism)
+    rows = keys.select(F.expr(_PATH).alias("path"), F.expr(_CODE).alias("content"))
     return rows.withColumn("language", FS.file_kind(F.col("path")))
 
 
