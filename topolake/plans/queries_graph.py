@@ -118,7 +118,12 @@ def _groups(s, d):
 
 
 query("a8_group_boundary", _BOUND)(lambda s, d: E.group_boundary(E.produced(D.parts(s, d)), E.required(D.parts(s, d)), _groups(s, d)))
-query("a8_module_rollup")(lambda s, d: E.roll_up(D.parts(s, d), E.module_id(F.col("source_path"))).select("group_id", F.array_join("demand", ",").alias("demand"), F.array_join("answer", ",").alias("answer")))
+query("a8_module_rollup", f"""with {D.PARTS}, g as (select 'Module.' || replace(regexp_replace(source_path, '\\.[^./]+$', ''), '/', '.') as group_id, * from nodes),
+d as (select group_id, case when x like '[Ghost%' then 'ghost:' || x else trim(split_part(x, '(', 1)) end as contract, x as text from g, unnest(demand) u(x) where x <> 'None' and x not like 'string%'),
+a as (select group_id, x as contract from g, unnest(answer) u(x) where x <> 'void'),
+kd as (select distinct group_id, contract, text from d where not exists (select 1 from a where a.group_id = d.group_id and a.contract = d.contract)),
+ka as (select distinct group_id, contract from a where not exists (select 1 from d where d.contract = a.contract) or exists (select 1 from d where d.contract = a.contract and d.group_id <> a.group_id))
+select group_id, coalesce((select string_agg(text, ',' order by text) from kd where kd.group_id = i.group_id), 'None') as demand, coalesce((select string_agg(contract, ',' order by contract) from ka where ka.group_id = i.group_id), 'void') as answer from (select distinct group_id from g) i""")(lambda s, d: E.roll_up(D.parts(s, d), E.module_id(F.col("source_path"))).select("group_id", F.array_join("demand", ",").alias("demand"), F.array_join("answer", ",").alias("answer")))
 query("a9_module_union", f"with {D.PARTS}, x as (select 'Module.' || replace(regexp_replace(source_path, '\\.[^./]+$', ''), '/', '.') as group_id, demand, answer from nodes) select group_id, array_to_string(list_sort(list_distinct(flatten(list(demand)))), ',') as demand, array_to_string(list_sort(list_distinct(flatten(list(answer)))), ',') as answer from x group by group_id")(
     lambda s, d: E.module_union(D.parts(s, d), E.module_id(F.col("source_path"))).select("group_id", F.array_join("demand", ",").alias("demand"), F.array_join("answer", ",").alias("answer"))
 )
@@ -287,7 +292,9 @@ query("j9_both_ways", """with l as (select 'a' as fv, 'x' || (event_id % 40) as
 select fv || '::' || f || '::r::' || tv || '::' || t as id, greatest(0.01, least(0.99, max(c))) as confidence from (select * from l union all select tv, t, fv, f, c from l) group by fv, f, tv, t""")(
     lambda s, d: M.both_ways(D.table(s, d, "events").select(F.lit("a").alias("from_view"), F.concat(F.lit("x"), (F.col("event_id") % 40).cast("string")).alias("from_id"), F.lit("b").alias("to_view"), F.concat(F.lit("y"), (F.col("event_id") % 60).cast("string")).alias("to_id"), F.lit("r").alias("relation"), F.round((F.col("event_id") % 97) / 97.0, 4).alias("confidence"), F.lit("why").alias("reason"), F.lit(None).cast("string").alias("source_path"), F.col("event_id").alias("ord"))).select("id", "confidence")
 )
-query("x26_rename_collisions")(lambda s, d: M.rename_collisions(D.parts(s, d).select(element(F.split("node_id", r"\."), -1).alias("node_id"), "source_path", "category")))
+query("x26_rename_collisions", f"""with {D.PARTS}, r as (select distinct split_part(node_id, '.', 2) as node_id, source_path, category, split_part(source_path, '/', 2) as b, regexp_extract(source_path, '/(m\\d+)\\.', 1) as m from nodes),
+p as (select *, row_number() over (partition by node_id order by source_path, category) as place from r), k as (select node_id, count(*) as n, count(distinct m) as d1, count(distinct b || '.' || m) as d2, count(distinct source_path) as paths from r group by 1)
+select node_id, source_path, category, case when paths = 1 then node_id else category || '.' || case when d1 = n then m when d2 = n then b || '.' || m else b || '.' || m || '.' || place end || '.' || node_id end as new_id from p join k using (node_id)""")(lambda s, d: M.rename_collisions(D.parts(s, d).select(element(F.split("node_id", r"\."), -1).alias("node_id"), "source_path", "category")))
 
 # set operations and drift
 
