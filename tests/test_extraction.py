@@ -97,6 +97,54 @@ def test_promotion_and_folding(spark):
     assert {r.name for r in judged.where("suppressed").collect()} >= {"__repr__", "build"}
 
 
+def test_registrations():
+    js = 'program.command("deploy <env>").description("x").action(runDeploy)\nprogram.command("list").action(() => {})\nprogram.command("bare")\n'
+    got = [(r["owner"], r["name"]) for r in SG.registrations("javascript", js, "cli")]
+    assert got == [("Deploy", "runDeploy"), ("List", "handler"), ("Bare", "command")]
+    py = 'p = sub.add_parser("sync")\np.set_defaults(func=commands.run_sync)\n'
+    assert [(r["owner"], r["name"]) for r in SG.registrations("python", py, "cli")] == [("Sync", "run_sync")]
+    api = SG.registrations("typescript", "app.get('/v1/users/:id', showUser)\nrouter.post('/:x', (q) => q)", "api")
+    assert [(r["owner"], r["name"], r["answer"]) for r in api] == [("Users", "showUser", ["ApiRouteHandler"]), ("Root", "root", ["ApiRouteHandler"])]
+    assert SG.registrations("javascript", js, "other") == []
+
+
+def test_imports_meet_definitions(spark):
+    from topolake.operators.extract import imports
+
+    tree = [("pkg/a.py", "python", "from .b import Store as S, gone\nfrom pkg.c import make\nfrom os import path\n"), ("pkg/b.py", "python", "class Store: ...\n"), ("pkg/c.py", "python", "def make() -> Result: ...\n"), ("pkg/bad.py", "python", "def (")]
+    got = {r.alias: (r.defined_in, r.type) for r in imports.resolve(spark.createDataFrame(tree, "path string, language string, content string")).collect()}
+    assert got == {"S": ("pkg/b.py", "Store"), "gone": (None, None), "make": ("pkg/c.py", "Result"), "path": (None, None)}
+
+
+def test_sync_of_several_languages(spark):
+    tree = [("web/entry.py", "python", "def run(): ..."), ("api/entry.py", "python", "def run(): ..."), ("api/x.ts", "typescript", "function go(a) {}")]
+    p = spark.createDataFrame([("frontend", "web", 0), ("backend", "api", 1)], "category string, prefix string, ord int")
+    nodes, diags = SG.sync(spark.createDataFrame(tree, "path string, language string, content string"), p)
+    assert {(r.node_id, r.category) for r in nodes.collect()} == {("frontend.web.entry.Entry.run", "frontend"), ("backend.api.entry.Entry.run", "backend"), ("X.go", "backend")}
+    assert diags.count() == 0
+
+
+def test_protocol_rules(spark):
+    from topolake.operators import merge
+
+    known = spark.createDataFrame([("A", "do x"), ("B", "do y")], "node_id string, problem string")
+    rows = [(0, "modify", "A", None, "do  x", 0.9), (1, "modify", "B", None, "other", 0.2), (2, "create_child", "B", "A", "n", None), (3, "reuse", "Z", None, None, 0.9), (4, "reuse", "A", None, None, 0.9), (5, "create_child", "N", "Q", "n", 0.9)]
+    changes = spark.createDataFrame(rows, "ord long, op string, node_id string, parent_id string, problem string, confidence double")
+    got = {(r.ord, r.rule) for r in merge.protocol_problems(changes, known, None, 0.6, True).collect()}
+    assert got == {(1, "problem_changed"), (1, "low_confidence"), (2, "id_exists"), (2, "no_confidence"), (2, "target_repeated"), (3, "missing_target"), (4, "target_repeated"), (5, "missing_parent")}
+
+
+def test_merged_rows_keep_what_is_known(spark):
+    from topolake.operators import merge
+
+    ev = lambda t: [(None, 1, 1, "call", t, 0.5)]
+    rows = [("a", "T", "first", "p.py", None, None, {"k": "1", "x": "1"}, ev("one"), 0), ("a", "T", None, None, "core", None, {"k": "2"}, ev("one") + ev("two"), 1), ("b", "U", None, None, None, None, None, None, 2)]
+    got = {r.id: r for r in merge.merge_nodes(spark.createDataFrame(rows, S.RT_NODE)).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.label, a.source_path, a.category, a.metadata) == ("first", "p.py", "core", {"k": "2", "x": "1"}) and [e.text for e in a.evidence] == ["one", "two"]
+    assert b.evidence[0].kind == "inferred" and not b.metadata
+
+
 def test_longest_prefix_and_scope(spark):
     p = spark.createDataFrame([("a", "src", 0), ("b", "src/web", 1), ("c", "src/web", 2)], "category string, prefix string, ord int")
     df = spark.createDataFrame([("src/x.ts",), ("SRC\\web\\y.ts",), ("srcx/z.ts",), ("",), (None,)], "source_path string")
