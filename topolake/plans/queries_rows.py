@@ -310,17 +310,25 @@ def _link_rows(s, d):
     return run, caps
 
 
-query("j7_runtime_links", f"""with c as (select 'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey as cid, 'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py' as path, coalesce(case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end, 'unknown') as cat from part where p_partkey % 4 = 0),
+_J7 = f"""c as (select 'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey as cid, 'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py' as path, coalesce(case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end, 'unknown') as cat from part where p_partkey % 4 = 0),
 r as (select 'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4) as rid, p_name as label, 'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py' as rpath, coalesce(case p_partkey % 2 when 0 then 'core' end, 'unknown') as rcat, coalesce(case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end, '') as handler from part where p_partkey % 31 = 0),
 ct as (select *, list_distinct(list_filter(string_split_regex(lower(cid || ' ' || path), '[^a-z0-9]+'), lambda x: length(x) >= 3 and x not in ({_WORDS}))) as ctok from c),
 rt as (select *, list_distinct(list_filter(string_split_regex(lower(rid || ' ' || label || ' ' || rpath), '[^a-z0-9]+'), lambda x: length(x) >= 3 and x not in ({_WORDS}))) as rtok from r),
 s as (select rid, cid, case when rpath = path then 65 else 0 end + case when rcat = cat then 18 else -8 end + case when handler <> '' and contains(lower(cid), handler) then 34 else 0 end
-    + case when contains(lower(cid), lower(split_part(rid, '.', 2))) and contains(lower(cid), lower(split_part(rid, '.', 3))) then 40 else 0 end + least(24, 6 * len(list_intersect(rtok, ctok))) as score from rt, ct)
-select rid as runtime_id, cid as capability_id, score::int as score, row_number() over (partition by rid order by score desc, cid)::int as rank from (select distinct * from s) where score >= 35 qualify row_number() over (partition by rid order by score desc, cid) <= 6""")(
+    + case when contains(lower(cid), lower(split_part(rid, '.', 2))) and contains(lower(cid), lower(split_part(rid, '.', 3))) then 40 else 0 end + least(24, 6 * len(list_intersect(rtok, ctok))) as score from rt, ct),
+linked as (select rid as runtime_id, cid as capability_id, score::int as score, row_number() over (partition by rid order by score desc, cid)::int as rank from (select distinct * from s) where score >= 35 qualify row_number() over (partition by rid order by score desc, cid) <= 6)"""
+query("j7_runtime_links", f"with {_J7} select * from linked")(
     lambda s, d: L.runtime_capabilities(*_link_rows(s, d)).select("runtime_id", "capability_id", "score", "rank")
 )
-query("j8_runtime_leaves")(lambda s, d: L.runtime_leaves(L.runtime_capabilities(*_link_rows(s, d)), L.capability_leaves(_link_rows(s, d)[1].withColumn("folded_leaves", F.array().cast("array<string>")), _link_rows(s, d)[1].withColumn("ord", F.monotonically_increasing_id()))))
-query("c6_view_map")(lambda s, d: L.view_map(_link_rows(s, d)[0], _link_rows(s, d)[1].withColumn("folded_leaves", F.array().cast("array<string>")), _link_rows(s, d)[1].withColumn("ord", F.xxhash64("node_id"))).select("id", "relation", "confidence"))
+_CONF = "greatest(0.01, least(0.99, round({0}, 4)))::double"
+_LINKS = f"""{_J7}, cl as (select a.cid, b.cid as lid, case when a.cid = b.cid then 'exact' else 'owner_match' end as relation, case when a.cid = b.cid then 0.99 else 0.78 end as conf from (select distinct cid, path from c) a
+    join (select distinct cid, path from c) b on a.cid = b.cid or (a.path = b.path and regexp_replace(a.cid, '\\.[^.]+$', '') = regexp_replace(b.cid, '\\.[^.]+$', ''))),
+rc as (select runtime_id as rid, capability_id as cid, score from linked where rank <= 3), rl as (select rid, lid, max({_CONF.format("score / 120.0")}) as conf from rc join cl using (cid) group by all),
+one as (select 'capability' as fv, cid as f, relation, 'leaf' as tv, lid as t, conf::double as conf from cl union all select 'runtime', rid, 'runtime_capability', 'capability', cid, {_CONF.format("score / 100.0")} from rc union all select 'runtime', rid, 'runtime_leaf_derived', 'leaf', lid, conf from rl),
+links as (select * from one union all select tv, t, relation, fv, f, conf from one)"""
+query("j8_runtime_leaves", f"""with {_J7}, cl as (select a.cid, b.cid as lid from (select distinct cid, path from c) a join (select distinct cid, path from c) b on a.cid = b.cid or (a.path = b.path and regexp_replace(a.cid, '\\.[^.]+$', '') = regexp_replace(b.cid, '\\.[^.]+$', '')))
+select runtime_id, lid as leaf_id, max({_CONF.format("score / 120.0")}) as confidence from linked join cl on cl.cid = capability_id group by all""")(lambda s, d: L.runtime_leaves(L.runtime_capabilities(*_link_rows(s, d)), L.capability_leaves(_link_rows(s, d)[1].withColumn("folded_leaves", F.array().cast("array<string>")), _link_rows(s, d)[1].withColumn("ord", F.monotonically_increasing_id()))))
+query("c6_view_map", f"with {_LINKS} select fv || '::' || f || '::' || relation || '::' || tv || '::' || t as id, relation, max(conf) as confidence from links group by all")(lambda s, d: L.view_map(_link_rows(s, d)[0], _link_rows(s, d)[1].withColumn("folded_leaves", F.array().cast("array<string>")), _link_rows(s, d)[1].withColumn("ord", F.xxhash64("node_id"))).select("id", "relation", "confidence"))
 
 
 def _view_stats(s, d):
@@ -330,7 +338,10 @@ def _view_stats(s, d):
     return L.link_stats(links, run.select("id"), caps.select("node_id"), leaves.select("node_id"))
 
 
-query("a12_link_stats")(_view_stats)
+query("a12_link_stats", f"""with {_LINKS}, n as (select (select count(distinct rid) from r) as runtime_nodes, (select count(distinct cid) from c) as capability_nodes, (select count(distinct cid) from c) as leaf_nodes, count(*) as link_count,
+count(*) filter (fv = 'runtime' and tv = 'capability') as runtime_capability_links, count(*) filter (fv = 'capability' and tv = 'leaf') as capability_leaf_links, count(*) filter (fv = 'runtime' and tv = 'leaf') as runtime_leaf_links,
+count(distinct case when fv = 'runtime' and tv = 'capability' then f end) as runtime_matched, count(distinct case when fv = 'capability' and tv = 'leaf' then f end) as capability_matched, count(distinct case when fv = 'capability' and tv = 'leaf' then t end) as leaf_matched, count(distinct case when fv = 'runtime' and tv = 'leaf' then f end) as end_to_end from (select distinct fv, f, relation, tv, t from links))
+select *, round(runtime_matched / runtime_nodes, 6)::double as runtime_match_rate, round(capability_matched / capability_nodes, 6)::double as capability_leaf_rate, round(leaf_matched / leaf_nodes, 6)::double as leaf_capability_rate, round(end_to_end / runtime_nodes, 6)::double as end_to_end_rate from n""")(_view_stats)
 _CALLS = "case page_id % 3 when 0 then '/api/items/' || (page_id % 5) || '/run' when 1 then '/api/v1/users' else '/nope/' || page_id end"
 query("j10_match_routes", "select page_id as call_id, case page_id % 3 when 0 then 'r2' else 'r1' end as route_id from pages where page_id % 3 <> 2")(
     lambda s, d: L.match_routes(
