@@ -33,7 +33,7 @@ from .util import own, shared_dir, stored
 K1, B = 1.2, 0.75
 SHARD, BLOCK = 4096, 64
 #: Scores (queries x documents) that a shard works on at once.
-TABLE = 1 << 19
+TABLE = 1 << 18
 #: The most terms of a shard that are also kept by document.
 COMMON = 512
 #: Bytes of text after which a shard is closed even with fewer documents.
@@ -204,7 +204,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["term", "df"])
 
         df = np.zeros(len(vocabulary))
-        got = index.select("terms", "offsets").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+        got = index.select("terms", "offsets").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
         df[got["term"].to_numpy()] = got["df"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         asks = sc.broadcast((np.array([_LAST if r["query_id"] is None else r["query_id"] for r in rows], np.int64), flat.astype(np.int32), ends, idf))
