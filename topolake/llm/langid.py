@@ -126,7 +126,7 @@ def train(labelled: DataFrame, order: Column, n: int = 4, per_lang: int = 1500,
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "gram", "n"])
 
     seen = picked.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    got = seen.orderBy(F.desc("n"), "gram", "lang").limit(most_grams).toPandas()
+    got = seen.orderBy(F.desc("n"), "gram", "lang").limit(most_grams).toArrow().to_pandas()
     langs = sorted(got["lang"].unique())
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(langs))
     got["rate"] = got["n"] / got.groupby("lang")["n"].transform("sum")
