@@ -9,6 +9,8 @@ from math import factorial, prod
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..ship import ship
+
 #: The most orders that are compared; beyond it nodes go by colour and id.
 MOST = 4096
 
@@ -33,5 +35,6 @@ def canonical_order(nodes: DataFrame, most_nodes: int = 8) -> DataFrame:
     """(owner, node_id, place, digest) of fragments of at most `most_nodes` nodes; larger ones have no strict order and are left out."""
     from pyspark.sql import Window, functions as F
 
+    ship(nodes.sparkSession)
     sized = nodes.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("owner"))).where(F.col("_n") <= most_nodes).drop("_n")
     return sized.select("owner", "node_id", "colour", "weight").groupBy("owner").applyInPandas(order, "owner string, node_id string, place long, digest string")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ...ship import ship
 from .signatures import infer
 
 _DDL = "kind string, source_path string, module string, name string, alias string, type string"
@@ -51,6 +52,7 @@ def resolve(files: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in _SCHEMA} for r in rows], schema=_SCHEMA)
 
+    ship(files.sparkSession)
     found = files.where("language = 'python'").select("path", "content").mapInArrow(each, _DDL)
     defined = found.where("kind = 'definition'").groupBy("module", "name").agg(F.max_by("type", "source_path").alias("_type"), F.max("source_path").alias("defined_in"))
     return found.where("kind = 'import'").drop("type", "kind").join(defined, ["module", "name"], "left").select("source_path", "alias", "module", "name", "defined_in", F.col("_type").alias("type"))

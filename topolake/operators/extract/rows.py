@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ...ship import ship
+
 DDL = (
     "kind string, id string, type string, label string, source_path string, category string, framework string, metadata map<string,string>, src string, dst string, confidence double, "
     "ev_path string, ev_line int, ev_column int, ev_kind string, ev_text string, ev_confidence double, level string, code string, component string, message string, ord long"
@@ -99,6 +101,7 @@ def run(files: DataFrame, extractors: list[tuple[str, Extractor]]) -> DataFrame:
                 for at in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in SCHEMA} | {"metadata": list((r.get("metadata") or {}).items())} for r in rows[at : at + 2000]], schema=SCHEMA)
 
+    ship(files.sparkSession)
     found = files.select("path", "language", "content").mapInArrow(each, DDL)
     return found
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..ship import ship
 from ..operators.governance import fingerprints, manifest_diff
 from ..sources.config import AutoRun
 
@@ -51,6 +52,7 @@ def gated(events: DataFrame, config: AutoRun | None = None) -> DataFrame:
     Time comes with the events, so a rerun decides the same. Within a batch a project's events go in order of (ts,
     event_id); they arrive as an iterator and are taken a chunk at a time.
     """
+    ship(events.sparkSession)
     cfg = config or AutoRun()
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
