@@ -195,6 +195,19 @@ def test_search_is_exact(spark, monkeypatch, shard):
         assert [i for _, i, _ in mine] == [i for i, _ in want]
 
 
+def test_search_ties_over_shards(spark, monkeypatch):
+    """Groups of more copies than k, spread over shards of one task whose ids fall: the smallest ids win."""
+    monkeypatch.setattr(bm25, "SHARD", 40)
+    rows = [(10_000 - i, f"g{i % 20} " * (1 + i % 3) + "common " * (i % 20 % 7) + f"h{i % 20}") for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    asked = [(i, rows[i][1]) for i in range(60)]
+    got = {}
+    for r in bm25.search(bm25.build_index(docs), spark.createDataFrame(asked, "query_id long, text string"), k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
+    for q, want in _plain_search(rows, asked, 5):
+        assert [i for _, i in sorted(got[q])] == [i for i, _ in want]
+
+
 def test_search_defined_cases(spark, odd, none):
     index = bm25.build_index(odd)
     q = odd.select(F.col("doc_id").alias("query_id"), "text")

@@ -151,7 +151,8 @@ class _Shard:
                 found = self.ids
         else:
             found = self.ids
-        least = np.maximum(scores[:, -1], np.partition(part, max(0, part.shape[1] - k), axis=1)[:, max(0, part.shape[1] - k)] - 1e-6)
+        # scores are compared rounded, and rounding moves both the carried k-th score and those met here
+        least = np.maximum(scores[:, -1], np.partition(part, max(0, part.shape[1] - k), axis=1)[:, max(0, part.shape[1] - k)]) - 1e-6
         hit_q, hit = np.nonzero((part >= least[:, None] - 1e-9) & (part > 0))
         value, doc = np.round(part[hit_q, hit], 6), found[hit]
         every_q, every_s, every_d = np.r_[np.repeat(np.arange(count), k), hit_q], np.r_[scores.ravel(), value], np.r_[ids.ravel(), doc]
