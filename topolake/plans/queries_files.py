@@ -93,12 +93,21 @@ query("c11_sync", "select p_partkey % 5 as k, count(*) as n from part where p_pa
 query("e12_registrations", "select 'Item' || (p_partkey % 7) || 's' as owner, 'list_' || p_partkey as name from part where p_partkey < 200")(
     lambda s, d: SG.extract(D.table(s, d, "part").where("p_partkey < 200").select(F.concat(F.lit("api/r"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("app.get('/v/item"), (F.col("p_partkey") % 7).cast("string"), F.lit("s/:id', list_"), F.col("p_partkey").cast("string"), F.lit(")")).alias("content"), F.lit("api").alias("kind"))).select("owner", "name")
 )
+query("e12_registrations_all", "select 'Item' || (p_partkey % 7) || 's' as owner, 'list_' || p_partkey as name from part")(
+    lambda s, d: SG.extract(D.table(s, d, "part").select(F.concat(F.lit("api/r"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("app.get('/v/item"), (F.col("p_partkey") % 7).cast("string"), F.lit("s/:id', list_"), F.col("p_partkey").cast("string"), F.lit(")")).alias("content"), F.lit("api").alias("kind"))).select("owner", "name")
+)
 query("j20_imports", "select 'pkg/u' || p_partkey || '.py' as source_path, 'pkg/m' || (p_partkey % 5) || '.py' as defined_in, 'Result' as type from part where p_partkey < 100")(
     lambda s, d: imports.resolve(
         D.table(s, d, "part").where("p_partkey < 100").select(F.expr("concat('pkg/u', p_partkey, '.py')").alias("path"), F.lit("python").alias("language"), F.expr("concat('from .m', p_partkey % 5, ' import go as run', chr(10))").alias("content"))
         .unionByName(s.range(5).select(F.expr("concat('pkg/m', id, '.py')").alias("path"), F.lit("python").alias("language"), F.lit("def go() -> Result: ...\n").alias("content")))
     ).select("source_path", "defined_in", "type")
 )
+query("j20_imports_all", "select 'pkg/u' || p_partkey || '.py' as source_path, 'pkg/m' || (p_partkey % 5) || '.py' as defined_in, 'Result' as type from part")(
+    lambda s, d: imports.resolve(
+        D.table(s, d, "part").select(F.expr("concat('pkg/u', p_partkey, '.py')").alias("path"), F.lit("python").alias("language"), F.expr("concat('from .m', p_partkey % 5, ' import go as run', chr(10))").alias("content"))
+        .unionByName(s.range(5).select(F.expr("concat('pkg/m', id, '.py')").alias("path"), F.lit("python").alias("language"), F.lit("def go() -> Result: ...\n").alias("content")))
+    ).select("source_path", "defined_in", "type")
+)
 query("f11_suppressed", "select 'Store' || p_partkey || 'Service' as owner, '_hide' as name from part where p_partkey % 5 = 3")(
     lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).where("suppressed").where("name = '_hide'").select("owner", "name")
 )
@@ -219,6 +228,6 @@ def w3(s, d):
 def w1(s, d):
     """Files of a folder taken up once as a stream, as (path, sha256)."""
     out = _folder(s)
-    source_files(s, d).limit(50).select(F.col("content").alias("value")).repartition(5).write.text(f"{out}/in")
+    source_files(s, d).select(F.col("content").alias("value")).repartition(5).write.option("maxRecordsPerFile", 10_000).text(f"{out}/in")
     auto_run.watch(s, f"{out}/in", lambda df: df.select("path", F.sha2("content", 256).alias("sha256")).write.mode("append").parquet(f"{out}/seen"), f"{out}/state", pattern="part-*").awaitTermination()
     return s.read.parquet(f"{out}/seen").select("sha256").distinct().select(F.count(F.lit(1)).alias("files"))

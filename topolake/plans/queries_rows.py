@@ -92,13 +92,14 @@ select event_id, round(greatest(1, n) - low * 1.1 + bus * 1.8 + case when contai
 query("t4_label_choice", "select event_id as ord, 'run_' || event_type as label, event_type = 'click' as low_signal from events where event_id < 500")(lambda s, d: _labels(s, d))
 
 
-def _labels(s, d):
+def _labels(s, d, bound="ord < 500"):
     from ..operators.labels import choose_labels
 
-    e = D.runtime_nodes(s, d).where("ord < 500")
+    e = D.runtime_nodes(s, d).where(bound)
     return choose_labels(e.select("id", "type", "label", F.create_map(F.lit("handler"), F.concat(F.lit("run_"), F.col("type"))).alias("metadata"), "ord")).select("ord", F.col("best").alias("label"), "low_signal")
 
 
+query("t4_label_choice_all", "select event_id as ord, 'run_' || event_type as label, event_type = 'click' as low_signal from events")(lambda s, d: _labels(s, d, "true"))
 query("x16_diagnostic_code", "select event_id, case when event_id % 3 = 0 then 'RUNTIME_MY_EXTRACTOR_' || upper(event_type) else regexp_replace(regexp_replace(upper(event_type || '-x! ' || event_id), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end as code from events")(
     lambda s, d: D.table(s, d, "events").select("event_id", X.diagnostic_code(F.expr("case when event_id % 3 = 0 then ' ' else event_type || '-x! ' || event_id end"), F.lit("MyExtractor"), F.col("event_type")).alias("code"))
 )
@@ -296,17 +297,25 @@ o as (select *, row_number() over (partition by split_part(leaf_id, '.', 1), pat
 r as (select capability_id, leaf_id, 0 as pos, 'exact' as relation from c join (select distinct leaf_id from l) on capability_id = leaf_id union all select capability_id, x, 1, 'folded_leaf' from c, unnest(folded) u(x) where x in (select leaf_id from l)
 union all select capability_id, leaf_id, 2, 'owner_match' from c join o on o.path = c.path and split_part(leaf_id, '.', 1) = split_part(capability_id, '.', 1) and rank <= 12)
 select capability_id, leaf_id, arg_min(relation, pos) as relation from r group by all""")(
-    lambda s, d: L.capability_leaves(
-        D.table(s, d, "part").where("p_partkey < 80").select(F.expr("'S' || (p_partkey % 80) || '.run'").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.array(F.expr("'S' || (p_partkey % 33) || '.load'")).alias("folded_leaves")),
-        D.table(s, d, "part").where("p_partkey < 900").select(F.expr("'S' || (p_partkey % 90) || case p_partkey % 3 when 0 then '.run' when 1 then '.load' else '.x' || p_partkey end").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.col("p_partkey").alias("ord")),
-    ).select("capability_id", "leaf_id", "relation")
+    lambda s, d: _leaf_rows(s, d, "p_partkey < 80", "p_partkey < 900")
 )
 
 
-def _link_rows(s, d):
+def _leaf_rows(s, d, caps="true", leaves="true"):
+    return L.capability_leaves(
+        D.table(s, d, "part").where(caps).select(F.expr("'S' || (p_partkey % 80) || '.run'").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.array(F.expr("'S' || (p_partkey % 33) || '.load'")).alias("folded_leaves")),
+        D.table(s, d, "part").where(leaves).select(F.expr("'S' || (p_partkey % 90) || case p_partkey % 3 when 0 then '.run' when 1 then '.load' else '.x' || p_partkey end").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.col("p_partkey").alias("ord")),
+    ).select("capability_id", "leaf_id", "relation")
+
+
+# queries named _all take whole tables; those whose SQL is a cross product have none, and tests hold them against it on small tables
+query("j6_capability_leaves_all")(lambda s, d: _leaf_rows(s, d))
+
+
+def _link_rows(s, d, whole=False):
     k = D.table(s, d, "part")
-    caps = k.where("p_partkey % 4 = 0").select(F.expr("'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey").alias("node_id"), F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'").alias("source_path"), F.expr("case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end").alias("category"))
-    run = k.where("p_partkey % 31 = 0").select(F.expr("'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4)").alias("id"), F.col("p_name").alias("label"), F.array(F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'")).alias("source_paths"), F.expr("case p_partkey % 2 when 0 then 'core' end").alias("category"), F.expr("case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end").alias("handler"))
+    caps = k.where("true" if whole else "p_partkey % 4 = 0").select(F.expr("'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey").alias("node_id"), F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'").alias("source_path"), F.expr("case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end").alias("category"))
+    run = k.where("true" if whole else "p_partkey % 31 = 0").select(F.expr("'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4)").alias("id"), F.col("p_name").alias("label"), F.array(F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'")).alias("source_paths"), F.expr("case p_partkey % 2 when 0 then 'core' end").alias("category"), F.expr("case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end").alias("handler"))
     return run, caps
 
 
@@ -327,12 +336,27 @@ rc as (select runtime_id as rid, capability_id as cid, score from linked where r
 one as (select 'capability' as fv, cid as f, relation, 'leaf' as tv, lid as t, conf::double as conf from cl union all select 'runtime', rid, 'runtime_capability', 'capability', cid, {_CONF.format("score / 100.0")} from rc union all select 'runtime', rid, 'runtime_leaf_derived', 'leaf', lid, conf from rl),
 links as (select * from one union all select tv, t, relation, fv, f, conf from one)"""
 query("j8_runtime_leaves", f"""with {_J7}, cl as (select a.cid, b.cid as lid from (select distinct cid, path from c) a join (select distinct cid, path from c) b on a.cid = b.cid or (a.path = b.path and regexp_replace(a.cid, '\\.[^.]+$', '') = regexp_replace(b.cid, '\\.[^.]+$', '')))
-select runtime_id, lid as leaf_id, max({_CONF.format("score / 120.0")}) as confidence from linked join cl on cl.cid = capability_id group by all""")(lambda s, d: L.runtime_leaves(L.runtime_capabilities(*_link_rows(s, d)), L.capability_leaves(_link_rows(s, d)[1].withColumn("folded_leaves", F.array().cast("array<string>")), _link_rows(s, d)[1].withColumn("ord", F.monotonically_increasing_id()))))
-query("c6_view_map", f"with {_LINKS} select fv || '::' || f || '::' || relation || '::' || tv || '::' || t as id, relation, max(conf) as confidence from links group by all")(lambda s, d: L.view_map(_link_rows(s, d)[0], _link_rows(s, d)[1].withColumn("folded_leaves", F.array().cast("array<string>")), _link_rows(s, d)[1].withColumn("ord", F.xxhash64("node_id"))).select("id", "relation", "confidence"))
+select runtime_id, lid as leaf_id, max({_CONF.format("score / 120.0")}) as confidence from linked join cl on cl.cid = capability_id group by all""")(lambda s, d: _runtime_leaves(s, d))
+query("c6_view_map", f"with {_LINKS} select fv || '::' || f || '::' || relation || '::' || tv || '::' || t as id, relation, max(conf) as confidence from links group by all")(lambda s, d: _view_map(s, d))
+
+
+def _runtime_leaves(s, d, whole=False):
+    run, caps = _link_rows(s, d, whole)
+    return L.runtime_leaves(L.runtime_capabilities(run, caps), L.capability_leaves(caps.withColumn("folded_leaves", F.array().cast("array<string>")), caps.withColumn("ord", F.monotonically_increasing_id())))
+
+
+def _view_map(s, d, whole=False):
+    run, caps = _link_rows(s, d, whole)
+    return L.view_map(run, caps.withColumn("folded_leaves", F.array().cast("array<string>")), caps.withColumn("ord", F.xxhash64("node_id"))).select("id", "relation", "confidence")
+
+
+query("j7_runtime_links_all")(lambda s, d: L.runtime_capabilities(*_link_rows(s, d, True)).select("runtime_id", "capability_id", "score", "rank"))
+query("j8_runtime_leaves_all")(lambda s, d: _runtime_leaves(s, d, True))
+query("c6_view_map_all")(lambda s, d: _view_map(s, d, True))
 
 
-def _view_stats(s, d):
-    run, caps = _link_rows(s, d)
+def _view_stats(s, d, whole=False):
+    run, caps = _link_rows(s, d, whole)
     leaves = caps.withColumn("ord", F.xxhash64("node_id"))
     links = L.view_map(run, caps.withColumn("folded_leaves", F.array().cast("array<string>")), leaves)
     return L.link_stats(links, run.select("id"), caps.select("node_id"), leaves.select("node_id"))
@@ -342,6 +366,7 @@ query("a12_link_stats", f"""with {_LINKS}, n as (select (select count(distinct r
 count(*) filter (fv = 'runtime' and tv = 'capability') as runtime_capability_links, count(*) filter (fv = 'capability' and tv = 'leaf') as capability_leaf_links, count(*) filter (fv = 'runtime' and tv = 'leaf') as runtime_leaf_links,
 count(distinct case when fv = 'runtime' and tv = 'capability' then f end) as runtime_matched, count(distinct case when fv = 'capability' and tv = 'leaf' then f end) as capability_matched, count(distinct case when fv = 'capability' and tv = 'leaf' then t end) as leaf_matched, count(distinct case when fv = 'runtime' and tv = 'leaf' then f end) as end_to_end from (select distinct fv, f, relation, tv, t from links))
 select *, round(runtime_matched / runtime_nodes, 6)::double as runtime_match_rate, round(capability_matched / capability_nodes, 6)::double as capability_leaf_rate, round(leaf_matched / leaf_nodes, 6)::double as leaf_capability_rate, round(end_to_end / runtime_nodes, 6)::double as end_to_end_rate from n""")(_view_stats)
+query("a12_link_stats_all")(lambda s, d: _view_stats(s, d, True))
 _CALLS = "case page_id % 3 when 0 then '/api/items/' || (page_id % 5) || '/run' when 1 then '/api/v1/users' else '/nope/' || page_id end"
 query("j10_match_routes", "select page_id as call_id, case page_id % 3 when 0 then 'r2' else 'r1' end as route_id from pages where page_id % 3 <> 2")(
     lambda s, d: L.match_routes(
@@ -354,14 +379,30 @@ query("j11_frame_node", "select 'Svc3.handle' as node_id, 23 as score")(
 )
 query("u5_token_overlap", """with b as (select item_id, list_distinct(string_split(lower(text), ' ')) as t from benchmark), w as (select doc_id, list_distinct(string_split(lower(text), ' ')) as t from documents where lang = 'de' and n_chars < 300)
 select item_id, doc_id, len(list_intersect(b.t, w.t)) as n from b, w where len(list_intersect(b.t, w.t)) >= 2""")(
-    # words meet by equality and are counted per pair; no pair without a shared word is made
-    lambda s, d: D.table(s, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    .join(D.table(s, d, "documents").where("lang = 'de' and n_chars < 300").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    lambda s, d: _overlap(s, d, "lang = 'de' and n_chars < 300")
 )
+
+
+def _overlap(s, d, bound="true"):
+    # words meet by equality and are counted per pair; no pair without a shared word is made
+    words = lambda t, i: t.select(i, F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    return words(D.table(s, d, "benchmark"), "item_id").join(words(D.table(s, d, "documents").where(bound), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+query("u5_token_overlap_all")(lambda s, d: _overlap(s, d))
 query("c13_stage", "select p_partkey, case p_partkey % 4 when 0 then 'draft_review' when 1 then 'micro_gated' when 2 then 'meso' else 'planning' end as stage from part")(
     lambda s, d: D.table(s, d, "part").withColumn("k", F.col("p_partkey") % 4).select("p_partkey", T.stage_of(F.col("k") == 0, F.lit(False), F.col("k") == 1, F.col("k") == 2, F.lit(False), F.col("k") == 1).alias("stage"))
 )
 query("a18_diagnostic_samples", "with x as (select event_type, list_sort(list(distinct user_id)) as u from events where event_id < 300 group by 1) select event_type, len(u) as n, array_to_string(u[1:5], ', ') || case when len(u) > 5 then ' (+' || (len(u) - 5) || ' more)' else '' end as message from x")(
-    lambda s, d: top_by(D.table(s, d, "events").where("event_id < 300").select("event_type", "user_id").distinct(), ["event_type"], 1 << 30, F.col("user_id")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.col("user_id")))).alias("u"))
-    .select("event_type", "n", F.concat(F.array_join(F.col("u").cast("array<string>"), ", "), F.when(F.col("n") > 5, F.concat(F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")).alias("message"))
+    lambda s, d: _samples(s, d, "event_id < 300")
+)
+
+
+def _samples(s, d, bound="true"):
+    told = top_by(D.table(s, d, "events").where(bound).select("event_type", "user_id").distinct(), ["event_type"], 1 << 30, F.col("user_id")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.col("user_id")))).alias("u"))
+    return told.select("event_type", "n", F.concat(F.array_join(F.col("u").cast("array<string>"), ", "), F.when(F.col("n") > 5, F.concat(F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")).alias("message"))
+
+
+query("a18_diagnostic_samples_all", "with x as (select event_type, list_sort(list(distinct user_id)) as u from events group by 1) select event_type, len(u) as n, array_to_string(u[1:5], ', ') || case when len(u) > 5 then ' (+' || (len(u) - 5) || ' more)' else '' end as message from x")(
+    lambda s, d: _samples(s, d)
 )
