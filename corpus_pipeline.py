@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from topolake.llm import langid, linededup, mixing, pieces, simhash
+from topolake.llm import langid, linededup, mixing, nearcopies, pieces
 from topolake.llm.util import own, stored
 
 #: Below this share of n-grams of its best language a text is in none that we know.
@@ -28,8 +28,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints chain at 3 or fewer bits stays, that of least doc_id."""
-    return simhash.keep_one(docs, shingle=3, radius=3)
+    """Near copies go: fingerprints that chain at 3 or fewer bits, then five-word similarity of 0.8 or more to one that stays."""
+    return nearcopies.keep_one(docs, shingle=5, similarity=0.8, radius=3)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

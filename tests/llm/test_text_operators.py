@@ -132,6 +132,28 @@ def test_simhash_defined_cases(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_pipeline_leaves_no_near_copies(spark, odd, none):
+    """Copies with a few words changed differ in more than 3 bits, but share 0.8 of their five-word shingles."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(4):
+            words = list(base)
+            for at in rng.sample(range(120), 2):
+                words[at] = "changed"
+            rows.append((len(rows), " ".join(words)))
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in rows}
+    near = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, table.unionByName(table.limit(3)), SF).collect()}
+    assert not any(near(a, b) for a, b in combinations(sorted(kept), 2))
+    assert all(i in kept or any(near(i, k) for k in kept if k < i) for i, _ in rows) and len(kept) < len(rows)
+    assert corpus_pipeline.near_dedup(spark, odd, SF).columns == odd.columns and corpus_pipeline.near_dedup(spark, none, SF).count() == 0
+
+
 def test_line_dedup_matches_a_plain_version(spark, docs):
     got = {r["doc_id"]: (r["text"], [(x["start"], x["end"]) for x in r["removed"]]) for r in linededup.remove_repeats(docs).collect()}
     seen = set()

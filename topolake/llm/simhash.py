@@ -252,11 +252,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, thash: b
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["thash", "root"] if thash else []))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents, of each near-duplicate group only the one of least doc_id (then of least text hash)."""
+def firsts(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """(_doc, _thash) of one document of each near-duplicate group, that of least doc_id (then of least text hash)."""
     found = near_duplicates(docs, shingle, radius, thash=True)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("_doc"), F.min("thash").alias("_thash"))
+    return found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("_doc"), F.min("thash").alias("_thash")).drop("root")
+
+
+def only(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents that `first` names, each once."""
     names = docs.columns
     keyed = own(docs, *names).withColumn("_t", F.xxhash64("text"))
-    kept = keyed.join(first.drop("root"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_thash")))
+    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_thash")))
     return kept.dropDuplicates(["_doc", "_t"]).select(*(F.col(f"`{n}`") for n in names))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The documents, of each near-duplicate group only the one of least doc_id (then of least text hash)."""
+    return only(docs, firsts(docs, shingle, radius))
