@@ -185,6 +185,28 @@ def test_line_dedup_catches_passages_in_the_middle_of_lines(spark):
         assert sum(x["end"] - x["start"] for x in got[i]) < 1.15 * len(passage)
 
 
+def test_line_dedup_leaves_short_pieces_from_different_places(spark):
+    """Two segments that repeat, each in another text, are no repeated passage where they first stand together."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
+    rows, joined = [], 0
+    for i in range(40):
+        pieces_of, digests = [], []
+        for k in range(2):
+            words = [word() for _ in range(200)]
+            digest, first, size, n = linededup.units(" ".join(words))
+            at = next(j for j in range(1, n - 1) if 6 <= size[j] < 12)
+            pieces_of.append(words[first[at] : first[at] + size[at]])
+            digests.append(digest[at])
+            rows.append((3 * i + k, " ".join(words)))
+        text = " ".join([word() for _ in range(20)] + pieces_of[0] + pieces_of[1] + [word() for _ in range(20)])
+        digest, _, _, n = linededup.units(text)
+        joined += any((digest[j], digest[j + 1]) == tuple(digests) for j in range(n - 1))
+        rows.append((3 * i + 2, text))
+    assert joined > 5
+    assert all(r["removed"] == [] for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_line_dedup_defined_cases(spark, odd, none):
     out = linededup.remove_repeats(odd)
     got = out.collect()

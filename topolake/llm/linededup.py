@@ -3,9 +3,12 @@
 Units are lines and, inside lines, segments. Words are lower-cased; a segment ends after a word whose hash with the word
 before it is divisible by `segment`, so the same passage is cut at the same words wherever it stands, also in the middle
 of a line; without such a word for LONGEST x `segment` words it ends there. Every unit's digest is grouped over all documents, the occurrence of the earliest rank (doc_id, then the text's
-hash, then the place in the text) stays, and later ones are marked. Removed are marked lines of `line_words` words or
-more, and runs of marked neighbouring segments of `run_words` words or more: a single short segment that two texts share
-by chance is left alone. What remains keeps its characters; the removed spans are given as offsets into the original.
+hash, then the place in the text) stays, and later ones are marked. Neighbouring segments are a unit too, and only a marked
+pair joins two segments to a run, so short pieces from different places make none. Removed are marked lines of `line_words`
+words or more, and runs of `run_words` words or more: a single short segment that two texts share by chance is left alone.
+A run reaches from cut to cut: the words of a passage before its first cut and after its last one stay. What remains keeps its
+characters; the removed spans are given as offsets into the original. Segments too short to be a run or a line alone
+go to no shuffle: a marked pair says of both that they repeat.
 
 Within a batch of documents only the first occurrence of a digest goes on to the shuffle, the later ones are marked at
 once, so a line that a third of all rows share costs one row a batch.
@@ -32,6 +35,7 @@ SEGMENT, RUN_WORDS, LINE_WORDS = 6, 12, 5
 LONGEST = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LINE = np.uint64(0xD6E8FEB86659FD93)
+_PAIR = np.uint64(0xA24BAED4963EE407)
 _LAST = (1 << 63) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Units that one batch gathers before it is cleared of repeats.
@@ -46,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def units(text: str, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(digest, first word, words) per unit in order, and how many are segments: all segments, then lines of more than one."""
+    """(digest, first word, words) per unit in order, and how many are segments: all segments, lines of more than one, pairs of neighbouring segments."""
     lines = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
     lens = np.fromiter((len(x) for x in lines), np.int64, len(lines))
     lens = lens[lens > 0]
@@ -74,20 +78,31 @@ def units(text: str, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np
 
         seg, line = digest(first, size), digest(line_at, lens) ^ _LINE
         many = np.add.reduceat(cut.astype(np.int64), line_at) > 1
-    return np.r_[seg, line[many]], np.r_[first, line_at[many]], np.r_[size, lens[many]], len(seg)
+        two = _mix(_mix(seg[:-1] ^ _PAIR) + seg[1:])
+    return np.r_[seg, line[many], two], np.r_[first, line_at[many], first[:-1]], np.r_[size, lens[many], size[:-1] + size[1:]], len(seg)
+
+
+def deciding(text: str, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(digest, ordinal) of the units that spans() goes by: of the segments only those long enough to be a run or a line alone."""
+    digest, _, size, n_seg = units(text, segment)
+    use = size >= min(line_words, run_words)
+    use[len(size) - max(0, n_seg - 1) :] = True
+    at = np.nonzero(use)[0]
+    return digest[at], at
 
 
 def spans(text: str, marked: set[int], segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int]]:
     """(start, end) of what is removed from a text whose units in `marked` repeat earlier ones."""
     _, first, size, n_seg = units(text, segment)
     n = int(first[n_seg - 1] + size[n_seg - 1]) if n_seg else 0
+    pair = len(size) - max(0, n_seg - 1)  # the pair of segments i and i + 1 is unit pair + i
     drop = np.zeros(n, bool)
     line_of = [i for i, x in enumerate(text.split("\n")) for _ in range(len(_WORD.findall(x)))]
     starts = lambda i: i == 0 or line_of[i - 1] != line_of[i]
     at = 0
     while at < n_seg:
-        end = at
-        while end < n_seg and end in marked:
+        end = at + (at in marked or pair + at in marked)
+        while at < end < n_seg and pair + end - 1 in marked:
             end += 1
         if end > at:
             a, b = int(first[at]), int(first[end - 1] + size[end - 1])
@@ -95,7 +110,7 @@ def spans(text: str, marked: set[int], segment: int = SEGMENT, run_words: int =
             if b - a >= run_words or (whole and b - a >= line_words):
                 drop[a:b] = True
         at = max(end, at + 1)
-    for i in range(n_seg, len(size)):
+    for i in range(n_seg, pair):
         if i in marked and size[i] >= line_words:
             drop[first[i] : first[i] + size[i]] = True
     if not drop.any():
@@ -113,8 +128,8 @@ def spans(text: str, marked: set[int], segment: int = SEGMENT, run_words: int =
     return out
 
 
-def marks(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(doc_id, thash, units): ordinals of the units of each text that have an earlier occurrence somewhere."""
+def marks(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """(doc_id, thash, units): ordinals of the deciding units of each text that have an earlier occurrence somewhere."""
     spark = docs.sparkSession
     keyed = own(docs, "doc_id", "text").where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("thash"), "text")
 
@@ -143,9 +158,9 @@ def marks(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
         for b in it:
             for doc, thash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                d, _, _, _ = units(text.as_py(), segment)
+                d, at = deciding(text.as_py(), segment, run_words, line_words)
                 if len(d):
-                    held.append((d.view(np.int64), np.full(len(d), doc), np.full(len(d), thash), np.arange(len(d), dtype=np.int32)))
+                    held.append((d.view(np.int64), np.full(len(d), doc), np.full(len(d), thash), at.astype(np.int32)))
                     count += len(d)
                 if count >= HELD:
                     yield flush()
@@ -176,7 +191,7 @@ def marks(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
 def remove_repeats(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """The documents with repeats cut out of `text`; `removed` holds (start, end) offsets into the original text."""
     shared_dir(docs.sparkSession)
-    found = marks(docs, segment).select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "_units")
+    found = marks(docs, segment, run_words, line_words).select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "_units")
     names = [c for c in docs.columns if c not in ("removed", "_doc", "_thash", "_units")]
     base = own(docs, *names)
     keyed = base.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_t": F.xxhash64("text")})
