@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,12 +166,13 @@ def _plain_search(rows, asked, k):
     import math
     from collections import Counter
 
-    words = {i: Counter((t or "").lower().split()) for i, t in rows}
+    ascii_words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words = {i: Counter(ascii_words(t)) for i, t in rows}
     n, mean = len(rows), sum(sum(w.values()) for w in words.values()) / len(rows)
     df = Counter(t for w in words.values() for t in w)
     idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
     for q, text in asked:
-        terms = sorted(set((text or "").lower().split()))
+        terms = sorted(set(ascii_words(text)))
         scored = []
         for i, w in words.items():
             dl = sum(w.values())
@@ -183,7 +185,7 @@ def _plain_search(rows, asked, k):
 @pytest.mark.parametrize("shard", [16_384, 37])
 def test_search_is_exact(spark, monkeypatch, shard):
     monkeypatch.setattr(bm25, "SHARD", shard)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [(r[0], r[1]) for r in docs.collect()]
     asked = [r for r in rows if r[0] % 50 == 0]
     got = {}
@@ -195,6 +197,35 @@ def test_search_is_exact(spark, monkeypatch, shard):
         assert [i for _, i, _ in mine] == [i for i, _ in want]
 
 
+def test_search_skips_blocks(spark, monkeypatch):
+    """Blocks whose bound stays under a query's own k-th score are not scored, and the results are those of scoring all."""
+    stops = []
+
+    class Counted(bm25._Shard):
+        def search(self, *a):
+            super().search(*a)
+            stops.append((self.visited, self.passed))
+
+    monkeypatch.setattr(bm25, "BLOCK", 16)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r[0], r[1]) for r in docs.collect()]
+    asked = [r for r in rows if r[0] % 50 == 0]
+    cache: dict = {}
+    every = [bm25.counted(t, cache) for _, t in rows]
+    mean = sum(f.sum() for _, f in every) / len(rows)
+    flat, at = np.unique(np.concatenate([bm25.counted(t, cache)[0] for _, t in asked]), return_inverse=True)
+    size = np.array([len(bm25.counted(t, cache)[0]) for _, t in asked])
+    df = np.array([sum(n) for n in zip(*(np.isin(flat, h) for h, _ in every), strict=True)])
+    idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
+    scores, found = np.zeros((len(asked), 10)), np.full((len(asked), 10), bm25._LAST)
+    for row in bm25.build_index(docs).collect():
+        Counted(row.asDict(), flat, idf, mean).search(np.repeat(np.arange(len(asked)), size), at.astype(np.int32), scores, found)
+    visited, passed = np.sum(stops, axis=0)
+    assert 0 < visited < 0.8 * passed
+    for i, (_, want) in enumerate(_plain_search(rows, asked, 10)):
+        assert [d for d in found[i].tolist() if d != bm25._LAST] == [d for d, _ in want]
+
+
 def test_search_ties_over_shards(spark, monkeypatch):
     """Groups of more copies than k, spread over shards of one task whose ids fall: the smallest ids win."""
     monkeypatch.setattr(bm25, "SHARD", 40)
