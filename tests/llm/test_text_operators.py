@@ -222,28 +222,44 @@ def test_pieces_n_best_matches_all_segmentations(spark):
     lattice = pieces.Lattice(open(pieces.MODEL, "rb").read(), 3)
 
     def every(unit, at=0):
+        """(cost, lengths of the pieces from the last one, negated; ids) of all segmentations."""
         if at == len(unit):
-            return [0]
+            return [(0, (), ())]
         out = []
         if unit[at] not in lattice.arcs:
-            out += [lattice.fallback(unit[at])[0] + c for c in every(unit, at + 1)]
+            cost, ids = lattice.fallback(unit[at])
+            out += [(cost + c, (*sizes, -1), (*ids, *x)) for c, sizes, x in every(unit, at + 1)]
         for end in range(at + 1, len(unit) + 1):
             if unit[at:end] in lattice.arcs:
-                out += [lattice.arcs[unit[at:end]][0] + c for c in every(unit, end)]
+                cost, i = lattice.arcs[unit[at:end]]
+                out += [(cost + c, (*sizes, at - end), (i, *x)) for c, sizes, x in every(unit, end)]
         return out
 
     rng = random.Random(1)
     for _ in range(150):
         unit = " " + "".join(rng.choice("thaeino漢x") for _ in range(rng.randint(1, 8)))
         want = sorted(every(unit.replace(" ", pieces.SPACE)))
-        assert [c for c, _ in lattice.segment(unit)] == want[:3]
+        assert lattice.segment(unit) == [(c, ids) for c, _, ids in want[:3]]
         ids, cost, gap = lattice.solve(unit)
-        assert cost == want[0] and (len(want) == 1 or gap == want[1] - want[0])
-    # over several units: sums of one choice each
-    units = [" that", " hat", " none"]
-    sums = sorted(a + b + c for a in every("▁that") for b in every("▁hat") for c in every("▁none"))
-    _, score, gaps = lattice.encode("that hat none")
-    assert len(units) == 3 and [g * pieces.UNIT for g in gaps] == [s - sums[0] for s in sums[1:3]] and -score * pieces.UNIT == sums[0]
+        assert (cost, ids) == (want[0][0], want[0][2]) and (len(want) == 1 or gap == want[1][0] - want[0][0])
+    # whole texts: sums of one choice a unit, ids one after another
+    for text in ["that hat none", "hat", "to the inn", "a 漢 x\nthe", "tin  tin"] + [" ".join("".join(rng.choice("thaeino") for _ in range(rng.randint(1, 5))) for _ in range(3)) for _ in range(20)]:
+        want = [(0, ())]
+        for unit in pieces._UNITS.findall(" " + text):
+            want = sorted(((a + c, (*x, *y)) for a, x in want for c, _, y in every(unit.replace(" ", pieces.SPACE))), key=lambda w: w[0])[:60]
+        got = lattice.encode(text)
+        assert [round(-s * pieces.UNIT) for s, _ in got] == [c for c, _ in want[:3]]
+        least = {c for c, _ in want[:3]}
+        assert {(round(-s * pieces.UNIT), tuple(ids.tolist())) for s, ids in got} <= {w for w in want if w[0] in least}
+        assert len({tuple(ids.tolist()) for _, ids in got}) == len(got) and all(lattice.decode(ids) == text for _, ids in got)
+    table = spark.createDataFrame([(1, "that hat none"), (2, ""), (3, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pieces.encode(table).collect()}
+    assert rows[1]["ids"] == rows[1]["segmentations"][0]["ids"] and len(rows[1]["segmentations"]) == 3
+    assert [len(x["ids"]) for x in rows[2]["segmentations"]] == [0] and rows[3]["segmentations"] is None
+    hashed = {r["doc_id"]: r for r in pieces.encode(table, digest=True).collect()}
+    import hashlib
+
+    assert [x["ids_sha256"] for x in hashed[1]["segmentations"]] == [hashlib.sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() for x in rows[1]["segmentations"]]
 
 
 def test_pieces_round_trip(spark, odd, none, docs):

@@ -45,7 +45,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's best segmentation, what the next two lose, and that its ids decode to its text."""
+    """Every document's three best segmentations, and that the ids of the best decode to its text."""
     return pieces.encode(table(spark, sf_dir, "documents"), nbest=3, digest=True)
 
 
