@@ -50,16 +50,44 @@ def test_warc_files_are_records_of_their_own(spark, pages):
         assert len(block) - 4 == int(re.search(rb"Content-Length: (\d+)", head)[1])
 
 
-def test_warc_chunks(spark, pages):
+def test_warc_chunks(spark, pages, monkeypatch):
     size = 1000
     rows = warc.chunk_table(pages, size).where("page_id = 5").orderBy("chunk_no").collect()
     assert max(len(r["data"]) for r in rows) <= size and b"".join(r["data"] for r in rows).decode() == "é" * 700_000
     assert [r["so_far"] for r in rows][-1] == 1_400_000 and [bool(r["digest"]) for r in rows].count(True) == 1
-    back = warc.read_archives(warc.write_archives(pages, size=size), size=size, data=True).where("page_id = 5").orderBy("chunk_no").collect()
-    assert b"".join(r["data"] for r in back).decode() == "é" * 700_000
+    back = warc.read_chunks(warc.write_archives(pages, size=size), size=size).where("page_id = 5").orderBy("chunk_no").collect()
+    assert max(len(r["data"]) for r in back) <= size and b"".join(r["data"] for r in back).decode() == "é" * 700_000
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_no_cell_holds_a_payload(spark):
+    """Of a payload of thousands of chunks nothing larger than one crosses to Python, on the way in or back."""
+    size = 512
+    html = spark.range(3).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.repeat(F.lit("abcdefghij"), 300_000).alias("html"))
+    table = warc.chunk_table(html, size)
+    most = table.agg(F.max(F.octet_length("data")).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    assert most["most"] == size and most["n"] == 3 * -(-3_000_000 // size)
+    plan = table._jdf.queryExecution().toString()
+    assert "payload" not in plan
+    got = warc.read_chunks(warc.write_archives(html, size=size), size=size)
+    assert got.agg(F.max(F.octet_length("data"))).first()[0] <= size
+    assert got.where("digest is not null").select("so_far").distinct().collect()[0][0] == 3_000_000
+
+
+def test_warc_payloads_that_many_share(spark, monkeypatch):
+    """The same records whether a payload counts as frequent or not."""
+    rows = [(i, None, "" if i % 3 == 0 else f"p{i % 7}") for i in range(200)] + [(None, None, ""), (7, "u", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {}
+    for i, _, h in rows:
+        first[h or ""] = max(first.get(h or "", -1), -1 if i is None else i)
+    want = sorted((-1 if i is None else i, None if i == first[h or ""] else first[h or ""]) for i, _, h in rows)
+    for share in (1, 4, 10_000):
+        monkeypatch.setattr(warc, "SHARE", share)
+        got = warc.read_archives(warc.write_archives(table)).collect()
+        assert sorted((-1 if r["page_id"] is None else r["page_id"], r["refers_to"]) for r in got) == want
+
+
 def test_chat_escape_is_reversible_and_hides_marks():
     rng = random.Random(2)
     alphabet = [*chat.CONTROL, "<", "\\", "|im_end|>", "[", "a", "\n", "/INST]"]

@@ -1,11 +1,13 @@
-"""WARC archives of web pages, written and read as a stream of chunks.
-
-A payload is a run of rows (record, chunk number, bytes) with the digest of all bytes so far; the row of a record's last
-chunk therefore has its length and digest without anyone holding the record. Records of equal payloads of `least` bytes or
-more are one response, that of the largest id, and revisits that refer to it. Archives are gzip members, one a record,
-written chunk by chunk through whatever file system the shared folder is on; each task writes files of its own name, and
+"""WARC archives of web pages, written and read as a table of chunks.
+
+Payloads are cut into rows (record, chunk number, bytes) on the JVM's side, and from there on no row, Arrow cell or buffer
+holds more than a chunk. A pass over a record's consecutive rows carries SHA-1 and length along; its last row has those of
+the whole payload. Records of equal payloads of `least` bytes or more are one response, that of the largest id, and
+revisits that refer to it: for this only ids and digests move. The chunk table is written once to the shared folder. One
+shuffle by record then brings each record's head and chunks together in order, so a writer streams them into a gzip
+member, one a record, through whatever file system the shared folder is on. Each task writes files of its own name, and
 only those that a finished task reports in the manifest are read, so a task that is run again leaves no second copy. The
-manifest gives every record's file, place and length; archives are read back member by member, also in chunks.
+manifest gives every record's file, place and length; archives are read back member by member, as chunk rows again.
 
 Defined results: a null or empty payload is a record of 0 bytes; with `least` over 0 smaller records are all responses;
 rows with the largest id of their payload are responses, also when that id repeats; a null id ranks below all, and a
@@ -21,17 +23,18 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from .util import batches, own, shared_dir, stored
+from .util import batches, cut, own, shared_dir, stored
 
 CHUNK = 1 << 18
 #: Bytes of payload after which a task begins its next archive.
 ARCHIVE_BYTES = 256 << 20
+#: A payload of more than one record in so many is looked up by a broadcast; there are at most so many of them.
+SHARE = 10_000
 _CRLF = b"\r\n"
 _END = _CRLF + _CRLF
 
@@ -40,26 +43,31 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def chunks(payload: bytes, size: int = CHUNK) -> Iterator[tuple[int, memoryview, int, str | None]]:
-    """(number, bytes, length so far, digest at the last chunk) of a payload; an empty one has one empty chunk."""
-    view, sha = memoryview(payload), hashlib.sha1(usedforsecurity=False)
-    for at in range(0, max(1, len(view)), size):
-        part = view[at : at + size]
-        sha.update(part)
-        last = at + size >= len(view)
-        yield at // size, part, at + len(part), base32_sha1(sha.digest()) if last else None
-
-
 def chunk_table(pages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(page_id, chunk_no, data, so_far, digest): the chunked record table; digest is set on a record's last chunk."""
-    schema = pa.schema([("page_id", pa.int64()), ("chunk_no", pa.int32()), ("data", pa.binary()), ("so_far", pa.int64()), ("digest", pa.string())])
+    """(rid, page_id, url, chunk_no, data, so_far, digest): the chunked record table, in the shared folder.
+
+    rid numbers the rows of pages; digest is set on a record's last chunk; an empty payload has one empty chunk.
+    """
+    names = ["rid", "page_id", "url", "chunk_no", "data", "so_far", "digest"]
+    last = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / size)) - 1
+    rows = _payloads(pages).withColumn("rid", F.monotonically_increasing_id()).select("rid", "page_id", "url", "payload", last.cast("int").alias("last"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("chunk_no"))
+    rows = rows.select("rid", "page_id", "url", "chunk_no", F.substring("payload", F.col("chunk_no") * size + 1, F.lit(size)).alias("data"), (F.col("chunk_no") == F.col("last")).alias("is_last"))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ({"page_id": i, "chunk_no": n, "data": bytes(part), "so_far": far, "digest": d} for b in it for i, p in zip(b.column(0).to_pylist(), b.column(1), strict=True) for n, part, far, d in chunks(p.as_buffer(), size))
-        yield from batches(rows, schema, 1000, 8 << 20, lambda r: len(r["data"]))
+    def carry(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, far = hashlib.sha1(usedforsecurity=False), 0
+        for b in it:
+            so_far, digests = [], []
+            for data, ends in zip(b.column(4), b.column(5).to_pylist(), strict=True):
+                sha.update(data.as_buffer())
+                far += len(data.as_buffer())
+                so_far.append(far)
+                digests.append(base32_sha1(sha.digest()) if ends else None)
+                if ends:
+                    sha, far = hashlib.sha1(usedforsecurity=False), 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(so_far, pa.int64()), pa.array(digests, pa.string())], names)
 
     shared_dir(pages.sparkSession)
-    return _payloads(pages).select("page_id", "payload").mapInArrow(run, "page_id long, chunk_no int, data binary, so_far long, digest string")
+    return stored(rows.mapInArrow(carry, "rid long, page_id long, url string, chunk_no int, data binary, so_far long, digest string"), "chunks")
 
 
 def _payloads(pages: DataFrame) -> DataFrame:
@@ -85,55 +93,85 @@ def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder) if ":" in folder else f"file://{folder}")
 
 
+def responses(heads: DataFrame, least: int = 0) -> DataFrame:
+    """heads (rid, page_id, url, bytes, digest) with `first`, the id that a revisit refers to; null for responses.
+
+    Payloads that more than one record in SHARE has are at most SHARE; those few are broadcast, so no key gathers a large
+    part of all rows.
+    """
+    known = heads.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    known = cut(known.select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), "first", "n"))
+    total = heads.count()
+    hot = known.where(F.col("n") * SHARE > total).drop("n")
+    same = lambda a, b: (a["digest"] == b["_digest"]) & (a["bytes"] == b["_bytes"])
+    met = heads.join(F.broadcast(hot.withColumnRenamed("first", "_hot")), (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left").drop("_digest", "_bytes")
+    cold = known.where(F.col("n") * SHARE <= total).drop("n")
+    often = met.where("_hot is not null").withColumnRenamed("_hot", "first")
+    rest = met.where("_hot is null").drop("_hot")
+    every = often.unionByName(rest.join(cold, same(rest, cold), "left").drop("_digest", "_bytes"))
+    return every.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, size: int = CHUNK, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write all pages as records; returns the manifest (file, start, length), a row a record."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     fs, root = _file_system(folder)
     fs.create_dir(root, recursive=True)
-    rows = _payloads(pages).withColumn("thash", F.xxhash64("payload"))
-
-    def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ends = [[c for c in chunks(p.as_buffer(), size)][-1] for p in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([e[2] for e in ends], pa.int64()), pa.array([e[3] for e in ends], pa.string())], ["page_id", "thash", "bytes", "digest"])
-
-    # who is a response: ids and digests move for this, payloads don't
-    sizes = stored(rows.select("page_id", "thash", "payload").mapInArrow(measure, "page_id long, thash long, bytes long, digest string"), "digests")
-    first = sizes.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("first"))
-    later = sizes.join(first, ["digest", "bytes"]).where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-    later = later.select(F.col("page_id").alias("_id"), F.col("thash").alias("_hash"), "first").distinct()
-    every = rows.join(later, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("thash") == F.col("_hash")), "left").select("page_id", "url", "payload", "first")
+    table = chunk_table(pages, size)
+    heads = table.where("digest is not null").select("rid", "page_id", "url", F.col("so_far").alias("bytes"), "digest")
+    heads = responses(heads, least).withColumn("chunk_no", F.lit(-1)).withColumn("data", F.lit(None).cast("binary"))
+    none = lambda kind: F.lit(None).cast(kind)
+    body = table.select("rid", none("long").alias("page_id"), none("string").alias("url"), none("long").alias("bytes"), none("string").alias("digest"), none("long").alias("first"), "chunk_no", "data")
+    # a record's head sorts before its chunks
+    dealt = heads.select(*body.columns).unionByName(body).repartition("rid").sortWithinPartitions("rid", "chunk_no")
 
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
-        out, path, at, held = None, "", 0, 0
+        out, path, at, start, gz, kind, left = None, "", 0, 0, None, "", 0
+        places: list[tuple] = []
+
+        def put(z: bytes) -> None:
+            nonlocal at
+            out.write(z)
+            at += len(z)
+
+        def end() -> None:
+            if gz is not None:
+                if left:
+                    raise ValueError(f"a record in {path} lacks {left} bytes")
+                put(gz.compress(_END))
+                put(gz.flush())
+                places.append((path, start, at - start))
+
         for b in it:
-            places = []
-            for i, url, payload, first_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                if out is None or held >= ARCHIVE_BYTES:
+            cols = [b.column(i).to_pylist() for i in range(1, 7)]
+            for page_id, url, length, digest, first, number, data in zip(*cols, b.column(7), strict=True):
+                if number >= 0:
+                    if kind == "response":
+                        part = data.as_buffer()
+                        put(gz.compress(part))
+                        left -= len(part)
+                    continue
+                end()
+                if out is None or at >= ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
-                    path, at, held = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    path, at = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(path, compression=None)
-                body, start, gz = payload.as_buffer(), at, zlib.compressobj(4, zlib.DEFLATED, 31)
-                for _, _, length, digest in chunks(body, size):
-                    pass
-                parts = list(_head("response" if first_id is None else "revisit", i, url, digest, length, first_id, date))
-                body_parts = (c for _, c, _, _ in chunks(body, size)) if first_id is None else ()
-                for part in chain(parts, body_parts, [_END]):
-                    z = gz.compress(part)
-                    out.write(z)
-                    at += len(z)
-                z = gz.flush()
-                out.write(z)
-                at += len(z)
-                held += length
-                places.append((path, start, at - start))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*places, strict=True) if places else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "start", "length"])
+                start, gz, kind = at, zlib.compressobj(4, zlib.DEFLATED, 31), "response" if first is None else "revisit"
+                left = length if first is None else 0
+                for part in _head(kind, page_id, url, digest, length, first, date):
+                    put(gz.compress(part))
+            if places:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*places, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "start", "length"])
+                places.clear()
+        end()
         if out is not None:
             out.close()
+        if places:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*places, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "start", "length"])
 
-    return stored(every.mapInArrow(write, "file string, start long, length long"), "manifest")
+    return stored(dealt.mapInArrow(write, "file string, start long, length long"), "manifest")
 
 
 def _member(f: pa.NativeFile, start: int, length: int, size: int) -> Iterator[bytes]:
@@ -189,18 +227,16 @@ def _page(urn: str | None) -> int | None:
     return None if value == "null" else int(value)
 
 
-def read_archives(manifest: DataFrame, size: int = CHUNK, data: bool = False) -> DataFrame:
-    """The records of a manifest's archives: (page_id, payload_bytes, payload_digest, record_type, refers_to, url).
+def read_chunks(manifest: DataFrame, size: int = CHUNK, data: bool = True) -> DataFrame:
+    """The chunked record table of a manifest's archives: (page_id, chunk_no, data, so_far, digest, record_type, refers_to, url).
 
-    Lengths and digests of responses are of the payload as read; revisits have none and give their headers'. A response
-    whose digest isn't its header's fails the read. With `data`, the chunked record table (page_id, chunk_no, data, so_far)
-    of the responses instead.
+    Digest is set on a record's last chunk, and so_far counts to it; a revisit has one chunk, without bytes, with its
+    headers' length and digest. A response whose digest isn't its header's fails the read. Without `data` the bytes are null.
     """
     files = manifest.select("file").distinct().count()
     folder = shared_dir(manifest.sparkSession)  # its URI names the file system that the archives' paths are in
     dealt = manifest.repartition(max(1, files), "file").sortWithinPartitions("file", "start")
-    ddl = "page_id long, chunk_no int, data binary, so_far long" if data else "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    schema = pa.schema([("page_id", pa.int64()), ("chunk_no", pa.int32()), ("data", pa.binary()), ("so_far", pa.int64())] if data else [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("chunk_no", pa.int32()), ("data", pa.binary()), ("so_far", pa.int64()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
     def records(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         fs, _ = _file_system(folder)
@@ -212,22 +248,30 @@ def read_archives(manifest: DataFrame, size: int = CHUNK, data: bool = False) ->
                         f.close()
                     path, f = file, fs.open_input_file(file)
                 warc, http, payload = _record(_member(f, start, length, size))
-                page, kind = _page(warc["warc-record-id"]), warc["warc-type"]
-                sha, far = hashlib.sha1(usedforsecurity=False), 0
-                for n, part in enumerate(payload):
+                kind, told, whole = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
+                about = {"page_id": _page(warc["warc-record-id"]), "record_type": kind, "refers_to": _page(warc.get("warc-refers-to")), "url": warc.get("warc-target-uri")}
+                sha, far, held, n = hashlib.sha1(usedforsecurity=False), 0, b"", 0
+                for part in payload:  # a chunk leaves when the next one shows that it isn't the last
+                    if n:
+                        yield about | {"chunk_no": n - 1, "data": held if data else None, "so_far": far, "digest": None}
                     sha.update(part)
-                    far += len(part)
-                    if data:
-                        yield {"page_id": page, "chunk_no": n, "data": part, "so_far": far}
-                digest = warc["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and base32_sha1(sha.digest()) != digest:
+                    far, held, n = far + len(part), part, n + 1
+                if kind == "response" and (base32_sha1(sha.digest()) != told or far != whole):
                     raise ValueError(f"record {warc['warc-record-id']} isn't what its digest says")
-                if not data:
-                    yield {"page_id": page, "payload_bytes": far if kind == "response" else int(http["content-length"]), "payload_digest": digest, "record_type": kind, "refers_to": _page(warc.get("warc-refers-to")), "url": warc.get("warc-target-uri")}
+                yield about | {"chunk_no": max(0, n - 1), "data": held if data else None, "so_far": whole, "digest": told}
         if f is not None:
             f.close()
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches(records(it), schema, 2000, 8 << 20, (lambda r: len(r["data"])) if data else None)
 
-    return dealt.mapInArrow(read, ddl)
+    return dealt.mapInArrow(read, "page_id long, chunk_no int, data binary, so_far long, digest string, record_type string, refers_to long, url string")
+
+
+def read_archives(manifest: DataFrame, size: int = CHUNK) -> DataFrame:
+    """A row a record of a manifest's archives: (page_id, payload_bytes, payload_digest, record_type, refers_to, url).
+
+    Lengths and digests are those carried to each record's last chunk.
+    """
+    last = read_chunks(manifest, size, data=False).where("digest is not null")
+    return last.select("page_id", F.col("so_far").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url")
