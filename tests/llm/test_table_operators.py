@@ -123,6 +123,58 @@ def test_chat_long_turns_leave_in_pieces(spark, monkeypatch):
     assert r["n_turns"] == 3 and r["loss_chars"] == 200
 
 
+def test_chat_defined_cases(spark):
+    """Nulls, ties, repeats, clashing columns, an empty table, and logs with every kind of event, against plain turns."""
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([0, 1, 2, None]), rng.choice(["user", "assistant", "a\nb", None]), rng.choice(["", None, "hi <|im_end|> there", "x" * 40, "é漢"])) for _ in range(300)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit("clash"), "message": F.lit(1), "kind": F.lit(None).cast("string"), "rn": F.lit(7), "piece": F.lit(0)})
+    log = chat.events_of(table)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate", "retract", "end"}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_events(log.withColumn("mask", F.lit(0)))).collect()}
+    low = lambda x: (x is not None, x or "")
+    for conv in (1, 2, 3, None):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: ((r[1] is not None, r[1] or 0), low(r[2]), (r[3] or "").encode()))
+        assert got[conv]["n_turns"] == len(mine)
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest()
+        assert got[conv]["loss_sha256"] == hashlib.sha256("".join(r[3] or "" for r in mine if r[2] == "assistant").encode()).hexdigest()
+    assert chat.read_back(chat.format_events(chat.events_of(table.limit(0)))).count() == 0
+
+
+def test_chat_fold_lets_go_of_what_is_done():
+    events = [(1, "a", "start", "user", None), (1, "a", "delta", None, "x"), (1, "b", "start", "user", None), (1, "b", "delta", None, "y"), (1, "b", "end", None, None), (1, "b", "delta", None, "late"), (1, "a", "retract", None, None)]
+    stream = chat.fold(iter([*events, (1, "c", "start", "user", None), (1, "c", "delta", None, "z")]))
+    assert next(stream) == (1, "user", "y") and list(stream) == [(1, "user", "z")]
+    seen = iter([*events, *[(1, "a", "start", "user", "")]])
+    assert next(chat.fold(seen)) == (1, "user", "y") and next(seen)[1] == "a"  # b left before the log went on
+
+
+def test_chat_reads_turns_across_pieces_of_any_size():
+    turns = [("user", "a<|im_end|>b"), ("assistant", ""), ("assistant", "xyz" * 5), ("", "q")]
+    text, spans, at = "", [], 0
+    for role, t in turns:
+        turn, loss = chat.render(role, t)
+        spans += [(len(text) + loss[0], len(text) + loss[1])] if loss else []
+        text += turn
+    for size in (1, 2, 7, 10, 11, 30, 1000):
+        pieces = [(9, text[i : i + size], [{"start": max(s - i, 0), "end": min(e - i, size)} for s, e in spans if s < i + size and e > i or s == e and i <= s < i + size]) for i in range(0, len(text), size)]
+        got = list(chat.turns_of(pieces))
+        assert [(r, t) for _, r, t, _, _ in got] == turns and [x for *_, x, _ in got] == [None, "", "xyz" * 5, None]
+    import time
+
+    def took(n):
+        parts = [chat.render("assistant", "word") for _ in range(n)]
+        body, mask, at = "".join(p for p, _ in parts), [], 0
+        for p, (s, e) in parts:
+            mask.append({"start": at + s, "end": at + e})
+            at += len(p)
+        start = time.perf_counter()
+        assert sum(1 for _ in chat.turns_of([(1, body, mask)])) == n
+        return time.perf_counter() - start
+
+    took(2000)
+    assert took(32_000) < 40 * max(took(2000), 0.002)
+
+
 def test_imatch_defined_cases(spark, odd, none):
     got = imatch.with_edits(odd).collect()
     assert len(got) == odd.count()

@@ -2,7 +2,7 @@
 
 A log of events (conv_id, seq, message, kind, role, text) is partitioned by conversation, sorted by sequence and folded:
 `start` opens a message with its role, `delta` appends text, `edit` replaces the text so far, `regenerate` empties it for
-new deltas, `retract` takes the message back. Messages stand in the order they were opened. The folded turns are rendered
+new deltas, `retract` takes the message back, `end` says that nothing more comes. Messages stand in the order they were opened. The folded turns are rendered
 by a template that marks turns, with a loss mask over the assistants' texts.
 
 A turn is <|im_start|>role, a line break, the text, <|im_end|> and a line break. Control strings of this and other common
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -58,13 +59,14 @@ def fold(events: Iterable[tuple]) -> Iterator[tuple]:
     Messages may overlap; one leaves as soon as all that were opened before it have been closed by `end`, or at the end
     of its conversation.
     """
-    conv, open_, order, closed, first = None, {}, [], set(), True
+    conv, open_, closed, first = None, {}, set(), True  # open_ keeps the order in which messages were opened
 
     def flush(all_: bool) -> Iterator[tuple]:
-        while order and (all_ or order[0] in closed):
-            role, parts = open_.pop(order.pop(0))
-            if role is not None:
-                yield conv, role, "".join(parts)
+        while open_ and (all_ or next(iter(open_)) in closed):
+            message = next(iter(open_))
+            closed.discard(message)
+            role, parts = open_.pop(message)
+            yield conv, role, "".join(parts)
 
     for c, message, kind, role, text in events:
         if first or c != conv:
@@ -74,9 +76,8 @@ def fold(events: Iterable[tuple]) -> Iterator[tuple]:
         if kind == "start":
             if message not in open_:
                 open_[message] = (role or "", [])
-                order.append(message)
-        elif message in open_:
-            held_role, parts = open_[message]
+        elif message in open_ and message not in closed:
+            parts = open_[message][1]
             if kind == "delta":
                 parts.append(text or "")
             elif kind == "edit":
@@ -84,7 +85,8 @@ def fold(events: Iterable[tuple]) -> Iterator[tuple]:
             elif kind == "regenerate":
                 parts.clear()
             elif kind == "retract":
-                open_[message] = (None, [])
+                del open_[message]
+                yield from flush(False)
             elif kind == "end":
                 closed.add(message)
                 yield from flush(False)
@@ -148,39 +150,55 @@ def format_events(events: DataFrame) -> DataFrame:
 
 
 def events_of(turns: DataFrame) -> DataFrame:
-    """The log of finished turns (conv_id, turn, role, text): each is opened, streamed in two deltas and ended."""
+    """A log whose fold gives the finished turns (conv_id, turn, role, text) again.
+
+    By a hash of its place a turn is streamed in two deltas, or edited after the first one, or regenerated after it; or
+    another message, which is then retracted, comes before it.
+    """
     base = own(turns, "conv_id", "turn", "role", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     half = F.floor(F.char_length("text") / 2).cast("int")
     none = F.lit(None).cast("string")
-    steps = [("start", F.col("role"), none), ("delta", none, F.left("text", half)), ("delta", none, F.substring("text", half + 1, F.char_length("text"))), ("end", none, none)]
-    log = F.array(*(F.struct((F.col("rn") * 4 + i).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text")) for i, (kind, role, text) in enumerate(steps)))
-    return base.withColumn("rn", rn).select("conv_id", F.col("rn").cast("string").alias("message"), F.explode(log).alias("e")).select("conv_id", "message", "e.*")
+    way, turn, draft = F.pmod(F.xxhash64("conv_id", "rn"), F.lit(4)), F.col("rn").cast("string"), F.concat(F.col("rn").cast("string"), F.lit("x"))
+    begin, rest = F.left("text", half), F.substring("text", half + 1, F.char_length("text"))
+    steps = [
+        (way == 3, draft, "start", F.col("role"), none), (way == 3, draft, "delta", none, begin), (way == 3, draft, "retract", none, none),
+        (F.lit(True), turn, "start", F.col("role"), none), (F.lit(True), turn, "delta", none, begin), (way == 1, turn, "edit", none, F.col("text")), (way == 2, turn, "regenerate", none, none),
+        (way == 2, turn, "delta", none, begin), (way != 1, turn, "delta", none, rest), (F.lit(True), turn, "end", none, none),
+    ]
+    log = F.array(*(F.struct((F.col("rn") * len(steps) + i).alias("seq"), message.alias("message"), F.when(has, F.lit(kind)).alias("kind"), role.alias("role"), text.alias("text")) for i, (has, message, kind, role, text) in enumerate(steps)))
+    return base.withColumn("rn", rn).select("conv_id", F.explode(F.filter(log, lambda e: e["kind"].isNotNull())).alias("e")).select("conv_id", "e.*")
 
 
 def turns_of(pieces: Iterable[tuple]) -> Iterator[tuple]:
-    """(conv_id, role, text, loss text or None, rendered length) of each turn, parsed from pieces (conv_id, text, mask) in order."""
-    conv, buffer, base, spans, first = None, "", 0, [], True
+    """(conv_id, role, text, loss text or None, rendered length) of each turn, parsed from pieces (conv_id, text, mask) in order.
+
+    Every sign is looked at a bounded number of times, also where a piece has thousands of turns or a turn many pieces.
+    """
+    conv, held, size, tail, base, first = None, [], 0, "", 0, True  # held: text that begins a turn and has no end yet, of `size` signs
+    spans: deque[tuple[int, int]] = deque()
     for c, text, mask in pieces:
         if first or c != conv:
-            conv, buffer, base, spans, first = c, "", 0, [], False
-        at = base + len(buffer)
-        buffer += text
-        spans += [(at + m["start"], at + m["end"]) for m in mask]
-        used = 0
+            conv, held, size, tail, base, first = c, [], 0, "", 0, False
+            spans.clear()
+        spans.extend((base + size + m["start"], base + size + m["end"]) for m in mask)
+        seen = tail + text  # a mark may lie across pieces
+        at, tail = seen.find(END), seen[-len(END) :]
+        if at < 0 or at + len(END) == len(seen):
+            held.append(text)
+            size += len(text)
+            continue
+        buffer, used = "".join([*held, text]), 0
         while (end := buffer.find(END, used)) >= 0 and len(buffer) > end + len(END):
             line = buffer.index("\n", used)
             stop = end + len(END) + 1
-            loss, rest = None, []
-            for s, e in spans:
-                if s < base + stop:
-                    loss = (loss or "") + buffer[s - base : e - base]
-                else:
-                    rest.append((s, e))
-            spans = rest
-            yield conv, _role(buffer[used + len(START) : line]), unescape(buffer[line + 1 : end]), None if loss is None else unescape(loss), stop - used
+            loss = []
+            while spans and spans[0][0] < base + stop:
+                s, e = spans.popleft()
+                loss.append(buffer[s - base : e - base])
+            yield conv, _role(buffer[used + len(START) : line]), unescape(buffer[line + 1 : end]), unescape("".join(loss)) if loss else None, stop - used
             used = stop
-        base, buffer = base + used, buffer[used:]
+        base, held, size = base + used, [buffer[used:]], len(buffer) - used
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
