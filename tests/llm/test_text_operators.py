@@ -291,9 +291,80 @@ def test_toxicity_held_out(spark):
     assert (got.toxic[got.y == 1]).mean() > 0.9 and (got.toxic[got.y == 0]).mean() < 0.01
 
 
+def test_ordinal_fit_is_a_maximum():
+    """No small step of a weight or a threshold betters the penalised likelihood, written out row by row."""
+    import math
+
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.7, (150, 4)).astype(float)
+    y = np.digitize(x[:, 0] + 0.5 * x[:, 1] + rng.logistic(0, 0.7, 150), [0.8, 2.0, 3.0])
+    rows, cols = np.nonzero(x)
+    w, t = toxicity.fit_ordinal(rows, cols, x[rows, cols], y, 4, steps=3000, rate=0.02)
+
+    def loss(w, t):
+        below = lambda k, s: 1.0 if k == 3 else 0.0 if k < 0 else 1 / (1 + math.exp(s - t[k]))
+        out = 0.05 / 2 * sum(v * v for v in w)
+        for xi, yi in zip(x, y, strict=True):
+            s = sum(a * b for a, b in zip(xi, w, strict=True))
+            out -= math.log(below(yi, s) - below(yi - 1, s))
+        return out
+
+    best = loss(w, t)
+    for i in range(4):
+        for d in (-0.05, 0.05):
+            assert loss(w + d * np.eye(4)[i], t) > best
+    for i in range(3):
+        for d in (-0.05, 0.05):
+            assert loss(w, t + d * np.eye(3)[i]) > best
+
+
+def test_toxicity_severity_matches_a_plain_version(spark, docs):
+    """Every document's severity, worked out feature by feature from the weights; and more insults are never milder."""
+    import math
+    import re
+
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.train(big, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert len(model.thresholds) >= 2 and (np.diff(model.thresholds) > 0).all()
+
+    def plain(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        s = 0.0
+        for f, w in model.weights.items():
+            n = sum(x.startswith(f[:-1]) for x in words) if f.endswith("*") else words.count(f)
+            s += w * math.log(1 + n)
+        above = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        grades = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+        return sum(g * k for k, g in enumerate(grades)), max(range(len(grades)), key=grades.__getitem__), above[0] >= 0.5
+
+    some = docs.limit(60)
+    got = {r["doc_id"]: r for r in toxicity.score(some, model).collect()}
+    for r in some.collect():
+        severity, grade, toxic = plain(r["text"])
+        assert got[r["doc_id"]]["severity"] == pytest.approx(severity) and (got[r["doc_id"]]["grade"], got[r["doc_id"]]["toxic"]) == (grade, toxic)
+    insult = max((f for f in model.weights if not f.endswith("*")), key=model.weights.get)
+    worse = model.grades([f"the end {insult} " * k for k in range(6)]).sum(axis=1)
+    assert (np.diff(worse) > 0).all() and worse[0] < 0.5 < worse[-1]
+
+
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i} " + ("awful" if i % 5 == 1 else "fine")) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(5)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_docs=200)
+    assert model.weights["awful"] > 0
+    got = toxicity.score(docs, model)
+    assert got.count() == 2000 and got.where("toxic").select("doc_id").distinct().collect()[0][0] == 1
+
+
+def test_grades_come_from_other_documents():
+    y = np.array([0, 1, 1, 1, 1, 1, 1])
+    assert toxicity.grades_of(y, np.array([9.0, 0, 1, 2, 3, 4, 5])).tolist() == [0, 1, 1, 2, 2, 3, 3]
+    assert toxicity.grades_of(y, np.zeros(7)).tolist() == [0, 1, 1, 1, 1, 1, 1]
+
+
 def test_toxicity_defined_cases(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (5, 0), (6, None), (None, 1), (2, 0)], "doc_id long, toxic int")
-    model = toxicity.train(odd, labels, least_z=0.1, least_docs=1)
+    model = toxicity.train(odd, labels, least_z=0.1)
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(none, model).count() == 0
     empty = toxicity.train(odd, labels.limit(0))
     assert {r["toxic"] for r in toxicity.score(odd, empty).collect()} == {False}

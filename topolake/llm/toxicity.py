@@ -4,13 +4,14 @@ A text's features are its words and its words' first 4 and 5 letters (which catc
 ln(1 + occurrences), so one insult counts as much in a long text as in a short one. With thresholds t0 < t1 < ... and one
 weight vector w for all of them, P(grade <= k) = sigmoid(t_k - w.x); expected severity is the sum of P(grade > k).
 
-The model is fitted on at most `max_docs` labelled documents, picked by a hash of doc_id. Of their features those count
-whose share among graded and clean documents differs by `least_z` standard errors or more, at most `max_features`. Labels
-that only say toxic or not are graded by evidence first: a toxic document's occurrences of words that mark toxic documents
-in the sample, cut at their terciles into grades 1, 2 and 3; clean is 0.
+The model is fitted on at most `max_docs` labelled documents, picked by a hash of doc_id. Of their features all those count
+whose share among graded and clean documents differs by `least_z` standard errors or more. Labels that only say toxic or
+not are graded first, by evidence from other documents: the sample is dealt into two folds, the features that mark toxic
+documents in one fold grade the toxic documents of the other by their occurrences, cut at their terciles into grades 1, 2
+and 3; clean is 0. No document's own words choose the marks that grade it.
 
 Defined results: a null or empty text has no features and gets the base rate's severity; null labels are left out; repeated
-rows each get a row; without labels of both kinds every severity is 0; other columns are ignored.
+rows each get a row, and in the sample each count; without labels of both kinds every severity is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .util import own, shared_dir, stored
 
@@ -97,60 +98,82 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndar
     return p[:n_features], np.r_[p[n_features], p[n_features] + np.cumsum(np.exp(p[n_features + 1 :]))]
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", graded: bool = False, max_docs: int = 20_000, max_features: int = 2000, least_z: float = 4.0, least_docs: int = 3) -> Model:
+def grades_of(y: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """Grades 0, 1, 2... of labels 0 and 1: evidence of the toxic ones cut at its terciles, grades without a document closed up."""
+    cuts = np.quantile(evidence[y > 0], [1 / 3, 2 / 3])
+    grade = np.where(y > 0, 1 + (evidence[:, None] > cuts[None, :]).sum(axis=1), 0)
+    return np.searchsorted(np.unique(grade), grade)
+
+
+def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", graded: bool = False, max_docs: int = 20_000, least_z: float = 4.0) -> Model:
     """Fit on documents with a label; `graded` says that `grade` already holds severities 0, 1, 2...
 
     The sample of at most max_docs (doc_id, label) rows is broadcast; all else stays distributed until it is reduced to the
-    chosen features of the sample.
+    chosen features of the sample. Where documents repeat an id, the rows taken are again at most max_docs in expectation.
     """
     shared_dir(docs.sparkSession)
     known = own(labels, "doc_id", grade).where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(grade).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64(F.lit("toxicity"), "_id"), "_id", "y").limit(max_docs)
-    sample = stored(own(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y"), "labelled")
+    met = own(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    if (rows := met.count()) > max_docs:
+        met = met.where(F.pmod(F.xxhash64(F.lit("rows"), "doc_id", "text", "y"), F.lit(1 << 30)) < int((1 << 30) * max_docs / rows))
+    sample = stored(met.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")), "labelled")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            bad, good = Counter(), Counter()
-            for t, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                (bad if y else good).update(features(t).keys())
-            names = list(bad | good)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([bad[f] for f in names], pa.int64()), pa.array([good[f] for f in names], pa.int64())], ["f", "bad", "good"])
-
-    sizes = sample.agg(F.count(F.when(F.col("y") > 0, 1)).alias("bad"), F.count(F.when(F.col("y") == 0, 1)).alias("good")).first()
-    if not sizes["bad"] or not sizes["good"]:
+            seen: dict[tuple[int, bool], Counter] = {(fold, bad): Counter() for fold in (0, 1) for bad in (False, True)}
+            for t, y, fold in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                seen[fold, bool(y)].update(features(t).keys())
+            names = list(set().union(*seen.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[k][f] for f in names], pa.int64()) for k in seen)], ["f", "good0", "bad0", "good1", "bad1"])
+
+    parts = ["good0", "bad0", "good1", "bad1"]
+    n = sample.agg(*(F.count(F.when((F.col("fold") == int(p[-1])) & ((F.col("y") > 0) == (p[:-1] == "bad")), 1)).alias(p) for p in parts)).first()
+    if not n["bad0"] + n["bad1"] or not n["good0"] + n["good1"]:
         return Model({}, np.full(1, 40.0))
-    seen = sample.mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") + F.col("good") >= least_docs)
-    a, b = F.col("bad") / sizes["bad"], F.col("good") / sizes["good"]
-    pool = (F.col("bad") + F.col("good")) / (sizes["bad"] + sizes["good"])
-    z = (a - b) / F.sqrt(pool * (1 - pool) * (1 / sizes["bad"] + 1 / sizes["good"]) + 1e-12)
-    chosen = seen.withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "f").limit(max_features).select("f", "z").collect()
-    index = {r["f"]: i for i, r in enumerate(chosen)}
+
+    def z(folds: tuple[int, ...]) -> Column:
+        bad, good = (sum(n[f"{kind}{k}"] for k in folds) for kind in ("bad", "good"))
+        if not bad or not good:
+            return F.lit(0.0)
+        some, others = (sum(F.col(f"{kind}{k}") for k in folds) for kind in ("bad", "good"))
+        pool = (some + others) / float(bad + good)
+        return (some / bad - others / good) / F.sqrt(pool * (1 - pool) * (1 / bad + 1 / good) + 1e-12)
+
+    seen = sample.mapInArrow(count, "f string, " + ", ".join(f"{p} long" for p in parts)).groupBy("f").agg(*(F.sum(p).alias(p) for p in parts))
+    # mark k grades the documents of fold k by what the other fold shows
+    scored = seen.select("f", z((0, 1)).alias("z"), (z((1,)) >= least_z).alias("mark0"), (z((0,)) >= least_z).alias("mark1"))
+    chosen = scored.where((F.abs("z") >= least_z) | F.col("mark0") | F.col("mark1")).orderBy(F.desc(F.abs("z")), "f").collect()  # of the bounded sample
+    index = {r["f"]: i for i, r in enumerate(r for r in chosen if abs(r["z"]) >= least_z)}
     if not index:
         return Model({}, np.full(1, 40.0))
+    marks = {k: frozenset(r["f"] for r in chosen if r[f"mark{k}"]) for k in (0, 1)}
 
-    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [[(index[f], n) for f, n in features(t).items() if f in index] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([[i for i, _ in g] for g in got], pa.list_(pa.int32())), pa.array([[n for _, n in g] for g in got], pa.list_(pa.int32()))], ["doc_id", "y", "cols", "n"])
-
-    got = sample.mapInArrow(rows, "doc_id long, y int, cols array<int>, n array<int>").orderBy("doc_id", "y").collect()  # at most max_docs rows
+            cols, counts, evidence = [], [], []
+            for t, fold in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                found = features(t)
+                hit = sorted((index[f], k) for f, k in found.items() if f in index)
+                cols.append([i for i, _ in hit])
+                counts.append([k for _, k in hit])
+                evidence.append(sum(k for f, k in found.items() if f in marks[fold]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cols, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(evidence, pa.int64())], ["doc_id", "y", "cols", "n", "evidence"])
+
+    got = sample.select("doc_id", "text", "y", "fold").mapInArrow(rows_of, "doc_id long, y int, cols array<int>, n array<int>, evidence long").orderBy("doc_id", "y", "cols", "n").collect()  # at most max_docs rows
     y = np.array([r["y"] for r in got])
     at = np.repeat(np.arange(len(got)), [len(r["cols"]) for r in got])
     cols = np.array([c for r in got for c in r["cols"]], np.int64)
-    n = np.array([c for r in got for c in r["n"]], float)
+    values = np.log1p(np.array([c for r in got for c in r["n"]], float))
     if not graded:
-        marks = np.array([r["z"] > 0 for r in chosen])
-        evidence = np.bincount(at, n * marks[cols], len(got))
-        cuts = np.quantile(evidence[y > 0], [1 / 3, 2 / 3])
-        y = np.where(y > 0, 1 + (evidence[:, None] > cuts[None, :]).sum(axis=1), 0)
-        y = np.searchsorted(np.unique(y), y)  # grades without a document close up
-    w, t = fit_ordinal(at, cols, np.log1p(n), y, len(index))
+        y = grades_of((y > 0).astype(int), np.array([r["evidence"] for r in got], float))
+    w, t = fit_ordinal(at, cols, values, y, len(index))
     return Model({f: float(w[i]) for f, i in index.items()}, t)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, severity, p_toxic, grade, toxic) for every document, from its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each chosen feature of the bounded sample
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
