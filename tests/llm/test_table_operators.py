@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from topolake.llm import bm25, chat, imatch, mixing, queries, warc
 
@@ -351,4 +352,4 @@ def test_pipeline_stages(spark, odd):
 
 
 def test_every_operator_has_a_query():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q.startswith("op")} == set(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q.startswith("op")} == set(range(1, 11)) and "pipeline" in __spark_entry__.queries()

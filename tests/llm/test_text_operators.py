@@ -41,12 +41,67 @@ def test_langid_held_out_accuracy(docs):
 
 
 def test_langid_corrects_for_false_yes():
-    table = np.full(langid.SLOTS, 3, np.uint8)  # both languages say yes to everything
+    table = np.full((1, langid.LEAST_SLOTS), 3, np.uint8)  # both languages say yes to everything
     model = langid.Model(["a", "b"], table, np.array([0.9, 0.5]), 4)
     lang, score = model.predict(["some words of text"])
     assert lang == ["a"] and score[0] == 1.0
 
 
+def _plain_grams(text):
+    import re
+
+    norm = " " + re.sub(r" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in text)).strip() + " "
+    return [norm[i : i + 4] for i in range(len(norm) - 3) if " " not in norm[i + 1 : i + 3]]
+
+
+def test_langid_filters_match_plain_sets(docs):
+    """Each n-gram's mask has all languages whose plain sets hold it, and others only as often as the rate that corrects for it."""
+    from collections import Counter
+
+    rows = docs.where("lang is not null and text is not null").select("text", "lang").collect()
+    count = {lang: Counter() for lang in {r["lang"] for r in rows}}
+    for r in rows:
+        count[r["lang"]].update(_plain_grams(r["text"]))
+    count = {lang: {g: n for g, n in c.items() if n >= 3} for lang, c in count.items()}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in count.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    plain = {lang: {g for g, x in r.items() if x >= 0.2 * top[g]} for lang, r in rate.items()}
+    model = langid.train(docs, F.xxhash64("doc_id"), per_lang=10**9)
+    assert model.langs == sorted(plain)
+    every = sorted(top) + sorted({g for r in docs.limit(100).collect() for g in _plain_grams((r["text"] or "")[::-1])} - set(top))
+    hashes = np.array([langid.grams([g.strip()], 4)[0][0 if g[0] == " " else -1 if g[-1] == " " else 1] for g in every])
+    mask = model.masks(hashes)[0]
+    for bit, lang in enumerate(model.langs):
+        says = (mask >> np.uint8(bit)) & 1 == 1
+        held = np.array([g in plain[lang] for g in every])
+        assert says[held].all() and abs(says[~held].mean() - model.chance[bit]) < 0.02
+    # corrected shares come to the plain ones
+    texts = [r["text"] for r in rows[:100]]
+    lang, score = model.predict(texts)
+    for text, got, value in zip(texts, lang, score, strict=True):
+        mine = _plain_grams(text)
+        share = {k: sum(g in plain[k] for g in mine) / max(1, len(mine)) for k in plain}
+        assert got == max(sorted(share), key=share.get) and (len(mine) < 50 or abs(value - share[got]) < 0.06)
+
+
+def test_langid_text_alone_decides():
+    texts = ["abc def.", "", "ghij", "...", "x abc", "word!"]
+    h, owner, letters = langid.grams(texts, 4)
+    for i, t in enumerate(texts):
+        alone, _, n = langid.grams([t], 4)
+        assert h[owner == i].tolist() == alone.tolist() and letters[i] == n[0]
+
+
+def test_langid_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(4)
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + rng.randrange(40)) for _ in range(3))
+    rows = [(100 * i + j, " ".join(word(i) for _ in range(60)) * 3, f"l{i:03}") for i in range(70) for j in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, F.xxhash64("doc_id"), least=1)
+    assert len(model.langs) == 70 and model.table.shape[0] == 2
+    assert langid.identify(table, model).join(table, "doc_id").where("lang <> lang_pred").count() == 0
+
+
 def test_simhash_is_the_bitwise_majority():
     import xxhash
 
@@ -239,7 +294,7 @@ def test_pieces_n_best_matches_all_segmentations(spark):
     for _ in range(150):
         unit = " " + "".join(rng.choice("thaeino漢x") for _ in range(rng.randint(1, 8)))
         want = sorted(every(unit.replace(" ", pieces.SPACE)))
-        assert lattice.segment(unit) == [(c, ids) for c, _, ids in want[:3]]
+        assert lattice.segment(unit, 3) == [(c, ids) for c, _, ids in want[:3]]
         ids, cost, gap = lattice.solve(unit)
         assert (cost, ids) == (want[0][0], want[0][2]) and (len(want) == 1 or gap == want[1][0] - want[0][0])
     # whole texts: sums of one choice a unit, ids one after another

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
-
 from . import bm25, chat, imatch, langid, linededup, mixing, pieces, simhash, toxicity, warc
 from .util import stored, table
 
@@ -40,7 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; held_out marks the fold that training never saw."""
     docs = table(spark, sf_dir, "documents")
-    found = langid.identify(docs, corpus_pipeline.language_model(docs))
+    found = langid.identify(docs, langid.learn(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -85,7 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_mixing": op9_mixing,
     "op10_bm25": op10_bm25,
-    "pipeline": corpus_pipeline.run,
 }
 
 def _imatch_sql() -> str:
