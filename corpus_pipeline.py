@@ -16,14 +16,9 @@ from topolake.llm.util import own, stored
 LEAST_SCORE = 0.3
 
 
-def language_model(docs: DataFrame) -> langid.Model:
-    """Learned outside the held-out fold, on a sample of 1,500 documents a language by a hash of doc_id."""
-    return langid.train(docs.where(~langid.held_out()), F.xxhash64(F.lit("sample"), "doc_id"), per_lang=1500)
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters and texts in no known language go; a null lang is filled in."""
-    found = langid.annotate(docs, language_model(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = langid.annotate(docs, langid.learn(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
