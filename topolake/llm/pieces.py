@@ -135,7 +135,7 @@ class Lattice:
                 best[j] = cost
         return arcs, best
 
-    def segment(self, unit: str) -> list[tuple[int, tuple[int, ...]]]:
+    def segment(self, unit: str, nbest: int) -> list[tuple[int, tuple[int, ...]]]:
         """(cost, ids) of the N best segmentations of a unit, by A* from the end under the exact forward costs."""
         arcs, best = self.lattice(unit)
         if len(arcs) == 1:
@@ -155,10 +155,10 @@ class Lattice:
                     x, path = path
                     ids += x
                 out.append((g, tuple(ids)))
-                if len(out) == self.nbest:
+                if len(out) == nbest:
                     break
                 continue
-            if pops[pos] >= self.nbest:  # no more than N of the N best pass one position with different ends
+            if pops[pos] >= nbest:  # no more than N of the N best pass one position with different ends
                 continue
             pops[pos] += 1
             for start, _, c, ids in ends[pos]:  # the longest last: of equal ones the newest goes on first
@@ -167,9 +167,32 @@ class Lattice:
         return out
 
     def solve(self, unit: str) -> tuple[tuple[int, ...], int, int]:
-        """(ids, cost, what the second best segmentation loses) of a unit."""
-        found = self.segment(unit)
-        return found[0][1], found[0][0], found[1][0] - found[0][0] if len(found) > 1 else _FAR
+        """(ids, cost, what the second best segmentation loses) of a unit: the same search for the best one.
+
+        Under exact costs the search goes on from its newest entry until that is complete, and the least of all other
+        entries then is the cost of the second best, so of those only the least is kept.
+        """
+        arcs, best = self.lattice(unit)
+        if len(arcs) == 1:
+            return arcs[0][3], arcs[0][2], _FAR
+        pos, at, g, second, total, path = len(best) - 1, len(arcs) - 1, 0, _FAR, best[-1], []
+        while pos:
+            while arcs[at][1] > pos:
+                at -= 1
+            while at >= 0 and arcs[at][1] == pos:
+                start, _, c, ids = arcs[at]
+                f = g + c + best[start]
+                if f == total:  # the longest comes last
+                    if len(path) and path[-1][0] == pos:
+                        second = total
+                        path.pop()
+                    path.append((pos, start, c, ids))
+                elif f < second:
+                    second = f
+                at -= 1
+            _, pos, c, _ = path[-1]
+            g += c
+        return tuple(i for *_, ids in reversed(path) for i in ids), total, second - total if second < _FAR else _FAR
 
     def place(self, unit: str) -> int:
         """Where a unit is kept, in arrays; it is solved if it is new, or taken over from the generation before."""
@@ -199,7 +222,7 @@ class Lattice:
             if loss[at] >= _FAR:
                 break
             loss[at] = _FAR
-            more = self.segment(units[at])
+            more = self.segment(units[at], self.nbest)
             sums = heapq.nsmallest(self.nbest, [(lost + c - more[0][0], (*how, (at, x)) if x is not more[0][1] else how) for lost, how in sums for c, x in more], key=lambda s: s[0])
         out = []
         for lost, how in sums:
