@@ -67,7 +67,7 @@ def chunk_table(pages: DataFrame, size: int = CHUNK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(so_far, pa.int64()), pa.array(digests, pa.string())], names)
 
     shared_dir(pages.sparkSession)
-    return stored(rows.mapInArrow(carry, "rid long, page_id long, url string, chunk_no int, data binary, so_far long, digest string"), "chunks")
+    return stored(rows.mapInArrow(carry, "rid long, page_id long, url string, chunk_no int, data binary, so_far long, digest string"), "chunks", "zstd")
 
 
 def _payloads(pages: DataFrame) -> DataFrame:
