@@ -197,12 +197,34 @@ def test_imatch_edit_and_order(spark):
         assert got[i] == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
 
 
-def test_imatch_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "RANGE_ROWS", 2)
-    monkeypatch.setattr(imatch, "QUANTILES", 8)
+@pytest.mark.parametrize("ways", [2, 8])
+def test_imatch_many_places(spark, monkeypatch, ways):
+    monkeypatch.setattr(imatch, "PLACE_ROWS", 2)
+    monkeypatch.setattr(imatch, "WAYS", ways)
     test_imatch_edit_and_order(spark)
 
 
+def test_imatch_ids_that_cluster_and_repeat(spark, monkeypatch):
+    """A third of the rows without an id and a third of one id, the rest bunched: small places, and every row's next in order."""
+    monkeypatch.setattr(imatch, "PLACE_ROWS", 10)
+    monkeypatch.setattr(imatch, "WAYS", 4)
+    rows = [(None, f"none {i}") for i in range(200)] + [(5, f"five {i}") for i in range(200)] + [(10**12 + i, f"far {i}") for i in range(150)] + [(i, "same") for i in range(6, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in imatch.placed(docs).groupBy("place").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 80
+    got = imatch.neighbours(docs).where("not guest").withColumn("t", F.xxhash64("text")).collect()
+    assert len(got) == len(rows)
+    order = sorted(got, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["t"]))
+    assert [r["following"] for r in order] == [r["text"] for r in order[1:] + order[:1]]
+    assert imatch.with_edits(docs).count() == len(rows)
+
+
+def test_imatch_likeness_of_half_edited_texts(spark):
+    """Half a text's terms gone leaves about a third of the hashes; the next document's are others."""
+    got = imatch.with_edits(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n"), F.avg((F.col("near_edited") > 0).cast("int")).alias("some")).first()
+    assert got["e"] > 0.25 and got["n"] < 0.05 and got["some"] > 0.93
+
+
 def test_mixing_targets_and_bounds(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 400])), rng.choices(["s1", "s2", "s3", "s4", None], [50, 20, 10, 1, 5])[0]) for i in range(3000)]

@@ -3,32 +3,39 @@
 A lexicon keeps the terms within a band of inverse document frequency, idf_low <= ln(N / df) <= idf_high. At least
 N x exp(-idf_high) documents hold each of them, so there are at most exp(idf_high) x the mean number of distinct terms of
 a document: a bound that does not grow with the corpus, and the lexicon is broadcast only while it keeps under it.
-A term's MD5 deals it into each of 16 random subsets, of which those thinned more suit long texts and heavier edits, those
-thinned less short ones: chances 1/32, 1/64, 1/64 and 1/128 in turn. A text's distinct lexicon terms are
-sorted, and each subset's share of them is hashed; the fingerprint is all these hashes. The likeness of two fingerprints is
-the share of subsets whose hashes agree. A subset without terms hashes the whole text, so equal texts have equal
-fingerprints and different ones without common terms don't look alike.
+
+There are 16 families of random lexicon subsets. A term's SHA-256 gives it a level in each: level j or more with chance
+2^-j, so the terms of level j or more are a random subset of the lexicon, nested in those before it. A text takes from each
+family the sparsest subset that still holds one of its terms, sorts its distinct terms there and hashes them; so short
+texts and long ones, of common languages and rare ones, come to a term or two a hash, which an edit elsewhere leaves as they
+are. The fingerprint is all 16 hashes, and the likeness of two fingerprints the share of them that agree. A text without
+lexicon terms hashes whole, so equal texts have equal fingerprints and different ones without common terms don't look alike.
+
+Neighbours by doc_id meet in places: ranges of doc_id between measured quantiles, taken level by level, and ranges of a
+text hash where one doc_id (or none) has many rows. One shuffle brings a place's texts together, with the first row of the
+next place; everything after it, edits, both fingerprints and likeness, stays in that partition.
 
 Terms are the lower-cased runs of signs other than white space. Defined results: a null text counts as empty; an
 empty text has the fingerprint of no terms; the edited text of a document takes the first code points of the next one
-(descending doc_id, null last, equal ones by text; after the last the first); a table of one row edits itself with itself;
+(descending doc_id, null last, equal ones by a hash of the text; after the last the first); a table of one row edits itself with itself;
 repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .util import SPACE, cut, own, stored
+from .util import SPACE, cut, own
 
-SUBSETS, THIN = 16, (32, 64, 64, 128)
-IDF_LOW, IDF_HIGH = 1.0, 4.0
-#: The most rows that are broadcast (about 40 bytes each); a larger lexicon joins by a shuffle.
-MOST_BROADCAST = 400_000
-#: Neighbours are looked up in ranges of doc_id: QUANTILES of about equal rows, each cut evenly until it holds about so many.
-QUANTILES, RANGE_ROWS = 64, 4000
+SUBSETS = 16
+IDF_LOW, IDF_HIGH = 1.0, 7.0
+#: The most rows that are broadcast (about 50 bytes each); a larger lexicon joins by a shuffle.
+MOST_BROADCAST = 600_000
+#: A place holds about so many rows; ranges are cut into WAYS by quantiles, at most LEVELS times, and places are MOST_PLACES at most.
+PLACE_ROWS, WAYS, LEVELS, MOST_PLACES = 4000, 64, 3, 1 << 18
 
 
 def terms(text: Column) -> Column:
@@ -37,30 +44,33 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> tuple[DataFrame, bool]:
-    """(term, pack) of all terms in the band, and whether it is small enough to broadcast; pack is 44 bits of MD5, 16 of subsets.
+    """(term, head, levels) of all terms in the band, and whether it is small enough to broadcast.
 
-    Counts cover all documents.
+    head is 60 bits of MD5, levels four bits a family. Counts cover all documents.
     """
     n = docs.count()
     low, high = n * math.exp(-idf_high), n * math.exp(-idf_low)
     df = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    md5 = F.md5(F.col("term").cast("binary"))
     value = lambda text: F.conv(text, 16, 10).cast("long")
-    bits = [F.when(value(F.substring(md5, 1 + 2 * k, 2)) < 256 // THIN[k % len(THIN)], 1 << k).otherwise(0) for k in range(SUBSETS)]
-    mask = sum(bits[1:], bits[0]).cast("long")
-    head = value(F.substring(F.md5(F.concat(F.lit("#"), "term").cast("binary")), 1, 11))
-    kept = cut(df.where(F.col("df").between(max(low, 2), high)).select("term", (F.shiftleft(head, 16) + mask).alias("pack")))
+    sha = F.sha2(F.col("term").cast("binary"), 256)
+    levels = [F.shiftleft((16 - F.length(F.bin(value(F.substring(sha, 1 + 4 * k, 4))))).cast("long"), 4 * k) for k in range(SUBSETS)]
+    head = value(F.substring(F.md5(F.col("term").cast("binary")), 1, 15))
+    kept = cut(df.where(F.col("df").between(max(low, 2), high)).select("term", head.alias("head"), reduce(Column.bitwiseOR, levels).alias("levels")))
     return kept, kept.count() <= MOST_BROADCAST
 
 
 def subset_hashes(packs: Column, whole: Column) -> Column:
-    """Fingerprint of a sorted array of packs; `whole` stands in where a subset has none."""
+    """Fingerprint of an array of (head, levels), sorted; `whole` stands in where there is none."""
     def one(k: int) -> Column:
-        mine = F.filter(packs, lambda p: F.shiftright(p, k).bitwiseAND(F.lit(1)) == 1)
-        text = F.when(F.size(mine) == 0, F.concat(F.lit("="), whole)).otherwise(F.concat_ws(",", mine.cast("array<string>")))
-        return F.substring(F.md5(text.cast("binary")), 1, 8)
+        level = lambda p: F.shiftright(p["levels"], 4 * k).bitwiseAND(F.lit(15))
+        top = F.array_max(F.transform(packs, level))
+        mine = F.transform(F.filter(packs, lambda p: level(p) == top), lambda p: p["head"])
+        return F.substring(F.md5(F.concat_ws(",", mine.cast("array<string>")).cast("binary")), 1, 8)
+
+    def bare(k: int) -> Column:
+        return F.substring(F.md5(F.concat(F.lit("="), whole).cast("binary")), 1, 8)
 
-    return F.concat(*(one(k) for k in range(SUBSETS)))
+    return F.when(F.size(packs) == 0, F.concat(*(bare(k) for k in range(SUBSETS)))).otherwise(F.concat(*(one(k) for k in range(SUBSETS))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -69,44 +79,63 @@ def likeness(a: Column, b: Column) -> Column:
     return sum(same[1:], same[0]) / F.lit(float(SUBSETS))
 
 
-def fingerprint(texts: DataFrame, lex: DataFrame, small: bool, *carry: str) -> DataFrame:
-    """(*keys, fingerprint, *carry) of (rid, version, text, *carry); rid and version tell rows apart."""
-    found = texts.select("rid", "version", *carry, F.md5(F.col("text").cast("binary")).alias("whole"), F.posexplode_outer(terms(F.col("text"))).alias("pos", "term"))
-    head = F.coalesce("pos", F.lit(0)) == 0  # what is carried rides on a text's first term only
-    joined = found.join(F.broadcast(lex) if small else lex, "term", "left").where(F.col("pack").isNotNull() | head)
-    slim = joined.select("rid", "version", "pack", *(F.when(head, F.col(c)).alias(c) for c in ("whole", *carry)))
-    packs = slim.groupBy("rid", "version").agg(F.collect_list("pack").alias("packs"), *(F.first(c, ignorenulls=True).alias(c) for c in ("whole", *carry)))
-    return packs.select("rid", "version", *carry, subset_hashes(F.sort_array("packs"), F.col("whole")).alias("fingerprint"))
+def fingerprint(texts: DataFrame, lex: DataFrame, small: bool, keys: tuple[str, ...], *carry: str) -> DataFrame:
+    """(*keys, fingerprint, *carry) of (*keys, text, *carry); the keys tell rows apart."""
+    found = texts.select(*keys, *carry, F.md5(F.col("text").cast("binary")).alias("whole"), F.posexplode_outer(terms(F.col("text"))).alias("pos", "term"))
+    first = F.coalesce("pos", F.lit(0)) == 0  # what is carried rides on a text's first term only
+    joined = found.join(F.broadcast(lex) if small else lex, "term", "left").where(F.col("head").isNotNull() | first)
+    slim = joined.select(*keys, F.when(F.col("head").isNotNull(), F.struct("head", "levels")).alias("pack"), *(F.when(first, F.col(c)).alias(c) for c in ("whole", *carry)))
+    packs = slim.groupBy(*keys).agg(F.sort_array(F.collect_list("pack")).alias("packs"), *(F.first(c, ignorenulls=True).alias(c) for c in ("whole", *carry)))
+    return packs.select(*keys, *carry, subset_hashes(F.col("packs"), F.col("whole")).alias("fingerprint"))
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(rid, next, doc_id, text, following): each row with the text of the next one, by ranges of doc_id.
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, thash, place): rows of a lower place come first in the order of neighbours.
 
-    The first row of each range also visits the range before it, so one shuffle of the texts brings all neighbours together.
+    The tables that rows are looked up in have at most MOST_PLACES rows for ranges and twice as many for places.
     """
     rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 64 * QUANTILES).alias("e"), F.count("doc_id").alias("n")).first()
-    ends = sorted(set(got["e"] or [0]))
-    fine = max(1, -(-got["n"] // (QUANTILES * RANGE_ROWS)))
-    tops = F.array(*(F.lit(e).cast("long") for e in ends))
-    # ranges count from 0 at the highest ids; nulls come last
-    coarse = F.greatest(F.lit(1), F.size(F.filter(tops, lambda e: e <= F.col("doc_id"))))
-    low, high = F.get(tops, coarse - 1), F.coalesce(F.get(tops, coarse), F.lit(ends[-1] + 1))
-    part = F.least(F.lit(fine - 1), F.floor((F.col("doc_id") - low) * F.lit(float(fine)) / F.greatest(high - low, F.lit(1))))
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(ends) * fine)).otherwise((len(ends) - coarse) * fine + (fine - 1 - F.greatest(F.lit(0), part))).cast("long")
-    placed = rows.withColumn("range", place)
-    heads = placed.groupBy("range").agg(F.max("doc_id").alias("_h"))
-    every = Window.orderBy("range")  # over one row a range
-    before = F.coalesce(F.lag("range").over(every), F.max("range").over(Window.partitionBy()))
-    first = cut(heads.select(F.col("range").alias("_r"), "_h", before.alias("_before")))
+    total = rows.agg(F.count("doc_id")).first()[0]
+    size = max(PLACE_ROWS, -(-total // MOST_PLACES))
+    levels = 0
+    while levels < LEVELS and size * WAYS**levels < total:
+        levels += 1
+    ways = min(WAYS, math.ceil((total / size) ** (1 / max(1, levels))))
+    ids, now = rows.select("doc_id").where("doc_id is not null").withColumn("range", F.lit(0).cast("long")), rows.withColumn("range", F.lit(0).cast("long"))
+    for _ in range(levels):  # each range is cut at quantiles of its own rows, and one id that is several of them is a range of its own
+        q = F.col("q")
+        tops = ids.groupBy("range").agg(F.percentile_approx("doc_id", [i / ways for i in range(1, ways)], 20 * ways).alias("q") if ways > 1 else F.array().cast("array<bigint>").alias("q"))
+        tops = cut(tops.select("range", F.array_distinct(q).alias("tops"), F.array_distinct(F.filter(q, lambda x, i: F.get(F.col("q"), i - 1) == x)).alias("often")))
+        past = F.size(F.filter("tops", lambda e: e <= F.col("doc_id"))) + F.size(F.filter("often", lambda e: e < F.col("doc_id")))
+        down = lambda x, tops=tops, past=past: x.join(F.broadcast(tops), "range", "left").withColumn("range", F.col("range") * (2 * WAYS) + F.coalesce(past, F.lit(0))).drop("tops", "often")
+        ids, now = down(ids), down(now)
+    now = now.withColumns({"range": F.when(F.col("doc_id").isNotNull(), F.col("range")).otherwise(-1), "thash": F.xxhash64("text")})
+    # a range of one doc_id is cut by the texts' hashes; places count from the highest range
+    stats = now.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one"))
+    parts = F.when(F.col("one"), F.ceil(F.col("n") / float(size))).otherwise(1)
+    before = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    ranges = cut(stats.select("range", parts.cast("long").alias("parts")).withColumn("base", F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("long")))
+    part = F.least(F.col("parts") - 1, F.floor((F.col("thash") / float(1 << 64) + 0.5) * F.col("parts")))
+    return now.join(F.broadcast(ranges), "range").select("doc_id", "text", "thash", (F.col("base") + part).alias("place"))
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(place, rn, guest, doc_id, text, following): each row with the text of the next one, by place and rn.
+
+    The first row of each place also visits the place before it, as a guest after all of its own.
+    """
+    rows = placed(docs)
+    falling = F.bitwise_not("doc_id")
+    heads = rows.groupBy("place").agg(F.min(F.struct(falling.alias("k"), "thash")).alias("_h"))
+    every = Window.orderBy("place")  # over one row a place
+    before = F.coalesce(F.lag("place").over(every), F.max("place").over(Window.partitionBy()))
+    first = cut(heads.select(F.col("place").alias("_p"), F.col("_h.k").alias("_k"), F.col("_h.thash").alias("_t"), before.alias("_before")))
     small = first.count() <= MOST_BROADCAST
-    guests = placed.join(F.broadcast(first) if small else first, (F.col("range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_h"))).groupBy("range", "_before", "doc_id").agg(F.min("text").alias("text"))
-    both = placed.select("range", "doc_id", "text", F.lit(None).cast("long").alias("of")).unionByName(guests.select(F.col("_before").alias("range"), "doc_id", "text", F.col("range").alias("of")))
-    w = Window.partitionBy("range").orderBy(F.col("of").isNotNull(), F.col("doc_id").desc_nulls_last(), "text")
-    seen = both.withColumns({"rn": F.row_number().over(w), "following": F.lead("text").over(w), "_of": F.lead("of").over(w)}).where("of is null")
-    rid = lambda r, n: F.shiftleft(r, 40) + n
-    nxt = F.when(F.col("_of").isNotNull(), rid(F.col("_of"), F.lit(1))).otherwise(rid(F.col("range"), F.col("rn") + 1))
-    return seen.select(rid(F.col("range"), F.col("rn")).alias("rid"), nxt.alias("next"), "doc_id", "text", "following")
+    guests = rows.join(F.broadcast(first) if small else first, (F.col("place") == F.col("_p")) & falling.eqNullSafe(F.col("_k")) & (F.col("thash") == F.col("_t")))
+    guests = guests.groupBy(F.col("_before").alias("place"), "doc_id", "thash").agg(F.min("text").alias("text"))
+    both = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    w = Window.partitionBy("place").orderBy("guest", F.col("doc_id").desc_nulls_last(), "thash", "text")
+    return both.select("place", F.row_number().over(w).alias("rn"), "guest", "doc_id", "text", F.lead("text").over(w).alias("following"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -119,13 +148,12 @@ def with_edits(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every document."""
     lex, small = lexicon(docs)
     pairs = neighbours(docs).withColumn("edit", edited(F.col("text"), F.col("following")))
-    both = pairs.select("rid", F.explode(F.array(
-        F.struct(F.lit(0).alias("version"), F.col("text").alias("text"), F.struct("doc_id", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256")).alias("about")),
-        F.struct(F.lit(1).alias("version"), F.col("edit").alias("text"), F.lit(None).cast("struct<doc_id:bigint,next:bigint,n_chars:bigint,edited_sha256:string>").alias("about")),
-    )).alias("x")).select("rid", "x.*")
-    prints = fingerprint(both, lex, small, "about").withColumnRenamed("fingerprint", "fp")
+    about = F.struct("guest", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"))
+    none = F.lit(None).cast("struct<guest:boolean,doc_id:bigint,n_chars:bigint,edited_sha256:string>")
+    versions = F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text"), about.alias("about")), F.struct(F.lit(1).alias("version"), F.col("edit").alias("text"), none.alias("about")))
+    both = pairs.select("place", "rn", F.explode(F.filter(versions, lambda v: v["text"].isNotNull())).alias("x")).select("place", "rn", "x.*")
+    prints = fingerprint(both, lex, small, ("place", "rn", "version"), "about").withColumnRenamed("fingerprint", "fp")
     mine = lambda v: F.max(F.when(F.col("version") == v, F.col("fp")))
-    rows = stored(prints.groupBy("rid").agg(mine(0).alias("fingerprint"), mine(1).alias("edited_fingerprint"), F.first("about", ignorenulls=True).alias("about")).select("rid", "about.*", "fingerprint", "edited_fingerprint"), "imatch")
-    after = rows.select(F.col("rid").alias("next"), F.col("fingerprint").alias("_f"))
-    out = rows.join(after, "next")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_f")).alias("near_next"))
+    rows = prints.groupBy("place", "rn").agg(mine(0).alias("fingerprint"), mine(1).alias("edited_fingerprint"), F.first("about", ignorenulls=True).alias("about"))
+    out = rows.withColumn("_next", F.lead("fingerprint").over(Window.partitionBy("place").orderBy("rn"))).where("not about.guest")
+    return out.select("about.doc_id", "about.n_chars", "about.edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
