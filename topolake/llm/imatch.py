@@ -63,8 +63,9 @@ def subset_hashes(packs: Column, whole: Column) -> Column:
     """Fingerprint of an array of (head, levels), sorted; `whole` stands in where there is none."""
     def one(k: int) -> Column:
         level = lambda p: F.shiftright(p["levels"], 4 * k).bitwiseAND(F.lit(15))
-        top = F.array_max(F.transform(packs, level))
-        mine = F.transform(F.filter(packs, lambda p: level(p) == top), lambda p: p["head"])
+        kept = lambda top: F.transform(F.filter(packs, lambda p: level(p) == top), lambda p: p["head"])
+        # the greatest level is bound as an element, else every term would look for it anew
+        mine = F.get(F.transform(F.array(F.array_max(F.transform(packs, level))), kept), 0)
         return F.substring(F.md5(F.concat_ws(",", mine.cast("array<string>")).cast("binary")), 1, 8)
 
     def bare(k: int) -> Column:
