@@ -20,12 +20,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .util import own, shared_dir, stored
+from .util import own, shared_dir, slices, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,18 +49,21 @@ class Model:
     weights: dict[str, float]
     thresholds: np.ndarray
 
+    @cached_property
+    def beginnings(self) -> tuple[frozenset, frozenset]:
+        """The features that are words' first 4 and 5 letters."""
+        return tuple(frozenset(f[:-1] for f in self.weights if f[-1] == "*" and len(f) == k + 1) for k in (4, 5))
+
     def grades(self, texts: list[str | None]) -> np.ndarray:
         """P(grade > k) by text and k."""
-        words = {f: w for f, w in self.weights.items() if f[-1] != "*"}
-        begin = {k: {f[:-1]: w for f, w in self.weights.items() if f[-1] == "*" and len(f) == k + 1} for k in (4, 5)}
-        b4, b5 = begin[4], begin[5]
+        known, (b4, b5) = self.weights, self.beginnings
         s = np.zeros(len(texts))
         for i, t in enumerate(texts):
             if not t:
                 continue
             hit: dict[str, int] = {}
             for w, n in Counter(_WORD.findall(t.lower())).items():
-                if w in words:
+                if w in known:
                     hit[w] = hit.get(w, 0) + n
                 if w[:4] in b4 and len(w) >= 4:
                     hit[w[:4] + "*"] = hit.get(w[:4] + "*", 0) + n
@@ -120,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", graded: bool
     sample = stored(met.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")), "labelled")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             seen: dict[tuple[int, bool], Counter] = {(fold, bad): Counter() for fold in (0, 1) for bad in (False, True)}
             for t, y, fold in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 seen[fold, bool(y)].update(features(t).keys())
@@ -150,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", graded: bool
     marks = {k: frozenset(r["f"] for r in chosen if r[f"mark{k}"]) for k in (0, 1)}
 
     def rows_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             cols, counts, evidence = [], [], []
             for t, fold in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 found = features(t)
@@ -176,7 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each chosen feature of the bounded sample
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             above = shared.value.grades(b.column(1).to_pylist())
             at_least = np.c_[np.ones(len(above)), above, np.zeros(len(above))]
             grade = (at_least[:, :-1] - at_least[:, 1:]).argmax(axis=1)

@@ -50,6 +50,13 @@ def own(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def slices(it: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that what a step makes of one stays small."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 5000, nbytes: int = 0, weigh=None) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most `size` rows, or of about `nbytes` as `weigh` counts a row's bytes."""
     held: list[dict] = []
