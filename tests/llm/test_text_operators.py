@@ -209,20 +209,92 @@ def test_pipeline_leaves_no_near_copies(spark, odd, none):
     assert corpus_pipeline.near_dedup(spark, odd, SF).columns == odd.columns and corpus_pipeline.near_dedup(spark, none, SF).count() == 0
 
 
-def test_line_dedup_matches_a_plain_version(spark, docs):
-    got = {r["doc_id"]: (r["text"], [(x["start"], x["end"]) for x in r["removed"]]) for r in linededup.remove_repeats(docs).collect()}
-    seen = set()
-    for r in docs.orderBy("doc_id").collect():
-        digests = linededup.units(r["text"])[0].tolist()
-        marked = {i for i, d in enumerate(digests) if d in seen or d in digests[:i]}
-        seen.update(digests)
-        spans = linededup.spans(r["text"], marked) if marked else []
-        assert got[r["doc_id"]][1] == spans
-        at, out = 0, []
-        for s, e in spans:
-            out.append(r["text"][at:s])
-            at = e
-        assert got[r["doc_id"]][0] == "".join([*out, r["text"][at:]])
+def _plain_dedup(rows, run_words, line_words):
+    """(text without repeats, spans) by doc_id of (doc_id, text), by the words themselves; only the cuts are the operator's."""
+    import re
+
+    import xxhash
+
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b]) for a, b in words]
+        found = []  # (what it says, first word, words)
+        if words:
+            first, size = linededup.cuts(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in low], np.uint64))
+            found += [((tuple(low[a : a + n]), tuple(low[a + n : a + n + m])), a, n + m) for a, n, m in zip(first, size, size[1:], strict=False)]
+        at = 0
+        for line in text.split("\n"):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if n >= line_words:
+                found.append((tuple(low[at : at + n]), at, n))
+            at += n
+        cover = [0] * (len(words) + 1)  # how many marked units hold the gap between a word and the next
+        gone = [False] * len(words)
+        for what, a, n in found:
+            if what in seen:
+                gone[a : a + n] = [True] * n
+                for i in range(a, a + n - 1):
+                    cover[i] += 1
+            seen.add(what)
+        at, spans = 0, []
+        while at < len(words):
+            end = at + 1
+            while gone[at] and end < len(words) and cover[end - 1]:
+                end += 1
+            if gone[at] and end - at >= run_words:
+                spans.append((at, end))
+            at = end
+        out[doc] = [text[words[a][0] : words[b - 1][1]] for a, b in spans]
+    return out
+
+
+@pytest.mark.parametrize(("run_words", "line_words"), [(20, 5), (1, 1)])
+def test_line_dedup_matches_a_plain_version(spark, docs, run_words, line_words):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] is not None]
+    want = _plain_dedup(rows, run_words, line_words)
+    texts, some = dict(rows), 0
+    for r in linededup.remove_repeats(docs, run_words=run_words, line_words=line_words).collect():
+        whole, at, keep = texts[r["doc_id"]], 0, []
+        squeeze = lambda parts: "".join("".join(parts).split())
+        for x in r["removed"]:
+            keep.append(whole[at : x["start"]])
+            at = x["end"]
+        assert r["text"] == "".join([*keep, whole[at:]])
+        assert squeeze(whole[x["start"] : x["end"]] for x in r["removed"]) == squeeze(want[r["doc_id"]])
+        some += bool(r["removed"])
+    assert some > 5
+
+
+def test_line_dedup_takes_every_repeated_line_if_asked(spark):
+    rows = [(1, "one\ntwo words\nthree of these"), (2, "two words\nelse\nONE"), (3, "else\nother"), (4, "else")]
+    got = {r["doc_id"]: r["text"] for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), run_words=1, line_words=1).collect()}
+    assert got == {1: rows[0][1], 2: "else\n", 3: "other", 4: ""}
+
+
+def test_line_dedup_leaves_short_shared_lines(spark):
+    """A footer of a few words that many share is no passage; it goes where it is a part of one."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
+    rows = [(i, "\n".join([" ".join(word() for _ in range(50)), "all rights of this page are reserved"])) for i in range(20)]
+    again = [(100, "a new start\n" + rows[0][1])]
+    got = {r["doc_id"]: r for r in linededup.remove_repeats(spark.createDataFrame(rows + again, "doc_id long, text string")).collect()}
+    assert all(got[i]["removed"] == [] for i in range(20)) and len(got[100]["text"].split()) < 20
+
+
+def test_line_dedup_finds_a_passage_broken_into_other_lines(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
+    rows, caught = [], []
+    for i in range(20):
+        words = [word() for _ in range(60)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, "\n".join([" ".join(words[:13]), " ".join(words[13:33]), " ".join(words[33:])]))]
+    for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r["doc_id"] % 2:
+            caught.append(len(r["text"].split()))
+        else:
+            assert r["removed"] == []
+    assert sum(n <= 25 for n in caught) >= 18
 
 
 def test_line_dedup_catches_passages_in_the_middle_of_lines(spark):
@@ -241,24 +313,14 @@ def test_line_dedup_catches_passages_in_the_middle_of_lines(spark):
 
 
 def test_line_dedup_leaves_short_pieces_from_different_places(spark):
-    """Two segments that repeat, each in another text, are no repeated passage where they first stand together."""
+    """Two stretches of words that repeat, each in another text, are no repeated passage where they first stand together."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 9)))
-    rows, joined = [], 0
+    rows = []
     for i in range(40):
-        pieces_of, digests = [], []
-        for k in range(2):
-            words = [word() for _ in range(200)]
-            digest, first, size, n = linededup.units(" ".join(words))
-            at = next(j for j in range(1, n - 1) if 6 <= size[j] < 12)
-            pieces_of.append(words[first[at] : first[at] + size[at]])
-            digests.append(digest[at])
-            rows.append((3 * i + k, " ".join(words)))
-        text = " ".join([word() for _ in range(20)] + pieces_of[0] + pieces_of[1] + [word() for _ in range(20)])
-        digest, _, _, n = linededup.units(text)
-        joined += any((digest[j], digest[j + 1]) == tuple(digests) for j in range(n - 1))
-        rows.append((3 * i + 2, text))
-    assert joined > 5
+        texts = [[word() for _ in range(200)] for _ in range(2)]
+        rows += [(3 * i + k, " ".join(words)) for k, words in enumerate(texts)]
+        rows.append((3 * i + 2, " ".join([word() for _ in range(20)] + texts[0][60:78] + texts[1][90:108] + [word() for _ in range(20)])))
     assert all(r["removed"] == [] for r in linededup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
@@ -269,7 +331,8 @@ def test_line_dedup_defined_cases(spark, odd, none):
     assert [r["text"] for r in got if r["doc_id"] == 3] == [None]
     same = [(r["text"], r["removed"]) for r in got if r["doc_id"] == 1]
     assert len(same) == 2 and same[0] == same[1] and same[0][1] == []
-    assert [r["text"] for r in got if r["doc_id"] == 7] == [""]
+    assert all(r["removed"] == [] for r in got if r["doc_id"] == 7)  # 16 words are no passage
+    assert [r["text"] for r in linededup.remove_repeats(odd, run_words=10).where("doc_id = 7").collect()] == [""]
     assert linededup.remove_repeats(none).count() == 0
 
 

@@ -1,14 +1,15 @@
 """Substring dedup by line and segment hashing.
 
-Units are lines and, inside lines, segments. Words are lower-cased; a segment ends after a word whose hash with the word
-before it is divisible by `segment`, so the same passage is cut at the same words wherever it stands, also in the middle
-of a line; without such a word for LONGEST x `segment` words it ends there. Every unit's digest is grouped over all documents, the occurrence of the earliest rank (doc_id, then the text's
-hash, then the place in the text) stays, and later ones are marked. Neighbouring segments are a unit too, and only a marked
-pair joins two segments to a run, so short pieces from different places make none. Removed are marked lines of `line_words`
-words or more, and runs of `run_words` words or more: a single short segment that two texts share by chance is left alone.
-A run reaches from cut to cut: the words of a passage before its first cut and after its last one stay. What remains keeps its
-characters; the removed spans are given as offsets into the original. Segments too short to be a run or a line alone
-go to no shuffle: a marked pair says of both that they repeat.
+Units are lines and pairs of neighbouring segments. Words are lower-cased; a segment ends after a word whose hash with the
+word before it is divisible by `segment`, so the same passage is cut at the same words wherever it stands, in the middle of a
+line or broken into lines elsewhere; without such a word for LONGEST x `segment` words it ends there. Every unit's digest of
+128 bits is grouped over all documents, the occurrence of the earliest rank (doc_id, then the text's hash, then the place in
+the text) stays, and later ones are marked. Marked units that overlap make a run; runs of `run_words` words or more are
+removed. A pair stands for two segments that also stood together where they come from, so short pieces from different places
+make no run, and a short line that many texts share is left alone unless it is part of more; `line_words` and `run_words` of
+1 take every repeated line. A run reaches from cut to cut or from line end to line end: the words of a passage before its
+first cut and after its last one stay. What remains keeps its characters; the removed spans are given as offsets into the
+original.
 
 Within a batch of documents only the first occurrence of a digest goes on to the shuffle, the later ones are marked at
 once, so a line that a third of all rows share costs one row a batch.
@@ -22,20 +23,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .util import own, shared_dir
 
-SEGMENT, RUN_WORDS, LINE_WORDS = 6, 12, 5
+SEGMENT, RUN_WORDS, LINE_WORDS = 6, 20, 5
 #: Without a cut for so many times `segment` words one is forced; a word repeated over and over then makes equal segments.
 LONGEST = 5
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _LINE = np.uint64(0xD6E8FEB86659FD93)
-_PAIR = np.uint64(0xA24BAED4963EE407)
 _LAST = (1 << 63) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Units that one batch gathers before it is cleared of repeats.
@@ -49,119 +50,105 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def units(text: str, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(digest, first word, words) per unit in order, and how many are segments: all segments, lines of more than one, pairs of neighbouring segments."""
+def cuts(word: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of each segment of a text, by its words' hashes."""
+    n = len(word)
+    with np.errstate(over="ignore"):
+        cut = _mix(word * np.uint64(3) + np.r_[np.uint64(0), word[:-1]]) % np.uint64(segment) == 0
+    cut[-1] = True
+    ends = np.nonzero(cut)[0]
+    gaps = np.diff(np.r_[-1, ends])
+    for i in np.nonzero(gaps > LONGEST * segment)[0]:
+        cut[np.arange(ends[i] - gaps[i] + LONGEST * segment, ends[i], LONGEST * segment)] = True
+    first = np.r_[0, np.nonzero(cut)[0] + 1][:-1]
+    return first, np.diff(np.r_[first, n])
+
+
+def units(text: str, segment: int = SEGMENT, line_words: int = LINE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, check, first word, words) per unit: all pairs of neighbouring segments, then lines of `line_words` or more.
+
+    digest and check are two hashes of the same words, 64 bits each.
+    """
     lines = [x.split() for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
     lens = np.fromiter((len(x) for x in lines), np.int64, len(lines))
     lens = lens[lens > 0]
     n = int(lens.sum())
     if not n:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, 0
-    crc = np.fromiter((crc32(w) for x in lines for w in x), np.uint64, n)
-    word = _mix(crc + _STEP)  # words are told apart by 32 bits, units by all of their words
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, n)
+    first, size = cuts(word, segment)
     line_at = np.r_[0, np.cumsum(lens)[:-1]]
+    long = lens >= line_words
+    out = []
     with np.errstate(over="ignore"):
-        pair = _mix(word * np.uint64(3) + np.r_[np.uint64(0), word[:-1]])
-        cut = pair % np.uint64(segment) == 0
-        cut[line_at + lens - 1] = True
-        ends = np.nonzero(cut)[0]
-        gaps = np.diff(np.r_[-1, ends])
-        for i in np.nonzero(gaps > LONGEST * segment)[0]:
-            cut[np.arange(ends[i] - gaps[i] + LONGEST * segment, ends[i], LONGEST * segment)] = True
-        first = np.r_[0, np.nonzero(cut)[0] + 1][:-1]
-        size = np.diff(np.r_[first, n])
-
-        def digest(at: np.ndarray, of: np.ndarray) -> np.ndarray:
-            place = (np.arange(n) - np.repeat(at, of)).astype(np.uint64)
-            return _mix(np.add.reduceat(_mix(word ^ (place * _STEP)), at) + of.astype(np.uint64))
-
-        seg, line = digest(first, size), digest(line_at, lens) ^ _LINE
-        many = np.add.reduceat(cut.astype(np.int64), line_at) > 1
-        two = _mix(_mix(seg[:-1] ^ _PAIR) + seg[1:])
-    return np.r_[seg, line[many], two], np.r_[first, line_at[many], first[:-1]], np.r_[size, lens[many], size[:-1] + size[1:]], len(seg)
-
-
-def deciding(text: str, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, ordinal) of the units that spans() goes by: of the segments only those long enough to be a run or a line alone."""
-    digest, _, size, n_seg = units(text, segment)
-    use = size >= min(line_words, run_words)
-    use[len(size) - max(0, n_seg - 1) :] = True
-    at = np.nonzero(use)[0]
-    return digest[at], at
+        for step in _STEP:
+            def digest(at: np.ndarray, of: np.ndarray, step=step) -> np.ndarray:
+                place = (np.arange(n) - np.repeat(at, of)).astype(np.uint64)
+                return _mix(np.add.reduceat(_mix(word ^ (place * step)), at) + of.astype(np.uint64))
+
+            seg = digest(first, size)
+            out.append(np.r_[_mix(_mix(seg[:-1] ^ step) + seg[1:]), (digest(line_at, lens) ^ _LINE)[long]])
+    return *out, np.r_[first[:-1], line_at[long]], np.r_[size[:-1] + size[1:], lens[long]]
 
 
 def spans(text: str, marked: set[int], segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> list[tuple[int, int]]:
     """(start, end) of what is removed from a text whose units in `marked` repeat earlier ones."""
-    _, first, size, n_seg = units(text, segment)
-    n = int(first[n_seg - 1] + size[n_seg - 1]) if n_seg else 0
-    pair = len(size) - max(0, n_seg - 1)  # the pair of segments i and i + 1 is unit pair + i
-    drop = np.zeros(n, bool)
-    line_of = [i for i, x in enumerate(text.split("\n")) for _ in range(len(_WORD.findall(x)))]
-    starts = lambda i: i == 0 or line_of[i - 1] != line_of[i]
-    at = 0
-    while at < n_seg:
-        end = at + (at in marked or pair + at in marked)
-        while at < end < n_seg and pair + end - 1 in marked:
-            end += 1
-        if end > at:
-            a, b = int(first[at]), int(first[end - 1] + size[end - 1])
-            whole = end == at + 1 and starts(a) and (b == n or starts(b))
-            if b - a >= run_words or (whole and b - a >= line_words):
-                drop[a:b] = True
-        at = max(end, at + 1)
-    for i in range(n_seg, pair):
-        if i in marked and size[i] >= line_words:
-            drop[first[i] : first[i] + size[i]] = True
-    if not drop.any():
+    _, _, first, size = units(text, segment, line_words)
+    some = sorted((int(first[i]), int(first[i] + size[i])) for i in marked)
+    runs: list[list[int]] = []
+    for a, b in some:  # units that overlap belong together, those that only touch don't
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    runs = [r for r in runs if r[1] - r[0] >= run_words]
+    if not runs:
         return []
     words = [m.span() for m in _WORD.finditer(text)]
-    edge = np.diff(np.r_[False, drop, False].astype(np.int8))
-    out = []
-    for a, b in zip(np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], strict=True):
+    starts = lambda i: i == 0 or "\n" in text[words[i - 1][1] : words[i][0]]
+    out: list[tuple[int, int]] = []
+    for a, b in runs:
         end = words[b - 1][1]
-        if starts(a):  # whole lines go with their breaks
-            end = words[b][0] if b < n else len(text)
+        if starts(a) and (b == len(words) or starts(b)):  # whole lines go with their breaks
+            end = words[b][0] if b < len(words) else len(text)
         while end < len(text) and text[end] in " \t":
             end += 1
-        out.append((words[a][0], end))
+        if out and out[-1][1] >= words[a][0]:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((words[a][0], end))
     return out
 
 
-def marks(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """(doc_id, thash, units): ordinals of the deciding units of each text that have an earlier occurrence somewhere."""
+def marks(docs: DataFrame, segment: int = SEGMENT, line_words: int = LINE_WORDS) -> DataFrame:
+    """(doc_id, thash, units): ordinals of the units of each text that have an earlier occurrence somewhere."""
     spark = docs.sparkSession
     keyed = own(docs, "doc_id", "text").where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("thash"), "text")
-
-    def later(digest, doc, thash, ord_) -> tuple[np.ndarray, np.ndarray]:
-        """(order, is it later than another occurrence) with the rows sorted by digest and rank."""
-        order = np.lexsort((ord_, thash, doc, digest))
-        d, k, t, o = digest[order], doc[order], thash[order], ord_[order]
-        same = np.r_[False, d[1:] == d[:-1]]
-        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
-        return order, same & ~((k == k[start]) & (t == t[start]) & (o == o[start]))
-
-    def out(digest, doc, thash, ord_, done) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(digest), pa.array(doc), pa.array(thash), pa.array(ord_), pa.array(done)], ["digest", "doc_id", "thash", "ord", "done"])
+    names = ["digest", "chk", "doc_id", "thash", "ord", "done"]
 
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            digest, doc, thash, ord_ = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, repeated = later(digest, doc, thash, ord_)
-            digest, doc, thash, ord_ = digest[order], doc[order], thash[order], ord_[order]
+            digest, chk, doc, thash, ord_ = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ord_, thash, doc, chk, digest))
+            digest, chk, doc, thash, ord_ = (x[order] for x in (digest, chk, doc, thash, ord_))
+            same = np.r_[False, (digest[1:] == digest[:-1]) & (chk[1:] == chk[:-1])]
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(digest))))
+            repeated = same & ~((doc == doc[start]) & (thash == thash[start]) & (ord_ == ord_[start]))
             with np.errstate(over="ignore"):  # what is known to repeat is dealt out evenly
-                spread = _mix((doc ^ thash).view(np.uint64) + ord_.astype(np.uint64) * _STEP).view(np.int64)
-            return out(np.where(repeated, spread, digest), doc, thash, ord_, repeated)
+                spread = _mix((doc ^ thash).view(np.uint64) + ord_.astype(np.uint64) * _STEP[0]).view(np.int64)
+            cols = (np.where(repeated, spread, digest), np.where(repeated, 0, chk), doc, thash, ord_, repeated)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
 
         for b in it:
             for doc, thash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                d, at = deciding(text.as_py(), segment, run_words, line_words)
-                if len(d):
-                    held.append((d.view(np.int64), np.full(len(d), doc), np.full(len(d), thash), at.astype(np.int32)))
-                    count += len(d)
+                digest, chk, first, _ = units(text.as_py(), segment, line_words)
+                if n := len(first):
+                    held.append((digest.view(np.int64), chk.view(np.int64), np.full(n, doc), np.full(n, thash), np.arange(n, dtype=np.int32)))
+                    count += n
                 if count >= HELD:
                     yield flush()
                     held, count = [], 0
@@ -169,29 +156,29 @@ def marks(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN_WORDS, l
             yield flush()
 
     def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by done, digest and rank: done ones repeat, and so does any but a digest's first; streamed."""
+        """Rows sorted by done, digests and rank: done ones repeat, and so does any but a digest's first; streamed."""
         last = None
         for b in it:
-            digest, doc, thash, ord_, done = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            digest, chk, doc, thash, ord_, done = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             if not len(digest):
                 continue
-            new = np.r_[last is None or digest[0] != last[0], digest[1:] != digest[:-1]]
+            new = np.r_[last is None or (digest[0], chk[0]) != last[:2], (digest[1:] != digest[:-1]) | (chk[1:] != chk[:-1])]
             at = np.maximum.accumulate(np.where(new, np.arange(len(digest)), -1))
-            head = [np.where(at >= 0, x[at], last[i] if last else 0) for i, x in ((1, doc), (2, thash), (3, ord_))]
+            head = [np.where(at >= 0, x[at], last[i] if last else 0) for i, x in ((2, doc), (3, thash), (4, ord_))]
             late = done | ~((doc == head[0]) & (thash == head[1]) & (ord_ == head[2]))
-            last = (digest[-1], head[0][-1], head[1][-1], head[2][-1])
+            last = (digest[-1], chk[-1], head[0][-1], head[1][-1], head[2][-1])
             yield pa.RecordBatch.from_arrays([pa.array(x[late]) for x in (doc, thash, ord_)], ["doc_id", "thash", "ord"])
 
     shared_dir(spark)
-    cols = "digest long, doc_id long, thash long, ord int, done boolean"
-    dealt = keyed.mapInArrow(emit, cols).repartition("digest").sortWithinPartitions("done", "digest", "doc_id", "thash", "ord")
+    cols = "digest long, chk long, doc_id long, thash long, ord int, done boolean"
+    dealt = keyed.mapInArrow(emit, cols).repartition("digest").sortWithinPartitions("done", "digest", "chk", "doc_id", "thash", "ord")
     return dealt.mapInArrow(settle, "doc_id long, thash long, ord int").groupBy("doc_id", "thash").agg(F.collect_set("ord").alias("_units"))
 
 
 def remove_repeats(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """The documents with repeats cut out of `text`; `removed` holds (start, end) offsets into the original text."""
     shared_dir(docs.sparkSession)
-    found = marks(docs, segment, run_words, line_words).select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "_units")
+    found = marks(docs, segment, line_words).select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "_units")
     names = [c for c in docs.columns if c not in ("removed", "_doc", "_thash", "_units")]
     base = own(docs, *names)
     keyed = base.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_t": F.xxhash64("text")})

@@ -48,10 +48,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeats an earlier line or passage in every document: offsets, and what stays."""
+    """Every document without what repeats an earlier passage: the removed offsets, and the text that stays."""
     found = linededup.remove_repeats(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0), lambda n, x: n + x["end"] - x["start"])
-    return found.select("doc_id", F.col("removed"), gone.cast("long").alias("removed_chars"), F.char_length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "text", "removed", gone.cast("long").alias("removed_chars"), F.char_length("text").cast("long").alias("kept_chars"))
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
