@@ -251,6 +251,47 @@ def test_mixing_targets_and_bounds(spark):
         assert abs(by.taken[s] - by["T"][s]) <= 400
 
 
+def test_mixing_rounds_pairs_as_a_plain_pivot_does(spark):
+    """One block's pairs by the pivotal method, written out, with the operator's order and random numbers."""
+    rng = random.Random(8)
+    rows = [(i, "s", rng.randint(1, 60), 1, i, rng.random()) for i in range(40)]
+    now = spark.createDataFrame(rows, "doc_id long, source string, size long, rows long, key long, p double").withColumn("rows", F.lit(40).cast("long"))
+    place, u = F.xxhash64(F.lit(7), F.lit(0), "doc_id", "size"), mixing._uniform(F.lit(8), F.lit(0), F.col("doc_id"), F.col("size"))
+    dealt = now.select("doc_id", "size", "p", place.alias("h"), u.alias("u"), mixing._uniform(F.lit(9), F.col("doc_id"), F.col("size")).alias("last")).orderBy("h").collect()
+    want, held = {}, None
+    for r in dealt:
+        new = {"id": r["doc_id"], "w": r["size"], "p": r["p"], "last": r["last"]}
+        if held is None:
+            held = new
+            continue
+        a, b = held, new
+        mass_up, mass_down = min(a["w"] * (1 - a["p"]), b["w"] * b["p"]), min(a["w"] * a["p"], b["w"] * (1 - b["p"]))
+        moved = mass_up if r["u"] * (mass_up + mass_down) < mass_down else -mass_down
+        a["p"] += moved / a["w"]
+        b["p"] -= moved / b["w"]
+        done, held = (a, b) if min(a["p"], 1 - a["p"]) < 1e-12 else (b, a)
+        want[done["id"]] = round(done["p"])
+    want[held["id"]] = int(held["last"] < held["p"])
+    got = {r["key"]: r["take"] for r in mixing._tree(now, 1, 48, 7).collect()}
+    assert got == want
+
+
+def test_mixing_copies_each_row_its_own_number(spark):
+    """Repeated ids and rows: every row as often as drawn for it, whatever other columns are called, and words as targeted."""
+    rows = [(i, " ".join(["w"] * (3 if k else 7)), "s" if i % 4 else None) for i in range(200) for k in range(2)] + [(5, "w w w", "s")] * 3 + [(900, "", "s"), (901, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit("clash") for n in ("_row", "_of", "_n", "_copy", "key", "size", "copies", "Taken")})
+    out = mixing.copied(docs)
+    assert out.columns == docs.columns
+    words = out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).where("source is null or source = 's'").collect()
+    plan = {r["source"]: r for r in mixing.mix(mixing.sized(docs)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    for r in words:
+        assert abs(r["n"] - plan[r["source"]]["target"]) <= 10
+    times = {}
+    for r in out.collect():
+        times[r["doc_id"], r["text"]] = times.get((r["doc_id"], r["text"]), 0) + 1
+    assert max(times[k] for k in times if k != (5, "w w w")) <= 3 and mixing.copied(docs.limit(0)).count() == 0
+
+
 def test_mixing_keeps_expectation(spark):
     docs = spark.createDataFrame([(i, "a", "s" if i % 2 else "t") for i in range(2000)], "doc_id long, text string, source string")
     got = mixing.mix(mixing.sized(docs), weights=(3, 1)).toPandas()
@@ -357,20 +398,82 @@ def test_search_blocks_of_queries(spark, monkeypatch, odd):
     assert sorted(map(tuple, bm25.search(bm25.build_index(odd), q, k=3).collect()), key=str) == one
 
 
-def test_pipeline_stages(spark, odd):
+def _plain_stages(docs, model):
+    """The first three stages over rows (doc_id, text, lang, source), row by row."""
+    from collections import defaultdict
+    from itertools import combinations
+
+    import xxhash
+    from tests.llm.test_text_operators import _components, _plain_dedup
+
+    langs, scores = model.predict([r["text"] for r in docs])
+    one = [r for r, lang, score in zip(docs, langs, scores, strict=True) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE]
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+
+    def print_of(text):
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams(text)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    one.sort(key=lambda r: r["doc_id"])
+    root = _components([print_of(r["text"]) for r in one], [r["doc_id"] for r in one], 3)
+    kept, sets = [], []
+    for r, least in zip(one, root, strict=True):
+        mine = set(grams(r["text"]))
+        if least == r["doc_id"] and not any(len(mine & x) >= 0.8 * len(mine | x) for x in sets):
+            kept.append(r)
+            sets.append(mine)
+    gone = _plain_dedup([(r["doc_id"], r["text"]) for r in kept], 20, 5)
+    return one, kept, gone
+
+
+def test_pipeline_stages_match_plain_versions(spark):
+    from topolake.llm import langid, pieces
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(9000, "12345 678 !!", None, "s", 12), (9001, "日本語の文章です" * 9, None, "s", 72), (9002, None, "en", "s", None), (9003, docs.first()["text"], None, None, 1)], docs.schema))
+    rows = docs.collect()
+    one, kept, gone = _plain_stages(rows, langid.learn(docs))
     names = docs.columns
-    seen = docs
+    stages = dict(corpus_pipeline.STAGES)
+    first = corpus_pipeline.stored(stages["language ID"](spark, docs, SF), "t1")
+    assert first.columns == names and sorted(r["doc_id"] for r in first.collect()) == [r["doc_id"] for r in one] and len(one) < len(rows)
+    second = corpus_pipeline.stored(stages["SimHash near-dedup"](spark, first, SF), "t2")
+    assert second.columns == names and sorted((r["doc_id"], r["text"]) for r in second.collect()) == sorted((r["doc_id"], r["text"]) for r in kept) and len(kept) < len(one)
+    third = corpus_pipeline.stored(stages["substring dedup"](spark, second, SF), "t3")
+    text = {r["doc_id"]: r["text"] for r in kept}
+    left = {r["doc_id"]: r["text"] for r in third.collect()}
+    for doc, cut in gone.items():
+        want = len("".join(text[doc].split())) - sum(len("".join(x.split())) for x in cut)
+        assert len("".join(left.get(doc, "").split())) == want
+    assert third.where("n_chars <> char_length(text)").count() == 0
+    fourth = corpus_pipeline.stored(stages["mixing"](spark, third, SF), "t4")
+    drawn = {(r["doc_id"], r["copies"]) for r in mixing.mix(mixing.sized(third)).where("copies > 0").collect()}
+    assert {(r["doc_id"], r["count"]) for r in fourth.groupBy("doc_id").count().collect()} == drawn and fourth.columns == names
+    lattice = pieces.Lattice(open(pieces.MODEL, "rb").read(), 3)
+    for r in stages["piece encoding"](spark, fourth, SF).collect():
+        want = lattice.encode(left[r["doc_id"]])
+        assert r["ids"] == want[0][1].tolist() and [x["ids"] for x in r["segmentations"]] == [ids.tolist() for _, ids in want]
+
+
+def test_pipeline_stages_defined_cases(spark, odd, none):
+    """Nulls, repeats, ties and columns of clashing names pass every stage; an empty table gives empty ones."""
+    more = {n: F.lit("clash") for n in ("removed", "Lang_Pred", "_t", "_doc", "_thash", "_units", "_row", "_copy", "root", "node", "key", "copies", "bands")}
+    base = odd.withColumns(more)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, seen, SF)
-        if i < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == names
-        seen = corpus_pipeline.stored(out, "test-stage")
-    assert seen.count() > 0
-    got = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        got = corpus_pipeline.stored(stage(spark, got, SF), "test-odd")
-    assert got.columns[0] == "doc_id"
+        out = corpus_pipeline.stored(stage(spark, base, SF), "odd")
+        assert stage(spark, none, SF).count() == 0
+        if i < 4:
+            assert out.columns == base.columns and out.dtypes == base.dtypes
+            assert {tuple(r[n] for n in (*more, "score", "size", "fp")) for r in out.collect()} <= {tuple(r[n] for n in (*more, "score", "size", "fp")) for r in base.collect()}
+        else:
+            assert out.count() == base.count()
+    got = base
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = corpus_pipeline.stored(stage(spark, got, SF), "odd")
+    assert got.columns == base.columns
 
 
 def test_every_operator_has_a_query():

@@ -161,10 +161,10 @@ def learn(docs: DataFrame) -> Model:
     return train(docs.where(~held_out()), F.xxhash64(F.lit("sample"), "doc_id"), per_lang=1500)
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of the documents, and lang_pred and score from each whole text; columns so named are replaced."""
+def annotate(docs: DataFrame, model: Model, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """All columns of the documents, and the language and score of each whole text; columns so named are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded sample: 8 bytes a slot for each 64 languages
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in (lang_as.lower(), score_as.lower())]
     base = own(docs, *names)
     at_text = names.index("text")
 
@@ -182,10 +182,10 @@ def annotate(docs: DataFrame, model: Model) -> DataFrame:
                 lang += x
                 score.append(y)
                 at = end
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(np.concatenate(score or [np.zeros(0)]))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(np.concatenate(score or [np.zeros(0)]))], [*names, lang_as, score_as])
 
     shared_dir(docs.sparkSession)
-    return base.mapInArrow(run, T.StructType([*base.schema, *T.StructType.fromDDL("lang_pred string, score double")]))
+    return base.mapInArrow(run, T.StructType([*base.schema, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

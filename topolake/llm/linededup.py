@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .util import own, shared_dir
+from .util import fresh, own, shared_dir
 
 SEGMENT, RUN_WORDS, LINE_WORDS = 6, 20, 5
 #: Without a cut for so many times `segment` words one is forced; a word repeated over and over then makes equal segments.
@@ -175,16 +175,17 @@ def marks(docs: DataFrame, segment: int = SEGMENT, line_words: int = LINE_WORDS)
     return dealt.mapInArrow(settle, "doc_id long, thash long, ord int").groupBy("doc_id", "thash").agg(F.collect_set("ord").alias("_units"))
 
 
-def remove_repeats(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS, removed_as: str = "removed") -> DataFrame:
     """The documents with repeats cut out of `text`; `removed` holds (start, end) offsets into the original text."""
     shared_dir(docs.sparkSession)
-    found = marks(docs, segment, line_words).select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "_units")
-    names = [c for c in docs.columns if c not in ("removed", "_doc", "_thash", "_units")]
+    names = [c for c in docs.columns if c.lower() != removed_as.lower()]
     base = own(docs, *names)
-    keyed = base.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_t": F.xxhash64("text")})
-    joined = keyed.join(found, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_thash")), "left").select(*(F.col(f"`{n}`") for n in names), "_units")
+    d, t, doc, thash, marked_as = (fresh(base, x) for x in ("_d", "_t", "_doc", "_thash", "_units"))
+    found = marks(docs, segment, line_words).select(F.col("doc_id").alias(doc), F.col("thash").alias(thash), F.col("_units").alias(marked_as))
+    keyed = base.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), t: F.xxhash64("text")})
+    joined = keyed.join(found, (F.col(d) == F.col(doc)) & (F.col(t) == F.col(thash)), "left").select(*(F.col(f"`{n}`") for n in names), marked_as)
     at_text, at_units = names.index("text"), len(names)
-    schema = T.StructType([*base.schema, *T.StructType.fromDDL("removed array<struct<start:int,end:int>>")])
+    schema = T.StructType([*base.schema, *T.StructType.fromDDL(f"`{removed_as}` array<struct<start:int,end:int>>")])
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -200,6 +201,6 @@ def remove_repeats(docs: DataFrame, segment: int = SEGMENT, run_words: int = RUN
                         at = e
                     texts[i] = "".join([*keep, texts[i][at:]])
             cols = [pa.array(texts, pa.string()) if j == at_text else b.column(j) for j in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, kind)], [*names, "removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, kind)], [*names, removed_as])
 
     return joined.mapInArrow(cut, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .util import cut, own, shared_dir, stored
+from .util import cut, fresh, own, shared_dir, stored
 
 BITS = 64
 SEED = 42
@@ -261,9 +261,10 @@ def firsts(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
 def only(docs: DataFrame, first: DataFrame) -> DataFrame:
     """The documents that `first` names, each once."""
     names = docs.columns
-    keyed = own(docs, *names).withColumn("_t", F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_thash")))
-    return kept.dropDuplicates(["_doc", "_t"]).select(*(F.col(f"`{n}`") for n in names))
+    t, doc, thash = (fresh(docs, x) for x in ("_t", "_doc", "_thash"))
+    keyed, first = own(docs, *names).withColumn(t, F.xxhash64("text")), first.select(F.col("_doc").alias(doc), F.col("_thash").alias(thash))
+    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & F.col(t).eqNullSafe(F.col(thash)))
+    return kept.dropDuplicates([doc, t]).select(*(F.col(f"`{n}`") for n in names))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -50,6 +50,14 @@ def own(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as no column of the frame has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(it: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that what a step makes of one stays small."""
     for b in it:
