@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. A row counts as clean for a stage unless the stage's own
 operator says otherwise, and then passes unchanged.
+
+Defined results: a null or empty text, or one without letters, goes in the language stage, so later stages meet none from
+run(); alone, near-duplicate and mixing stages keep one empty text, the passage stage keeps all, and the encoding has null or no
+ids. Rows that agree in doc_id and text are near copies, and one stays; rows of one doc_id and different texts are rows of
+their own in every stage. A null doc_id is an id like others and ranks last, a null lang is filled in, a null source is a
+source. Ties go to the smaller doc_id, then the smaller hash of the text. Very long texts are taken whole. Extra columns of any
+name pass through unchanged. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from topolake.llm import langid, linededup, mixing, nearcopies, pieces
-from topolake.llm.util import own, stored
+from topolake.llm.util import fresh, stored
 
 #: Below this share of n-grams of its best language a text is in none that we know.
 LEAST_SCORE = 0.3
@@ -18,8 +25,9 @@ LEAST_SCORE = 0.3
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters and texts in no known language go; a null lang is filled in."""
-    found = langid.annotate(docs, langid.learn(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = langid.annotate(docs, langid.learn(docs), lang, score).where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +37,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of lines and passages are cut out; documents of which no word is left go."""
-    cut = linededup.remove_repeats(docs).where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    removed = fresh(docs, "removed")
+    cut = linededup.remove_repeats(docs, removed_as=removed).where((F.size(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, or up to three times."""
-    drawn = mixing.mix(mixing.sized(docs)).groupBy("doc_id", "source", "size").agg(F.first("copies").cast("int").alias("_copies"))
-    drawn = drawn.where("_copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "_copies")
-    names = docs.columns
-    both = own(docs, *names).join(drawn, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{n}`") for n in names))
+    return mixing.copied(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
