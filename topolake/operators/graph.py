@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import runtime_id
-from .shared import cut
+from .shared import cut, spread_top_by
+
+#: Rounds of a loop that one checkpoint covers, and written rounds that are kept apart.
+STEPS, ROUNDS = 4, 16
 
 
 def reach(pairs: DataFrame, starts: DataFrame) -> DataFrame:
     """Distinct (origin, node) reachable from each start over (src, dst) by one step or more; cycles may return to it.
 
-    Every round joins only the newest nodes with the edges and drops what is known.
+    Every round joins only the newest nodes with the edges and drops what is known; each round's rows are written once.
     """
     edges = cut(pairs.select("src", "dst").distinct())
     frontier = starts.select(F.col("node_id").alias("origin"), F.col("node_id").alias("node")).distinct()
-    seen = None
+    seen: list[DataFrame] = []
     while True:
         new = frontier.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            new = new.join(seen, ["origin", "node"], "left_anti")
+        if seen:
+            new = new.join(reduce(DataFrame.unionByName, seen), ["origin", "node"], "left_anti")
         new = cut(new)
         if new.isEmpty():
-            return seen if seen is not None else new
-        seen = new if seen is None else cut(seen.unionByName(new))
+            return reduce(DataFrame.unionByName, seen) if seen else new
+        seen.append(new)
+        if len(seen) >= ROUNDS:  # keeps the plan short
+            seen = [cut(reduce(DataFrame.unionByName, seen))]
         frontier = new
 
 
@@ -60,8 +67,11 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         # colour: each node takes the greatest name that reaches it
         colour = live.select("node_id", F.col("node_id").alias("colour"))
         while True:
-            best = edges.join(colour.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("_to")).agg(F.max("colour").alias("c"))
-            new = cut(colour.join(best, F.col("node_id") == F.col("_to"), "left").select("node_id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), F.col("colour").alias("was")))
+            new = colour.withColumn("was", F.col("colour"))
+            for _ in range(STEPS):
+                best = edges.join(new.select(F.col("node_id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("_to")).agg(F.max("colour").alias("c"))
+                new = new.join(best, F.col("node_id") == F.col("_to"), "left").select("node_id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), "was")
+            new = cut(new)
             changed = not new.where("colour <> was").isEmpty()
             colour = new.drop("was")
             if not changed:
@@ -111,8 +121,11 @@ def levels(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     dag = cut(pairs.join(a, "src").join(b, "dst").where("cs <> cd").select("cs", "cd").distinct())
     level = cut(comp.select("component").distinct().withColumn("level", F.lit(0)))
     while True:
-        up = dag.join(level, dag.cs == level.component).groupBy("cd").agg((F.max("level") + 1).alias("up"))
-        new = cut(level.join(up, level.component == up.cd, "left").select("component", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), F.col("level").alias("was")))
+        new = level.withColumn("was", F.col("level"))
+        for _ in range(STEPS):  # so many rounds to a checkpoint
+            up = dag.join(new, dag.cs == new.component).groupBy("cd").agg((F.max("level") + 1).alias("up"))
+            new = new.join(up, new.component == up.cd, "left").select("component", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), "was")
+        new = cut(new)
         changed = not new.where("level <> was").isEmpty()
         level = new.drop("was")
         if not changed:
@@ -154,15 +167,18 @@ def boundary_hash(bits: Column) -> Column:
 def colours(pairs: DataFrame, base: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node_id, colour) after colour refinement of (node_id, colour) over in- and out-neighbours.
 
-    A round hashes a node's colour with the sorted colours on both sides; it stops when no class splits any more.
+    A round hashes a node's colour with the multiset of colours on either side, as sums of two 60-bit parts of each, so a
+    hub's neighbours are added up where they are; it stops when no class splits any more.
     """
     edges = cut(pairs.select("src", "dst").distinct())
     now = cut(base.select("node_id", F.sha2("colour", 256).alias("colour")))
     classes, done = now.select("colour").distinct().count(), 0
     while rounds is None or done < rounds:
-        out = edges.join(now, edges.dst == now.node_id).groupBy(F.col("src").alias("o")).agg(F.sort_array(F.collect_list("colour")).alias("oc"))
-        in_ = edges.join(now, edges.src == now.node_id).groupBy(F.col("dst").alias("i")).agg(F.sort_array(F.collect_list("colour")).alias("ic"))
-        text = F.concat_ws("|", "colour", F.lit("o"), F.coalesce("oc", F.array().cast("array<string>")), F.lit("i"), F.coalesce("ic", F.array().cast("array<string>")))
+        part = lambda at: F.sum(F.conv(F.substring("colour", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+        sums = F.concat_ws(",", part(1), part(16))
+        out = edges.join(now, edges.dst == now.node_id).groupBy(F.col("src").alias("o")).agg(sums.alias("oc"))
+        in_ = edges.join(now, edges.src == now.node_id).groupBy(F.col("dst").alias("i")).agg(sums.alias("ic"))
+        text = F.concat_ws("|", "colour", F.concat(F.lit("o"), F.coalesce("oc", F.lit(""))), F.concat(F.lit("i"), F.coalesce("ic", F.lit(""))))
         now = cut(now.join(out, now.node_id == out.o, "left").join(in_, F.col("node_id") == in_.i, "left").select("node_id", F.sha2(text, 256).alias("colour")))
         done += 1
         got = now.select("colour").distinct().count()
@@ -248,7 +264,8 @@ def dense_cap(edges: DataFrame, nodes: DataFrame, resource_types: list[str], mos
     """Of each resource with `dense` edges or more only its `most` most confident ones; other edges all stay."""
     resources = nodes.where(F.col("type").isin(resource_types)).select("node_id")
     ends = edges.select("id", "confidence", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id")).join(resources, "node_id", "left_semi")
-    w = Window.partitionBy("node_id")
-    ranked = ends.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "id")))
-    gone = ranked.where((F.col("n") >= dense) & (F.col("r") > most)).select("id").distinct()
+    full = ends.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= dense).select("node_id")
+    ends = ends.join(full, "node_id", "left_semi")
+    kept = spread_top_by(ends, "node_id", most, F.col("id"), F.coalesce("confidence", F.lit(0.0)).desc(), F.col("id"))
+    gone = ends.join(kept.select("node_id", "id"), ["node_id", "id"], "left_anti").select("id").distinct()
     return edges.join(gone, "id", "left_anti")

@@ -142,13 +142,27 @@ def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12
     return first_by(exact.unionByName(folded).unionByName(owned), ["capability_id", "leaf_id"], F.col("pos"))
 
 
+def containing(ids: DataFrame, needles: DataFrame) -> DataFrame:
+    """(capability_id, needle) of ids (capability_id, low) whose low contains the needle (needle), without a cross product.
+
+    A needle's key is the run of min(3, its length) signs that fewest ids have; ids meet it by all runs of that length.
+    """
+    runs = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
+    low, needle = F.col("low"), F.col("needle")
+    held = ids.select("capability_id", "low", F.explode(F.concat(*(runs(low, F.lit(n)) for n in (1, 2, 3)))).alias("run"))
+    often = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    keys = needles.where(F.length(needle) > 0).select("needle", F.explode(runs(needle, F.least(F.lit(3), F.length(needle)))).alias("run")).join(often, "run", "left")
+    best = keys.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("k")).select("needle", F.col("k.run").alias("run"))
+    return held.join(best, "run").where(low.contains(needle)).select("capability_id", "needle")
+
+
 def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int = 35, most: int = 6) -> DataFrame:
     """(runtime_id, capability_id, score, reason, rank): additive scores over paths, category, handler, service and words.
 
     runtime: (id, label, source_paths, category, handler); capabilities: (node_id, source_path, category). Scores need more
     than equal categories (18), so candidates come from equi-joins, of which each signal has one: paths by their last parts,
-    words by equality. Paths fit by whole parts. The substring signals (handler, service) have no key; for those the
-    distinct needles of the runtime side are matched against the ids once and joined back by equality.
+    words by equality. Paths fit by whole parts. For the substring signals (handler, service) ids and needles meet by the
+    needle's rarest run of three signs (fewer in shorter needles), and are then compared.
     """
     r = runtime.select(
         F.col("id").alias("runtime_id"), F.coalesce("source_paths", F.array().cast("array<string>")).alias("paths"), F.lower(F.coalesce(F.when(F.trim("category") != "", F.trim("category")), F.lit("unknown"))).alias("r_cat"),
@@ -179,10 +193,10 @@ def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int
     r_keys = r.select("runtime_id", F.explode(F.flatten(F.transform("paths", r_path))).alias("key")).unionByName(rare(r, "runtime_id", "r_words"))
     c_keys = c.where("path <> ''").select("capability_id", F.explode(c_path(F.col("path"))).alias("key")).unionByName(rare(c, "capability_id", "c_words"))
     met = r_keys.join(c_keys, "key").select("runtime_id", "capability_id")
-    # substring signals: distinct words on either side, matched against each other, then joined back by equality
+    # substring signals: distinct needles and ids, which meet by equal runs of signs
     needles = r.select(F.explode(F.array_compact(F.array(F.when(F.col("handler") != "", F.col("handler")), "svc"))).alias("needle")).distinct()
     ids = c.select("capability_id", F.lower("capability_id").alias("low")).distinct()
-    inside = ids.join(small(needles), F.col("low").contains(F.col("needle"))).select("capability_id", "needle")
+    inside = containing(ids, needles)
     by_word = r.select("runtime_id", F.explode(F.array_compact(F.array(F.when(F.col("handler") != "", F.col("handler")), "svc"))).alias("needle")).join(inside, "needle").select("runtime_id", "capability_id")
     pairs = met.unionByName(by_word).distinct().join(r, "runtime_id").join(c, "capability_id")
 
@@ -211,16 +225,19 @@ def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """(call_id, route_id): the first route of the call's method that shares a variant, else the first that fits by parts.
 
     calls: (call_id, method, path); routes: (route_id, method, path, ord). Exact matches meet by (method, variant), the rest
-    by (method, number of parts).
+    by (method, number of parts, first part), and only those whose first part is a parameter by (method, number of parts).
     """
     c = calls.select("call_id", F.upper("method").alias("method"), X.path_variants(F.col("path")).alias("v"))
     r = routes.select("route_id", F.upper("method").alias("method"), X.path_variants(F.col("path")).alias("rv"), "ord")
     exact = c.select("call_id", "method", F.explode("v").alias("x")).join(r.select("route_id", "method", "ord", F.explode("rv").alias("x")), ["method", "x"]).select("call_id", "route_id", "ord", F.lit(0).alias("step"))
     size = lambda v: F.size(X.segments(v))
     cx, rx = c.select("call_id", "method", F.explode("v").alias("a")).withColumn("n", size(F.col("a"))), r.select("route_id", "method", "ord", F.explode("rv").alias("b")).withColumn("n", size(F.col("b")))
-    # a pair fits only where its first fixed part agrees or one is dynamic, so rows meet by (method, n) of parameter routes only
-    dynamic = rx.where(F.col("b").contains(":param"))
-    loose = cx.where(F.col("a").contains(":param")).join(rx, ["method", "n"]).unionByName(cx.join(dynamic, ["method", "n"])).where(X.paths_match(F.col("a"), F.col("b"))).select("call_id", "route_id", "ord", F.lit(1).alias("step"))
+    first = lambda v: F.get(X.segments(v), F.lit(0))
+    cx, rx = cx.withColumn("p", first(F.col("a"))), rx.withColumn("p", first(F.col("b")))
+    free, key = F.coalesce(F.col("p").contains(":param"), F.lit(True)), ["method", "n"]
+    fixed = cx.where(~free).join(rx.where(~free), [*key, "p"])
+    loose = fixed.drop("p").unionByName(cx.where(free).drop("p").join(rx.drop("p"), key)).unionByName(cx.where(~free).drop("p").join(rx.where(free).drop("p"), key))
+    loose = loose.where(F.col("a").contains(":param") | F.col("b").contains(":param")).where(X.paths_match(F.col("a"), F.col("b"))).select("call_id", "route_id", "ord", F.lit(1).alias("step"))
     return first_by(exact.unionByName(loose), ["call_id"], F.col("step"), F.col("ord")).select("call_id", "route_id")
 
 

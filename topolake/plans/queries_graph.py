@@ -176,10 +176,17 @@ query("g7_partition", f"with {D.TRADE}, {_PART} select array_to_string(p, ',') a
 _BITS = f"{_PART}, q as (select list_reverse(p) as r from part), bits as (select array_to_string(list_transform(range(1, len(r) + 1), lambda i: repeat('0', (r[i] - case when i > 1 then r[i - 1] else 0 end)::int) || '1'), '') as b from q)"
 query("g8_boundary_word", f"with {D.TRADE}, {_BITS} select b as bits from bits")(lambda s, d: _partition(s, d).select(F.array_join(G.boundary_word(F.col("partition")).cast("array<string>"), "").alias("bits")))
 query("g9_boundary_hash", f"with {D.TRADE}, {_BITS} select 'Maya-ID: 0x' || upper(left(sha256('maya:' || length(b) || ':' || b), 8)) as hash from bits")(lambda s, d: _partition(s, d).select(G.boundary_hash(G.boundary_word(F.col("partition"))).alias("hash")))
-query("g10_colours", f"""with {D.TRADE}, c0 as (select node_id, sha256('x') as colour from ids),
-c1 as (select node_id, sha256(c.colour || '|o' || coalesce((select string_agg('|' || y.colour, '' order by y.colour) from trade join c0 y on y.node_id = dst where src = c.node_id), '') || '|i' || coalesce((select string_agg('|' || y.colour, '' order by y.colour) from trade join c0 y on y.node_id = src where dst = c.node_id), '')) as colour from c0 c),
-c2 as (select node_id, sha256(c.colour || '|o' || coalesce((select string_agg('|' || y.colour, '' order by y.colour) from trade join c1 y on y.node_id = dst where src = c.node_id), '') || '|i' || coalesce((select string_agg('|' || y.colour, '' order by y.colour) from trade join c1 y on y.node_id = src where dst = c.node_id), '')) as colour from c1 c)
-select node_id, colour from c2""")(lambda s, d: G.colours(_pairs(s, d), _nations(s, d).withColumn("colour", F.lit("x")), rounds=2))
+def _colour_sql(rounds: int) -> str:
+    """Colours after the first round that splits no class; the last of `rounds` if none does."""
+    side = lambda k, mine, other: f"coalesce((select sum(('0x' || substr(y.colour, 1, 15))::hugeint)::varchar || ',' || sum(('0x' || substr(y.colour, 16, 15))::hugeint)::varchar from (select distinct src, dst from trade) t join c{k} y on y.node_id = t.{other} where t.{mine} = c.node_id), '')"
+    steps = [f"c{k + 1} as (select node_id, sha256(c.colour || '|o' || {side(k, 'src', 'dst')} || '|i' || {side(k, 'dst', 'src')}) as colour from c{k} c)" for k in range(rounds)]
+    sizes = ", ".join(f"(select count(distinct colour) from c{k}) as n{k}" for k in range(rounds + 1))
+    first = "case " + " ".join(f"when n{k} = n{k - 1} then {k}" for k in range(1, rounds + 1)) + f" else {rounds} end"
+    every = " union all ".join(f"select {k} as k, * from c{k}" for k in range(1, rounds + 1))
+    return f"with {D.TRADE}, c0 as (select node_id, sha256('x') as colour from ids), {', '.join(steps)}, done as (select {first} as k from (select {sizes})) select node_id, colour from ({every}) where k = (select k from done)"
+
+
+query("g10_colours", _colour_sql(6))(lambda s, d: G.colours(_pairs(s, d), _nations(s, d).withColumn("colour", F.lit("x"))))
 
 
 @query("a10_collapse", f"""with {D.TRADE}, big as (select component from comp group by component having count(*) > 1), g as (select node_id, component from comp join big using (component)),
@@ -298,16 +305,6 @@ select node_id, source_path, category, case when paths = 1 then node_id else cat
 
 # set operations and drift
 
-_OLDNEW = D.CONTRACTS.replace("from lineitem)", "from lineitem)").replace("edges as", "edges as")
-
-
-def _sql_until(year: int, tag: str) -> str:
-    return f"""{tag}a as (select distinct 'S.' || l_suppkey as node_id, l_partkey || '@' || strftime(l_shipdate, '%Y-%m') as contract from lineitem where year(l_shipdate) <= {year}),
-{tag}d as (select distinct 'C.' || o_custkey as node_id, l_partkey || '@' || strftime(l_shipdate, '%Y-%m') as contract from lineitem join orders on l_orderkey = o_orderkey where l_orderkey % {7 if tag == 'o' else 5} <> 0 and year(l_shipdate) <= {year}),
-{tag}e as (select a.node_id as src, d.node_id as dst, contract from {tag}a a join {tag}d d using (contract))"""
-
-
-_A = "split_part(contract, '@', 1)::int % {m} <> 0"
 _VER = """oa as (select * from answers where split_part(contract, '@', 1)::int % 7 <> 0), na as (select * from answers where split_part(contract, '@', 1)::int % 5 <> 0),
 oe as (select a.node_id as src, d.node_id as dst, contract from oa a join demands d using (contract)), ne as (select a.node_id as src, d.node_id as dst, contract from na a join demands d using (contract))"""
 
@@ -326,7 +323,7 @@ query("g3_degraded", f"""with {D.CONTRACTS}, {_VER}, nn as (select src as n from
 r as (select count(*) as n from (select src, dst, contract from oe where src in (select n from nn) and dst in (select n from nn) except select * from ne)) select b.n as broken_contracts, r.n as removed_edges, b.n > 0 or r.n > 0 as degraded from b, r""")(
     lambda s, d: R.degraded(s.createDataFrame([], "x string"), R.broken_contracts(_version(s, d, 7), _version(s, d, 5), D.demands(s, d)), R.removed_edges(E.edges_of(_version(s, d, 7), D.demands(s, d)), (ne := E.edges_of(_version(s, d, 5), D.demands(s, d))), ne.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct())).select("broken_contracts", "removed_edges", "degraded")
 )
-query("g3_new_cycles", f"with {D.TRADE.replace('(rev, 0.9)', '(rev, 0.9)')}, k as (select list_sort(list(node_id)) as m, bool_or(node_id in (select src from trade where src = dst)) as l from comp group by component) select array_to_string(m, ' -> ') as signature from k where len(m) > 1 or l")(
+query("g3_new_cycles", f"with {D.TRADE}, k as (select list_sort(list(node_id)) as m, bool_or(node_id in (select src from trade where src = dst)) as l from comp group by component) select array_to_string(m, ' -> ') as signature from k where len(m) > 1 or l")(
     lambda s, d: R.new_cycles(_pairs(s, d).limit(0), _pairs(s, d), _nations(s, d), _nations(s, d))
 )
 _KEYS = "ok as (select distinct src || '::' || contract || '::' || dst as key from oe), nk as (select distinct src || '::' || contract || '::' || dst as key from ne)"
