@@ -53,12 +53,13 @@ query("e3_task_queues", "with t as (select p_partkey as k from part where p_part
 query("e4_workflows", "with t as (select p_partkey % 9 as a, count(*) as n from part where p_partkey % 5 = 4 group by 1) select 'WorkflowNode.A' || a as id, 2 * n as n from t union all select 'WorkflowNode.B', sum(n)::bigint from t union all select 'Workflow.flow', 2 * sum(n)::bigint from t union all select 'WorkflowEdge.A' || a || '-_B', n from t")(
     lambda s, d: _nodes(s, d, RT.workflows).groupBy(F.regexp_replace("id", "->|-_+", "-_").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 )
-query("e5_resources", "select 'reads' as type, 'Service.execute' as src, 'Cache.Redis' as dst, count(*) as n from part where p_partkey % 5 = 3 union all select 'caches', 'Service.Stores' , 'Cache.Redis', 0 where false")(
-    lambda s, d: _found(s, d, RT.resources).where("kind = 'edge' and dst = 'Cache.Redis' and type = 'reads'").groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+query("e5_resources", """select 'reads' as type, 'Service.execute' as src, 'Cache.Redis' as dst, count(*) as n from part where p_partkey % 5 = 3 having count(*) > 0 union all select 'caches', 'Service.stores/s' || p_partkey, 'Cache.Redis', 1 from part where p_partkey % 5 = 3
+union all select 'calls', 'Service.load' || p_partkey, 'ExternalApi.HTTP', 1 from part where p_partkey % 5 = 1""")(
+    lambda s, d: _found(s, d, RT.resources).where("kind = 'edge'").groupBy("type", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
 )
-query("e6_infra", "select 'Cache.Redis' as id, count(*) filter (p_partkey % 3 = 0) as n from part union all select 'DataStore.Postgres', count(*) filter (p_partkey % 3 = 1) from part")(
+query("e6_infra", "select case p_partkey % 3 when 0 then 'Cache.Redis' when 1 then 'DataStore.Postgres' else 'ObjectStore.MinIO' end as id, count(*) as n from part group by 1")(
     lambda s, d: R.run(
-        D.table(s, d, "part").where("p_partkey % 3 <> 2").select(F.expr("concat('a', p_partkey, '/docker-compose.yml')").alias("path"), F.lit("yaml").alias("language"), F.expr("concat('services:', chr(10), '  ', case p_partkey % 3 when 0 then 'redis' else 'db' end, ':', chr(10), '    image: ', case p_partkey % 3 when 0 then 'redis:7' else 'postgres:16' end, chr(10))").alias("content")), [("infra", RT.infra)]
+        D.table(s, d, "part").select(F.expr("concat('a', p_partkey, '/docker-compose.yml')").alias("path"), F.lit("yaml").alias("language"), F.expr("concat('services:', chr(10), '  ', case p_partkey % 3 when 0 then 'redis' when 1 then 'db' else 'minio' end, ':', chr(10), '    image: ', case p_partkey % 3 when 0 then 'redis:7' when 1 then 'postgres:16' else 'minio/minio' end, chr(10))").alias("content")), [("infra", RT.infra)]
     ).where("kind = 'node'").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 )
 
@@ -72,51 +73,42 @@ def _fails(find):
 query("e7_failure_isolation", "with f as (select p_partkey % 10 = 0 as bad from part) select case when bad then 'diag' else 'node' end as kind, count(*) as n from f group by 1")(lambda s, d: R.run(source_files(s, d), [("plug-in", _fails)]).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _topology_edges(s, d):
-    return RT.topology(source_files(s, d))[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-
-
-query("e7_topology", """with c as (select distinct p_partkey as k from part where p_partkey % 5 = 1) select 'calls' as type, count(*) as n from c union all select 'invokes', count(distinct p_partkey % 7) from part where p_partkey % 5 = 0
-union all select 'consumes', 1 union all select 'dispatches', count(*) from part where p_partkey % 5 = 2 union all select 'executes', count(*) from part where p_partkey % 5 = 2
-union all select 'contains', count(distinct p_partkey % 9) * 2 from part where p_partkey % 5 = 4 union all select 'connects', count(distinct p_partkey % 9) from part where p_partkey % 5 = 4""")(
-    lambda s, d: RT.topology(source_files(s, d), [x for x in RT.BUILT_IN if x[1] is not RT.resources])[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+query("e7_topology", """with e as (select 'calls' as type, 2 * count(*) as n from part where p_partkey % 5 = 1 union all select 'invokes', count(distinct p_partkey % 7) from part where p_partkey % 5 = 0
+union all select 'consumes', least(1, count(*)) from part where p_partkey % 5 = 2 union all select 'dispatches', count(*) from part where p_partkey % 5 = 2 union all select 'executes', count(*) from part where p_partkey % 5 = 2
+union all select 'contains', count(distinct p_partkey % 9) * 2 from part where p_partkey % 5 = 4 union all select 'connects', count(distinct p_partkey % 9) from part where p_partkey % 5 = 4
+union all select 'caches', count(*) from part where p_partkey % 5 = 3 union all select 'reads', least(1, count(*)) from part where p_partkey % 5 = 3) select type, n::bigint as n from e where n > 0""")(
+    lambda s, d: RT.topology(source_files(s, d))[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 )
 query("e8_leaf_nodes", """select 'F' || p_partkey || '.run_' || p_partkey as node_id, 'str (id)' as demand, 'Result' as answer from part where p_partkey % 5 = 0 union all select 'P' || p_partkey || '.load' || p_partkey, 'unknown (id)', 'unknown' from part where p_partkey % 5 = 1
 union all select 'T' || p_partkey || '.work_' || p_partkey, 'unknown (x)', 'void' from part where p_partkey % 5 = 2 union all select 'Store' || p_partkey || 'Service.execute', 'Order (order),[Ghost:Read] module (redis)', 'Receipt' from part where p_partkey % 5 = 3
 union all select 'Store' || p_partkey || 'Service._hide', 'None', 'void' from part where p_partkey % 5 = 3""")(
     lambda s, d: SG.leaves(SG.extract(source_files(s, d))).select("node_id", F.array_join("demand", ",").alias("demand"), F.array_join("answer", ",").alias("answer"))
 )
-query("c11_sync", "select p_partkey % 5 as k, count(*) as n from part where p_partkey % 5 < 4 group by 1")(
+query("c11_sync", """select 'F' || p_partkey || '.run_' || p_partkey as node_id, 'core' as category, 'api/f' || p_partkey || '.py' as source_path, 'str (id)' as demand, 'Result' as answer from part where p_partkey % 5 = 0 union all select 'P' || p_partkey || '.load' || p_partkey, 'web', 'frontend/pages/p' || p_partkey || '.ts', 'unknown (id)', 'unknown' from part where p_partkey % 5 = 1
+union all select 'T' || p_partkey || '.work_' || p_partkey, 'core', 'tasks/t' || p_partkey || '.py', 'unknown (x)', 'void' from part where p_partkey % 5 = 2 union all select 'Store' || p_partkey || 'Service.execute', 'core', 'stores/s' || p_partkey || '.py', 'Order (order),[Ghost:Read] module (redis)', 'Receipt' from part where p_partkey % 5 = 3
+union all select 'Store' || p_partkey || 'Service._hide', 'core', 'stores/s' || p_partkey || '.py', 'None', 'void' from part where p_partkey % 5 = 3""")(
     lambda s, d: SG.sync(source_files(s, d), s.createDataFrame([("web", "frontend", 0), ("core", "api", 1), ("core", "tasks", 2), ("core", "stores", 3)], "category string, prefix string, ord int"))[0]
-    .where("node_id not like '%.\\_hide'").groupBy(F.expr("case when source_path like 'api/%' then 0 when source_path like 'frontend/%' then 1 when source_path like 'tasks/%' then 2 else 3 end").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    .select("node_id", "category", "source_path", F.array_join("demand", ",").alias("demand"), F.array_join("answer", ",").alias("answer"))
 )
-query("e12_registrations", "select 'Item' || (p_partkey % 7) || 's' as owner, 'list_' || p_partkey as name from part where p_partkey < 200")(
-    lambda s, d: SG.extract(D.table(s, d, "part").where("p_partkey < 200").select(F.concat(F.lit("api/r"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("app.get('/v/item"), (F.col("p_partkey") % 7).cast("string"), F.lit("s/:id', list_"), F.col("p_partkey").cast("string"), F.lit(")")).alias("content"), F.lit("api").alias("kind"))).select("owner", "name")
-)
-query("e12_registrations_all", "select 'Item' || (p_partkey % 7) || 's' as owner, 'list_' || p_partkey as name from part")(
+query("e12_registrations", "select 'Item' || (p_partkey % 7) || 's' as owner, 'list_' || p_partkey as name from part")(
     lambda s, d: SG.extract(D.table(s, d, "part").select(F.concat(F.lit("api/r"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("app.get('/v/item"), (F.col("p_partkey") % 7).cast("string"), F.lit("s/:id', list_"), F.col("p_partkey").cast("string"), F.lit(")")).alias("content"), F.lit("api").alias("kind"))).select("owner", "name")
 )
-query("j20_imports", "select 'pkg/u' || p_partkey || '.py' as source_path, 'pkg/m' || (p_partkey % 5) || '.py' as defined_in, 'Result' as type from part where p_partkey < 100")(
-    lambda s, d: imports.resolve(
-        D.table(s, d, "part").where("p_partkey < 100").select(F.expr("concat('pkg/u', p_partkey, '.py')").alias("path"), F.lit("python").alias("language"), F.expr("concat('from .m', p_partkey % 5, ' import go as run', chr(10))").alias("content"))
-        .unionByName(s.range(5).select(F.expr("concat('pkg/m', id, '.py')").alias("path"), F.lit("python").alias("language"), F.lit("def go() -> Result: ...\n").alias("content")))
-    ).select("source_path", "defined_in", "type")
-)
-query("j20_imports_all", "select 'pkg/u' || p_partkey || '.py' as source_path, 'pkg/m' || (p_partkey % 5) || '.py' as defined_in, 'Result' as type from part")(
+query("j20_imports", "select 'pkg/u' || p_partkey || '.py' as source_path, 'pkg/m' || (p_partkey % 5) || '.py' as defined_in, 'Result' as type from part")(
     lambda s, d: imports.resolve(
         D.table(s, d, "part").select(F.expr("concat('pkg/u', p_partkey, '.py')").alias("path"), F.lit("python").alias("language"), F.expr("concat('from .m', p_partkey % 5, ' import go as run', chr(10))").alias("content"))
         .unionByName(s.range(5).select(F.expr("concat('pkg/m', id, '.py')").alias("path"), F.lit("python").alias("language"), F.lit("def go() -> Result: ...\n").alias("content")))
     ).select("source_path", "defined_in", "type")
 )
 query("f11_suppressed", "select 'Store' || p_partkey || 'Service' as owner, '_hide' as name from part where p_partkey % 5 = 3")(
-    lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).where("suppressed").where("name = '_hide'").select("owner", "name")
+    lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).where("suppressed").select("owner", "name")
 )
 query("f12_promoted", "select 'Store' || p_partkey || 'Service.execute' as id, 4 as score from part where p_partkey % 5 = 3 union all select 'F' || p_partkey || '.run_' || p_partkey, 5 from part where p_partkey % 5 = 0")(
     lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).where("promoted").select(F.concat_ws(".", "owner", "name").alias("id"), "score")
 )
 query("f12_scores")(lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).select("owner", "name", "score", "promoted", F.array_join("reasons", ",").alias("reasons")))
-query("a19_folded", "select 'Store' || p_partkey || 'Service.execute' as node_id, 'Store' || p_partkey || 'Service.execute,Store' || p_partkey || 'Service._hide' as folded from part where p_partkey % 5 = 3")(
-    lambda s, d: promote.fold(promote.judged(SG.extract(source_files(s, d)).where("name is not null and source_path like 'stores/%'"))).select("node_id", F.array_join("folded_leaves", ",").alias("folded"))
+query("a19_folded", """select 'Store' || p_partkey || 'Service.execute' as node_id, 'Store' || p_partkey || 'Service.execute,Store' || p_partkey || 'Service._hide' as folded from part where p_partkey % 5 = 3
+union all select 'F' || p_partkey || '.run_' || p_partkey, 'F' || p_partkey || '.run_' || p_partkey from part where p_partkey % 5 = 0""")(
+    lambda s, d: promote.fold(promote.judged(SG.extract(source_files(s, d)).where("name is not null"))).select("node_id", F.array_join("folded_leaves", ",").alias("folded"))
 )
 query("x22_problem_text", f"with {D.PARTS} select node_id, problem as text from nodes")(lambda s, d: D.parts(s, d).select("node_id", promote.problem_text(F.col("node_id"), F.col("source_path"), F.col("problem")).alias("text")))
 query("x22_problem_synthesis")(lambda s, d: D.parts(s, d).select("node_id", promote.problem_text(F.col("node_id"), F.col("source_path"), F.lit("execute a b flow")).alias("text")))

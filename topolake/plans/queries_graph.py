@@ -292,9 +292,10 @@ def _named(s, d):
 query("j18_apply_changes", f"with {_CH} select node_id, case when op in ('modify', 'create_child') then coalesce(c.problem, n.problem) else n.problem end as problem, case op when 'create_child' then 'created' when 'modify' then 'modified' when 'reuse' then 'reused' else 'unchanged' end as status from n full join ch c using (node_id)")(
     lambda s, d: M.apply_changes(_named(s, d), _changes(s, d))
 )
-query("j19_change_problems", f"""with {_CH} select ord, 'missing_target' as rule from ch left join n using (node_id) where op in ('reuse', 'modify') and n.problem is null
+_CHANGE_PROBLEMS = """select ord, 'missing_target' as rule from ch left join n using (node_id) where op in ('reuse', 'modify') and n.problem is null
 union all select ord, 'missing_parent' from ch where op = 'create_child' and parent_id not in (select node_id from n) union all select ord, 'id_exists' from ch join n using (node_id) where op = 'create_child'
-union all select ord, 'problem_changed' from ch join n using (node_id) where op = 'modify' and ch.problem <> n.problem""")(lambda s, d: M.change_problems(_changes(s, d), _named(s, d)))
+union all select ord, 'problem_changed' from ch join n using (node_id) where op = 'modify' and ch.problem <> n.problem"""
+query("j19_change_problems", f"with {_CH} {_CHANGE_PROBLEMS}")(lambda s, d: M.change_problems(_changes(s, d), _named(s, d)))
 query("j9_both_ways", """with l as (select 'a' as fv, 'x' || (event_id % 40) as f, 'b' as tv, 'y' || (event_id % 60) as t, round((event_id % 97) / 97.0, 4) as c from events)
 select fv || '::' || f || '::r::' || tv || '::' || t as id, greatest(0.01, least(0.99, max(c))) as confidence from (select * from l union all select tv, t, fv, f, c from l) group by fv, f, tv, t""")(
     lambda s, d: M.both_ways(D.table(s, d, "events").select(F.lit("a").alias("from_view"), F.concat(F.lit("x"), (F.col("event_id") % 40).cast("string")).alias("from_id"), F.lit("b").alias("to_view"), F.concat(F.lit("y"), (F.col("event_id") % 60).cast("string")).alias("to_id"), F.lit("r").alias("relation"), F.round((F.col("event_id") % 97) / 97.0, 4).alias("confidence"), F.lit("why").alias("reason"), F.lit(None).cast("string").alias("source_path"), F.col("event_id").alias("ord"))).select("id", "confidence")
@@ -359,8 +360,8 @@ nr as (select node_id from nio where i >= 5 or o >= 5 or i + o >= 8 order by i +
 m as (select 'nodes' as measure, count(*) as value from nd union all select 'edges', count(*) from ne union all select 'edges_added', least(50, count(*)) from nk where key not in (select key from ok) union all select 'edges_removed', least(50, count(*)) from ok where key not in (select key from nk)
 union all select 'risk_added', count(*) from nr where node_id not in (select node_id from orr) union all select 'risk_removed', count(*) from orr where node_id not in (select node_id from nr)
 union all select 'surges', count(*) from nd full join od using (node_id) where abs(coalesce(nd.n, 0) - coalesce(od.n, 0)) >= 3) select measure, value::bigint as value from m where value > 0 or measure in ('nodes', 'edges', 'surges')""")(lambda s, d: R.report(_snapshot(s, d, 5), _snapshot(s, d, 7)))
-query("c14_protocol_problems", f"with {_CH} select ord, 'low_confidence' as rule from ch where ord % 10 < 5 union all select -1, 'focus_drift'")(
-    lambda s, d: M.protocol_problems(_changes(s, d).withColumn("confidence", (F.col("ord") % 10) / 10.0), _named(s, d), s.createDataFrame([("macro", "A.run", "split"), ("meso", "A.run", "Split"), ("micro", "B.run", "split")], "stage string, focus string, operation string"), 0.5).where("rule in ('low_confidence', 'focus_drift', 'missing_stage')")
+query("c14_protocol_problems", f"""with {_CH} select ord, 'low_confidence' as rule from ch where ord % 10 < 5 union all select -1, 'focus_drift' union all {_CHANGE_PROBLEMS}""")(
+    lambda s, d: M.protocol_problems(_changes(s, d).withColumn("confidence", (F.col("ord") % 10) / 10.0), _named(s, d), s.createDataFrame([("macro", "A.run", "split"), ("meso", "A.run", "Split"), ("micro", "B.run", "split")], "stage string, focus string, operation string"), 0.5)
 )
 query("t11_locale_order", "select n_nationkey, row_number() over (order by lower(n_name))::int as place from nation")(
     lambda s, d: D.table(s, d, "nation").select("n_nationkey", F.row_number().over(Window.orderBy(F.collate(F.initcap("n_name"), "UNICODE"))).alias("place"))

@@ -71,8 +71,8 @@ query("x10_labels", f"with {D.PARTS} select node_id, case when source_path like
     lambda s, d: D.parts(s, d).select("node_id", X.label_of_path(F.col("source_path")).alias("label"))
 )
 query("x10_pascal", "select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), '') as name from part")(lambda s, d: D.table(s, d, "part").select("p_partkey", X.pascal(F.col("p_name")).alias("name")))
-query("x11_paths_match", "select page_id, page_id % 4 in (0, 1) as hit from pages where page_id % 4 <> 2")(
-    lambda s, d: _raw(s, d).where("page_id % 4 <> 2").select("page_id", X.paths_match(F.col("p"), F.expr("case page_id % 4 when 0 then '/api/v1/items/7/run' when 1 then '/api/users/9' else '/api/orders/7/x' end")).alias("hit"))
+query("x11_paths_match", "select page_id, page_id % 8 < 4 and page_id % 4 <> 3 as hit from pages")(
+    lambda s, d: _raw(s, d).select("page_id", X.paths_match(F.col("p"), F.expr("case when page_id % 8 >= 4 then '/nowhere' else case page_id % 4 when 0 then '/api/v1/items/7/run' when 1 then '/api/users/9' when 2 then '/v2/home/x' else '/api/orders/7/x' end end")).alias("hit"))
 )
 query("x11_anchor_api", f"with {_URL} select page_id, '/api/v1/' || page_id as path from u")(lambda s, d: _pages(s, d).select("page_id", X.anchor_api(F.concat(F.lit("/app/base/api/v1/"), F.col("page_id").cast("string"))).alias("path")))
 _WORDS = ", ".join(f"'{w}'" for w in X.GENERIC_WORDS)
@@ -89,17 +89,16 @@ c as (select *, len(list_distinct(ws)) as n, len(list_filter(ws, lambda x: x in
 select event_id, round(greatest(1, n) - low * 1.1 + bus * 1.8 + case when contains(t, '/') or regexp_matches(t, '(?i)\\b(get|post|put|delete|patch)\\b') then 2.4 else 0 end + case when regexp_matches(t, '[.:_]') then 0.4 else 0 end, 6)::double as score, bus = 0 and low >= greatest(1, n - 1) as low_signal from c""")(
     lambda s, d: D.table(s, d, "events").withColumn("r", X.label_score(F.expr("event_type || case event_id % 4 when 0 then ' api route' when 1 then '.node item' when 2 then ' GET /x' else ' state' end"))).select("event_id", F.col("r.score").alias("score"), F.col("r.low_signal").alias("low_signal"))
 )
-query("t4_label_choice", "select event_id as ord, 'run_' || event_type as label, event_type = 'click' as low_signal from events where event_id < 500")(lambda s, d: _labels(s, d))
+query("t4_label_choice", "select event_id as ord, 'run_' || event_type as label, event_type = 'click' as low_signal from events")(lambda s, d: _labels(s, d))
 
 
-def _labels(s, d, bound="ord < 500"):
+def _labels(s, d):
     from ..operators.labels import choose_labels
 
-    e = D.runtime_nodes(s, d).where(bound)
+    e = D.runtime_nodes(s, d)
     return choose_labels(e.select("id", "type", "label", F.create_map(F.lit("handler"), F.concat(F.lit("run_"), F.col("type"))).alias("metadata"), "ord")).select("ord", F.col("best").alias("label"), "low_signal")
 
 
-query("t4_label_choice_all", "select event_id as ord, 'run_' || event_type as label, event_type = 'click' as low_signal from events")(lambda s, d: _labels(s, d, "true"))
 query("x16_diagnostic_code", "select event_id, case when event_id % 3 = 0 then 'RUNTIME_MY_EXTRACTOR_' || upper(event_type) else regexp_replace(regexp_replace(upper(event_type || '-x! ' || event_id), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end as code from events")(
     lambda s, d: D.table(s, d, "events").select("event_id", X.diagnostic_code(F.expr("case when event_id % 3 = 0 then ' ' else event_type || '-x! ' || event_id end"), F.lit("MyExtractor"), F.col("event_type")).alias("code"))
 )
@@ -291,36 +290,32 @@ query("p2_visual_size", f"with {D.RUNTIME}, {D.RUNTIME_EDGES}, g as (select x as
 
 # links
 
-query("j6_capability_leaves", """with c as (select 'S' || (p_partkey % 80) || '.run' as capability_id, 'p' || (p_partkey % 40) as path, ['S' || (p_partkey % 33) || '.load'] as folded, p_partkey from part where p_partkey < 80),
-l as (select 'S' || (p_partkey % 90) || case p_partkey % 3 when 0 then '.run' when 1 then '.load' else '.x' || p_partkey end as leaf_id, 'p' || (p_partkey % 40) as path, p_partkey as ord from part where p_partkey < 900),
+query("j6_capability_leaves", """with c as (select 'S' || (p_partkey % 80) || '.run' as capability_id, 'p' || (p_partkey % 40) as path, ['S' || (p_partkey % 33) || '.load'] as folded, p_partkey from part),
+l as (select 'S' || (p_partkey % 90) || case p_partkey % 3 when 0 then '.run' when 1 then '.load' else '.x' || p_partkey end as leaf_id, 'p' || (p_partkey % 40) as path, p_partkey as ord from part),
 o as (select *, row_number() over (partition by split_part(leaf_id, '.', 1), path order by ord) as rank from l),
 r as (select capability_id, leaf_id, 0 as pos, 'exact' as relation from c join (select distinct leaf_id from l) on capability_id = leaf_id union all select capability_id, x, 1, 'folded_leaf' from c, unnest(folded) u(x) where x in (select leaf_id from l)
 union all select capability_id, leaf_id, 2, 'owner_match' from c join o on o.path = c.path and split_part(leaf_id, '.', 1) = split_part(capability_id, '.', 1) and rank <= 12)
 select capability_id, leaf_id, arg_min(relation, pos) as relation from r group by all""")(
-    lambda s, d: _leaf_rows(s, d, "p_partkey < 80", "p_partkey < 900")
+    lambda s, d: _leaf_rows(s, d)
 )
 
 
-def _leaf_rows(s, d, caps="true", leaves="true"):
+def _leaf_rows(s, d):
     return L.capability_leaves(
-        D.table(s, d, "part").where(caps).select(F.expr("'S' || (p_partkey % 80) || '.run'").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.array(F.expr("'S' || (p_partkey % 33) || '.load'")).alias("folded_leaves")),
-        D.table(s, d, "part").where(leaves).select(F.expr("'S' || (p_partkey % 90) || case p_partkey % 3 when 0 then '.run' when 1 then '.load' else '.x' || p_partkey end").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.col("p_partkey").alias("ord")),
+        D.table(s, d, "part").select(F.expr("'S' || (p_partkey % 80) || '.run'").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.array(F.expr("'S' || (p_partkey % 33) || '.load'")).alias("folded_leaves")),
+        D.table(s, d, "part").select(F.expr("'S' || (p_partkey % 90) || case p_partkey % 3 when 0 then '.run' when 1 then '.load' else '.x' || p_partkey end").alias("node_id"), F.expr("'p' || (p_partkey % 40)").alias("source_path"), F.col("p_partkey").alias("ord")),
     ).select("capability_id", "leaf_id", "relation")
 
 
-# queries named _all take whole tables; those whose SQL is a cross product have none, and tests hold them against it on small tables
-query("j6_capability_leaves_all")(lambda s, d: _leaf_rows(s, d))
-
-
-def _link_rows(s, d, whole=False):
+def _link_rows(s, d):
     k = D.table(s, d, "part")
-    caps = k.where("true" if whole else "p_partkey % 4 = 0").select(F.expr("'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey").alias("node_id"), F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'").alias("source_path"), F.expr("case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end").alias("category"))
-    run = k.where("true" if whole else "p_partkey % 31 = 0").select(F.expr("'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4)").alias("id"), F.col("p_name").alias("label"), F.array(F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'")).alias("source_paths"), F.expr("case p_partkey % 2 when 0 then 'core' end").alias("category"), F.expr("case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end").alias("handler"))
+    caps = k.select(F.expr("'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey").alias("node_id"), F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'").alias("source_path"), F.expr("case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end").alias("category"))
+    run = k.select(F.expr("'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4)").alias("id"), F.col("p_name").alias("label"), F.array(F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'")).alias("source_paths"), F.expr("case p_partkey % 2 when 0 then 'core' end").alias("category"), F.expr("case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end").alias("handler"))
     return run, caps
 
 
-_J7 = f"""c as (select 'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey as cid, 'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py' as path, coalesce(case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end, 'unknown') as cat from part where p_partkey % 4 = 0),
-r as (select 'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4) as rid, p_name as label, 'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py' as rpath, coalesce(case p_partkey % 2 when 0 then 'core' end, 'unknown') as rcat, coalesce(case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end, '') as handler from part where p_partkey % 31 = 0),
+_J7 = f"""c as (select 'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey as cid, 'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py' as path, coalesce(case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end, 'unknown') as cat from part),
+r as (select 'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4) as rid, p_name as label, 'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py' as rpath, coalesce(case p_partkey % 2 when 0 then 'core' end, 'unknown') as rcat, coalesce(case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end, '') as handler from part),
 ct as (select *, list_distinct(list_filter(string_split_regex(lower(cid || ' ' || path), '[^a-z0-9]+'), lambda x: length(x) >= 3 and x not in ({_WORDS}))) as ctok from c),
 rt as (select *, list_distinct(list_filter(string_split_regex(lower(rid || ' ' || label || ' ' || rpath), '[^a-z0-9]+'), lambda x: length(x) >= 3 and x not in ({_WORDS}))) as rtok from r),
 s as (select rid, cid, case when rpath = path then 65 else 0 end + case when rcat = cat then 18 else -8 end + case when handler <> '' and contains(lower(cid), handler) then 34 else 0 end
@@ -340,23 +335,18 @@ select runtime_id, lid as leaf_id, max({_CONF.format("score / 120.0")}) as confi
 query("c6_view_map", f"with {_LINKS} select fv || '::' || f || '::' || relation || '::' || tv || '::' || t as id, relation, max(conf) as confidence from links group by all")(lambda s, d: _view_map(s, d))
 
 
-def _runtime_leaves(s, d, whole=False):
-    run, caps = _link_rows(s, d, whole)
+def _runtime_leaves(s, d):
+    run, caps = _link_rows(s, d)
     return L.runtime_leaves(L.runtime_capabilities(run, caps), L.capability_leaves(caps.withColumn("folded_leaves", F.array().cast("array<string>")), caps.withColumn("ord", F.monotonically_increasing_id())))
 
 
-def _view_map(s, d, whole=False):
-    run, caps = _link_rows(s, d, whole)
+def _view_map(s, d):
+    run, caps = _link_rows(s, d)
     return L.view_map(run, caps.withColumn("folded_leaves", F.array().cast("array<string>")), caps.withColumn("ord", F.xxhash64("node_id"))).select("id", "relation", "confidence")
 
 
-query("j7_runtime_links_all")(lambda s, d: L.runtime_capabilities(*_link_rows(s, d, True)).select("runtime_id", "capability_id", "score", "rank"))
-query("j8_runtime_leaves_all")(lambda s, d: _runtime_leaves(s, d, True))
-query("c6_view_map_all")(lambda s, d: _view_map(s, d, True))
-
-
-def _view_stats(s, d, whole=False):
-    run, caps = _link_rows(s, d, whole)
+def _view_stats(s, d):
+    run, caps = _link_rows(s, d)
     leaves = caps.withColumn("ord", F.xxhash64("node_id"))
     links = L.view_map(run, caps.withColumn("folded_leaves", F.array().cast("array<string>")), leaves)
     return L.link_stats(links, run.select("id"), caps.select("node_id"), leaves.select("node_id"))
@@ -366,7 +356,6 @@ query("a12_link_stats", f"""with {_LINKS}, n as (select (select count(distinct r
 count(*) filter (fv = 'runtime' and tv = 'capability') as runtime_capability_links, count(*) filter (fv = 'capability' and tv = 'leaf') as capability_leaf_links, count(*) filter (fv = 'runtime' and tv = 'leaf') as runtime_leaf_links,
 count(distinct case when fv = 'runtime' and tv = 'capability' then f end) as runtime_matched, count(distinct case when fv = 'capability' and tv = 'leaf' then f end) as capability_matched, count(distinct case when fv = 'capability' and tv = 'leaf' then t end) as leaf_matched, count(distinct case when fv = 'runtime' and tv = 'leaf' then f end) as end_to_end from (select distinct fv, f, relation, tv, t from links))
 select *, round(runtime_matched / runtime_nodes, 6)::double as runtime_match_rate, round(capability_matched / capability_nodes, 6)::double as capability_leaf_rate, round(leaf_matched / leaf_nodes, 6)::double as leaf_capability_rate, round(end_to_end / runtime_nodes, 6)::double as end_to_end_rate from n""")(_view_stats)
-query("a12_link_stats_all")(lambda s, d: _view_stats(s, d, True))
 _CALLS = "case page_id % 3 when 0 then '/api/items/' || (page_id % 5) || '/run' when 1 then '/api/v1/users' else '/nope/' || page_id end"
 query("j10_match_routes", "select page_id as call_id, case page_id % 3 when 0 then 'r2' else 'r1' end as route_id from pages where page_id % 3 <> 2")(
     lambda s, d: L.match_routes(
@@ -377,32 +366,24 @@ query("j10_match_routes", "select page_id as call_id, case page_id % 3 when 0 th
 query("j11_frame_node", "select 'Svc3.handle' as node_id, 23 as score")(
     lambda s, d: L.best_frame_node(s.createDataFrame([("src/none.ts", "a", 0), ("src/m.ts", "Svc3.handle", 1), ("src/m.ts", "other", 2)], "path string, symbol string, f_ord int"), s.createDataFrame([("Svc2.run", "src/m.ts", 0), ("Svc3.handle", "src/m.ts", 1), ("Svc3.run", "src/x.ts", 2)], "node_id string, source_path string, ord int"))
 )
-query("u5_token_overlap", """with b as (select item_id, list_distinct(string_split(lower(text), ' ')) as t from benchmark), w as (select doc_id, list_distinct(string_split(lower(text), ' ')) as t from documents where lang = 'de' and n_chars < 300)
-select item_id, doc_id, len(list_intersect(b.t, w.t)) as n from b, w where len(list_intersect(b.t, w.t)) >= 2""")(
-    lambda s, d: _overlap(s, d, "lang = 'de' and n_chars < 300")
-)
+query("u5_token_overlap", """with b as (select item_id, unnest(list_distinct(string_split(lower(text), ' '))) as w from benchmark), t as (select doc_id, unnest(list_distinct(string_split(lower(text), ' '))) as w from documents)
+select item_id, doc_id, count(*) as n from b join t using (w) group by all having count(*) >= 2""")(lambda s, d: _overlap(s, d))
 
 
-def _overlap(s, d, bound="true"):
+def _overlap(s, d):
     # words meet by equality and are counted per pair; no pair without a shared word is made
     words = lambda t, i: t.select(i, F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    return words(D.table(s, d, "benchmark"), "item_id").join(words(D.table(s, d, "documents").where(bound), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return words(D.table(s, d, "benchmark"), "item_id").join(words(D.table(s, d, "documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-query("u5_token_overlap_all")(lambda s, d: _overlap(s, d))
 query("c13_stage", "select p_partkey, case p_partkey % 4 when 0 then 'draft_review' when 1 then 'micro_gated' when 2 then 'meso' else 'planning' end as stage from part")(
     lambda s, d: D.table(s, d, "part").withColumn("k", F.col("p_partkey") % 4).select("p_partkey", T.stage_of(F.col("k") == 0, F.lit(False), F.col("k") == 1, F.col("k") == 2, F.lit(False), F.col("k") == 1).alias("stage"))
 )
-query("a18_diagnostic_samples", "with x as (select event_type, list_sort(list(distinct user_id)) as u from events where event_id < 300 group by 1) select event_type, len(u) as n, array_to_string(u[1:5], ', ') || case when len(u) > 5 then ' (+' || (len(u) - 5) || ' more)' else '' end as message from x")(
-    lambda s, d: _samples(s, d, "event_id < 300")
-)
-
-
-def _samples(s, d, bound="true"):
-    told = top_by(D.table(s, d, "events").where(bound).select("event_type", "user_id").distinct(), ["event_type"], 1 << 30, F.col("user_id")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.col("user_id")))).alias("u"))
+def _samples(s, d):
+    told = top_by(D.table(s, d, "events").select("event_type", "user_id").distinct(), ["event_type"], 1 << 30, F.col("user_id")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("rank") <= 5, F.col("user_id")))).alias("u"))
     return told.select("event_type", "n", F.concat(F.array_join(F.col("u").cast("array<string>"), ", "), F.when(F.col("n") > 5, F.concat(F.lit(" (+"), (F.col("n") - 5).cast("string"), F.lit(" more)"))).otherwise("")).alias("message"))
 
 
-query("a18_diagnostic_samples_all", "with x as (select event_type, list_sort(list(distinct user_id)) as u from events group by 1) select event_type, len(u) as n, array_to_string(u[1:5], ', ') || case when len(u) > 5 then ' (+' || (len(u) - 5) || ' more)' else '' end as message from x")(
+query("a18_diagnostic_samples", "with x as (select event_type, list_sort(list(distinct user_id)) as u from events group by 1) select event_type, len(u) as n, array_to_string(u[1:5], ', ') || case when len(u) > 5 then ' (+' || (len(u) - 5) || ' more)' else '' end as message from x")(
     lambda s, d: _samples(s, d)
 )
