@@ -16,8 +16,8 @@ def frames(traces: DataFrame, root: str = "") -> DataFrame:
 
 
 def diagnose(traces: DataFrame, nodes: DataFrame, pairs: DataFrame, retries: int = 0, root: str = "") -> DataFrame:
-    """One row for one trace: (diagnosis, action, node_id, score, impacted, risk)."""
-    kind = traces.select(X.diagnosis(F.col("text")).alias("diagnosis")).limit(1).withColumn("action", X.action(F.col("diagnosis"), F.lit(retries)))
+    """A row a trace: (trace_id, diagnosis, action, node_id, score, impacted, risk); no node where no frame fits one."""
+    kind = traces.select("trace_id", X.diagnosis(F.col("text")).alias("diagnosis")).withColumn("action", X.action(F.col("diagnosis"), F.lit(retries)))
     best = best_frame_node(frames(traces, root), nodes)
-    hit = reach(pairs, best.select("node_id")).where("origin <> node").agg(F.count(F.lit(1)).alias("impacted"))
-    return kind.join(best, F.lit(True), "left").join(hit).withColumn("risk", X.risk_bucket(F.col("impacted")))  # one-row frames
+    hit = reach(pairs, best.select("node_id").distinct()).where("origin <> node").groupBy(F.col("origin").alias("node_id")).agg(F.count(F.lit(1)).alias("impacted"))
+    return kind.join(best, "trace_id", "left").join(hit, "node_id", "left").na.fill(0, ["impacted"]).withColumn("risk", X.risk_bucket(F.col("impacted"))).select("trace_id", "diagnosis", "action", "node_id", "score", "impacted", "risk")

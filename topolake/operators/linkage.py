@@ -242,14 +242,15 @@ def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def best_frame_node(frames: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row (node_id, score): the node that best fits any stack frame; path must agree, method and class add.
+    """(trace_id, node_id, score): the node that best fits any stack frame of a trace; path must agree, method and class add.
 
-    frames: (path, symbol, f_ord); nodes: (node_id, source_path, ord).
+    frames: (trace_id, path, symbol, f_ord); nodes: (node_id, source_path, ord).
     """
-    f = frames.select(F.lower(X.slashes(F.col("path"))).alias("p"), F.lower(F.coalesce("symbol", F.lit(""))).alias("symbol"), "f_ord")
+    f = frames.select("trace_id", F.lower(X.slashes(F.col("path"))).alias("p"), F.lower(F.coalesce("symbol", F.lit(""))).alias("symbol"), "f_ord")
     n = nodes.withColumn("ref", X.node_parts(F.col("node_id"))).select("node_id", F.lower(X.slashes(F.coalesce("source_path", F.lit("")))).alias("p"), "ref", "ord").where("p <> ''")
     score = F.lit(10) + F.when(F.col("symbol").contains(F.lower("ref.method")), 8).otherwise(0) + F.when(F.col("symbol").contains(F.lower("ref.class")), 5).otherwise(0)
-    return f.join(n, "p").select("node_id", score.alias("score"), "f_ord", "ord").orderBy(F.desc("score"), "f_ord", "ord").limit(1).select("node_id", "score")
+    met = f.join(n, "p").select("trace_id", "node_id", score.alias("score"), "f_ord", "ord")
+    return first_by(met, ["trace_id"], F.desc("score"), F.col("f_ord"), F.col("ord")).select("trace_id", "node_id", "score")
 
 
 def link_stats(links: DataFrame, runtime_ids: DataFrame, capability_ids: DataFrame, leaf_ids: DataFrame) -> DataFrame:

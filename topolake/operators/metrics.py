@@ -109,21 +109,48 @@ def govern_ghosts(nodes: DataFrame, policy: DataFrame, ignore: Iterable[str] = (
     return rows.withColumn("rank", rank).select("node_id", "raw", "score", (ok & (F.col("rank") <= F.col("top_k"))).alias("retained"))
 
 
-def metric_vector(nodes: DataFrame, runtime_nodes: DataFrame, runtime_edges: DataFrame, diagnostics: DataFrame, policy: DataFrame, max_render: int | None = None) -> DataFrame:
-    """A3: one row of all measures; each input is read once."""
+def metric_vector(nodes: DataFrame, runtime_nodes: DataFrame, runtime_edges: DataFrame, diagnostics: DataFrame, policy: DataFrame, max_render: int | None = None, classes: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """A3: one row of all measures; each input is read once.
+
+    classes are class blueprints and references focus references, as in `focus`; without references there is no measure of
+    alignment, and without a leading one none of closure (null).
+    """
+    from . import focus
+
+    spark = nodes.sparkSession
     a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(execute_like(F.col("node_id"))).alias("execute_like_count"), F.count_if(has_ghost(F.col("demand"))).alias("ghost_nodes"))
     v = completeness(vertices(nodes)).agg(F.count(F.lit(1)).alias("vertices"), F.count_if("left_only").alias("left_only_vertices"), F.count_if("mixed").alias("scale_mixing_vertices"))
     rn = runtime_nodes.agg(F.count(F.lit(1)).alias("runtime_nodes"))
     re = runtime_edges.agg(F.count(F.lit(1)).alias("runtime_edges"))
     d = diagnostics.agg(F.count(F.lit(1)).alias("diagnostics_total"), F.count_if(F.coalesce(F.trim("code"), F.lit("")) == "").alias("diagnostics_no_code"), F.count_if(F.coalesce(F.upper(F.trim("code")) == UNMATCHED, F.lit(False))).alias("runtime_unmatched_route_count"))
     g = ghost_violations(nodes, policy).agg(F.count(F.lit(1)).alias("ghost_policy_violations"))
+    plans = classes if classes is not None else spark.createDataFrame([], CLASSES)
+    flags = ("left_only", "right_only", "empty", "mixed")
+    named = blueprint_flags(plans).groupBy(F.trim("class_name").alias("c")).agg(*(F.max(f).alias(f) for f in flags))
+    b = named.agg(*(F.count_if(f).alias(f"_{f}") for f in flags))
+    named_refs = references if references is not None else spark.createDataFrame([], REFERENCES)
+    al = focus.alignment(named_refs).agg(F.count(F.lit(1)).alias("protocol_focus_alignment_violations"))
+    cl = focus.closure(named_refs, plans).agg(F.count(F.lit(1)).alias("focus_closure_violations"))
+    lead = focus.canonical(named_refs).agg(F.count(F.lit(1)).alias("_lead"))
     out = a
-    for part in (v, rn, re, d, g):  # one-row frames
+    for part in (v, rn, re, d, g, b, al, cl, lead):  # one-row frames
         out = out.join(part)
     shown = F.col("runtime_edges") if not max_render else F.least("runtime_edges", F.lit(max_render))
+    out = out.withColumns({"left_only_vertices": F.col("left_only_vertices") + F.col("_left_only"), "right_only_vertices": F.col("_right_only"), "empty_vertices": F.col("_empty"), "scale_mixing_vertices": F.col("scale_mixing_vertices") + F.col("_mixed")})
+    broken = F.col("left_only_vertices") + F.col("right_only_vertices") + F.col("empty_vertices") + F.col("scale_mixing_vertices")
+    aligned = F.col("protocol_focus_alignment_violations") == 0 if references is not None else F.lit(None).cast("boolean")
+    out = out.withColumns({
+        "triad_completeness_violations": broken, "triad_completeness": broken == 0, "ghost_policy_compliance": F.col("ghost_policy_violations") == 0,
+        "protocol_focus_alignment": aligned, "triad_focus_closure": F.when(F.col("_lead") > 0, F.col("focus_closure_violations") == 0),
+    }).drop("_lead", *(f"_{f}" for f in flags))
     return out.withColumns({"execute_like_ratio": X.ratio(F.col("execute_like_count"), F.col("nodes")), "ghost_ratio": X.ratio(F.col("ghost_nodes"), F.col("nodes")), "rendered_runtime_edges": shown.cast("long"), "rendered_edges_consistency": shown == F.col("runtime_edges")})
 
 
+#: Columns of class blueprints and of focus references.
+CLASSES = "artifact string, class_name string, static array<string>, dynamic array<struct<name:string,responsibility:string>>"
+REFERENCES = "source string, focus string, operation string"
+
+
 def as_metrics(vector: DataFrame) -> DataFrame:
     """METRIC rows (key, num, flag) of a one-row frame."""
     rows = [F.struct(F.lit(c).alias("key"), (F.lit(None).cast("double") if t == "boolean" else F.col(c).cast("double")).alias("num"), (F.col(c) if t == "boolean" else F.lit(None).cast("boolean")).alias("flag")) for c, t in vector.dtypes]
@@ -131,16 +158,23 @@ def as_metrics(vector: DataFrame) -> DataFrame:
 
 
 #: Thresholds of the checks.
-THRESHOLDS = [("diagnostics_no_code", "lte", 0.0, None), ("execute_like_ratio", "lt", 0.1, None), ("ghost_ratio", "lt", 0.4, None), ("rendered_edges_consistency", "eq", None, True), ("ghost_policy_violations", "lte", 0.0, None), ("left_only_vertices", "lte", 0.0, None), ("scale_mixing_vertices", "lte", 0.0, None)]
+THRESHOLDS = [
+    ("diagnostics_no_code", "lte", 0.0, None), ("execute_like_ratio", "lt", 0.1, None), ("ghost_ratio", "lt", 0.4, None), ("rendered_edges_consistency", "eq", None, True), ("ghost_policy_compliance", "eq", None, True), ("left_only_vertices", "lte", 0.0, None), ("right_only_vertices", "lte", 0.0, None), ("empty_vertices", "lte", 0.0, None),
+    ("scale_mixing_vertices", "lte", 0.0, None), ("triad_completeness", "eq", None, True), ("protocol_focus_alignment", "eq", None, True), ("triad_focus_closure", "eq", None, True),
+]
+#: Checks that are skipped where there is nothing to check.
+OPTIONAL = ["protocol_focus_alignment", "triad_focus_closure"]
 
 
 def verify(vector: DataFrame, baseline_unmatched: int | None = None) -> DataFrame:
-    """(key, status) of each check over the measures; unmatched routes pass up to ceil(1.1 x baseline), and skip without one."""
+    """(key, status) of the 13 checks over the measures; unmatched routes pass up to ceil(1.1 x baseline), and skip without
+    one; focus checks skip without artifacts or a leading reference."""
     from .governance import evaluate
 
     spark = vector.sparkSession
     rules = spark.createDataFrame([(k, op, num, flag, True) for k, op, num, flag in THRESHOLDS], "key string, op string, num double, flag boolean, must_pass boolean")
     checks = evaluate(rules, as_metrics(vector))
+    checks = checks.withColumn("status", F.when(F.col("key").isin(OPTIONAL) & (F.col("status") == "error"), "skip").otherwise(F.col("status")))
     if baseline_unmatched is None:
         return checks.unionByName(spark.createDataFrame([("runtime_unmatched_route_count", "skip", True)], "key string, status string, must_pass boolean"))
     limit = float(-(-baseline_unmatched * 11 // 10))

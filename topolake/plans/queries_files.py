@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as X
+from ..functions.scalars import element
 from ..operators import canonical, edges as E, focus, healing, knowledge, labels
 from ..operators.extract import imports, promote, rows as R, runtime as RT, signatures as SG
+from ..operators.linkage import best_frame_node
 from ..operators.shared import cut
 from ..sources import datasets, files as FS
 from ..sources.config import Parser
@@ -180,14 +182,54 @@ query("p3_groups", "select n_nationkey, case n_nationkey % 3 when 0 then 'api' w
 query("e13_frames", "select event_id, 1 as f_ord, 'src/m' || (event_id % 5) || '.ts' as path, 3 as line from events")(
     lambda s, d: healing.frames(D.table(s, d, "events").select(F.col("event_id").alias("trace_id"), F.expr("'Error: x' || chr(10) || '  at Svc.run (/w/src/m' || (event_id % 5) || '.ts:3:9)' || chr(10) || 'end'").alias("text")), "/w").select(F.col("trace_id").alias("event_id"), "f_ord", "path", "line")
 )
-query("c12_diagnose", "select 'left_branch' as diagnosis, 'modify' as action, 'A.run' as node_id, 23 as score, 2::bigint as impacted, 'medium' as risk")(
-    lambda s, d: healing.diagnose(s.createDataFrame([(1, "Error: cannot read x\n  at A.run (/w/src/a.ts:3:9)")], "trace_id int, text string"), s.createDataFrame([("A.run", "src/a.ts", 0), ("B.run", "src/b.ts", 1), ("C.go", "src/a.ts", 2)], "node_id string, source_path string, ord int"), s.createDataFrame([("A.run", "B.run"), ("B.run", "C.go")], "src string, dst string"), root="/w")
+
+
+def _traces(s, d):
+    text = F.expr("concat(case event_id % 3 when 0 then 'Error: cannot read x' when 1 then 'schema mismatch' else 'circular import' end, chr(10), '  at N', event_id % 25, '.run (/w/src/m', event_id % 6, '.ts:3:9)', chr(10), 'end')")
+    return D.table(s, d, "events").select(F.col("event_id").alias("trace_id"), text.alias("text"))
+
+
+def _nation_nodes(s, d):
+    return D.table(s, d, "nation").select(F.expr("concat('N', n_nationkey, '.run')").alias("node_id"), F.expr("concat('src/M', n_nationkey % 5, '.ts')").alias("source_path"), F.col("n_nationkey").alias("ord"))
+
+
+def _nation_pairs(s, d):
+    return D.table(s, d, "nation").select(F.expr("concat('N', n_nationkey, '.run')").alias("src"), F.expr("concat('N', n_nationkey + 7, '.run')").alias("dst")).where("dst in ('N7.run', 'N8.run', 'N9.run', 'N10.run', 'N11.run', 'N12.run', 'N13.run', 'N14.run', 'N15.run', 'N16.run', 'N17.run', 'N18.run', 'N19.run', 'N20.run', 'N21.run', 'N22.run', 'N23.run', 'N24.run')")
+
+
+_BEST = """m as (select event_id as trace_id, n_nationkey as n, 18 + case when contains('n' || (event_id % 25) || '.run', 'n' || n_nationkey) then 5 else 0 end as score from events join nation on n_nationkey % 5 = event_id % 6),
+best as (select trace_id, 'N' || n || '.run' as node_id, n, score::int as score from m qualify row_number() over (partition by trace_id order by score desc, n) = 1)"""
+query("j11_frame_node", f"with {_BEST} select trace_id, node_id, score from best")(lambda s, d: best_frame_node(healing.frames(_traces(s, d), "/w"), _nation_nodes(s, d)))
+query("c12_diagnose", f"""with {_BEST}, k as (select event_id as trace_id, case event_id % 3 when 0 then 'left_branch' when 1 then 'contract' else 'topology' end as diagnosis, case event_id % 3 when 2 then 'manual_review' else 'modify' end as action from events),
+r as (select *, coalesce((24 - n) // 7, 0)::bigint as impacted from k left join best using (trace_id)) select trace_id, diagnosis, action, node_id, score, impacted, case when impacted >= 5 then 'high' when impacted >= 2 then 'medium' else 'low' end as risk from r""")(
+    lambda s, d: healing.diagnose(_traces(s, d), _nation_nodes(s, d), _nation_pairs(s, d), root="/w")
 )
-query("c2_focus_gate", "select 'fail' as status, 'mixed' as failure")(
-    lambda s, d: focus.gate(
-        s.createDataFrame([("micro-split.json", "Svc.run@src/a.ts", "Split"), ("draft-protocol.json macroSplit", "Other.run", "split")], "source string, focus string, operation string"),
-        s.createDataFrame([("micro-split.json", "Svc", ["x"], [("go", "")])], "artifact string, class_name string, static array<string>, dynamic array<struct<name:string,responsibility:string>>"),
-    )
+
+
+def _references(s, d):
+    """Focus references of nations: four known sources, others, incomplete ones and ones that differ."""
+    source = F.expr("concat(element_at(array('draft-protocol.json microSplit', 'micro-split.json', 'draft-protocol.json macroSplit', 'draft-protocol.json mesoSplit'), cast(n_nationkey % 4 + 1 as int)), case when n_nationkey >= 4 then concat(' ', n_nationkey) else '' end)")
+    return D.table(s, d, "nation").select(source.alias("source"), F.expr("case when n_nationkey % 7 = 3 then ' ' else concat('Svc', n_nationkey % 3, '.execute@src/a.ts') end").alias("focus"), F.expr("case n_nationkey % 5 when 1 then 'Split' when 2 then ' merge ' when 4 then null else 'split' end").alias("operation"))
+
+
+def _classes(s, d):
+    """Class blueprints of parts: a row an artifact and class, with its branches."""
+    by = D.parts(s, d).groupBy(F.col("category").alias("artifact"), F.split("node_id", r"\.")[0].alias("class_name"))
+    ops = F.array_sort(F.collect_list(F.when(F.col("ord") % 5 != 0, F.struct("ord", element(F.split("node_id", r"\."), -1).alias("name"), F.col("problem").alias("responsibility")))))
+    return by.agg(F.array_sort(F.collect_list(F.when(F.col("ord") % 4 != 0, F.col("problem")))).alias("static"), ops.alias("o")).select("artifact", "class_name", "static", F.transform("o", lambda x: F.struct(x["name"].alias("name"), x["responsibility"].alias("responsibility"))).alias("dynamic"))
+
+
+FOCUS = f"""refs as (select n_nationkey as n, ['draft-protocol.json microSplit', 'micro-split.json', 'draft-protocol.json macroSplit', 'draft-protocol.json mesoSplit'][n_nationkey % 4 + 1] || case when n_nationkey >= 4 then ' ' || n_nationkey else '' end as source,
+    case when n_nationkey % 7 <> 3 then 'Svc' || (n_nationkey % 3) || '.execute@src/a.ts' end as focus, case n_nationkey % 5 when 1 then 'split' when 2 then 'merge' when 4 then null else 'split' end as operation from nation),
+lead as (select * from refs where n = (select min(n) from refs where focus is not null and operation is not null)),
+drift as (select refs.source, case when refs.focus is null or refs.operation is null then 'incomplete' else 'drift' end as problem from refs, lead where refs.focus is null or refs.operation is null or refs.focus <> lead.focus or refs.operation <> lead.operation),
+cls as (select category as artifact, split_part(node_id, '.', 1) as class_name, count(*) filter (ord % 4 <> 0) as st, count(*) filter (ord % 5 <> 0) as dy, bool_or(ord % 5 <> 0 and split_part(node_id, '.', 2) = 'execute') as has from nodes group by all),
+tgt as (select a.artifact, c.class_name, st, dy, has from (select distinct artifact from cls) a left join cls c on c.artifact = a.artifact and c.class_name = (select split_part(focus, '.', 1) from lead)),
+closed as (select artifact, unnest(list_filter([case when class_name is null then 'missing_class' end, case when st = 0 then 'no_static' end, case when dy = 0 then 'no_dynamic' end, case when class_name is not null and not coalesce(has, false) then 'missing_method' end], lambda x: x is not null)) as problem from tgt)"""
+query("c2_alignment", f"with {D.PARTS}, {FOCUS} select source, problem from drift")(lambda s, d: focus.alignment(_references(s, d)))
+query("c2_closure", f"with {D.PARTS}, {FOCUS} select artifact, problem from closed")(lambda s, d: focus.closure(_references(s, d), _classes(s, d)))
+query("c2_focus_gate", f"with {D.PARTS}, {FOCUS}, k as (select (select count(*) from drift) as a, (select count(*) from closed) as c) select case when a + c > 0 then 'fail' else 'pass' end as status, case when a > 0 and c > 0 then 'mixed' when a > 0 then 'protocol_focus_alignment' when c > 0 then 'focus_closure' end as failure from k")(
+    lambda s, d: focus.gate(_references(s, d), _classes(s, d))
 )
 query("g11_canonical_order")(lambda s, d: canonical.canonical_order(D.parts(s, d).select(F.split("node_id", r"\.")[0].alias("owner"), "node_id", F.size("demand").cast("string").alias("colour"), F.size("answer").alias("weight"))))
 query("g17_display_nodes", "select status, count(*) as n from (select case when ord % 13 = 0 then 'modified' else 'unchanged' end as status from (select p_partkey as ord from part)) group by 1")(
