@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries_files, queries_graph, queries_rows  # noqa: F401
+from .plans import queries_files, queries_graph, queries_more, queries_rows  # noqa: F401
 
 QUERIES = {**queries_graph.QUERIES}
 ORACLE = {**queries_graph.ORACLE}

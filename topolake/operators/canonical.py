@@ -32,9 +32,20 @@ def order(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def canonical_order(nodes: DataFrame, most_nodes: int = 8) -> DataFrame:
-    """(owner, node_id, place, digest) of fragments of at most `most_nodes` nodes; larger ones have no strict order and are left out."""
+    """(owner, node_id, place, digest, mode) of fragments (owner, node_id, colour, weight).
+
+    Fragments of at most `most_nodes` nodes are ordered strictly; larger ones fall back to the order of their ids, with the
+    digest of their weights, largest first. Fragments are never gathered beyond `most_nodes` rows.
+    """
     from pyspark.sql import Window, functions as F
 
     ship(nodes.sparkSession)
-    sized = nodes.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("owner"))).where(F.col("_n") <= most_nodes).drop("_n")
-    return sized.select("owner", "node_id", "colour", "weight").groupBy("owner").applyInPandas(order, "owner string, node_id string, place long, digest string")
+    size = nodes.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
+    rows = nodes.select("owner", "node_id", "colour", "weight").join(size, "owner")
+    strict = rows.where(F.col("_n") <= most_nodes).drop("_n").groupBy("owner").applyInPandas(order, "owner string, node_id string, place long, digest string").withColumn("mode", F.lit("strict"))
+    large = rows.where(F.col("_n") > most_nodes)
+    by_weight = large.groupBy("owner", "weight").agg(F.count(F.lit(1)).alias("k")).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "k"))).alias("p"))  # a row a weight
+    digest = by_weight.select("owner", F.sha2(F.array_join(F.transform("p", lambda x: F.concat((-x["w"]).cast("string"), F.lit("x"), x["k"].cast("string"))), ","), 256).alias("digest"))
+    place = F.row_number().over(Window.partitionBy("owner").orderBy("node_id")) - 1
+    loose = large.withColumn("place", place.cast("long")).join(digest, "owner").select("owner", "node_id", "place", "digest", F.lit("fallback").alias("mode"))
+    return strict.unionByName(loose)

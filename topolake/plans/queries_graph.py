@@ -337,9 +337,6 @@ def _keys(s, d, m):
 query("u1_edge_drift", f"with {D.CONTRACTS}, {_VER}, {_KEYS} (select 'added' as change, key from nk where key not in (select key from ok) order by key limit 50) union all (select 'removed', key from ok where key not in (select key from nk) order by key limit 50)")(
     lambda s, d: R.edge_drift(_keys(s, d, 5), _keys(s, d, 7), 50)
 )
-query("u2_risk_changes", "with a as (select distinct l_suppkey::varchar as key from lineitem where l_quantity > 49), b as (select distinct l_suppkey::varchar as key from lineitem where l_discount > 0.095) select 'added' as change, key from (from a except from b) union all select 'removed', key from (from b except from a)")(
-    lambda s, d: R.set_changes(D.table(s, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").cast("string").alias("key")).distinct(), D.table(s, d, "lineitem").where("l_discount > 0.095").select(F.col("l_suppkey").cast("string").alias("key")).distinct(), "key")
-)
 query("j14_surges", f"with {D.CONTRACTS}, {_VER}, o as (select dst as node_id, count(*) as n from oe group by dst), w as (select dst as node_id, count(*) as n from ne group by dst) select node_id, coalesce(w.n, 0) as current, coalesce(o.n, 0) as previous, coalesce(w.n, 0) - coalesce(o.n, 0) as delta from o full join w using (node_id) where abs(coalesce(w.n, 0) - coalesce(o.n, 0)) >= 3")(
     lambda s, d: R.surges(*(E.edges_of(_version(s, d, m), D.demands(s, d)).groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("degree")) for m in (5, 7)))
 )

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from .. import schema as S
 
@@ -27,31 +26,32 @@ RUNTIME_JSON = (
 )
 
 
-def _text(spark: SparkSession, path: str) -> str | None:
-    """A whole document through Spark's readers, without a byte-order mark; null where it can't be read."""
+def _shape(spark: SparkSession, path: str) -> Row | None:
+    """What a document is, as its executors see it: null where it can't be read, else its first sign and what of it is valid.
+
+    The document itself does not come to the driver.
+    """
+    doc = F.regexp_replace("value", "^﻿", "")
     try:
-        rows = spark.read.text(path, wholetext=True).collect()  # one document
+        rows = spark.read.text(path, wholetext=True).select(F.left(F.trim(F.regexp_replace(doc, r"^\s+", "")), F.lit(1)).alias("first"), F.json_array_length(doc).isNotNull().alias("array"), F.json_object_keys(doc).alias("keys"),
+            *(F.coalesce(F.left(F.trim(F.get_json_object(doc, f"$.{k}")), F.lit(1)) == "[", F.lit(False)).alias(k) for k in ("nodes", "edges"))).collect()  # one row of a few signs
     except Exception as e:  # noqa: BLE001  Spark names a missing path in several ways
         if "PATH_NOT_FOUND" in str(e) or "FileNotFound" in str(e) or "does not exist" in str(e):
             return None
         raise
-    return rows[0][0].lstrip("﻿") if rows else None
+    return rows[0] if rows else None
 
 
 def read_nodes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """NODE rows of a node map (a JSON array), and DIAG rows: a missing file or another shape gives no nodes."""
-    text = _text(spark, path)
+    shape = _shape(spark, path)
     none, fine = S.empty(spark, S.NODE), S.empty(spark, S.DIAG)
-    if text is None:
+    if shape is None:
         return none, diag(spark, "warning", "NODE_MAP_MISSING", "DatasetReader", f"node map missing: {path}", path)
-    try:
-        ok = isinstance(json.loads(text), list)
-    except ValueError:
-        ok = False
-    if not ok:
+    if not shape["array"]:
         return none, diag(spark, "error", "NODE_MAP_INVALID", "DatasetReader", f"node map is not a valid array: {path}", path)
     # the document is read again by the executors, with its schema
-    rows = spark.read.schema("doc string").text(path, wholetext=True).select(F.posexplode(F.from_json(F.regexp_replace("value" if False else "doc", "^﻿", ""), f"array<struct<{_struct(NODE_JSON)}>>")).alias("ord", "n"))
+    rows = spark.read.schema("doc string").text(path, wholetext=True).select(F.posexplode(F.from_json(F.regexp_replace("doc", "^﻿", ""), f"array<struct<{_struct(NODE_JSON)}>>")).alias("ord", "n"))
     ghosts = F.transform("n.fission.evidence.ghostReads", lambda g: F.struct(g["raw"].alias("raw"), g["mode"].alias("mode"), g["target"].alias("target"), g["valueType"].alias("value_type"), F.coalesce(g["retainedInDemand"], F.lit(False)).alias("retained"), g["score"].alias("score")))
     none_of = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     out = rows.select(
@@ -78,16 +78,11 @@ def _struct(ddl: str) -> str:
 
 def read_runtime(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """RT_NODE, RT_EDGE and DIAG rows of a runtime map (a JSON object); missing or misshapen gives none and a diagnostic."""
-    text = _text(spark, path)
+    shape = _shape(spark, path)
     n, e = S.empty(spark, S.RT_NODE), S.empty(spark, S.RT_EDGE)
-    if text is None:
+    if shape is None:
         return n, e, diag(spark, "warning", "RUNTIME_MAP_MISSING", "DatasetReader", f"runtime map missing: {path}", path)
-    try:
-        doc = json.loads(text)
-        ok = isinstance(doc, dict) and isinstance(doc.get("nodes"), list) and isinstance(doc.get("edges"), list)
-    except ValueError:
-        ok = False
-    if not ok:
+    if shape["keys"] is None or not (shape["nodes"] and shape["edges"]):
         return n, e, diag(spark, "error", "RUNTIME_MAP_INVALID", "DatasetReader", f"runtime map is not a valid object: {path}", path)
     doc = spark.read.schema("doc string").text(path, wholetext=True).select(F.from_json(F.regexp_replace("doc", "^﻿", ""), f"struct<{_struct(RUNTIME_JSON)}>").alias("d"))
     ev = lambda c: F.transform(F.col(c), lambda x: F.struct(x["sourcePath"].alias("source_path"), x["line"].alias("line"), x["column"].alias("column"), x["kind"].alias("kind"), x["text"].alias("text"), x["confidence"].alias("confidence")))
@@ -99,7 +94,7 @@ def read_runtime(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 
 def read_diagnostics(spark: SparkSession, path: str) -> DataFrame:
     """DIAG rows of a bare array or of an object with a `diagnostics` array; none from anything else."""
-    if _text(spark, path) is None:
+    if _shape(spark, path) is None:
         return S.empty(spark, S.DIAG)
     item = "struct<level:string,code:string,extractor:string,message:string,sourcePath:string>"
     doc = spark.read.schema("doc string").text(path, wholetext=True).select(F.regexp_replace("doc", "^﻿", "").alias("doc"))

@@ -48,9 +48,11 @@ def walk(spark: SparkSession, root: str, patterns: list[str] = (), max_files: in
     kept = flagged.where(~F.col("_skip")).drop("_skip")
     diags = summary(flagged.where("_skip").select("path"), "RUNTIME_EXCLUDED_PATHS_SUMMARY", "info", "Skipped runtime paths by exclude rules")
     if max_files is not None:
-        n = kept.select("path").limit(max_files + 1).count()
-        kept = kept.orderBy("path").limit(max_files)
-        if n > max_files:
+        # only names are ordered; contents stay where they are read
+        first = kept.select(F.col("path").alias("_p")).orderBy("_p").limit(max_files + 1)
+        last = first.agg(F.max("_p").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        if last["n"] > max_files:
+            kept = kept.where(F.col("path") < last["last"])
             diags = diags.unionByName(_diag(spark, "warning", "RUNTIME_MAX_FILES_REACHED", f"Runtime source scan reached its limit of {max_files} files"))
     return kept, diags
 

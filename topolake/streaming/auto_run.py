@@ -50,18 +50,25 @@ def gated(events: DataFrame, config: AutoRun | None = None) -> DataFrame:
     """W3 over a stream of (project, event_id, trigger, ts): a decision a row, with one state a project.
 
     Time comes with the events, so a rerun decides the same. Within a batch a project's events go in order of (ts,
-    event_id); they arrive as an iterator and are taken a chunk at a time.
+    event_id), so their ids, triggers and times are held until all of a batch have come; the source's limits on files or
+    rows a batch bound that. Decisions leave in parts.
     """
     ship(events.sparkSession)
     cfg = config or AutoRun()
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else (0, 0, None, None)
-        held = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, trigger, ts in held[["event_id", "trigger", "ts"]].itertuples(index=False, name=None):
+        parts = [c[["event_id", "trigger", "ts"]].astype({"trigger": "category"}) for c in chunks]
+        for part in parts:
+            part["trigger"] = part["trigger"].cat.set_categories(sorted({t for p in parts for t in p["trigger"].cat.categories}))
+        held, out = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"]), []
+        for event_id, trigger, ts in held.itertuples(index=False, name=None):
+            trigger = trigger if isinstance(trigger, str) else None
             now, status, reason = decide(now, trigger or "unknown", ts.timestamp(), cfg)
             out.append((key[0], event_id, trigger, status, reason, now[1]))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=["project", "event_id", "trigger", "status", "reason", "pending"])
+                out = []
         state.update(now)
         yield pd.DataFrame(out, columns=["project", "event_id", "trigger", "status", "reason", "pending"])
 
