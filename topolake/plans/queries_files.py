@@ -107,13 +107,17 @@ query("f11_suppressed", "select 'Store' || p_partkey || 'Service' as owner, '_hi
 query("f12_promoted", "select 'Store' || p_partkey || 'Service.execute' as id, 4 as score from part where p_partkey % 5 = 3 union all select 'F' || p_partkey || '.run_' || p_partkey, 5 from part where p_partkey % 5 = 0")(
     lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).where("promoted").select(F.concat_ws(".", "owner", "name").alias("id"), "score")
 )
-query("f12_scores")(lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).select("owner", "name", "score", "promoted", F.array_join("reasons", ",").alias("reasons")))
+query("f12_scores", """select case p_partkey % 5 when 0 then 'F' || p_partkey when 1 then 'P' || p_partkey when 2 then 'T' || p_partkey else 'Store' || p_partkey || 'Service' end as owner, case p_partkey % 5 when 0 then 'run_' || p_partkey when 1 then 'load' || p_partkey when 2 then 'work_' || p_partkey else 'execute' end as name,
+case p_partkey % 5 when 0 then 5 when 1 then -4 when 2 then 1 else 4 end as score, p_partkey % 5 in (0, 3) as promoted, case p_partkey % 5 when 0 then 'external_contract,runtime_signal,business_semantic' when 1 then 'business_semantic' when 2 then 'runtime_signal,business_semantic' else 'external_contract,business_semantic,cross_module_call' end as reasons
+from part where p_partkey % 5 < 4 union all select 'Store' || p_partkey || 'Service', '_hide', 3, false, 'business_semantic' from part where p_partkey % 5 = 3""")(lambda s, d: promote.judged(SG.extract(source_files(s, d)).where("name is not null")).select("owner", "name", "score", "promoted", F.array_join("reasons", ",").alias("reasons")))
 query("a19_folded", """select 'Store' || p_partkey || 'Service.execute' as node_id, 'Store' || p_partkey || 'Service.execute,Store' || p_partkey || 'Service._hide' as folded from part where p_partkey % 5 = 3
 union all select 'F' || p_partkey || '.run_' || p_partkey, 'F' || p_partkey || '.run_' || p_partkey from part where p_partkey % 5 = 0""")(
     lambda s, d: promote.fold(promote.judged(SG.extract(source_files(s, d)).where("name is not null"))).select("node_id", F.array_join("folded_leaves", ",").alias("folded"))
 )
 query("x22_problem_text", f"with {D.PARTS} select node_id, problem as text from nodes")(lambda s, d: D.parts(s, d).select("node_id", promote.problem_text(F.col("node_id"), F.col("source_path"), F.col("problem")).alias("text")))
-query("x22_problem_synthesis")(lambda s, d: D.parts(s, d).select("node_id", promote.problem_text(F.col("node_id"), F.col("source_path"), F.lit("execute a b flow")).alias("text")))
+query("x22_problem_synthesis", """with p as (select p_partkey as k, 'Svc' || (p_partkey // 7) as c, regexp_extract(p_brand, '(\\d+)', 1) as b from part)
+select c || '.' || ['execute', 'build', 'handle', 'parse', 'run', 'report', 'load'][k % 7 + 1] as node_id, case k % 7 when 0 then 'Execution Capability: Run ' || c when 1 then 'System Capability: Provide ' || c || ' build' when 2 then 'System Capability: Handle ' || c when 3 then 'System Capability: Analyze ' || c || ' parse'
+when 4 then 'System Capability: Run ' || c when 5 then 'System Capability: Provide ' || c || ' report' else 'System Capability: Analyze ' || c || ' load' end || ' brand ' || b as text from p""")(lambda s, d: D.parts(s, d).select("node_id", promote.problem_text(F.col("node_id"), F.col("source_path"), F.lit("execute a b flow")).alias("text")))
 
 # scans
 
