@@ -75,6 +75,13 @@ def test_call_paths(expression, want):
     ("go", "func (s *Svc) Run(ctx Context, n int) error {\n}\nfunc Help(a string) (int, error) {\n}", {("Svc", "Run", "Context (ctx),int (n)", "error"), ("M", "Help", "string (a)", "int, error")}),
     ("rust", "impl Svc {\n  pub fn run(&self, a: A) -> B {\n  }\n}\nfn free() {\n}", {("Svc", "run", "A (a)", "B"), ("M", "free", "None", "void")}),
     ("cpp", "int Svc::run(int a, char* b) {\n}\nvoid free(int x) {\n}", {("Svc", "run", "int (a),char* (b)", "int"), ("M", "free", "int (x)", "void")}),
+    ("typescript", "function run(cb: (x: number) => void, y: Foo<A, B>): Promise<void> { if (x) { function inner() {} } }\nclass S { go(a: Map<string, (n: number) => void>): void {} }", {("M", "run", "(x: number) => void (cb),Foo<A, B> (y)", "Promise<void>"), ("S", "go", "Map<string, (n: number) => void> (a)", "void")}),
+    ("typescript", "export default class B<T> extends C<{ a: T }> implements D {\n  private n = () => { return { go() {} } }\n  @dec({ x: 1 })\n  static async *each(\n    a: T[] = [],\n    { b, c }: Opts = {},\n  ): AsyncIterator<{ v: T }> {\n    if (a) { while (b) {} }\n  }\n  abstract gone(): void;\n  get size(): number { return 1 }\n  constructor(x) {}\n}\nconst h = async <T>(a: T): Promise<T | null> => a\nlet k = function (z) {}\nconst text = `function no(a) {}` // function no2() {}", {("B", "each", "T[] (a),Opts (b, c)", "AsyncIterator<{ v: T }>"), ("B", "size", "None", "number"), ("M", "h", "T (a)", "Promise<T | null>"), ("M", "k", "unknown (z)", "unknown")}),
+    ("java", "@Service(\"x\")\npublic class A<T extends B<C>> implements D {\n private final Map<String, List<T>> m = new HashMap<>() {{ put(1, 2); }};\n @Override\n public <R> Map<String, R> run(@Valid final Foo<T> a, int... b) throws IOException, X {\n  for (int i = 0; i < 3; i++) { go(i); }\n }\n static class In { void x() {} }\n enum E { A(1), B(2); int f() { return 1; } }\n abstract int none(int a);\n}", {("A", "run", "Foo<T> (a),int... (b)", "Map<String, R>"), ("In", "x", "None", "void"), ("E", "f", "None", "int")}),
+    ("go", "package x\n// func no() {}\nfunc (s *Svc[K]) Map(f func(a int) (string, error), m map[string]interface{}) (out []T, err error) {\n x := func(q int) {}\n}\nfunc Gen[T any](a, b T, c ...int) interface{} {\n}\ntype I interface {\n Do(a int) error\n}", {("Svc", "Map", "func(a int) (string, error) (f),map[string]interface{} (m)", "out []T, err error"), ("M", "Gen", "T (a),T (b),...int (c)", "interface{}")}),
+    ("rust", "impl<'a, T: Clone> Iterator<Item<T>> for Walk<'a, T> where T: X { }\nimpl fmt::Display for Svc {\n  #[inline]\n  pub(crate) async fn each<F>(&mut self, f: F, mut m: HashMap<String, Vec<u8>>) -> Result<(), Box<dyn Error>>\n  where\n    F: Fn(&str) -> bool,\n  { let c = 'x'; fn inner() {} }\n}\nimpl Plain for Svc { fn a(&'a self, s: &'a str) {} }\ntrait T { fn no(&self); }\npub fn top(a: [u8; 4]) {}", {("Svc", "each", "F (f),HashMap<String, Vec<u8>> (m)", "Result<(), Box<dyn Error>>"), ("Plain", "a", "unknown (&'a self),&'a str (s)", "void"), ("M", "top", "[u8; 4] (a)", "void")}),
+    ("cpp", "#include <map>\n#define X(a) a\nnamespace n {\nclass Svc : public Base<int> {\npublic:\n  Svc(int a) : x_{a}, y_(a) { go(); }\n  ~Svc() = default;\n  virtual std::map<std::string, std::vector<int>> get(const std::map<int, int>& m,\n      int n = f(1, 2)) const override;\n  static auto make(int a) -> std::unique_ptr<Svc> { return nullptr; }\n private:\n  int x_ = 0;\n};\n}\ntemplate <typename T>\nstd::vector<T> Svc::all(T a) {\n  if (a) { for (;;) {} }\n}\nint main() { return run(1); }", {("Svc", "get", "const std::map<int, int>& (m),int (n)", "std::map<std::string, std::vector<int>>"), ("Svc", "make", "int (a)", "std::unique_ptr<Svc>"), ("Svc", "all", "T (a)", "std::vector<T>"), ("M", "main", "None", "int")}),
+    ("python", "def f(a: Map[str, int], b=g(1, 2)) -> Out:\n  return (\ndef _no(): pass", {("M", "f", "Map[str, int] (a),unknown (b)", "Out")}),
     ("python", "class A:\n  def run(self, x: Foo, *, y=1) -> Bar: ...\ndef f(): pass", {("A", "run", "Foo (x),unknown (y)", "Bar"), ("M", "f", "None", "void")}),
 ])
 def test_signatures(language, text, want):

@@ -173,3 +173,21 @@ def s10(s, d):
         merged = config.merged(given)
         rows.append((k, merged.runtime.max_files, merged.language))
     return s.createDataFrame(rows, "n_nationkey int, max_files long, language string")
+
+
+# one declaration a file, in six languages and with what makes them hard to read
+
+_LANGUAGES = ["java", "go", "rust", "cpp", "typescript", "python"]
+_SOURCES = """case p_partkey % 6
+when 0 then concat('@Service("a")', chr(10), 'public class J', p_partkey, ' extends Base<X<Y>> {', chr(10), ' // void no() {}', chr(10), ' @Override public <R> Map<String, List<T', p_partkey % 7, '>> run(@Valid(max = 3) Foo<A, B> a, final int b) throws E {', chr(10), '  if (a) { go(); }', chr(10), ' }', chr(10), '}')
+when 1 then concat('func (s *G', p_partkey, ') Do(f func(a int) error, n, m int) (T', p_partkey % 7, ', error) {', chr(10), ' x := func(q int) {}', chr(10), '}')
+when 2 then concat('impl<T: Clone> R', p_partkey, ' {', chr(10), ' pub fn go<F>(&self, f: F, m: Map<K, Vec<u8>>) -> Result<T', p_partkey % 7, ', E>', chr(10), ' where F: Fn(u8) -> u8 { fn inner() {} }', chr(10), '}')
+when 3 then concat('#include <map>', chr(10), 'class P', p_partkey, ' : public B<int> {', chr(10), 'public:', chr(10), ' P', p_partkey, '(int a) : x_{a} {}', chr(10), ' virtual std::map<A, T', p_partkey % 7, '> get(const std::vector<int>& v,', chr(10), '   int n = f(1, 2)) const override;', chr(10), '};')
+when 4 then concat('export class W', p_partkey, ' extends Q<{ a: T }> {', chr(10), ' private k = () => { return 1 }', chr(10), ' async each(cb: (x: number) => void, y: Foo<A, B> = {}): Promise<T', p_partkey % 7, '> { while (y) {} }', chr(10), '}')
+else concat('class Y', p_partkey, ':', chr(10), '  def go(self, a: Dict[str, int], *, b=1) -> T', p_partkey % 7, ': ...', chr(10)) end"""
+query("e8_languages", """with p as (select p_partkey as k, 'T' || (p_partkey % 7) as t from part) select ['java', 'go', 'rust', 'cpp', 'typescript', 'python'][k % 6 + 1] as language, case k % 6 when 0 then 'J' || k || '.run' when 1 then 'G' || k || '.Do' when 2 then 'R' || k || '.go' when 3 then 'P' || k || '.get' when 4 then 'W' || k || '.each' else 'Y' || k || '.go' end as node_id,
+case k % 6 when 0 then 'Foo<A, B> (a);int (b)' when 1 then 'func(a int) error (f);int (n);int (m)' when 2 then 'F (f);Map<K, Vec<u8>> (m)' when 3 then 'const std::vector<int>& (v);int (n)' when 4 then '(x: number) => void (cb);Foo<A, B> (y)' else 'Dict[str, int] (a);unknown (b)' end as demand,
+case k % 6 when 0 then 'Map<String, List<' || t || '>>' when 1 then t || ', error' when 2 then 'Result<' || t || ', E>' when 3 then 'std::map<A, ' || t || '>' when 4 then 'Promise<' || t || '>' else t end as answer from p""")(
+    lambda s, d: SG.extract(D.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).select(F.expr("concat('src/f', p_partkey)").alias("path"), F.element_at(F.array(*(F.lit(x) for x in _LANGUAGES)), (F.col("p_partkey") % 6 + 1).cast("int")).alias("language"), F.expr(_SOURCES).alias("content")))
+    .select("language", F.concat_ws(".", "owner", "name").alias("node_id"), F.array_join("demand", ";").alias("demand"), F.array_join("answer", ";").alias("answer"))
+)
