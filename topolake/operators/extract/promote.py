@@ -168,6 +168,13 @@ def problem_text(node_id: Column, path: Column, raw: Column) -> Column:
     return F.when(empty, F.concat(F.when(vague, "[low_semantic_name] ").otherwise(""), kind, F.lit(" Capability: "), verb, F.lit(" "), subject)).otherwise(raw)
 
 
+def capabilities(rows: DataFrame, config: Parser | None = None) -> DataFrame:
+    """fold's nodes, and one of each file that gives none but has functions to show; Java and C++ have no such files."""
+    folded = fold(rows, config)
+    last = file_fallback(rows.where(~F.col("language").isin("java", "cpp")), folded)
+    return folded.unionByName(last.withColumn("promotion_reasons", F.array().cast("array<string>")))
+
+
 def file_fallback(rows: DataFrame, folded: DataFrame) -> DataFrame:
     """A19 (4): one `.module_pipeline` node for files that gave none but have unsuppressed top-level functions."""
     bare = rows.where("not suppressed").join(folded.select("source_path").distinct(), "source_path", "left_anti")

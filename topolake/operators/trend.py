@@ -69,8 +69,8 @@ def degraded(new_cycle_rows: DataFrame, broken: DataFrame, removed: DataFrame) -
     return out.withColumn("degraded", (F.col("new_cycles") > 0) | (F.col("broken_contracts") > 0) | (F.col("removed_edges") > 0))
 
 
-def snapshot(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """A snapshot as tables: `totals` (one row), `risk`, `degree` (a row a node) and `keys` (a row an edge).
+def snapshot(nodes: DataFrame, edges: DataFrame, runtime_nodes: DataFrame | None = None, runtime_edges: DataFrame | None = None, diagnostics: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A snapshot as tables: `totals` (one row), `risk`, `degree` (a row a node), `keys` and `runtime_keys` (a row an edge).
 
     Kept as rows, not as one document, so a snapshot of any size is written, and compared by joins.
     """
@@ -78,16 +78,27 @@ def snapshot(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     every = nodes.select("node_id").distinct().join(degree.select("node_id", "degree"), "node_id", "left").na.fill(0, ["degree"])
     ghost = F.count_if(has_ghost(F.col("demand")))
     totals = nodes.agg(F.count(F.lit(1)).alias("nodes"), ratio(F.count_if(execute_like(F.col("node_id"))), F.count(F.lit(1))).alias("execute_like_ratio"), ratio(ghost, F.count(F.lit(1))).alias("ghost_ratio")).join(edges.agg(F.count(F.lit(1)).alias("edges")))
-    return {"totals": totals, "risk": risk(nodes, degree), "degree": every, "keys": edge_keys(edges)}
+    spark = nodes.sparkSession
+    some = lambda df, schema: df if df is not None else spark.createDataFrame([], schema)
+    links = some(runtime_edges, "src string, type string, dst string")
+    no_code = F.count_if(F.coalesce(F.trim("code"), F.lit("")) == "")
+    for part in (some(runtime_nodes, "id string").agg(F.count(F.lit(1)).alias("runtime_nodes")), links.agg(F.count(F.lit(1)).alias("runtime_edges")), some(diagnostics, "code string").agg(no_code.alias("diagnostics_no_code"))):  # one-row frames
+        totals = totals.join(part)
+    keys = links.select(F.concat_ws("::", "src", "type", "dst").alias("key")).distinct()
+    return {"totals": totals, "risk": risk(nodes, degree), "degree": every, "keys": edge_keys(edges), "runtime_keys": keys}
 
 
 def report(now: dict[str, DataFrame], before: dict[str, DataFrame], most: int = 50) -> DataFrame:
-    """(measure, value) of what changed between two snapshots; edges count up to `most` a side, as they are listed."""
-    drift = edge_drift(now["keys"], before["keys"], most).groupBy(F.concat(F.lit("edges_"), "change").alias("measure")).agg(F.count(F.lit(1)).alias("value"))
+    """(measure, value) of what is and what changed between two snapshots; edges count up to `most` a side, as they are listed."""
+    drifts = lambda keys, prefix: edge_drift(now[keys], before[keys], most).groupBy(F.concat(F.lit(prefix), "change").alias("measure")).agg(F.count(F.lit(1)).alias("value"))
+    drift = drifts("keys", "edges_").unionByName(drifts("runtime_keys", "runtime_edges_"))
     shift = set_changes(now["risk"].select("node_id"), before["risk"].select("node_id"), "node_id").groupBy(F.concat(F.lit("risk_"), "change").alias("measure")).agg(F.count(F.lit(1)).alias("value"))
     jumped = surges(now["degree"], before["degree"]).agg(F.count(F.lit(1)).alias("value")).select(F.lit("surges").alias("measure"), "value")
-    size = now["totals"].select(F.explode(F.array(F.struct(F.lit("nodes").alias("measure"), F.col("nodes").alias("value")), F.struct(F.lit("edges").alias("measure"), F.col("edges").alias("value")))).alias("x")).select("x.*")
-    return size.unionByName(drift).unionByName(shift).unionByName(jumped)
+    risky = now["risk"].agg(F.count(F.lit(1)).alias("value")).select(F.lit("risk_total").alias("measure"), "value")
+    measures = ("nodes", "edges", "runtime_nodes", "runtime_edges", "diagnostics_no_code", "execute_like_ratio", "ghost_ratio")
+    size = now["totals"].select(F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))).alias("x")).select("x.*")
+    out = drift.unionByName(shift).unionByName(jumped).unionByName(risky)
+    return size.unionByName(out.select("measure", F.col("value").cast("double").alias("value")))
 
 
 def keep_newest(history: DataFrame, window: int = 26, by: str = "generated_at") -> DataFrame:

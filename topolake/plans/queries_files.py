@@ -114,6 +114,11 @@ query("a19_folded", """select 'Store' || p_partkey || 'Service.execute' as node_
 union all select 'F' || p_partkey || '.run_' || p_partkey, 'F' || p_partkey || '.run_' || p_partkey from part where p_partkey % 5 = 0""")(
     lambda s, d: promote.fold(promote.judged(SG.extract(source_files(s, d)).where("name is not null"))).select("node_id", F.array_join("folded_leaves", ",").alias("folded"))
 )
+query("a19_capabilities", """select 'Store' || p_partkey || 'Service.execute' as node_id, 'Store' || p_partkey || 'Service.execute,Store' || p_partkey || 'Service._hide' as folded from part where p_partkey % 5 = 3
+union all select 'F' || p_partkey || '.run_' || p_partkey, 'F' || p_partkey || '.run_' || p_partkey from part where p_partkey % 5 = 0 union all select 'P' || p_partkey || '.module_pipeline', 'P' || p_partkey || '.load' || p_partkey from part where p_partkey % 5 = 1
+union all select 'T' || p_partkey || '.module_pipeline', 'T' || p_partkey || '.work_' || p_partkey from part where p_partkey % 5 = 2""")(
+    lambda s, d: promote.capabilities(promote.judged(SG.extract(source_files(s, d)).where("name is not null"))).select("node_id", F.array_join("folded_leaves", ",").alias("folded"))
+)
 query("x22_problem_text", f"with {D.PARTS} select node_id, problem as text from nodes")(lambda s, d: D.parts(s, d).select("node_id", promote.problem_text(F.col("node_id"), F.col("source_path"), F.col("problem")).alias("text")))
 query("x22_problem_synthesis", """with p as (select p_partkey as k, 'Svc' || (p_partkey // 7) as c, regexp_extract(p_brand, '(\\d+)', 1) as b from part)
 select c || '.' || ['execute', 'build', 'handle', 'parse', 'run', 'report', 'load'][k % 7 + 1] as node_id, case k % 7 when 0 then 'Execution Capability: Run ' || c when 1 then 'System Capability: Provide ' || c || ' build' when 2 then 'System Capability: Handle ' || c when 3 then 'System Capability: Analyze ' || c || ' parse'

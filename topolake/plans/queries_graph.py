@@ -347,16 +347,23 @@ def _daily(s, d):
 
 
 def _snapshot(s, d, m):
+    """Contracts without one part in m; runtime rows without one event in m; diagnostics of every event, some without a code."""
     e = E.edges_of(_version(s, d, m), D.demands(s, d))
-    return R.snapshot(e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("demand", F.array().cast("array<string>")), e)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("demand", F.array().cast("array<string>"))
+    diags = D.table(s, d, "events").select(F.when(F.col("event_type") != "error", F.col("event_type")).alias("code"))
+    return R.snapshot(nodes, e, D.runtime_nodes(s, d).where(F.col("ord") % m != 0).select("id").distinct(), D.runtime_edges(s, d).where(F.col("ord") % m != 0), diags)
 
 
-query("c5_trend_report", f"""with {D.CONTRACTS}, {_VER}, {_KEYS}, nd as (select node_id, count(*) as n from (select src as node_id from ne union all select dst from ne) group by 1), od as (select node_id, count(*) as n from (select src as node_id from oe union all select dst from oe) group by 1),
+query("c5_trend_report", f"""with {D.CONTRACTS}, {_VER}, {_KEYS}, {D.RUNTIME}, {D.RUNTIME_EDGES}, nd as (select node_id, count(*) as n from (select src as node_id from ne union all select dst from ne) group by 1), od as (select node_id, count(*) as n from (select src as node_id from oe union all select dst from oe) group by 1),
 nio as (select node_id, sum(i) as i, sum(o) as o from (select dst as node_id, 1 as i, 0 as o from ne union all select src, 0, 1 from ne) group by 1), oio as (select node_id, sum(i) as i, sum(o) as o from (select dst as node_id, 1 as i, 0 as o from oe union all select src, 0, 1 from oe) group by 1),
 nr as (select node_id from nio where i >= 5 or o >= 5 or i + o >= 8 order by i + o desc, node_id limit 80), orr as (select node_id from oio where i >= 5 or o >= 5 or i + o >= 8 order by i + o desc, node_id limit 80),
-m as (select 'nodes' as measure, count(*) as value from nd union all select 'edges', count(*) from ne union all select 'edges_added', least(50, count(*)) from nk where key not in (select key from ok) union all select 'edges_removed', least(50, count(*)) from ok where key not in (select key from nk)
-union all select 'risk_added', count(*) from nr where node_id not in (select node_id from orr) union all select 'risk_removed', count(*) from orr where node_id not in (select node_id from nr)
-union all select 'surges', count(*) from nd full join od using (node_id) where abs(coalesce(nd.n, 0) - coalesce(od.n, 0)) >= 3) select measure, value::bigint as value from m where value > 0 or measure in ('nodes', 'edges', 'surges')""")(lambda s, d: R.report(_snapshot(s, d, 5), _snapshot(s, d, 7)))
+rn_k as (select distinct src || '::' || type || '::' || dst as key from re where ord % 5 <> 0), ro_k as (select distinct src || '::' || type || '::' || dst as key from re where ord % 7 <> 0),
+m as (select 'edges_added' as measure, least(50, count(*)) as value from nk where key not in (select key from ok) union all select 'edges_removed', least(50, count(*)) from ok where key not in (select key from nk)
+union all select 'runtime_edges_added', least(50, count(*)) from rn_k where key not in (select key from ro_k) union all select 'runtime_edges_removed', least(50, count(*)) from ro_k where key not in (select key from rn_k)
+union all select 'risk_added', count(*) from nr where node_id not in (select node_id from orr) union all select 'risk_removed', count(*) from orr where node_id not in (select node_id from nr)),
+t as (select 'nodes' as measure, count(*) as value from nd union all select 'edges', count(*) from ne union all select 'surges', count(*) from nd full join od using (node_id) where abs(coalesce(nd.n, 0) - coalesce(od.n, 0)) >= 3
+union all select 'risk_total', count(*) from nr union all select 'runtime_nodes', count(distinct id) from rt where ord % 5 <> 0 union all select 'runtime_edges', count(*) from re where ord % 5 <> 0 union all select 'diagnostics_no_code', count(*) from events where event_type = 'error'
+union all select 'execute_like_ratio', 0 union all select 'ghost_ratio', 0) select measure, value::double as value from m where value > 0 union all select measure, value::double from t""")(lambda s, d: R.report(_snapshot(s, d, 5), _snapshot(s, d, 7)))
 query("c14_protocol_problems", f"""with {_CH} select ord, 'low_confidence' as rule from ch where ord % 10 < 5 union all select -1, 'focus_drift' union all {_CHANGE_PROBLEMS}""")(
     lambda s, d: M.protocol_problems(_changes(s, d).withColumn("confidence", (F.col("ord") % 10) / 10.0), _named(s, d), s.createDataFrame([("macro", "A.run", "split"), ("meso", "A.run", "Split"), ("micro", "B.run", "split")], "stage string, focus string, operation string"), 0.5)
 )
