@@ -78,3 +78,36 @@ def restructure(nodes: DataFrame, edges: DataFrame, fan: DataFrame, split_at: in
     start = widest.unionByName(ids.orderBy("node_id").limit(1).withColumn("o", F.lit(1))).orderBy("o").limit(1)
     fallback = start.join(every.limit(1).select(F.lit(True).alias("_some")), F.lit(True), "left_anti").select(F.lit("split").alias("operation"), F.col("node_id").alias("target"), F.array("node_id").alias("targets"), F.lit(100).cast("long").alias("score"))
     return every.unionByName(fallback).orderBy(F.desc("score"), "target")
+
+
+#: Categories that a proposal may name; others are unknown.
+KNOWN_CATEGORIES = ["frontend", "backend", "core", "unknown"]
+
+
+def _tidy(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(X.slashes(F.trim(F.coalesce(path, F.lit("")))), r"^\.?/", ""), "/{2,}", "/")
+
+
+def consistent(plans: DataFrame, actions: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(proposals, actions, DIAG rows) with the categories that their source paths have, and what that changed.
+
+    plans: (proposal, category, source_path); actions: (proposal, i, op, node_id, category, source_path). A proposal without a
+    path (null) takes that of its first action that creates or modifies; paths that fit no category, and none, are unknown.
+    """
+    from .linkage import categories
+
+    known = lambda c: F.when(F.col(c).isin(KNOWN_CATEGORIES), F.col(c)).otherwise("unknown")
+    scope = F.when(F.col("op") == "create_child", "protocolDraft.actions.node").when(F.col("op") == "modify", "protocolDraft.actions")
+    told = actions.withColumns({"scope": scope, "previous": known("category"), "source_path": _tidy(F.col("source_path"))})
+    first = told.where("scope is not null and source_path <> ''").groupBy("proposal").agg(F.min(F.struct("i", "source_path")).alias("f")).select("proposal", F.col("f.source_path").alias("_p"))
+    own = plans.join(first, "proposal", "left").select("proposal", known("category").alias("previous"), _tidy(F.coalesce("source_path", "_p")).alias("source_path"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = own.select("proposal", F.lit("proposal").alias("scope"), none("int").alias("i"), none("string").alias("op"), none("string").alias("node_id"), "previous", "source_path").unionByName(told.select("proposal", "scope", F.col("i").cast("int"), "op", "node_id", "previous", "source_path"))
+    done = categories(rows, prefixes).withColumn("resolved", F.when(F.col("source_path") != "", F.col("resolved")).otherwise("unknown"))
+    label = F.concat_ws(" | ", F.concat(F.lit("Proposal "), "proposal"), "scope", F.concat(F.lit("action#"), F.col("i").cast("string")), F.concat(F.lit("node="), "node_id"))
+    fixed = F.when((F.col("source_path") != "") & (F.col("previous") != F.col("resolved")), F.struct(F.lit("DREAM_PROPOSAL_CATEGORY_MISMATCH_AUTO_FIXED").alias("code"), F.concat(label, F.lit(" category auto-fixed: "), "previous", F.lit(" -> "), "resolved").alias("message")))
+    why = F.when(F.col("source_path") != "", " sourcePath cannot map to configured categories; category=unknown").otherwise(" has no resolvable sourcePath; category=unknown")
+    lost = F.when(F.col("resolved") == "unknown", F.struct(F.lit("DREAM_PROPOSAL_CATEGORY_UNRESOLVED").alias("code"), F.concat(label, why).alias("message")))
+    diags = done.where("scope is not null").select(F.explode(F.array_compact(F.array(fixed, lost))).alias("d"), "source_path").select(F.lit("warning").alias("level"), "d.code", F.lit("DreamProposalValidator").alias("component"), "d.message", F.when(F.col("source_path") != "", F.col("source_path")).alias("source_path"))
+    path = F.when(F.col("source_path") != "", F.col("source_path")).alias("source_path")
+    return done.where("scope = 'proposal'").select("proposal", F.col("resolved").alias("category"), path), done.where("i is not null").select("proposal", "i", "op", "node_id", F.when(F.col("scope").isNotNull(), F.col("resolved")).otherwise(F.col("previous")).alias("category"), path), diags

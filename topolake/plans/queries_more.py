@@ -191,3 +191,26 @@ case k % 6 when 0 then 'Map<String, List<' || t || '>>' when 1 then t || ', erro
     lambda s, d: SG.extract(D.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).select(F.expr("concat('src/f', p_partkey)").alias("path"), F.element_at(F.array(*(F.lit(x) for x in _LANGUAGES)), (F.col("p_partkey") % 6 + 1).cast("int")).alias("language"), F.expr(_SOURCES).alias("content")))
     .select("language", F.concat_ws(".", "owner", "name").alias("node_id"), F.array_join("demand", ";").alias("demand"), F.array_join("answer", ";").alias("answer"))
 )
+
+
+# proposals and their actions, with the categories of their paths
+
+
+def _plans(s, d):
+    """A proposal a nation, some with a path; an action a part, dealt to them."""
+    plans = D.table(s, d, "nation").select(F.expr("concat('p', n_nationkey)").alias("proposal"), F.expr("element_at(array('core', 'frontend', 'infra'), cast(n_nationkey % 3 + 1 as int))").alias("category"), F.expr("case n_nationkey % 4 when 0 then concat('./src//brand_11/m', n_nationkey, '.ts') when 1 then 'ops/x.yml' when 2 then ' ' end").alias("source_path"))
+    actions = D.parts(s, d).select(F.expr("concat('p', ord % 25)").alias("proposal"), F.col("ord").alias("i"), F.expr("case ord % 3 when 0 then 'create_child' when 1 then 'modify' else 'reuse' end").alias("op"), "node_id", "category", F.when(F.col("ord") % 5 != 0, F.col("source_path")).alias("source_path"))
+    return advice.consistent(plans, actions, D.prefixes(s))
+
+
+_CONSISTENT = f"""with {D.PARTS}, {D.PREFIX_SQL}, act as (select 'p' || (ord % 25) as proposal, ord as i, case ord % 3 when 0 then 'create_child' when 1 then 'modify' else 'reuse' end as op, node_id, category as previous, case when ord % 5 <> 0 then source_path else '' end as path from nodes),
+lead as (select proposal, arg_min(path, i) as path from act where op <> 'reuse' and path <> '' group by 1),
+pl as (select 'p' || n_nationkey as proposal, case n_nationkey % 3 when 0 then 'core' when 1 then 'frontend' else 'unknown' end as previous, case n_nationkey % 4 when 0 then 'src/brand_11/m' || n_nationkey || '.ts' when 1 then 'ops/x.yml' when 2 then '' else coalesce(lead.path, '') end as path from nation left join lead on lead.proposal = 'p' || n_nationkey),
+al as (select proposal, 'proposal' as scope, null as i, null as op, null as node_id, previous, path from pl union all select proposal, case op when 'create_child' then 'protocolDraft.actions.node' when 'modify' then 'protocolDraft.actions' end, i, op, node_id, previous, path from act),
+hit as (select path, category, length(prefix) as n, ord from (select distinct path from al where path <> '') join prefixes on lower(path) = lower(prefix) or starts_with(lower(path), lower(prefix) || '/')),
+best as (select path, category as resolved from hit qualify row_number() over (partition by path order by n desc, ord) = 1), done as (select al.*, coalesce(resolved, 'unknown') as resolved from al left join best using (path))"""
+query("c8_consistency", f"{_CONSISTENT} select proposal, resolved as category, nullif(path, '') as source_path from done where scope = 'proposal'")(lambda s, d: _plans(s, d)[0])
+query("c8_consistent_actions", f"{_CONSISTENT} select proposal, i::int as i, op, node_id, case when scope is null then previous else resolved end as category, nullif(path, '') as source_path from done where i is not null")(lambda s, d: _plans(s, d)[1])
+query("c8_category_diagnostics", f"""{_CONSISTENT}, l as (select *, 'Proposal ' || proposal || ' | ' || scope || case when i is null then '' else ' | action#' || i || ' | node=' || node_id end as label from done where scope is not null)
+select 'DREAM_PROPOSAL_CATEGORY_MISMATCH_AUTO_FIXED' as code, label || ' category auto-fixed: ' || previous || ' -> ' || resolved as message, path as source_path from l where path <> '' and previous <> resolved
+union all select 'DREAM_PROPOSAL_CATEGORY_UNRESOLVED', label || case when path <> '' then ' sourcePath cannot map to configured categories; category=unknown' else ' has no resolvable sourcePath; category=unknown' end, nullif(path, '') from l where resolved = 'unknown'""")(lambda s, d: _plans(s, d)[2].select("code", "message", "source_path"))
