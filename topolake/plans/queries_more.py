@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators import advice, canonical, edges as E, governance as V, labels, metrics as T, trend as R
-from ..operators.extract import signatures as SG
+from ..operators.extract import imports, signatures as SG
 from ..operators.shared import shared_folder
 from ..sources import config, datasets, files as FS
 from . import derive as D
@@ -214,3 +214,12 @@ query("c8_consistent_actions", f"{_CONSISTENT} select proposal, i::int as i, op,
 query("c8_category_diagnostics", f"""{_CONSISTENT}, l as (select *, 'Proposal ' || proposal || ' | ' || scope || case when i is null then '' else ' | action#' || i || ' | node=' || node_id end as label from done where scope is not null)
 select 'DREAM_PROPOSAL_CATEGORY_MISMATCH_AUTO_FIXED' as code, label || ' category auto-fixed: ' || previous || ' -> ' || resolved as message, path as source_path from l where path <> '' and previous <> resolved
 union all select 'DREAM_PROPOSAL_CATEGORY_UNRESOLVED', label || case when path <> '' then ' sourcePath cannot map to configured categories; category=unknown' else ' has no resolvable sourcePath; category=unknown' end, nullif(path, '') from l where resolved = 'unknown'""")(lambda s, d: _plans(s, d)[2].select("code", "message", "source_path"))
+
+
+query("j20_script_imports", """select 'pkg/u' || p_partkey || '.ts' as source_path, unnest(['run', 'Store', 'all', 'other']) as alias, unnest(['pkg/m' || (p_partkey % 5) || '.ts', 'pkg/m' || (p_partkey % 5) || '.ts', 'pkg/kit/index.ts', null]) as defined_in, unnest(['Promise<R' || (p_partkey % 5) || '>', 'Store', 'module', null]) as type from part""")(
+    lambda s, d: imports.resolve(
+        D.table(s, d, "part").select(F.expr("concat('pkg/u', p_partkey, '.ts')").alias("path"), F.lit("typescript").alias("language"), F.expr("concat('import { go as run } from \"./m', p_partkey % 5, '\"', chr(10), 'import Store from \"../pkg/m', p_partkey % 5, '.js\"', chr(10), 'import * as all from \"./kit\"', chr(10), 'import type { other } from \"far\";', chr(10), 'const x = 1', chr(10))").alias("content"))
+        .unionByName(s.range(5).select(F.expr("concat('pkg/m', id, '.ts')").alias("path"), F.lit("typescript").alias("language"), F.expr("concat('export async function go(f: (a: A) => void): Promise<R', id, '> { }', chr(10), 'export default class Store<T> { }', chr(10))").alias("content")))
+        .unionByName(s.range(1).select(F.lit("pkg/kit/index.ts").alias("path"), F.lit("typescript").alias("language"), F.lit("export const a = new B()\n").alias("content")))
+    ).select("source_path", "alias", "defined_in", "type")
+)
