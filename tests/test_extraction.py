@@ -89,6 +89,31 @@ def test_signatures(language, text, want):
     assert got == want
 
 
+def test_script_references_join_modes():
+    text = """import redis, { Pool as P } from 'x'
+const CACHE: Map<string, A> = new Map()
+const limit = 3
+export class S<T extends { a: number }> {
+  private db: Store<T> = new Store()
+  n = 0
+  constructor(private readonly log: Logger, x) { this.db = x }
+  go(x: number, { redis: other }: Opts) {
+    this.n += 1; this.n === limit
+    const y = this.db, CACHE2 = { limit: 2 }
+    CACHE.set(x, y); this.log.info(z => z + other); this.helper(1); this.flag = limit
+    return redis.get(x)
+  }
+  helper(limit: number) { return limit + this.n++ }
+  plain(a) { return a }
+}
+function free(P) { return P(redis) }
+"""
+    got = {(r["owner"], r["name"]): r["demand"] for r in SG.records("m.ts", "typescript", text)}
+    assert got["S", "go"] == ["number (x)", "Opts (redis: other)", "[Ghost:Read] Map<string, A> (CACHE)", "[Ghost:Read] number (limit)", "[Ghost:Read] module (redis)", "[Ghost:Read] Store<T> (this.db)", "[Ghost:Write] unknown (this.flag)", "[Ghost:Read] Logger (this.log)", "[Ghost:ReadWrite] number (this.n)"]
+    assert got["S", "helper"] == ["number (limit)", "[Ghost:ReadWrite] number (this.n)"] and got["S", "plain"] == ["unknown (a)"]
+    assert got["M", "free"] == ["unknown (P)", "[Ghost:Read] module (redis)"]
+
+
 def test_python_references_join_modes():
     text = "import redis\nCACHE = {}\nclass S:\n  def __init__(self):\n    self.db = Store()\n  def go(self, x):\n    self.n += 1\n    y = self.db\n    CACHE[x] = y\n    return redis.get(x)\n"
     got = next(r for r in SG.records("m.py", "python", text) if r["name"] == "go")["demand"]

@@ -34,6 +34,8 @@ class Declared(NamedTuple):
     parameters: str
     result: str | None
     exported: bool
+    #: Tokens of the body, where it is looked at.
+    body: tuple[int, int] | None = None
 
 
 class Source:
@@ -160,7 +162,7 @@ def _script_class(s: Source, i: int, end: int, owner: str, exported: bool) -> It
             found = _script_signature(s, after)
             if found and s.token(found[2]) == "{":
                 if t not in STATEMENTS:
-                    yield Declared(owner, t, found[0], found[1], exported)
+                    yield Declared(owner, t, found[0], found[1], exported, (found[2] + 1, s.ends[found[2]]))
                 i = s.ends[found[2]] + 1
                 continue
         if t == "=":  # a field: its value may hold anything
@@ -204,8 +206,9 @@ def script(s: Source) -> Iterator[Declared]:
             at = i + 1 + (s.token(i + 1) == "*")
             found = _script_signature(s, at + 1) if s.named(at) else None
             if found:
-                yield Declared(None, s.token(at), found[0], found[1], exported)
-                i = s.ends[found[2]] + 1 if s.token(found[2]) == "{" else found[2]
+                has = s.token(found[2]) == "{"
+                yield Declared(None, s.token(at), found[0], found[1], exported, (found[2] + 1, s.ends[found[2]]) if has else None)
+                i = s.ends[found[2]] + 1 if has else found[2]
             else:
                 i += 1
         elif t in ("const", "let", "var") and s.named(i + 1):
@@ -223,8 +226,9 @@ def script(s: Source) -> Iterator[Declared]:
                 elif not found and s.named(at) and s.token(at + 1) == "=>":
                     found = (s.token(at), None, at + 1)
                 if found:
-                    yield Declared(None, name, found[0], found[1], exported)
                     at = found[2] + (s.token(found[2]) == "=>")
+                    stop = s.ends[at] if s.token(at) == "{" else _value_end(s, at, s.n)
+                    yield Declared(None, name, found[0], found[1], exported, (at, stop))
                 at = s.ends[at] + 1 if s.token(at) == "{" else at
             i = max(at, i + 2)
         elif t in ("async", "abstract", "declare", "default"):
@@ -412,5 +416,5 @@ def cpp(s: Source, i: int = 0, end: int | None = None, owner: str | None = None)
 HEADS = {"typescript": script, "javascript": script, "java": java, "go": go, "rust": rust, "cpp": cpp}
 
 
-def declared(text: str, language: str) -> Iterator[Declared]:
-    return HEADS[language](Source(text, language))
+def declared(text: str | Source, language: str) -> Iterator[Declared]:
+    return HEADS[language](text if isinstance(text, Source) else Source(text, language))

@@ -223,3 +223,8 @@ query("j20_script_imports", """select 'pkg/u' || p_partkey || '.ts' as source_pa
         .unionByName(s.range(1).select(F.lit("pkg/kit/index.ts").alias("path"), F.lit("typescript").alias("language"), F.lit("export const a = new B()\n").alias("content")))
     ).select("source_path", "alias", "defined_in", "type")
 )
+
+query("e10_script_ghosts", """select 'W' || p_partkey || '.go' as node_id, unnest(['number (x)', '[Ghost:Read] module (redis)', '[Ghost:Read] Store<T' || (p_partkey % 7) || '> (this.db)', '[Ghost:' || case when p_partkey % 2 = 0 then 'ReadWrite' else 'Write' end || '] number (this.n)']) as demand from part""")(
+    lambda s, d: SG.leaves(SG.extract(D.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).select(F.expr("concat('w', p_partkey, '.ts')").alias("path"), F.lit("typescript").alias("language"), F.expr("concat('import redis from \"r\"', chr(10), 'class W', p_partkey, ' {', chr(10), ' private db: Store<T', p_partkey % 7, '>', chr(10), ' n = 0', chr(10), ' go(x: number) {', chr(10), '  const y = this.db.get(redis, x); this.n ', case when p_partkey % 2 = 0 then '+=' else '=' end, ' y', chr(10), ' }', chr(10), '}')").alias("content"))))
+    .select("node_id", F.explode("demand").alias("demand"))
+)
