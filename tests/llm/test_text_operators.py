@@ -372,12 +372,13 @@ def test_pieces_n_best_matches_all_segmentations(spark):
         assert len({tuple(ids.tolist()) for _, ids in got}) == len(got) and all(lattice.decode(ids) == text for _, ids in got)
     table = spark.createDataFrame([(1, "that hat none"), (2, ""), (3, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in pieces.encode(table).collect()}
-    assert rows[1]["ids"] == rows[1]["segmentations"][0]["ids"] and len(rows[1]["segmentations"]) == 3
-    assert [len(x["ids"]) for x in rows[2]["segmentations"]] == [0] and rows[3]["segmentations"] is None
+    plain = lattice.encode("that hat none")
+    assert [rows[1]["ids"], *(x["ids"] for x in rows[1]["others"])] == [ids.tolist() for _, ids in plain] and [x["score"] for x in rows[1]["others"]] == [s for s, _ in plain[1:]]
+    assert rows[2]["ids"] == [] and rows[2]["others"] == [] and rows[3]["ids"] is None and rows[3]["others"] is None
     hashed = {r["doc_id"]: r for r in pieces.encode(table, digest=True).collect()}
     import hashlib
 
-    assert [x["ids_sha256"] for x in hashed[1]["segmentations"]] == [hashlib.sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() for x in rows[1]["segmentations"]]
+    assert [x["ids_sha256"] for x in hashed[1]["others"]] == [hashlib.sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() for x in rows[1]["others"]]
 
 
 def test_pieces_round_trip(spark, odd, none, docs):

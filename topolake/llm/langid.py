@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .util import own, shared_dir, stored
+from .util import own, shared_dir, stored, trim
 
 UNKNOWN = "und"
 #: Slots of the filters for each n-gram of the largest language, rounded up to a power of two; at 10 the chance of a false yes stays under 3.3 percent.
@@ -183,6 +183,7 @@ def annotate(docs: DataFrame, model: Model, lang_as: str = "lang_pred", score_as
                 score.append(y)
                 at = end
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(np.concatenate(score or [np.zeros(0)]))], [*names, lang_as, score_as])
+        trim()
 
     shared_dir(docs.sparkSession)
     return base.mapInArrow(run, T.StructType([*base.schema, T.StructField(lang_as, T.StringType()), T.StructField(score_as, T.DoubleType())]))

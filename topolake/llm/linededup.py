@@ -30,9 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .util import fresh, own, shared_dir
+from .util import fresh, own, shared_dir, trim
 
-SEGMENT, RUN_WORDS, LINE_WORDS = 6, 20, 5
+SEGMENT, RUN_WORDS, LINE_WORDS = 5, 20, 5
 #: Without a cut for so many times `segment` words one is forced; a word repeated over and over then makes equal segments.
 LONGEST = 5
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -40,7 +40,7 @@ _LINE = np.uint64(0xD6E8FEB86659FD93)
 _LAST = (1 << 63) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Units that one batch gathers before it is cleared of repeats.
-HELD = 400_000
+HELD = 300_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -154,6 +154,8 @@ def marks(docs: DataFrame, segment: int = SEGMENT, line_words: int = LINE_WORDS)
                     held, count = [], 0
         if held:
             yield flush()
+            held = []
+        trim()
 
     def settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by done, digests and rank: done ones repeat, and so does any but a digest's first; streamed."""

@@ -14,7 +14,7 @@ unusable by a score of -1e8 or less take no part. Costs are integers (2^-20), so
 to the longer last piece, then the longer one before it, and so on. A sign without a piece of its own falls back to its UTF-8 bytes. A literal U+2581 in a text is
 always encoded by bytes, so decoding returns the text exactly.
 
-Defined results: a null text has null ids and segmentations, an empty text one segmentation, of no ids; both decode to themselves; control pieces never come from
+Defined results: a null text has null ids and others, an empty text no ids and no others; both decode to themselves; control pieces never come from
 text, whatever it says; texts of any length go in linear time; repeated rows and other columns pass through unharmed.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .util import own, shared_dir
+from .util import own, shared_dir, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -43,7 +43,7 @@ UNIT = 1 << 20
 _FAR = 1 << 60
 _UNITS = re.compile(" ?[^ \n▁]+|[ \n▁]")
 #: Units whose segmentations a worker keeps, in each of two generations.
-KEPT = 500_000
+KEPT = 400_000
 #: What a piece of a model with ranks costs besides its rank; words then come closest to that model's own pieces.
 PIECE_COST = 5.0
 
@@ -250,14 +250,14 @@ def _lattice(name: str, nbest: int) -> Lattice:
 
 
 def encode(docs: DataFrame, model: str = MODEL, nbest: int = 3, digest: bool = False) -> DataFrame:
-    """doc_id, n_tokens, score and ids of each text's best segmentation, and (score, ids) of all N in `segmentations`, best first.
+    """doc_id, n_tokens, score and ids of each text's best segmentation, and (score, ids) of the next best ones in `others`, best first.
 
     With `digest` SHA-256 of ids (little-endian 32-bit) take the ids' places, and there is that of the text they decode to.
     """
     shared_dir(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(model)
     name = os.path.basename(model)
-    some = "segmentations array<struct<score:double,ids_sha256:string>>, ids_sha256 string, decoded_sha256 string, exact boolean" if digest else "segmentations array<struct<score:double,ids:array<int>>>, ids array<int>"
+    some = "others array<struct<score:double,ids_sha256:string>>, ids_sha256 string, decoded_sha256 string, exact boolean" if digest else "others array<struct<score:double,ids:array<int>>>, ids array<int>"
     ddl = f"doc_id long, n_tokens int, score double, {some}"
     names = [f.name for f in T.StructType.fromDDL(ddl)]
     sha = lambda ids: hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
@@ -278,11 +278,11 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = 3, digest: bool = F
                 for at in range(0, b.num_rows, 200):
                     part = texts.slice(at, 200).to_pylist()
                     got = [None if t is None else lattice.encode(t) for t in part]
-                    flat = [x for g in got if g is not None for x in g]
+                    flat = [x for g in got if g is not None for x in g[1:]]
                     scores = pa.array([x for x, _ in flat], pa.float64())
                     ids = pa.array([sha(x) for _, x in flat], pa.string()) if digest else lists([x for _, x in flat], pa.int32())
                     each = pa.StructArray.from_arrays([scores, ids], ["score", "ids_sha256" if digest else "ids"])
-                    ends = np.cumsum([0, *(0 if g is None else len(g) for g in got)])
+                    ends = np.cumsum([0, *(0 if g is None else len(g) - 1 for g in got)])
                     every = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, mask=pa.array([g is None for g in got], pa.bool_()))
                     cols = [b.column(0).slice(at, 200), pa.array([None if g is None else len(g[0][1]) for g in got], pa.int32()), pa.array([None if g is None else g[0][0] for g in got], pa.float64()), every]
                     if digest:
@@ -294,6 +294,8 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = 3, digest: bool = F
                         cols.append(lists([None if g is None else g[0][1] for g in got], pa.int32()))
                     yield pa.RecordBatch.from_arrays(cols, names)
         finally:
+            lattice.new, lattice.old = Kept(), Kept()  # most of what a task met is its own
+            trim()
             if paused:
                 gc.enable()
 

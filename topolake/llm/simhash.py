@@ -25,12 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .util import cut, fresh, own, shared_dir, stored
+from .util import cut, fresh, own, shared_dir, stored, trim
 
 BITS = 64
 SEED = 42
 #: Bytes of variants that one task sorts at once.
-TASK_BYTES = 48 << 20
+TASK_BYTES = 24 << 20
+#: Fingerprints whose variants are made at once.
+EMITTED = 8000
 #: A meeting of up to so many fingerprints is verified by a matrix of popcounts; a larger one by a local ball search.
 SMALL = 512
 
@@ -166,8 +168,8 @@ def edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
     def emit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             every = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for s in range(0, len(every), 20_000):
-                fps = every[s : s + 20_000]
+            for s in range(0, len(every), EMITTED):
+                fps = every[s : s + EMITTED]
                 lane, fp, code = [], [], []
                 for c, v in variants(fps):
                     lane.append((_mix(v ^ np.uint64(_part(c) + 1)) % np.uint64(lanes)).astype(np.int32))
@@ -211,6 +213,8 @@ def edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
             if len(a):
                 pair = np.unique(np.stack([a, b], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].view(np.int64)), pa.array(pair[:, 1].view(np.int64))], ["a", "b"])
+        held_fp, held_code, fp, code, f, v, order = [], [], None, None, None, None, None
+        trim()
 
     shared_dir(spark)
     dealt = distinct.select("fp").mapInArrow(emit, "lane int, fps binary, codes binary").repartition(n, "lane")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -62,6 +63,14 @@ def slices(it: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordB
             yield b.slice(at, rows)
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can; a worker that is kept for later stages is then small."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 5000, nbytes: int = 0, weigh=None) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most `size` rows, or of about `nbytes` as `weigh` counts a row's bytes."""
     held: list[dict] = []
