@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with the piece ids of its text, their number and score, and the three best segmentations."""
+    """doc_id with the piece ids of its text, their number and score, and the next two segmentations."""
     return pieces.encode(docs, nbest=3)
 
 
