@@ -173,6 +173,45 @@ def test_large_meeting_is_a_spanning_forest():
         assert len(set(want[got == g])) == 1
 
 
+def test_large_meetings_lose_no_link(spark, monkeypatch):
+    """The search of large meetings finds the same components as comparing all pairs."""
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    rng = random.Random(21)
+    fps = set()
+    for _ in range(6):  # balls around a centre: many members share variants, some are three bits apart within one part
+        base = rng.getrandbits(64)
+        for _ in range(60):
+            bits = rng.sample(range(21), rng.randint(0, 3)) if rng.random() < 0.4 else rng.sample(range(64), rng.randint(0, 5))
+            fps.add(base ^ sum(1 << b for b in bits))
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.edges(spark.createDataFrame([(s,) for s in signed], "fp long"), 3)).collect()}
+    want = _components(fps, list(range(len(fps))), 3)
+    pairs = {(w, got.get(s, s)) for s, w in zip(signed, want, strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({g for _, g in pairs})
+
+
+def test_near_duplicates_match_comparing_all_texts(spark, docs):
+    import re
+
+    import xxhash
+
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()] + [(1000, ""), (1001, "one two"), (1002, "One\ttwo"), (1003, " \n")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = [plain(t) for _, t in rows]
+    least = _components(prints, [i for i, _ in rows], 3)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(table).collect()}
+    assert got == {i: (f"{f:016x}", c) for (i, _), f, c in zip(rows, prints, least, strict=True)}
+    assert len(set(least)) < len(rows)
+
+
 def test_simhash_defined_cases(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -4,7 +4,8 @@ Two fingerprints within radius r have a point between them that is within r/2 of
 its variants within half the radius, equal variants meet in a shuffle, and what meets is verified. An odd radius has one
 bit left over: the 64 bits are cut into three parts and each variant ignores one of them; of two fingerprints that differ
 in r bits some part holds at least one difference, and without it r - 1 remain, an even number to halve. For r = 3 that is
-3 x (1 + 43) variants of 42 bits instead of the 2081 of a full ball of radius 2, and the search stays exact.
+(1 + 43) + (1 + 43) + (1 + 42) = 131 variants of 43, 43 and 42 bits instead of the 2081 of a full ball of radius 2, and the search
+stays exact.
 
 Exact copies collapse to one fingerprint before anything is emitted. Fingerprints that meet under one variant are linked
 by a spanning forest of their true links, never by all pairs. Components come from alternating large-star and small-star
