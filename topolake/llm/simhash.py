@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .util import cut, fresh, own, shared_dir, stored, trim
+from .util import cut, fresh, join_spread, own, shared_dir, stored, trim
 
 BITS = 64
 SEED = 42
@@ -249,11 +249,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, thash: b
     With `thash` also a hash that tells texts apart, and the component's root fingerprint.
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     found = components(edges(distinct.select("fp"), radius))
-    rooted = cut(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    joined = prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    rooted = cut(distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    of = cut(join_spread(rooted.withColumnRenamed("n", "rows"), least.withColumnRenamed("fps", "n"), "root", rooted.count()).select("fp", "root", "component_id", F.col("rows").alias("n")))
+    joined = join_spread(prints, of, "fp", prints.count())
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["thash", "root"] if thash else []))
 
 
