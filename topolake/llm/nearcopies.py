@@ -1,10 +1,14 @@
 """Near copies by the Jaccard similarity of their word shingles, after SimHash has taken out the nearest ones.
 
 Documents whose SimHash fingerprints chain at `radius` bits go first, as in `simhash`. Of what stays, texts of similarity s
-share one of BANDS bands of ROWS minimum hashes with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. Texts that share a
-band are linked by stars, and a component of those links comes to one task in order of doc_id, each text once. There a
-document goes if its exact similarity to one that stays is `similarity` or more and they share a band, so no group drifts
-from what stands for it and no two that stay are found alike.
+share one of BANDS bands of ROWS minimum hashes with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. Documents are taken
+in order of doc_id, and one goes if its exact similarity to one that stays is `similarity` or more and they share a band, so
+no group drifts from what stands for it and no two that stay are found alike.
+
+That order is kept without gathering large groups. A document that comes first in all of its bands stays whatever else
+does; a first pass compares all that share a band with such a one to it, a pair a row, wherever the rows are. What is left
+undecided, and shares bands only among itself, is linked by stars, and a component of those links comes to one task in order,
+where only the shingles of what stays are held.
 
 Defined results: as for `simhash.keep_one`; shingles are distinct, ASCII lower case; a text of fewer words than a shingle
 is one shingle.
@@ -21,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import simhash
-from .util import cut, own, shared_dir, stored
+from .util import cut, join_spread, own, shared_dir, slices, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
+#: Shingles of a text that more than one pair in HOT is compared with are broadcast; there are at most HOT such texts.
+HOT = 200
 _ODD = np.random.default_rng(simhash.SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = (1 << 63) - 1
 
@@ -72,11 +78,42 @@ def _copies(docs: DataFrame, first: DataFrame, shingle: int, similarity: float)
     same = lambda a, b: a["doc_id"].eqNullSafe(b["_doc"]) & (a["thash"] == b["_thash"])
     printed = keyed.mapInArrow(emit, "doc_id long, thash long, bands array<long>")
     rows = stored(printed.join(first, same(printed, first), "left_semi").dropDuplicates(["doc_id", "thash"]).withColumn("node", F.xxhash64("doc_id", "thash")), "bands")
-    one = rows.select("node", F.explode("bands").alias("band"))
+
+    # the first of each band; one that is first in all of its bands stays
+    place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "thash", "node")
+    one = rows.select("node", F.explode("bands").alias("band"), place.alias("at"))
+    heads = one.groupBy("band").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = stored(join_spread(one.select("node", "band"), cut(heads.select("band", F.col("head.node").alias("head"), "n")), "band", rows.count() * BANDS).distinct(), "met").select("node", "head").distinct()
+    stays = cut(met.groupBy("node").agg(F.max((F.col("node") != F.col("head")).cast("int")).alias("later")).where("later = 0").select(F.col("node").alias("head")))
+    pairs = cut(met.where("node <> head").join(stays, "head", "left_semi"))
+    ids = rows.select("doc_id", "thash", "node")
+    texts = lambda nodes, name: keyed.join(some := ids.join(nodes.select(F.col(name).alias("node")).distinct(), "node").select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "node"), same(keyed, some)).dropDuplicates(["node"]).select("node", "text")
+
+    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(it):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["head", "held"])
+
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node) of rows (node, text, held) whose text is near what is held."""
+        for b in slices(it):
+            near = []
+            for node, text, held in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if alike(shingles(text.as_py(), shingle), np.frombuffer(held.as_buffer(), np.uint64)) >= similarity:
+                    near.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], ["node"])
+
+    kept = stored(texts(pairs, "head").mapInArrow(hashed, "head long, held binary"), "heads")
+    counted = kept.join(pairs.groupBy("head").agg(F.count(F.lit(1)).alias("n")), "head")
+    both = texts(pairs, "node").join(join_spread(pairs, counted, "head", pairs.count(), HOT), "node").select("node", "text", "held")
+    gone = cut(both.mapInArrow(verify, "node long").distinct())
+
+    # what is undecided, among itself
+    left = rows.join(gone, "node", "left_anti").join(stays.select(F.col("head").alias("node")), "node", "left_anti")
+    one = left.select("node", F.explode("bands").alias("band"))
     met = one.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    linked = simhash.components(one.join(met, "band").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    linked = simhash.components(join_spread(one, cut(met), "band", rows.count() * BANDS).select(F.col("node").alias("a"), F.col("least").alias("b")))
     linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own
-    some = cut(rows.select("doc_id", "thash", "node").join(linked, "node").select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "root"))
+    some = cut(ids.join(linked, "node").select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "root"))
     dealt = keyed.join(some, same(keyed, some)).select("doc_id", "thash", "text", "root", F.coalesce("doc_id", F.lit(_LAST)).alias("rank")).repartition("root").sortWithinPartitions("root", "rank", "thash")
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +140,7 @@ def _copies(docs: DataFrame, first: DataFrame, shingle: int, similarity: float)
                 kept.append(h)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in gone], pa.int64()), pa.array([t for _, t in gone], pa.int64())], ["doc_id", "thash"])
 
-    return dealt.mapInArrow(judge, "doc_id long, thash long")
+    return dealt.mapInArrow(judge, "doc_id long, thash long").unionByName(ids.join(gone, "node", "left_semi").select("doc_id", "thash"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = 3) -> DataFrame:

@@ -52,12 +52,12 @@ def own(df: DataFrame, *names: str) -> DataFrame:
 SHARE = 10_000
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def join_spread(rows: DataFrame, table: DataFrame, key: str, total: int, share: int = SHARE) -> DataFrame:
     """rows with the columns of table (a row a key, `n` rows of that key, which is left out), by equality of the key.
 
     Keys that hold a large part of all `total` rows meet a broadcast of those few; no task gathers them.
     """
-    often = F.col("n") * SHARE > total
+    often = F.col("n") * share > total
     hot, rest = table.where(often).drop("n"), table.where(~often).drop("n")
     marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_often"))), key, "left")
     return marked.where("_often").drop("_often").join(F.broadcast(hot), key).unionByName(marked.where("_often is null").drop("_often").join(rest, key))
