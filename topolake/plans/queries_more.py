@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators import advice, canonical, edges as E, governance as V, labels, metrics as T, trend as R
-from ..operators.extract import imports, signatures as SG
+from ..operators.extract import imports, runtime as RT, signatures as SG
+from ..operators.extract.rows import run as R_run
 from ..operators.shared import shared_folder
 from ..sources import config, datasets, files as FS
+from ..streaming import auto_run
 from . import derive as D
 from .queries_files import source_files
 from .queries_graph import query
@@ -228,3 +230,18 @@ query("e10_script_ghosts", """select 'W' || p_partkey || '.go' as node_id, unnes
     lambda s, d: SG.leaves(SG.extract(D.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).select(F.expr("concat('w', p_partkey, '.ts')").alias("path"), F.lit("typescript").alias("language"), F.expr("concat('import redis from \"r\"', chr(10), 'class W', p_partkey, ' {', chr(10), ' private db: Store<T', p_partkey % 7, '>', chr(10), ' n = 0', chr(10), ' go(x: number) {', chr(10), '  const y = this.db.get(redis, x); this.n ', case when p_partkey % 2 = 0 then '+=' else '=' end, ' y', chr(10), ' }', chr(10), '}')").alias("content"))))
     .select("node_id", F.explode("demand").alias("demand"))
 )
+
+query("x12_call_paths", """select case p_partkey % 3 when 0 then '/api/x' || (p_partkey % 5) when 1 then '/api/u' || (p_partkey % 5) || '/:param' else '/api/v' || (p_partkey % 5) || '/a' end as path, count(*) as n from part group by 1""")(
+    lambda s, d: R_run(D.table(s, d, "part").repartition(s.sparkContext.defaultParallelism).select(F.expr("concat('src/p', p_partkey, '.ts')").alias("path"), F.lit("typescript").alias("language"), F.expr("concat('export function load() {', chr(10), '  return fetch(', case p_partkey % 3 when 0 then concat(chr(39), '/api/x', p_partkey % 5, chr(39)) when 1 then concat('baseUrl + ', chr(39), '/api/u', p_partkey % 5, '/', chr(39), ' + id') else concat('`${h}/api/v', p_partkey % 5, '/a?b=c`') end, ')', chr(10), '}', chr(10))").alias("content")), [("x", RT.frontend_calls)])
+    .where("kind = 'call'").groupBy(F.col("label").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+)
+
+
+@query("w2_incremental", "select 1 as run, 3::bigint as files union all select 2, 2::bigint")
+def w2(s, d):
+    """A folder taken up, then two files more: the second run sees only those."""
+    out, files = _folder(s), source_files(s, d).select(F.col("content").alias("value"))
+    for run, n in ((1, 3), (2, 2)):
+        files.repartition(n).write.mode("append").option("maxRecordsPerFile", 1_000_000).text(f"{out}/in")
+        auto_run.watch(s, f"{out}/in", lambda df, run=run: df.select(F.lit(run).alias("run"), "path").write.mode("append").parquet(f"{out}/seen"), f"{out}/state", pattern="part-*").awaitTermination()
+    return s.read.parquet(f"{out}/seen").groupBy("run").agg(F.countDistinct("path").alias("files"))
