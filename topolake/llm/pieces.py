@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -41,9 +42,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = 1 << 20
 _FAR = 1 << 60
+#: Bytes of text that are encoded before a batch leaves.
+BATCH_TEXT = 1 << 20
 _UNITS = re.compile(" ?[^ \n▁]+|[ \n▁]")
 #: Units whose segmentations a worker keeps, in each of two generations.
-KEPT = 400_000
+KEPT = 300_000
 #: What a piece of a model with ranks costs besides its rank; words then come closest to that model's own pieces.
 PIECE_COST = 5.0
 
@@ -268,6 +271,16 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = 3, digest: bool = F
         flat = [v for v in values if v is not None]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), kind), mask=pa.array([v is None for v in values], pa.bool_()))
 
+    def spans(texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """(first, rows) of parts of at most 200 texts and about BATCH_TEXT bytes, so what leaves at once stays small."""
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+        at = 0
+        while at < len(ends):
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_TEXT))
+            n = max(1, min(200, full - at))
+            yield at, n
+            at += n
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(name, nbest)
         paused = gc.isenabled()
@@ -275,8 +288,8 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = 3, digest: bool = F
         try:
             for b in it:
                 texts = b.column(1)
-                for at in range(0, b.num_rows, 200):
-                    part = texts.slice(at, 200).to_pylist()
+                for at, n in spans(texts):
+                    part = texts.slice(at, n).to_pylist()
                     got = [None if t is None else lattice.encode(t) for t in part]
                     flat = [x for g in got if g is not None for x in g[1:]]
                     scores = pa.array([x for x, _ in flat], pa.float64())
@@ -284,7 +297,7 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = 3, digest: bool = F
                     each = pa.StructArray.from_arrays([scores, ids], ["score", "ids_sha256" if digest else "ids"])
                     ends = np.cumsum([0, *(0 if g is None else len(g) - 1 for g in got)])
                     every = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each, mask=pa.array([g is None for g in got], pa.bool_()))
-                    cols = [b.column(0).slice(at, 200), pa.array([None if g is None else len(g[0][1]) for g in got], pa.int32()), pa.array([None if g is None else g[0][0] for g in got], pa.float64()), every]
+                    cols = [b.column(0).slice(at, n), pa.array([None if g is None else len(g[0][1]) for g in got], pa.int32()), pa.array([None if g is None else g[0][0] for g in got], pa.float64()), every]
                     if digest:
                         back = [None if g is None else lattice.decode(g[0][1]) for g in got]
                         cols.append(pa.array([None if g is None else sha(g[0][1]) for g in got], pa.string()))
