@@ -34,8 +34,8 @@ SUBSETS = 16
 IDF_LOW, IDF_HIGH = 1.0, 7.0
 #: The most rows that are broadcast (about 50 bytes each); a larger lexicon joins by a shuffle.
 MOST_BROADCAST = 600_000
-#: A place holds about so many rows; ranges are cut into WAYS by quantiles, at most LEVELS times, and places are MOST_PLACES at most.
-PLACE_ROWS, WAYS, LEVELS, MOST_PLACES = 4000, 64, 3, 1 << 18
+#: A place holds texts of about so many bytes, counted by units; ranges are cut into WAYS by quantiles, at most LEVELS times, and about MOST_PLACES are made at most.
+PLACE_BYTES, UNIT, WAYS, LEVELS, MOST_PLACES = 1 << 18, 2048, 64, 3, 1 << 18
 
 
 def terms(text: Column) -> Column:
@@ -96,23 +96,31 @@ def placed(docs: DataFrame) -> DataFrame:
     The tables that rows are looked up in have at most MOST_PLACES rows for ranges and twice as many for places.
     """
     rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.count("doc_id")).first()[0]
-    size = max(PLACE_ROWS, -(-total // MOST_PLACES))
+    units = F.floor(F.octet_length("text") / float(UNIT)).cast("int") + 1
+    total = rows.agg(F.sum(F.when(F.col("doc_id").isNotNull(), units))).first()[0] or 0
+    size = max(PLACE_BYTES // UNIT, -(-total // MOST_PLACES))
     levels = 0
     while levels < LEVELS and size * WAYS**levels < total:
         levels += 1
     ways = min(WAYS, math.ceil((total / size) ** (1 / max(1, levels))))
-    ids, now = rows.select("doc_id").where("doc_id is not null").withColumn("range", F.lit(0).cast("long")), rows.withColumn("range", F.lit(0).cast("long"))
-    for _ in range(levels):  # each range is cut at quantiles of its own rows, and one id that is several of them is a range of its own
-        q = F.col("q")
-        tops = ids.groupBy("range").agg(F.percentile_approx("doc_id", [i / ways for i in range(1, ways)], 20 * ways).alias("q") if ways > 1 else F.array().cast("array<bigint>").alias("q"))
-        tops = cut(tops.select("range", F.array_distinct(q).alias("tops"), F.array_distinct(F.filter(q, lambda x, i: F.get(F.col("q"), i - 1) == x)).alias("often")))
+    # long texts count for as many rows as they have units
+    ids = rows.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), units)).alias("_u")).select("doc_id", F.lit(0).cast("long").alias("range"))
+    now = rows.withColumn("range", F.lit(0).cast("long"))
+    for level in range(levels):  # each range is cut at quantiles of its own rows, and one id that is several of them is a range of its own
+        cuts = F.percentile_approx("doc_id", [i / ways for i in range(1, ways)], 20 * ways) if ways > 1 else F.array().cast("array<bigint>")
+        often = F.array_distinct(F.filter("q", lambda x, i: F.get(F.col("q"), i - 1) == x))
+        if level == 0:  # one range so far
+            first = ids.agg(cuts.alias("q")).select(F.array_distinct("q").alias("tops"), often.alias("often")).first()
+            with_tops = lambda x, r=first: x.withColumns({c: F.array(*(F.lit(v) for v in r[c] or [])).cast("array<bigint>") for c in ("tops", "often")})
+        else:
+            tops = cut(ids.groupBy("range").agg(cuts.alias("q")).select("range", F.array_distinct("q").alias("tops"), often.alias("often")))
+            with_tops = lambda x, tops=tops: x.join(F.broadcast(tops), "range", "left")
         past = F.size(F.filter("tops", lambda e: e <= F.col("doc_id"))) + F.size(F.filter("often", lambda e: e < F.col("doc_id")))
-        down = lambda x, tops=tops, past=past: x.join(F.broadcast(tops), "range", "left").withColumn("range", F.col("range") * (2 * WAYS) + F.coalesce(past, F.lit(0))).drop("tops", "often")
+        down = lambda x, f=with_tops, past=past: f(x).withColumn("range", F.col("range") * (2 * WAYS) + F.coalesce(past, F.lit(0))).drop("tops", "often")
         ids, now = down(ids), down(now)
     now = now.withColumns({"range": F.when(F.col("doc_id").isNotNull(), F.col("range")).otherwise(-1), "thash": F.xxhash64("text")})
     # a range of one doc_id is cut by the texts' hashes; places count from the highest range
-    stats = now.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one"))
+    stats = now.groupBy("range").agg(F.sum(units).alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one"))
     parts = F.when(F.col("one"), F.ceil(F.col("n") / float(size))).otherwise(1)
     before = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     ranges = cut(stats.select("range", parts.cast("long").alias("parts")).withColumn("base", F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("long")))

@@ -10,7 +10,7 @@ does; a first pass compares all that share a band with such a one to it, a pair
 undecided, and shares bands only among itself, is linked by stars, and a component of those links comes to one task in order,
 where only the shingles of what stays are held.
 
-Defined results: as for `simhash.keep_one`; shingles are distinct, ASCII lower case; a text of fewer words than a shingle
+Defined results: as for `simhash.keep_one`, but that texts of one doc_id follow by a hash of both; shingles are distinct, ASCII lower case; a text of fewer words than a shingle
 is one shingle.
 """
 
@@ -80,14 +80,15 @@ def _copies(docs: DataFrame, first: DataFrame, shingle: int, similarity: float)
     rows = stored(printed.join(first, same(printed, first), "left_semi").dropDuplicates(["doc_id", "thash"]).withColumn("node", F.xxhash64("doc_id", "thash")), "bands")
 
     # the first of each band; one that is first in all of its bands stays
-    place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "thash", "node")
-    one = rows.select("node", F.explode("bands").alias("band"), place.alias("at"))
-    heads = one.groupBy("band").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = stored(join_spread(one.select("node", "band"), cut(heads.select("band", F.col("head.node").alias("head"), "n")), "band", rows.count() * BANDS).distinct(), "met").select("node", "head").distinct()
+    one = rows.select("node", F.explode("bands").alias("band"), F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "node").alias("at"))
+    heads = cut(one.groupBy("band").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.col("head.node").alias("head"), "n"))
+    met = stored(join_spread(one.select("node", "band"), heads, "band", rows.count() * BANDS), "met")
     stays = cut(met.groupBy("node").agg(F.max((F.col("node") != F.col("head")).cast("int")).alias("later")).where("later = 0").select(F.col("node").alias("head")))
-    pairs = cut(met.where("node <> head").join(stays, "head", "left_semi"))
-    ids = rows.select("doc_id", "thash", "node")
-    texts = lambda nodes, name: keyed.join(some := ids.join(nodes.select(F.col(name).alias("node")).distinct(), "node").select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "node"), same(keyed, some)).dropDuplicates(["node"]).select("node", "text")
+    pairs = cut(met.where("node <> head").select("node", "head").distinct().join(stays, "head", "left_semi"))
+    # texts move once, and only of those that share a band
+    some = cut(rows.select("node", F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash")).join(met.select("node").distinct(), "node"))
+    shared = stored(keyed.join(some, same(keyed, some)).dropDuplicates(["node"]).select("node", "doc_id", "thash", "text"), "shared")
+    texts = lambda nodes, name: shared.join(nodes.select(F.col(name).alias("node")).distinct(), "node").select("node", "text")
 
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(it):
@@ -108,13 +109,11 @@ def _copies(docs: DataFrame, first: DataFrame, shingle: int, similarity: float)
     gone = cut(both.mapInArrow(verify, "node long").distinct())
 
     # what is undecided, among itself
-    left = rows.join(gone, "node", "left_anti").join(stays.select(F.col("head").alias("node")), "node", "left_anti")
-    one = left.select("node", F.explode("bands").alias("band"))
-    met = one.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    linked = simhash.components(join_spread(one, cut(met), "band", rows.count() * BANDS).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    left = met.select("node", "band").join(gone, "node", "left_anti").join(stays.select(F.col("head").alias("node")), "node", "left_anti")
+    again = cut(left.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    linked = simhash.components(join_spread(left, again, "band", rows.count() * BANDS).select(F.col("node").alias("a"), F.col("least").alias("b")))
     linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own
-    some = cut(ids.join(linked, "node").select(F.col("doc_id").alias("_doc"), F.col("thash").alias("_thash"), "root"))
-    dealt = keyed.join(some, same(keyed, some)).select("doc_id", "thash", "text", "root", F.coalesce("doc_id", F.lit(_LAST)).alias("rank")).repartition("root").sortWithinPartitions("root", "rank", "thash")
+    dealt = shared.join(linked, "node").select("doc_id", "thash", "text", "root", F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "node").repartition("root").sortWithinPartitions("root", "rank", "node")
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by component and rank; only the shingles of what stays of one component are held."""
@@ -140,7 +139,7 @@ def _copies(docs: DataFrame, first: DataFrame, shingle: int, similarity: float)
                 kept.append(h)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in gone], pa.int64()), pa.array([t for _, t in gone], pa.int64())], ["doc_id", "thash"])
 
-    return dealt.mapInArrow(judge, "doc_id long, thash long").unionByName(ids.join(gone, "node", "left_semi").select("doc_id", "thash"))
+    return dealt.mapInArrow(judge, "doc_id long, thash long").unionByName(rows.join(gone, "node", "left_semi").select("doc_id", "thash"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = 3) -> DataFrame:
