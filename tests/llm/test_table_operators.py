@@ -219,6 +219,12 @@ def test_imatch_ids_that_cluster_and_repeat(spark, monkeypatch):
     assert imatch.with_edits(docs).count() == len(rows)
 
 
+def test_imatch_places_take_as_many_joins_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "PLACE_BYTES", 2 * imatch.UNIT)
+    plans = [imatch.placed(spark.range(n).selectExpr("id as doc_id", "cast(id as string) as text"))._jdf.queryExecution().executedPlan().toString() for n in (1, 30, 3000)]
+    assert len({p.count("BroadcastHashJoin") for p in plans}) == 1
+
+
 def test_imatch_likeness_of_half_edited_texts(spark):
     """Half a text's terms gone leaves about a third of the hashes; the next document's are others."""
     got = imatch.with_edits(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n"), F.avg((F.col("near_edited") > 0).cast("int")).alias("some")).first()

@@ -28,13 +28,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .util import SPACE, cut, own
+from .util import SPACE, cut, own, stored
 
 SUBSETS = 16
 IDF_LOW, IDF_HIGH = 1.0, 7.0
 #: The most rows that are broadcast (about 50 bytes each); a larger lexicon joins by a shuffle.
 MOST_BROADCAST = 600_000
-#: A place holds texts of about so many bytes, counted by units; ranges are cut into WAYS by quantiles, at most LEVELS times, and about MOST_PLACES are made at most.
+#: A place holds texts of about so many bytes, counted by units; ranges are cut LEVELS times into at most WAYS by quantiles, and about MOST_PLACES are made at most.
 PLACE_BYTES, UNIT, WAYS, LEVELS, MOST_PLACES = 1 << 18, 2048, 64, 3, 1 << 18
 
 
@@ -90,42 +90,50 @@ def fingerprint(texts: DataFrame, lex: DataFrame, small: bool, keys: tuple[str,
     return packs.select(*keys, *carry, subset_hashes(F.col("packs"), F.col("whole")).alias("fingerprint"))
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, thash, place): rows of a lower place come first in the order of neighbours.
+def _places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, thash, place) and (doc_id, thash, place) of every row.
 
-    The tables that rows are looked up in have at most MOST_PLACES rows for ranges and twice as many for places.
+    Quantiles, sums and first rows come from a narrow table of ids, text hashes and units, written once, so that texts are not
+    read for them. Ranges are cut LEVELS times whatever the size; only into how many grows with it.
     """
     rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("thash", F.xxhash64("text"))
     units = F.floor(F.octet_length("text") / float(UNIT)).cast("int") + 1
-    total = rows.agg(F.sum(F.when(F.col("doc_id").isNotNull(), units))).first()[0] or 0
+    marks = stored(rows.select("doc_id", "thash", units.alias("units")), "imatch-marks")
+    total = marks.agg(F.sum(F.when(F.col("doc_id").isNotNull(), F.col("units")))).first()[0] or 0
     size = max(PLACE_BYTES // UNIT, -(-total // MOST_PLACES))
-    levels = 0
-    while levels < LEVELS and size * WAYS**levels < total:
-        levels += 1
-    ways = min(WAYS, math.ceil((total / size) ** (1 / max(1, levels))))
-    # long texts count for as many rows as they have units
-    ids = rows.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), units)).alias("_u")).select("doc_id", F.lit(0).cast("long").alias("range"))
-    now = rows.withColumn("range", F.lit(0).cast("long"))
-    for level in range(levels):  # each range is cut at quantiles of its own rows, and one id that is several of them is a range of its own
-        cuts = F.percentile_approx("doc_id", [i / ways for i in range(1, ways)], 20 * ways) if ways > 1 else F.array().cast("array<bigint>")
-        often = F.array_distinct(F.filter("q", lambda x, i: F.get(F.col("q"), i - 1) == x))
+    ways = min(WAYS, max(1, math.ceil((total / size) ** (1 / LEVELS))))
+    cuts = F.percentile_approx("doc_id", [i / ways for i in range(1, ways)], 20 * ways) if ways > 1 else F.array().cast("array<bigint>")
+    often = F.array_distinct(F.filter("q", lambda x, i: F.get(F.col("q"), i - 1) == x))
+    past = F.size(F.filter("tops", lambda e: e <= F.col("doc_id"))) + F.size(F.filter("often", lambda e: e < F.col("doc_id")))
+    marks, rows = (x.withColumn("range", F.lit(0).cast("long")) for x in (marks, rows))
+    for level in range(LEVELS):  # each range is cut at quantiles of its own rows, and one id that is several of them is a range of its own
+        # long texts count for as many rows as they have units
+        weighed = marks.where("doc_id is not null").select("range", "doc_id", F.explode(F.sequence(F.lit(1), F.col("units"))))
         if level == 0:  # one range so far
-            first = ids.agg(cuts.alias("q")).select(F.array_distinct("q").alias("tops"), often.alias("often")).first()
+            first = weighed.agg(cuts.alias("q")).select(F.array_distinct("q").alias("tops"), often.alias("often")).first()
             with_tops = lambda x, r=first: x.withColumns({c: F.array(*(F.lit(v) for v in r[c] or [])).cast("array<bigint>") for c in ("tops", "often")})
         else:
-            tops = cut(ids.groupBy("range").agg(cuts.alias("q")).select("range", F.array_distinct("q").alias("tops"), often.alias("often")))
+            tops = cut(weighed.groupBy("range").agg(cuts.alias("q")).select("range", F.array_distinct("q").alias("tops"), often.alias("often")))
             with_tops = lambda x, tops=tops: x.join(F.broadcast(tops), "range", "left")
-        past = F.size(F.filter("tops", lambda e: e <= F.col("doc_id"))) + F.size(F.filter("often", lambda e: e < F.col("doc_id")))
-        down = lambda x, f=with_tops, past=past: f(x).withColumn("range", F.col("range") * (2 * WAYS) + F.coalesce(past, F.lit(0))).drop("tops", "often")
-        ids, now = down(ids), down(now)
-    now = now.withColumns({"range": F.when(F.col("doc_id").isNotNull(), F.col("range")).otherwise(-1), "thash": F.xxhash64("text")})
+        marks, rows = (with_tops(x).withColumn("range", F.col("range") * (2 * WAYS) + F.coalesce(past, F.lit(0))).drop("tops", "often") for x in (marks, rows))
+    marks, rows = (x.withColumn("range", F.when(F.col("doc_id").isNotNull(), F.col("range")).otherwise(-1)) for x in (marks, rows))
     # a range of one doc_id is cut by the texts' hashes; places count from the highest range
-    stats = now.groupBy("range").agg(F.sum(units).alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one"))
+    stats = marks.groupBy("range").agg(F.sum("units").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one"))
     parts = F.when(F.col("one"), F.ceil(F.col("n") / float(size))).otherwise(1)
     before = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     ranges = cut(stats.select("range", parts.cast("long").alias("parts")).withColumn("base", F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("long")))
     part = F.least(F.col("parts") - 1, F.floor((F.col("thash") / float(1 << 64) + 0.5) * F.col("parts")))
-    return now.join(F.broadcast(ranges), "range").select("doc_id", "text", "thash", (F.col("base") + part).alias("place"))
+    at = lambda x, *names: x.join(F.broadcast(ranges), "range").select(*names, (F.col("base") + part).alias("place"))
+    return at(rows, "doc_id", "text", "thash"), at(marks, "doc_id", "thash")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, thash, place): rows of a lower place come first in the order of neighbours.
+
+    The tables that rows are looked up in have at most MOST_PLACES rows for ranges and twice as many for places.
+    """
+    return _places(docs)[0]
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -133,9 +141,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     The first row of each place also visits the place before it, as a guest after all of its own.
     """
-    rows = placed(docs)
+    rows, marks = _places(docs)
     falling = F.bitwise_not("doc_id")
-    heads = rows.groupBy("place").agg(F.min(F.struct(falling.alias("k"), "thash")).alias("_h"))
+    heads = marks.groupBy("place").agg(F.min(F.struct(falling.alias("k"), "thash")).alias("_h"))
     every = Window.orderBy("place")  # over one row a place
     before = F.coalesce(F.lag("place").over(every), F.max("place").over(Window.partitionBy()))
     first = cut(heads.select(F.col("place").alias("_p"), F.col("_h.k").alias("_k"), F.col("_h.thash").alias("_t"), before.alias("_before")))
