@@ -1,4 +1,4 @@
-"""Queries that apply the ten corpus operators to whole tables with production parameters, and SQL where it can say the same."""
+"""Queries that apply the corpus operators to whole tables with production parameters, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bm25, chat, imatch, langid, linededup, mixing, pieces, simhash, toxicity, warc
+from . import bm25, chat, imatch, langid, linededup, mixing, pieces, simhash, tokenfile, toxicity, warc
 from .util import stored, table
 
 
@@ -72,6 +72,13 @@ def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(bm25.build_index(docs), asked, k=10)
 
 
+def op11_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids written to Huffman-coded files in the order of doc_id, and its place and checksum read back."""
+    import public_tokenizers
+
+    return tokenfile.read_files(tokenfile.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_mixing": op9_mixing,
     "op10_bm25": op10_bm25,
+    "op11_tokenfile": op11_tokenfile,
 }
 
 def _imatch_sql() -> str:
