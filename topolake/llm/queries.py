@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bm25, chat, imatch, langid, linededup, mixing, pieces, simhash, tokenfile, toxicity, warc
+from . import bm25, chat, imatch, langid, linededup, mixing, pieces, simhash, tokenfile, toxicity, warc, whitening
 from .util import stored, table
 
 
@@ -79,6 +79,11 @@ def op11_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_files(tokenfile.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the 16 widest components of all different embeddings, by their exact covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_bm25": op10_bm25,
     "op11_tokenfile": op11_tokenfile,
+    "op12_whitening": op12_whitening,
 }
 
 def _imatch_sql() -> str:
