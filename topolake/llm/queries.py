@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bm25, chat, imatch, langid, linededup, mixing, pieces, simhash, tokenfile, toxicity, warc, whitening
+from . import bm25, chat, imatch, langid, linededup, mixing, pieces, prefixtrie, simhash, tokenfile, toxicity, warc, whitening
 from .util import stored, table
 
 
@@ -84,6 +84,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every common prefix of the conversations that are rebuilt on the first of their five."""
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), family=5, most=9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bm25": op10_bm25,
     "op11_tokenfile": op11_tokenfile,
     "op12_whitening": op12_whitening,
+    "op13_prefixtrie": op13_prefixtrie,
 }
 
 def _imatch_sql() -> str:
@@ -154,4 +160,21 @@ select query_id, doc_id, row_number() over (partition by query_id order by score
 qualify row_number() over (partition by query_id order by score desc, doc_id) <= 10
 """
 
-ORACLE: dict[str, str] = {"op10_bm25": _BM25, "op3_chat": _CHAT, "op2_warc": _WARC, "op8_imatch": _imatch_sql()}
+#: CRC-32 of an id's digits, a bit at a time.
+_CRC = "xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint), lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint)"
+_TRIE = f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base, case when conv_id % 5 = 0 then 0 else {_CRC} % 9 end as h from (select distinct conv_id from t)),
+r as (select c.conv_id, 0 as own, i, role, text from c join t on t.conv_id = base and i < h union all select c.conv_id, 1, i, role, text from c join t on t.conv_id = c.conv_id and i >= h),
+p as (select conv_id, row_number() over (partition by conv_id order by own, i) as d, sha256(length(role) || ':' || role || text) as g, strlen(text) as b from r),
+q as (select conv_id, d, sha256(string_agg(g, '') over (partition by conv_id order by d)) as node, b from p union all select conv_id, 0, 'root', 0 from c),
+x as (select *, lag(node) over (partition by conv_id order by d) as parent, d = max(d) over (partition by conv_id) as ends from q),
+n as (select node, any_value(parent) as parent, min(conv_id) as conv_id, d as depth, count(*) as n_convs, any_value(b) as b, string_agg(conv_id::varchar, ',' order by conv_id) filter (ends) as ids from x group by node, d),
+k as (select parent, count(*) as n_children from n where parent is not null group by parent),
+s as (select x.node, sum((m.n_convs - 1) * m.b)::bigint as saved_tokens, count(*) filter (k.parent is null) as n_leaves
+    from n m left join k on k.parent = m.node join x on x.conv_id = m.conv_id and x.d <= m.depth group by x.node)
+select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(n.ids, '')) as ends_sha256
+from n join s using (node) left join k on k.parent = n.node left join n u on u.node = n.parent
+"""
+
+ORACLE: dict[str, str] = {"op13_prefixtrie": _TRIE, "op10_bm25": _BM25, "op3_chat": _CHAT, "op2_warc": _WARC, "op8_imatch": _imatch_sql()}
