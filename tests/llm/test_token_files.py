@@ -3,11 +3,13 @@
 import heapq
 import io
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from topolake.llm import tokenfile as T
@@ -36,7 +38,7 @@ def test_whole_table(spark):
 
 
 def test_many_files_small_blocks(spark, monkeypatch):
-    for name, value in {"BLOCK": 64, "EVERY": 8, "FILE_IDS": 500, "FILE_DOCS": 7, "AT_ONCE": 3, "RUN": 2, "SIGNS": 40}.items():
+    for name, value in {"BLOCK": 64, "EVERY": 8, "FILE_IDS": 500, "FILE_DOCS": 7, "AT_ONCE": 3, "RUN": 2}.items():
         monkeypatch.setattr(T, name, value)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
@@ -135,9 +137,28 @@ def test_limited_lengths_are_the_cheapest():
     assert (lengths * counts).sum() == best
 
 
-def test_pieces_give_the_same_ids():
-    tok = Tokenizer.from_file(BPE)
-    text = "A few words, 12 numbers and   spaces; it's x y z. " * 40 + "x" * 300 + "\n\n  b c"
-    parts = list(T.pieces_of(text, 50))
-    assert len(parts) > 10 and "".join(parts) == text
-    assert [i for p in parts for i in tok.encode(p).ids] == tok.encode(text).ids
+ODD_TEXTS = [
+    "", " ", "\n", "  ", " a", "a ", "\na", "a\n", "\n\na\n\n", "a  b", "a   b", "a \n b", "a\n \nb", "a\t b\t\tc \td", "\ta", "a\x1c b \x1c c", ".\x1c.", "a\u3000b \u3000 c",
+    "it's we're 'll x", "don 't", "12 34,5 6", "ä ö\nü é", "日本 語\n\n日", "x" * 2000, " ".join("ab" * (i % 9) for i in range(3000)), "<|endoftext|>", "a <|endoftext|> b<|endoftext|>\nc", "a\r\nb\r\n", "a \u0301b", "\x85a \x85 b", "e\x00 \x00f", "  \n x  \n",
+]
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_chunks_give_the_ids_of_whole_texts(as_text):
+    tok, own = Tokenizer.from_file(BPE), T.Encoder(BPE, as_text)
+    tok.encode_special_tokens = as_text
+    want = [tok.encode(t, add_special_tokens=False).ids for t in ODD_TEXTS]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(ODD_TEXTS)] == want
+    for t, ids in zip(ODD_TEXTS, want, strict=True):
+        assert own.encode([t])[0].tolist() == ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sté1.,- \n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000日²<|>"), max_size=30), min_size=1, max_size=4))
+def test_any_text(texts):
+    tok = _tokenizer()
+    assert [x.tolist() for x in _encoder().encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+_tokenizer, _encoder = lru_cache(lambda: Tokenizer.from_file(BPE)), lru_cache(lambda: T.Encoder(BPE, False))

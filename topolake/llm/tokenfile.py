@@ -17,8 +17,7 @@ no second copy. A reader takes a run of blocks and owns the documents that begin
 
 Defined results: a null or empty text has the end id alone; documents are in ascending order of doc_id, null first, equal ids by
 a hash of their ids; repeated rows are written each; an alphabet of one id has codes of one bit; an empty table has no file;
-very long texts are encoded piece by piece, cut only between an ASCII letter and a space with a letter after it, where no
-rule of the tokenizer looks across; control strings in a text are what the tokenizer makes of them by default (one
+very long texts are taken whole, in chunks as others are; control strings in a text are what the tokenizer makes of them by default (one
 id), or ordinary text with `specials_as_text`; other columns are ignored.
 """
 
@@ -29,7 +28,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,51 +48,123 @@ BLOCK, EVERY = 1 << 17, 512
 FILE_IDS, FILE_DOCS = 64 << 20, 1 << 20
 #: Blocks that a reader takes at once, and that one task reads.
 AT_ONCE, RUN = 8, 32
-#: Signs of text that are encoded at once; longer texts are cut near every so many.
-SIGNS = 1 << 18
-_SEAM = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: Signs of text that a task encodes at once, and chunks whose ids a worker keeps.
+SIGNS, KEPT = 1 << 18, 300_000
+_SEAM = re.compile(r"(?<=\S)(?=[ \n])")
+_ODD = re.compile(r"\s\s|\s\Z")
 
 
-def pieces_of(text: str, signs: int = SIGNS) -> Iterator[str]:
-    """The text in pieces of about so many signs, whose ids are together those of the whole."""
-    at = 0
-    while len(text) - at > signs and (m := _SEAM.search(text, at + signs)):
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:]
+def chunks_of(text: str) -> list[str]:
+    """The text cut before each space or line break after a sign that isn't white space.
+
+    No rule of the tokenizer goes on from such a sign into white space, and what white space becomes depends on itself and the
+    sign after it, which are in one chunk, so the ids of the chunks are together those of the text. A chunk " word" is
+    written "word", one that begins with a line break as it is, and any other with a space before it.
+    """
+    if text[0] == "\n" and not _ODD.search(text):
+        return text.replace("\n", " \n").split(" ")[1:]
+    return [c[1:] if c[0] == " " and c[1:2].strip() else c if c[0] == "\n" else " " + c for c in _SEAM.split(text)]
+
+
+def _text_of(chunk: str) -> str:
+    return chunk if chunk[0] == "\n" else chunk[1:] if chunk[0] == " " else " " + chunk
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library, which is asked once for each chunk that the worker doesn't know yet."""
+
+    def __init__(self, tokenizer: str, specials_as_text: bool):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(tokenizer)
+        self.tok.encode_special_tokens = specials_as_text
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of an id; the vocabulary writes each byte as one sign
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+        self.line = self.ids("\n")
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks as one text, and find where each begins by the bytes of its ids."""
+        texts = [_text_of(c) for c in chunks]
+        joined = [t[0] in " \n" and not t[-1].isspace() for t in texts]
+        apart = [c for c, j in zip(chunks, joined, strict=True) if not j]
+        chunks, texts = [c for c, j in zip(chunks, joined, strict=True) if j], [t for t, j in zip(texts, joined, strict=True) if j]
+        found = np.array(self.ids("".join(texts)), np.uint32)
+        far, bounds = np.cumsum(self.size[found]), np.cumsum([len(t.encode()) for t in texts])
+        at = np.searchsorted(far, bounds)
+        if len(texts) and (len(far) == 0 or far[-1] != bounds[-1] or (far[at] != bounds).any()):
+            apart, chunks = apart + chunks, []
+        if chunks:
+            self.ends.frombytes((at + 1 + len(self.flat)).astype(np.int64).tobytes())
+            self.flat.frombytes(found.tobytes())
+        for c in apart:
+            self.flat.extend(self.ids(_text_of(c)))
+            self.ends.append(len(self.flat))
+        start = len(self.known)
+        self.known.update(zip(chunks + apart, range(start, start + len(chunks) + len(apart)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > KEPT:
+            self.forget()
+        # a line break before a text that begins with a sign makes its first chunk like others; its one id is left out again
+        led = [bool(t) and not t[0].isspace() and len(self.line) == 1 for t in texts]
+        cut = [chunks_of("\n" + t if by else t) if t else [] for t, by in zip(texts, led, strict=True)]
+        every = [c for part in cut for c in part]
+        at = list(map(self.known.get, every))
+        if None in at:
+            self.learn(list(dict.fromkeys(c for c, k in zip(every, at, strict=True) if k is None)))
+            at = list(map(self.known.__getitem__, every))
+        flat, ends = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
+        at = np.array(at, np.int64)
+        lengths = ends[at + 1] - ends[at]
+        upto = np.cumsum(lengths)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = flat[np.repeat(ends[at] - (upto - lengths), lengths) + np.arange(total)]
+        del flat, ends  # else the arrays couldn't grow
+        bounds = np.concatenate([[0], upto])[np.cumsum([0, *map(len, cut)])]
+        return [ids[a + by : b] for a, b, by in zip(bounds[:-1], bounds[1:], led, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str, specials_as_text: bool) -> Encoder:
+    """One a worker: reading the vocabulary takes longer than a short task, and chunks stay known."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(tokenizer, specials_as_text)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, specials_as_text: bool = False) -> DataFrame:
-    """(doc_id, n, ids, tie) of every document, in the shared folder; ids are its ids and the end id, as little-endian 32-bit numbers by zstd."""
+    """(doc_id, n, ids, tie) of every document, in the shared folder; ids are its ids and the end id, packed and by zstd."""
     shared_dir(docs.sparkSession)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        known, zstd, end = encoder(tokenizer, specials_as_text), pa.Codec("zstd", 3), np.array([end_id], np.uint32)
 
-        tok, zstd, end = Tokenizer.from_file(tokenizer), pa.Codec("zstd", 3), np.array([end_id], np.uint32)
-        tok.encode_special_tokens = specials_as_text
-        held: list[tuple[int | None, list[str]]] = []
-
-        def flush() -> pa.RecordBatch:
-            coded = iter(tok.encode_batch_fast([p for _, parts in held for p in parts], add_special_tokens=False))
-            rows = [np.concatenate([*(np.array(next(coded).ids, np.uint32) for _ in parts), end]) for _, parts in held]
+        def made(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
+            rows = [np.concatenate([x, end]) for x in known.encode(texts)]
             raw = [_packed_ids(x) for x in rows]
-            cols = [pa.array([d for d, _ in held], pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([zstd.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-            held.clear()
+            cols = [pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([zstd.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
             return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "ids", "tie"])
 
         for b in it:
-            signs = 0
+            doc_ids, texts, signs = [], [], 0
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py() or ""
-                held.append((d, list(pieces_of(text))))
-                signs += len(text)
+                doc_ids.append(d)
+                texts.append(t.as_py() or "")
+                signs += len(texts[-1])
                 if signs >= SIGNS:
-                    yield flush()
-                    signs = 0
-            if held:
-                yield flush()
+                    yield made(doc_ids, texts)
+                    doc_ids, texts, signs = [], [], 0
+            if texts:
+                yield made(doc_ids, texts)
         trim()
 
     rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -112,13 +185,23 @@ def id_counts(ids: DataFrame) -> DataFrame:
     """(id, n): how often each id stands in all documents; tasks count before anything is shuffled."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = np.zeros(1, np.int64)
+        far, held, n_held = np.zeros(1, np.int64), [], 0
+
+        def add() -> None:
+            nonlocal far, n_held
+            here = np.bincount(np.concatenate(held), minlength=len(far))
+            here[: len(far)] += far
+            far, n_held = here, 0
+            held.clear()
+
         for b in it:
             for n, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                here = np.bincount(_unpacked_ids(data.as_buffer(), n))
-                if len(here) > len(far):
-                    far = np.concatenate([far, np.zeros(len(here) - len(far), np.int64)])
-                far[: len(here)] += here
+                held.append(_unpacked_ids(data.as_buffer(), n))
+                n_held += n
+                if n_held >= FILE_IDS >> 6:
+                    add()
+        if held:
+            add()
         (at,) = far.nonzero()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(far[at], pa.int64())], ["id", "n"])
 
@@ -377,7 +460,8 @@ def read_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the manifest's files; start counts all ids before it."""
     folder = shared_dir(manifest.sparkSession)
     runs = manifest.where("blocks > 0").select("file", "base", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(RUN))).alias("first"))
-    dealt = runs.repartition(F.col("file"), F.col("first"))
+    tasks = manifest.agg(F.sum(F.ceil(F.col("blocks") / RUN))).first()[0] or 1
+    dealt = runs.repartition(min(tasks, 100_000))  # a number, as these few short rows stand for much work
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _file_system(folder)
