@@ -91,6 +91,13 @@ def test_control_strings_by_default_and_as_text(spark):
     assert got(T.read_files(T.write_files(docs, BPE, specials_as_text=True)))[0][2] > plain([(1, text)])[0][2]
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    path, docs = public_tokenizers.path("word_bpe_49k.json"), spark.createDataFrame([(1, "Some Words, here.\n\nAnd  more"), (2, None)], "doc_id long, text string")
+    tok = Tokenizer.from_file(path)
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in ("Some Words, here.\n\nAnd  more", "")]
+    assert [(r[2], r[3]) for r in got(T.read_files(T.write_files(docs, path)))] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+
+
 def test_hot_id_over_several_tasks(spark):
     docs = spark.range(3000).selectExpr("7L as doc_id", "concat('same words here ', cast(id % 3 as string)) as text")
     found = got(T.read_files(T.write_files(docs, BPE, per_task=2000)))
@@ -139,7 +146,7 @@ def test_limited_lengths_are_the_cheapest():
 
 ODD_TEXTS = [
     "", " ", "\n", "  ", " a", "a ", "\na", "a\n", "\n\na\n\n", "a  b", "a   b", "a \n b", "a\n \nb", "a\t b\t\tc \td", "\ta", "a\x1c b \x1c c", ".\x1c.", "a\u3000b \u3000 c",
-    "it's we're 'll x", "don 't", "12 34,5 6", "ä ö\nü é", "日本 語\n\n日", "x" * 2000, " ".join("ab" * (i % 9) for i in range(3000)), "<|endoftext|>", "a <|endoftext|> b<|endoftext|>\nc", "a\r\nb\r\n", "a \u0301b", "\x85a \x85 b", "e\x00 \x00f", "  \n x  \n",
+    "it's we're 'll x", "don 't", "12 34,5 6", "ä ö\nü é", "日本 語\n\n日", "x" * 2000, " ".join("ab" * (i % 9) for i in range(3000)), "<|endoftext|>", "a <|endoftext|> b<|endoftext|>\nc", "a\r\nb\r\n", "a \u0301b", "\x85a \x85 b", "e\x00 \x00f", "  \n x  \n", "a , b", "a. .b", "3.14,15 (x).y_,z ..a,,b", " ,a", " .", ".a\n,b", "ñ.é,ü",
 ]
 
 
@@ -155,7 +162,7 @@ def test_chunks_give_the_ids_of_whole_texts(as_text):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab'sté1.,- \n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000日²<|>"), max_size=30), min_size=1, max_size=4))
+@given(st.lists(st.text(st.sampled_from("ab'sté1.,-_ \n\t\r\x0b\x1c\x1f\x85\xa0\u2003\u3000日²<|>"), max_size=30), min_size=1, max_size=4))
 def test_any_text(texts):
     tok = _tokenizer()
     assert [x.tolist() for x in _encoder().encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]

@@ -23,6 +23,7 @@ id), or ordinary text with `specials_as_text`; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -49,88 +50,106 @@ FILE_IDS, FILE_DOCS = 64 << 20, 1 << 20
 #: Blocks that a reader takes at once, and that one task reads.
 AT_ONCE, RUN = 8, 32
 #: Signs of text that a task encodes at once, and chunks whose ids a worker keeps.
-SIGNS, KEPT = 1 << 18, 300_000
-_SEAM = re.compile(r"(?<=\S)(?=[ \n])")
-_ODD = re.compile(r"\s\s|\s\Z")
+SIGNS, KEPT = 1 << 19, 400_000
+_SEAM = re.compile(r"(?<=\S)(?=[ \n])|(?<=[^\W_])(?=[,.])")
+_LATE = re.compile(r"(?<![^\W_])[,.]")
 
 
 def chunks_of(text: str) -> list[str]:
-    """The text cut before each space or line break after a sign that isn't white space.
+    """The text cut before each space or line break after a sign that isn't white space, and before a comma or dot after a letter or digit.
 
-    No rule of the tokenizer goes on from such a sign into white space, and what white space becomes depends on itself and the
-    sign after it, which are in one chunk, so the ids of the chunks are together those of the text. A chunk " word" is
-    written "word", one that begins with a line break as it is, and any other with a space before it.
+    No rule of byte-level tokenizers goes on over such a place, and what white space becomes depends on itself and the sign
+    after it, which are in one chunk, so the ids of the chunks are together those of the text. A chunk " word" is written
+    "word", one that begins with a line break, comma or dot as it is, and any other with a space before it.
     """
-    if text[0] == "\n" and not _ODD.search(text):
-        return text.replace("\n", " \n").split(" ")[1:]
-    return [c[1:] if c[0] == " " and c[1:2].strip() else c if c[0] == "\n" else " " + c for c in _SEAM.split(text)]
+    single = text[0] == "\n" and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text.replace("\n", "").isprintable()
+    if single and not text[-1].isspace() and not _LATE.search(text):  # no white space but spaces and line breaks, each alone
+        return text.replace("\n", " \n").replace(",", " ,").replace(".", " .").split(" ")[1:]
+    return [c if c[0] in "\n,." else c[1:] if c[0] == " " and c[1:2].strip(" \n,.") else " " + c for c in _SEAM.split(text)]
 
 
 def _text_of(chunk: str) -> str:
-    return chunk if chunk[0] == "\n" else chunk[1:] if chunk[0] == " " else " " + chunk
+    return chunk if chunk[0] in "\n,." else chunk[1:] if chunk[0] == " " else " " + chunk
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each chunk that the worker doesn't know yet."""
+    """Ids of texts by the tokenizers library, which is asked once for each chunk that the worker doesn't know yet.
+
+    Words go to the library's model, other chunks through all of its steps. A tokenizer that isn't byte-level BPE alone gets whole texts.
+    """
 
     def __init__(self, tokenizer: str, specials_as_text: bool):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer)
-        self.tok.encode_special_tokens = specials_as_text
-        vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of an id; the vocabulary writes each byte as one sign
-        for token, i in vocabulary.items():
-            self.size[i] = len(token)
-        self.line = self.ids("\n")
+        self.tok.encode_special_tokens, self.model = specials_as_text, self.tok.model
+        steps = json.loads(self.tok.to_str())
+        before = steps["pre_tokenizer"] or {}
+        self.whole = bool(steps["normalizer"] or steps["post_processor"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or steps["model"].get("dropout"))
+        self.signs = _byte_signs()
+        self.line, self.space = self.ids("\n"), self.signs[32]
+        self.whole |= len(self.line) != 1
         self.forget()
 
     def forget(self) -> None:
+        """Begin anew; chunks of the last round are still known, so those that come often stay."""
+        self.last = getattr(self, "known", {}), getattr(self, "flat", array("I")), getattr(self, "ends", array("q", [0]))
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("q", [0])
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks as one text, and find where each begins by the bytes of its ids."""
-        texts = [_text_of(c) for c in chunks]
-        joined = [t[0] in " \n" and not t[-1].isspace() for t in texts]
-        apart = [c for c, j in zip(chunks, joined, strict=True) if not j]
-        chunks, texts = [c for c, j in zip(chunks, joined, strict=True) if j], [t for t, j in zip(texts, joined, strict=True) if j]
-        found = np.array(self.ids("".join(texts)), np.uint32)
-        far, bounds = np.cumsum(self.size[found]), np.cumsum([len(t.encode()) for t in texts])
-        at = np.searchsorted(far, bounds)
-        if len(texts) and (len(far) == 0 or far[-1] != bounds[-1] or (far[at] != bounds).any()):
-            apart, chunks = apart + chunks, []
-        if chunks:
-            self.ends.frombytes((at + 1 + len(self.flat)).astype(np.int64).tobytes())
-            self.flat.frombytes(found.tobytes())
-        for c in apart:
-            self.flat.extend(self.ids(_text_of(c)))
-            self.ends.append(len(self.flat))
-        start = len(self.known)
-        self.known.update(zip(chunks + apart, range(start, start + len(chunks) + len(apart)), strict=True))
+    def learn(self, chunk: str) -> int:
+        word, flat = chunk[1:] if chunk[0] == "\n" else chunk, self.flat
+        known, last, ends = self.last
+        if (k := known.get(chunk)) is not None:
+            flat.extend(last[ends[k] : ends[k + 1]])
+        # letters of these scripts are letters to every version of Unicode
+        elif word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            if word is chunk:
+                signs = self.space + signs
+            else:
+                flat.append(self.line[0])
+            flat.extend([t.id for t in self.model.tokenize(signs)])
+        else:
+            flat.extend(self.ids(_text_of(chunk)))
+        self.known[chunk] = place = len(self.ends) - 1
+        self.ends.append(len(flat))
+        return place
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.whole:
+            return [np.array(self.ids(t), np.uint32) for t in texts]
         if len(self.known) > KEPT:
             self.forget()
         # a line break before a text that begins with a sign makes its first chunk like others; its one id is left out again
-        led = [bool(t) and not t[0].isspace() and len(self.line) == 1 for t in texts]
-        cut = [chunks_of("\n" + t if by else t) if t else [] for t, by in zip(texts, led, strict=True)]
-        every = [c for part in cut for c in part]
+        led = [bool(t) and not t[0].isspace() for t in texts]
+        every, sizes = [], [0]
+        for t, by in zip(texts, led, strict=True):
+            if t:
+                every += chunks_of("\n" + t if by else t)
+            sizes.append(len(every))
         at = list(map(self.known.get, every))
-        if None in at:
-            self.learn(list(dict.fromkeys(c for c, k in zip(every, at, strict=True) if k is None)))
-            at = list(map(self.known.__getitem__, every))
-        flat, ends = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
+        for i in [i for i, k in enumerate(at) if k is None]:
+            k = self.known.get(every[i])
+            at[i] = self.learn(every[i]) if k is None else k
+        flat, ends = np.array(self.flat, np.uint32, copy=True) if not self.flat else np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64)
         at = np.array(at, np.int64)
-        lengths = ends[at + 1] - ends[at]
-        upto = np.cumsum(lengths)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = flat[np.repeat(ends[at] - (upto - lengths), lengths) + np.arange(total)]
+        starts = ends[at]
+        lengths = ends[at + 1] - starts
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(starts - upto[:-1], lengths) + np.arange(upto[-1])]
         del flat, ends  # else the arrays couldn't grow
-        bounds = np.concatenate([[0], upto])[np.cumsum([0, *map(len, cut)])]
+        bounds = upto[sizes]
         return [ids[a + by : b] for a, b, by in zip(bounds[:-1], bounds[1:], led, strict=True)]
 
 
@@ -141,18 +160,28 @@ def encoder(tokenizer: str, specials_as_text: bool) -> Encoder:
     return Encoder(tokenizer, specials_as_text)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, specials_as_text: bool = False) -> DataFrame:
-    """(doc_id, n, ids, tie) of every document, in the shared folder; ids are its ids and the end id, packed and by zstd."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, specials_as_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, ids, tie) of every document, and (id, n) of every task; ids are a document's ids and the end id, packed and by zstd.
+
+    Both are written to the shared folder by one pass; a task's counts are a row of their own.
+    """
     shared_dir(docs.sparkSession)
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, zstd, end = encoder(tokenizer, specials_as_text), pa.Codec("zstd", 3), np.array([end_id], np.uint32)
+        known, zstd, end, far = encoder(tokenizer, specials_as_text), pa.Codec("zstd", 1), np.array([end_id], np.uint32), np.zeros(1, np.int64)
+
+        def rows_of(doc_ids: list, n: list, ids: list, ties: list, counts: bytes | None = None) -> pa.RecordBatch:
+            cols = [pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(ties, pa.int64()), pa.array([counts] * len(n), pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "ids", "tie", "counts"])
 
         def made(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
+            nonlocal far
             rows = [np.concatenate([x, end]) for x in known.encode(texts)]
+            here = np.bincount(np.concatenate(rows), minlength=len(far))
+            here[: len(far)] += far
+            far = here
             raw = [_packed_ids(x) for x in rows]
-            cols = [pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([zstd.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "ids", "tie"])
+            return rows_of(doc_ids, [len(x) for x in rows], [zstd.compress(x, asbytes=True) for x in raw], [zlib.crc32(x) for x in raw])
 
         for b in it:
             doc_ids, texts, signs = [], [], 0
@@ -165,10 +194,20 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, specials_as_text
                     doc_ids, texts, signs = [], [], 0
             if texts:
                 yield made(doc_ids, texts)
+        (at,) = far.nonzero()
+        if len(at):
+            yield rows_of([None], [len(at)], [None], [None], np.concatenate([at, far[at]]).astype("<i8").tobytes())
         trim()
 
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for data in b.column(0):
+                pairs = np.frombuffer(data.as_buffer(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["id", "n"])
+
     rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(rows.mapInArrow(encode, "doc_id long, n long, ids binary, tie long"), "ids", "uncompressed")
+    every = stored(rows.mapInArrow(encode, "doc_id long, n long, ids binary, tie long, counts binary"), "ids", "uncompressed")
+    return every.where("counts is null").drop("counts"), every.where("counts is not null").select("counts").mapInArrow(counted, "id long, n long")
 
 
 def _packed_ids(ids: np.ndarray) -> bytes:
@@ -181,33 +220,6 @@ def _unpacked_ids(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel()
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
-    """(id, n): how often each id stands in all documents; tasks count before anything is shuffled."""
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far, held, n_held = np.zeros(1, np.int64), [], 0
-
-        def add() -> None:
-            nonlocal far, n_held
-            here = np.bincount(np.concatenate(held), minlength=len(far))
-            here[: len(far)] += far
-            far, n_held = here, 0
-            held.clear()
-
-        for b in it:
-            for n, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.append(_unpacked_ids(data.as_buffer(), n))
-                n_held += n
-                if n_held >= FILE_IDS >> 6:
-                    add()
-        if held:
-            add()
-        (at,) = far.nonzero()
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(far[at], pa.int64())], ["id", "n"])
-
-    return ids.select("n", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
     """Bits of each id's code, 0 for ids that don't occur: the cheapest prefix code of at most max_bits bits, by package-merge."""
     (used,) = counts.nonzero()
@@ -256,11 +268,16 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     bits = lengths[ids].astype(np.int64)
     end = np.cumsum(bits)
     at = end - bits
-    value = codes[ids] << (64 - (at & 31) - bits).astype(np.uint64)
-    word, words = at >> 5, int(end[-1] + 31 >> 5)
-    # the bits of a word come from different ids and never overlap, so sums of doubles under 2^32 are exact
-    out = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), words + 1) + np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), words + 1)
-    return out.astype(">u4").tobytes()[: int(end[-1] + 7 >> 3)], at[::EVERY].astype("<u4")
+    word, left = at >> 6, 64 - (at & 63) - bits  # bits that stay free in a code's word; if negative, so many go to the next word
+    (over,) = (left < 0).nonzero()
+    value = codes[ids]
+    out = np.zeros(int(end[-1] + 63 >> 6) + 1, np.uint64)
+    out[word[over] + 1] = value[over] << (64 + left[over]).astype(np.uint64)  # one code at most ends in a word that it doesn't begin
+    value[over] >>= (-left[over]).astype(np.uint64)
+    value <<= np.maximum(left, 0).astype(np.uint64)
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    out[word[first]] += np.add.reduceat(value, first)  # the bits of different codes never overlap
+    return out.astype(">u8").tobytes()[: int(end[-1] + 7 >> 3)], at[::EVERY].astype("<u4")
 
 
 class Decoder:
@@ -271,8 +288,8 @@ class Decoder:
         _, order = canonical(lengths)
         spans = (np.int64(1) << (max_bits - lengths[order].astype(np.int64))).astype(np.int64)
         unused = (1 << max_bits) - int(spans.sum())
-        self.id = np.concatenate([np.repeat(order.astype(np.uint32), spans), np.zeros(unused, np.uint32)])
-        self.length = np.concatenate([np.repeat(lengths[order].astype(np.int64), spans), np.ones(unused, np.int64)])
+        # an id and its code's length are one entry, so that a step looks once
+        self.entry = np.concatenate([np.repeat(order << 6 | lengths[order], spans), np.ones(unused, np.int64)]).astype(np.uint32 if len(lengths) <= 1 << 26 else np.uint64)
 
     def blocks(self, blocks: list[tuple[int, np.ndarray, bytes]]) -> list[np.ndarray]:
         """The ids of (n, checkpoints, bits) each: all checkpoints of all blocks go on together, an id a step."""
@@ -285,12 +302,13 @@ class Decoder:
         pairs = words[:-1] << np.uint64(32) | words[1:]
         at, mask = np.concatenate(starts), np.uint64((1 << self.bits) - 1)
         steps = min(EVERY, max(n for n, _, _ in blocks))
-        found = np.empty((steps, len(at)), np.uint32)
+        found, free = np.empty((steps, len(at)), self.entry.dtype), 64 - self.bits
         for i in range(steps):
-            seen = (pairs[at >> 5] >> (64 - self.bits - (at & 31)).astype(np.uint64) & mask).astype(np.int64)
-            found[i] = self.id[seen]
-            at += self.length[seen]
-        out, col = [], 0
+            seen = pairs[at >> 5] >> (free - (at & 31)).view(np.uint64) & mask
+            found[i] = self.entry[seen.view(np.int64)]
+            at += found[i] & 63
+        found >>= 6
+        found, out, col = found.astype(np.uint32, copy=False), [], 0
         for n, marks, _ in blocks:
             out.append(found[:, col : col + len(marks)].T.reshape(-1)[:n])
             col += len(marks)
@@ -365,9 +383,10 @@ class FileReader:
         self.places = np.frombuffer(index, "<u8", n_blocks).astype(np.int64)
         self.block_first = np.frombuffer(index, "<u8", n_blocks, 8 * n_blocks).astype(np.int64)
         self.ends = np.concatenate([self.places[1:], [docs_at]]).astype(np.int64)
-        self.decoder = Decoder(np.frombuffer(zlib.decompress(self.part(HEADER.size, table)), np.uint8), bits)
-        if len(self.decoder.id) and alphabet < int(self.decoder.id.max()):
-            raise ValueError("a file of token ids names ids outside its alphabet")
+        self.lengths = np.frombuffer(zlib.decompress(self.part(HEADER.size, table)), np.uint8)
+        self.decoder = Decoder(self.lengths, bits)
+        if self.lengths.size != alphabet:
+            raise ValueError("a file of token ids has other lengths than its alphabet needs")
 
     def part(self, at: int, n: int) -> bytes:
         self.f.seek(at)
@@ -415,14 +434,14 @@ class FileReader:
                     d, crc = d + 1, 0
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, max_bits: int = 20, specials_as_text: bool = False, folder: str | None = None, per_task: int = FILE_IDS) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, max_bits: int = 18, specials_as_text: bool = False, folder: str | None = None, per_task: int = FILE_IDS) -> DataFrame:
     """Write all documents' ids; returns the manifest (file, base, docs, blocks, ids), a row a file, base counting the ids before it."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     fs, root = _file_system(folder)
     fs.create_dir(root, recursive=True)
-    ids = tokenized(docs, tokenizer, end_id, specials_as_text)
-    told = id_counts(ids).toPandas()  # a row an id that occurs: no more than the vocabulary has
+    ids, counted = tokenized(docs, tokenizer, end_id, specials_as_text)
+    told = counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row an id that occurs: no more than the vocabulary has
     counts = np.zeros(int(told["id"].max()) + 1 if len(told) else 1, np.int64)
     counts[told["id"].to_numpy(np.int64)] = told["n"].to_numpy(np.int64)
     lengths, total = code_lengths(counts, max_bits), int(counts.sum())
