@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from topolake import schema as S
-from topolake.operators import advice, canonical, edges as E, graph as G, metrics as M, trend as T
+from topolake.operators import advice, canonical, edges as E, graph as G, linkage as L, metrics as M, trend as T
 
 NONE = ([], [], [])
 
@@ -155,3 +155,119 @@ def test_empty_inputs(spark):
     assert E.contract_edges(none).count() == 0 and E.degrees(E.contract_edges(none)).count() == 0
     assert G.components(E.contract_edges(none), ids(none)).count() == 0
     assert M.ghosts_by_language(none).count() == 0
+
+
+def pairs_of(spark, rows):
+    return spark.createDataFrame(rows, "src string, dst string")
+
+
+def named(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "node_id string")
+
+
+def plain_reach(rows):
+    to = {}
+    for a, b in rows:
+        to.setdefault(a, set()).add(b)
+    out = {}
+    for a in to:
+        seen, left = set(), list(to[a])
+        while left:
+            x = left.pop()
+            if x not in seen:
+                seen.add(x)
+                left += to.get(x, ())
+        out[a] = seen
+    return out
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """How many tables a loop writes."""
+    told = []
+    plain = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: told.append(1) or plain(df))
+    return told
+
+
+def test_long_chain_takes_few_rounds(spark, rounds):
+    n = 10_000
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(n - 1)]
+    comp = G.components(pairs_of(spark, rows), named(spark, [f"n{i}" for i in range(n)]))
+    assert comp.where("node_id <> component").isEmpty() and comp.count() == n
+    assert len(rounds) < 40
+    rounds.clear()
+    level = {r.node_id: r.level for r in G.levels(pairs_of(spark, rows), comp).collect()}
+    assert level == {f"n{i}": i for i in range(n)}
+    assert len(rounds) < 40
+
+
+def test_long_ring_with_tails_takes_few_rounds(spark, rounds):
+    n = 3000
+    rows = [(f"r{i:05}", f"r{(i + 1) % n:05}") for i in range(n)] + [("a0", "r00000"), ("a1", "a0"), ("r00007", "z0"), ("z0", "z1"), ("q0", "q1"), ("q1", "q0"), ("s", "s")]
+    names = {x for r in rows for x in r} | {"alone"}
+    comp = {r.node_id: r.component for r in G.components(pairs_of(spark, rows), named(spark, names)).collect()}
+    assert comp == {x: "r00000" if x[0] == "r" else "q0" if x[0] == "q" else x for x in names}
+    assert len(rounds) < 60
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_random_graphs_against_plain_search(spark, seed):
+    r = random.Random(seed)
+    n, m = 60, [40, 60, 75, 90][seed]
+    rows = list({(f"v{r.randrange(n)}", f"v{r.randrange(n)}") for _ in range(m)})
+    names = [f"v{i}" for i in range(n)]
+    to = plain_reach(rows)
+    pairs, ids = pairs_of(spark, rows), named(spark, names)
+    assert {(x.origin, x.node) for x in G.reach(pairs, ids).collect()} == {(a, b) for a in to for b in to[a]}
+    assert {x.origin: x.impacted for x in G.impact(pairs, ids).collect()} == {a: len(to.get(a, set()) - {a}) for a in names}
+    found = G.components(pairs, ids)
+    comp = {x.node_id: x.component for x in found.collect()}
+    want = {a: min([a, *(b for b in to.get(a, ()) if a in to.get(b, ()))]) for a in names}
+    assert comp == want
+    edges = {(want[a], want[b]) for a, b in rows if want[a] != want[b]}
+    level = dict.fromkeys(want.values(), 0)
+    for _ in range(n):
+        for a, b in edges:
+            level[b] = max(level[b], level[a] + 1)
+    got = {x.node_id: x.level for x in G.levels(pairs, found).collect()}
+    assert got == {a: level[want[a]] for a in names}
+
+
+def test_graph_loops_on_nothing(spark):
+    none, ids = pairs_of(spark, []), named(spark, ["a", "b"])
+    assert G.reach(none, ids).count() == 0
+    assert {(x.origin, x.impacted) for x in G.impact(none, ids).collect()} == {("a", 0), ("b", 0)}
+    comp = G.components(none, ids)
+    assert {(x.node_id, x.component, x.level) for x in G.levels(none, comp).collect()} == {("a", "a", 0), ("b", "b", 0)}
+    assert G.components(none, ids.limit(0)).count() == 0
+
+
+def linked_rows(spark, n):
+    """Parts-like rows: few names and paths that very many share."""
+    r = random.Random(1)
+    words, kinds = ["red", "gear", "small", "hot", "cold", "old", "ring", "plate"], ["large", "economy", "standard"]
+    run = [(f"Service.{r.choice(words)}.m{i * 4}", f"{r.choice(words)} {r.choice(words)}", [f"src/{r.choice(kinds)}/f{r.randrange(9)}.py"], r.choice(["core", None]), f"m{i * 8}" if i % 5 == 0 else None) for i in range(n)]
+    caps = [(f"Shop.{r.choice(words)}.{r.choice(words)}.m{i}", f"src/{r.choice(kinds)}/f{r.randrange(9)}.py", r.choice(["core", "backend", None])) for i in range(n)]
+    return spark.createDataFrame(run, "id string, label string, source_paths array<string>, category string, handler string"), spark.createDataFrame(caps, "node_id string, source_path string, category string")
+
+
+def test_scored_links_meet_few_pairs(spark):
+    """All pairs that score are among those that meet, and what meets grows with the rows, not with their square."""
+    met = {}
+    for n in (200, 2000):
+        r, c = L._linked_sides(*linked_rows(spark, n))
+        met[n] = L.link_candidates(r, c).count()
+    assert met[2000] < 16 * met[200] and met[2000] < 2000 * 100
+
+
+def test_scored_links_against_all_pairs(spark):
+    run, caps = linked_rows(spark, 150)
+    got = {(x.runtime_id, x.capability_id, x.score, x.rank) for x in L.runtime_capabilities(run, caps).collect()}
+    whole = L.link_candidates
+    try:
+        L.link_candidates = lambda r, c, *_: r.select("runtime_id").crossJoin(c.select("capability_id")).distinct()
+        want = {(x.runtime_id, x.capability_id, x.score, x.rank) for x in L.runtime_capabilities(run, caps).collect()}
+    finally:
+        L.link_candidates = whole
+    assert got == want

@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import runtime_id
-from .shared import cut, spread_top_by
+from .shared import spread_top_by, written as cut
+
+def _spread(ways: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, word, bits): all bits that reach a node over ways (a, b) from seeds (node, word, bits), by one step or more.
+
+    A round sends what is new over the ways, 64 sources to a long; one aggregation ors what arrives with what was there.
+    """
+    ways = cut(ways.select("a", "b").distinct())
+    known, news = None, seeds
+    while True:
+        came = news.join(ways, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "word", "bits", F.lit(0).cast("long").alias("old"))
+        every = came if known is None else came.unionByName(known.select("node", "word", "bits", F.col("bits").alias("old")))
+        known = cut(every.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old")))
+        news = known.where("bits <> old").select("node", "word", F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits"))
+        if news.isEmpty():
+            return known.drop("old")
+
 
-#: Rounds of a loop that one checkpoint covers, and written rounds that are kept apart.
-STEPS, ROUNDS = 4, 16
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """(node, word, bits): each node has one bit of a word of 64; words are filled by each task for itself."""
+    every = cut(nodes.select(F.col("node_id").alias("node")).distinct().withColumn("_n", F.monotonically_increasing_id()))
+    return every.select("node", F.shiftright("_n", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_n").bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
 
 
 def reach(pairs: DataFrame, starts: DataFrame) -> DataFrame:
     """Distinct (origin, node) reachable from each start over (src, dst) by one step or more; cycles may return to it.
 
-    Every round joins only the newest nodes with the edges and drops what is known; each round's rows are written once.
+    The search holds a bit for each start; pairs are only made of its result.
     """
-    edges = cut(pairs.select("src", "dst").distinct())
-    frontier = starts.select(F.col("node_id").alias("origin"), F.col("node_id").alias("node")).distinct()
-    seen: list[DataFrame] = []
-    while True:
-        new = frontier.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
-        if seen:
-            new = new.join(reduce(DataFrame.unionByName, seen), ["origin", "node"], "left_anti")
-        new = cut(new)
-        if new.isEmpty():
-            return reduce(DataFrame.unionByName, seen) if seen else new
-        seen.append(new)
-        if len(seen) >= ROUNDS:  # keeps the plan short
-            seen = [cut(reduce(DataFrame.unionByName, seen))]
-        frontier = new
+    seeds = _numbered(starts)
+    found = _spread(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), seeds)
+    return found.join(seeds.select("word", F.col("node").alias("origin"), F.col("bits").alias("bit")), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("origin", "node")
+
+
+def impact(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(origin, impacted): how many other nodes each node reaches over (src, dst); no pair is made.
+
+    Each node's bit goes against the edges, so what has come to a node are the nodes that it reaches; they are counted by words.
+    """
+    seeds = _numbered(pairs.select(F.explode(F.array("src", "dst")).alias("node_id")))
+    found = _spread(pairs.select(F.col("dst").alias("a"), F.col("src").alias("b")), seeds)
+    own = seeds.select("node", "word", F.col("bits").alias("own"))
+    others = found.join(own, ["node", "word"], "left").select("node", F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0).cast("long"))))).alias("n"))
+    counts = others.groupBy("node").agg(F.sum("n").alias("impacted"))
+    return nodes.select(F.col("node_id").alias("origin")).distinct().join(counts, F.col("origin") == F.col("node"), "left").select("origin", F.coalesce("impacted", F.lit(0).cast("long")).alias("impacted"))
 
 
 def blast_radius(pairs: DataFrame, starts: DataFrame, is_contract_change: bool = True) -> DataFrame:
@@ -40,42 +58,71 @@ def blast_radius(pairs: DataFrame, starts: DataFrame, is_contract_change: bool =
     return found if is_contract_change else found.limit(0)
 
 
+def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Nodes with one edge in and one out, by pointer jumping: (node_id, head, tail), the ends of a node's chain, and
+    (node_id, component) where such nodes form a ring; None if there are none. Rounds are the logarithm of their number.
+    """
+    ways = lambda a, b: edges.groupBy(F.col(a).alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min(b).alias(b)).where("n = 1").select("node_id", b)
+    inner = cut(ways("src", "dst").join(ways("dst", "src"), "node_id").select("node_id", F.col("src").alias("head"), F.col("dst").alias("tail"), F.col("node_id").alias("least"), F.lit(True).alias("open")))
+    size = inner.count()
+    if not size:
+        return None
+    for _ in range(size.bit_length()):
+        on = inner.select(F.col("node_id").alias("tail"), F.col("tail").alias("tail2"), F.col("least").alias("least2"))
+        back = inner.select(F.col("node_id").alias("head"), F.col("head").alias("head2"))
+        met = inner.join(on, "tail", "left").join(back, "head", "left")
+        inner = cut(met.select("node_id", F.coalesce("head2", "head").alias("head"), F.coalesce("tail2", "tail").alias("tail"), F.least("least", F.coalesce("least2", "least")).alias("least"), (F.col("tail2").isNotNull() | F.col("head2").isNotNull()).alias("open")))
+        if inner.where("open").isEmpty():
+            break
+    # after so many rounds only rings still lead to nodes with one edge in and one out
+    ring = inner.select(F.col("node_id").alias("tail"))
+    return inner.join(ring, "tail", "left_anti").select("node_id", "head", "tail"), inner.join(ring, "tail", "left_semi").select("node_id", F.col("least").alias("component"))
+
+
 def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, component) of strongly connected components, named by their least node.
 
-    Nodes without a predecessor or successor left are trimmed off as components of their own; then the largest reachable
-    name is spread forward as a colour, and of each colour what reaches its root backward is one component. Both loops are
-    of joins; no closure of pairs is built.
+    Nodes without a predecessor or successor left are components of their own. Chains of nodes with one edge in and one out
+    become one edge, by pointer jumping; its nodes belong to the component of the chain's ends if both ends have the same
+    one. Trees and chains are gone after rounds that grow with the logarithm of their size. In what stays, every node takes
+    the largest name that reaches it as its colour, all roots at once, and of each colour what reaches its root backward is
+    one component. No closure of pairs is built.
     """
     live = cut(nodes.select("node_id").distinct())
-    edges = cut(pairs.select("src", "dst").distinct().where("src <> dst"))
-    done = None
+    edges = cut(known_edges(pairs.select("src", "dst").distinct().where("src <> dst"), live))
+    done, chains = live.select("node_id", F.col("node_id").alias("component")).limit(0), []
     while True:
-        # trim
-        while True:
+        while not edges.isEmpty():
+            # trim
             both = edges.select(F.col("src").alias("node_id")).distinct().join(edges.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_semi")
-            inner = cut(live.join(both, "node_id", "left_semi"))
-            off = live.join(inner, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
-            trimmed = cut(off)
-            done = trimmed if done is None else done.unionByName(trimmed)
-            if trimmed.isEmpty():
-                break
-            live = inner
-            edges = cut(known_edges(edges, live))
-        if live.isEmpty():
+            kept = cut(live.join(both, "node_id", "left_semi"))
+            off = cut(live.join(kept, "node_id", "left_anti"))
+            done = done.unionByName(off.select("node_id", F.col("node_id").alias("component")))
+            live, trimmed = kept, not off.isEmpty()
+            if trimmed:
+                edges = cut(known_edges(edges, live))
+            # chains
+            found = _chains(edges)
+            if found is None:
+                if not trimmed:
+                    break
+                continue
+            inner, rings = (cut(x) for x in found)
+            chains.append(inner)
+            done = done.unionByName(rings)
+            live = cut(live.join(inner, "node_id", "left_anti").join(rings, "node_id", "left_anti"))
+            edges = cut(known_edges(edges, live).unionByName(inner.select(F.col("head").alias("src"), F.col("tail").alias("dst"))).where("src <> dst").distinct())
+        if edges.isEmpty():
+            done = done.unionByName(live.select("node_id", F.col("node_id").alias("component")))
             break
-        # colour: each node takes the greatest name that reaches it
-        colour = live.select("node_id", F.col("node_id").alias("colour"))
+        # colour: each node takes the greatest name that reaches it; only nodes whose colour changed send it on
+        colour = live.select("node_id", F.col("node_id").alias("colour"), F.lit(True).alias("fresh"))
         while True:
-            new = colour.withColumn("was", F.col("colour"))
-            for _ in range(STEPS):
-                best = edges.join(new.select(F.col("node_id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("_to")).agg(F.max("colour").alias("c"))
-                new = new.join(best, F.col("node_id") == F.col("_to"), "left").select("node_id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), "was")
-            new = cut(new)
-            changed = not new.where("colour <> was").isEmpty()
-            colour = new.drop("was")
-            if not changed:
+            best = edges.join(colour.where("fresh").select(F.col("node_id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("_to")).agg(F.max("colour").alias("c"))
+            colour = cut(colour.join(best, F.col("node_id") == F.col("_to"), "left").select("node_id", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), F.coalesce(F.col("c") > F.col("colour"), F.lit(False)).alias("fresh")))
+            if colour.where("fresh").isEmpty():
                 break
+        colour = colour.drop("fresh")
         # backward from each root within its colour
         found = frontier = cut(colour.where("node_id = colour"))
         cs, cd = colour.select(F.col("node_id").alias("src"), F.col("colour").alias("cs")), colour.select(F.col("node_id").alias("dst"), F.col("colour").alias("cd"))
@@ -87,11 +134,14 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if new.isEmpty():
                 break
             found, frontier = cut(found.unionByName(new)), new
-        named = cut(found.join(found.groupBy("colour").agg(F.min("node_id").alias("component")), "colour").select("node_id", "component"))
-        done = done.unionByName(named)
-        live = cut(live.join(named, "node_id", "left_anti"))
+        done = cut(done.unionByName(found.select("node_id", F.col("colour").alias("component"))))
+        live = cut(live.join(found, "node_id", "left_anti"))
         edges = cut(known_edges(edges, live))
-    return cut(done)
+    for inner in reversed(chains):
+        ends = lambda side: done.select(F.col("node_id").alias(side), F.col("component").alias(f"{side}_in"))  # noqa: B023, E731
+        own = inner.join(ends("head"), "head").join(ends("tail"), "tail").select("node_id", F.when(F.col("head_in") == F.col("tail_in"), F.col("head_in")).otherwise(F.col("node_id")).alias("component"))
+        done = cut(done.unionByName(own))
+    return cut(done.join(done.groupBy("component").agg(F.min("node_id").alias("least")), "component").select("node_id", F.col("least").alias("component")))
 
 
 def cycles(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -115,21 +165,55 @@ def collapse(pairs: DataFrame, nodes: DataFrame, answers: DataFrame, demands: Da
     return found.join(lists, found.component == lists.group_id, "left").select(F.concat(F.lit("MacroNode."), F.when(F.size(names) > 0, F.array_join(names, "__")).otherwise("Cycle")).alias("macro_id"), "members", F.coalesce("demand", none).alias("demand"), F.coalesce("answer", none).alias("answer"))
 
 
+def longest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): the longest path that leads to each node of an acyclic graph (src, dst) over nodes (node).
+
+    Nodes without edges in are done, and raise what they lead to. A node with one edge in has max(b, x + c) of its
+    predecessor's level x, and such functions compose, so by pointer jumping all of them come to depend on nodes with more
+    edges in, in rounds that grow with the logarithm of the longest such path; they wait until those are known.
+    """
+    base = cut(nodes.select("node", F.lit(0).alias("b")))
+    edges = cut(edges.select("src", "dst").distinct().withColumn("w", F.lit(1)))
+    level, waiting = base.select("node", F.col("b").alias("level")).limit(0), []
+
+    def raised(base: DataFrame, by: DataFrame) -> DataFrame:
+        most = by.groupBy(F.col("dst").alias("node")).agg(F.max("least").alias("least"))
+        return base.join(most, "node", "left").select("node", F.greatest("b", F.coalesce("least", "b")).alias("b"))
+
+    while not base.isEmpty():
+        ones = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up"), F.max("w").alias("c")).where("n = 1").join(base, "node").select("node", "up", "b", "c")
+        ones = cut(ones)
+        if not ones.isEmpty():
+            while True:
+                above = ones.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("b").alias("b2"), F.col("c").alias("c2"))
+                met = ones.join(above, "up", "left")
+                ones = cut(met.select("node", F.coalesce("up2", "up").alias("up"), F.greatest("b", F.coalesce(F.col("b2") + F.col("c"), "b")).alias("b"), (F.col("c") + F.coalesce("c2", F.lit(0))).alias("c"), F.col("up2").isNotNull().alias("open")))
+                if ones.where("open").isEmpty():
+                    break
+            waiting.append(ones)
+            gone = ones.select(F.col("node").alias("dst"))
+            rest = edges.join(gone, "dst", "left_anti").join(ones.select(F.col("node").alias("src"), "up", F.col("b").alias("b2"), F.col("c").alias("c2")), "src", "left")
+            rest = cut(rest.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("w") + F.coalesce("c2", F.lit(0))).alias("w"), (F.col("w") + F.coalesce("b2", F.lit(0))).alias("least")))
+            base = raised(base.join(ones.select("node"), "node", "left_anti"), rest)
+            edges = cut(rest.groupBy("src", "dst").agg(F.max("w").alias("w")))
+        base = cut(base)
+        first = cut(base.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        level = level.unionByName(first.select("node", F.col("b").alias("level")))
+        out = edges.join(first.select(F.col("node").alias("src"), "b"), "src")
+        base = cut(raised(base.join(first.select("node"), "node", "left_anti"), out.select("dst", (F.col("b") + F.col("w")).alias("least"))))
+        edges = cut(edges.join(first.select(F.col("node").alias("src")), "src", "left_anti"))
+    for ones in reversed(waiting):
+        own = ones.join(level.select(F.col("node").alias("up"), "level"), "up").select("node", F.greatest("b", F.col("level") + F.col("c")).alias("level"))
+        level = cut(level.unionByName(own))
+    return level
+
+
 def levels(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """(node_id, component, level): longest path of components that leads to each, by rounds until nothing rises."""
+    """(node_id, component, level): longest path of components that leads to each."""
     a, b = comp.select(F.col("node_id").alias("src"), F.col("component").alias("cs")), comp.select(F.col("node_id").alias("dst"), F.col("component").alias("cd"))
-    dag = cut(pairs.join(a, "src").join(b, "dst").where("cs <> cd").select("cs", "cd").distinct())
-    level = cut(comp.select("component").distinct().withColumn("level", F.lit(0)))
-    while True:
-        new = level.withColumn("was", F.col("level"))
-        for _ in range(STEPS):  # so many rounds to a checkpoint
-            up = dag.join(new, dag.cs == new.component).groupBy("cd").agg((F.max("level") + 1).alias("up"))
-            new = new.join(up, new.component == up.cd, "left").select("component", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), "was")
-        new = cut(new)
-        changed = not new.where("level <> was").isEmpty()
-        level = new.drop("was")
-        if not changed:
-            return comp.join(level, "component").select("node_id", "component", "level")
+    dag = pairs.join(a, "src").join(b, "dst").where("cs <> cd").select(F.col("cs").alias("src"), F.col("cd").alias("dst"))
+    level = longest_paths(dag, comp.select(F.col("component").alias("node")).distinct())
+    return comp.join(level, F.col("component") == F.col("node")).select("node_id", "component", "level")
 
 
 def weights(answers: DataFrame, demands: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:

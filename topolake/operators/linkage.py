@@ -8,6 +8,7 @@ from ..functions.scalars import element
 
 from ..functions import scalars as X
 from .shared import first_by, small, top_by
+from .topk_join import best_pairs
 
 
 def clean_path(path: Column) -> Column:
@@ -156,53 +157,71 @@ def containing(ids: DataFrame, needles: DataFrame) -> DataFrame:
     return held.join(best, "run").where(low.contains(needle)).select("capability_id", "needle")
 
 
-def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int = 35, most: int = 6) -> DataFrame:
-    """(runtime_id, capability_id, score, reason, rank): additive scores over paths, category, handler, service and words.
+def _tail(path: Column) -> Column:
+    """The last two parts of a path."""
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), "/")
 
-    runtime: (id, label, source_paths, category, handler); capabilities: (node_id, source_path, category). Scores need more
-    than equal categories (18), so candidates come from equi-joins, of which each signal has one: paths by their last parts,
-    words by equality. Paths fit by whole parts. For the substring signals (handler, service) ids and needles meet by the
-    needle's rarest run of three signs (fewer in shorter needles), and are then compared.
-    """
-    r = runtime.select(
-        F.col("id").alias("runtime_id"), F.coalesce("source_paths", F.array().cast("array<string>")).alias("paths"), F.lower(F.coalesce(F.when(F.trim("category") != "", F.trim("category")), F.lit("unknown"))).alias("r_cat"),
-        F.trim(F.coalesce("handler", F.lit(""))).alias("handler"), X.tokens(F.concat_ws(" ", "id", "label", F.array_join(F.coalesce("source_paths", F.array().cast("array<string>")), " "))).alias("r_words"),
-    )
+
+def _linked_sides(runtime: DataFrame, capabilities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What J7 compares: (runtime_id, paths, r_cat, handler, r_words, svc, svc_method) and (capability_id, path, c_cat, c_words)."""
+    category = F.lower(F.coalesce(F.when(F.trim("category") != "", F.trim("category")), F.lit("unknown")))
+    paths = F.coalesce("source_paths", F.array().cast("array<string>"))
+    r = runtime.select(F.col("id").alias("runtime_id"), paths.alias("paths"), category.alias("r_cat"), F.trim(F.coalesce("handler", F.lit(""))).alias("handler"), X.tokens(F.concat_ws(" ", "id", "label", F.array_join(paths, " "))).alias("r_words"))
     parts = F.filter(F.split("runtime_id", r"\."), lambda x: x != "")
     service = (F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == "Service")
     r = r.withColumn("svc", F.when(service, F.lower(F.get(parts, F.lit(1))))).withColumn("svc_method", F.when(service, F.lower(F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), "."))))
-    c = capabilities.select(
-        F.col("node_id").alias("capability_id"), F.coalesce("source_path", F.lit("")).alias("path"), F.lower(F.coalesce(F.when(F.trim("category") != "", F.trim("category")), F.lit("unknown"))).alias("c_cat"),
-        X.tokens(F.concat_ws(" ", "node_id", F.coalesce("source_path", F.lit("")))).alias("c_words"),
+    c = capabilities.select(F.col("node_id").alias("capability_id"), F.coalesce("source_path", F.lit("")).alias("path"), category.alias("c_cat"), X.tokens(F.concat_ws(" ", "node_id", F.coalesce("source_path", F.lit("")))).alias("c_words"))
+    return r, c
+
+
+def link_candidates(r: DataFrame, c: DataFrame, least: int = 35, most: int = 6) -> DataFrame:
+    """(runtime_id, capability_id): all pairs that J7 may rank, by a top-k join on what each pair shares.
+
+    Features are words, whole paths and their last parts (one of these counts), categories, and the substring signals: a
+    handler, and a service with its method, which meet ids by their rarest run of three signs (fewer in shorter ones).
+    """
+    name = lambda p: element(F.split(p, "/"), -1)
+    single = lambda p: F.size(F.split(p, "/")) == 1
+    feature = lambda mark, value, kind, weight: F.struct(F.concat(F.lit(f"{mark}:"), value).alias("feature"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))
+    # a path of one part also meets others by its name alone: m and l are the longer and the shorter side
+    of_path = lambda p, mine, others: F.array_compact(F.array(feature("e", p, 1, 65), F.when(~single(p), feature("p", _tail(p), 1, 32)), feature(mine, name(p), 1, 32), F.when(single(p), feature(others, name(p), 1, 32))))
+    words = lambda w: F.transform(w, lambda x: feature("w", x, 0, 6))
+    # the base of a score is that of pairs of different categories
+    needle = lambda n: F.concat(F.col("svc"), F.lit(" "), F.col("svc_method")) if n == "s" else F.col("handler")
+    r_all = F.concat(
+        words(F.col("r_words")), F.flatten(F.transform("paths", lambda p: of_path(p, "m", "l"))), F.array(feature("c", F.col("r_cat"), 2, 26)),
+        F.array_compact(F.array(F.when(F.col("handler") != "", feature("h", needle("h"), 3, 34)), F.when(F.col("svc").isNotNull(), feature("s", needle("s"), 4, 40)))),
     )
-    # paths meet by their last two parts; a path of one part also by its name alone
+    left = r.select(F.col("runtime_id").alias("id"), F.xxhash64(*r.columns).alias("row"), F.explode(r_all).alias("x")).select("id", "row", "x.*")
+    # handlers and services that ids hold; a service's longer part is looked up and the other compared
+    asked = r.where("handler <> ''").select(needle("h").alias("needle"), needle("h").alias("text"), F.lit("").alias("other"), F.lit("h").alias("mark")).unionByName(
+        r.where("svc is not null").select(F.when(F.length("svc") > F.length("svc_method"), F.col("svc")).otherwise(F.col("svc_method")).alias("needle"), needle("s").alias("text"), F.when(F.length("svc") > F.length("svc_method"), F.col("svc_method")).otherwise(F.col("svc")).alias("other"), F.lit("s").alias("mark"))
+    ).distinct()
+    ids = c.select("capability_id", F.lower("capability_id").alias("low")).distinct()
+    held = containing(ids, asked.select("needle").distinct()).join(asked, "needle").where(F.lower("capability_id").contains(F.col("other"))).select("capability_id", "text", "mark")
+    named = c.select("capability_id", F.trim(method(F.col("capability_id"))).alias("text"), F.lit("h").alias("mark")).where("text <> ''").join(asked.where("mark = 'h'").select("text"), "text", "left_semi")
+    signal = held.unionByName(named.select(*held.columns)).distinct().withColumn("x", F.struct(F.concat_ws(":", "mark", "text").alias("feature"), F.when(F.col("mark") == "h", 3).otherwise(4).alias("kind"), F.when(F.col("mark") == "h", 34).otherwise(40).alias("weight")))
+    c_row = F.xxhash64("capability_id", "path", "c_cat").alias("row")
+    c_all = F.concat(words(F.col("c_words")), F.when(F.col("path") != "", of_path(F.col("path"), "l", "m")).otherwise(F.array()), F.array(feature("c", F.col("c_cat"), 2, 26)))
+    right = c.select(F.col("capability_id").alias("id"), c_row, F.explode(c_all).alias("x")).unionByName(c.join(signal, "capability_id").select(F.col("capability_id").alias("id"), c_row, "x")).select("id", "row", "x.*")
+    return best_pairs(left, right, most, least, -8, 4).select(F.col("left_id").alias("runtime_id"), F.col("right_id").alias("capability_id"))
+
+
+def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int = 35, most: int = 6) -> DataFrame:
+    """(runtime_id, capability_id, score, reason, rank): additive scores over paths, category, handler, service and words.
+
+    runtime: (id, label, source_paths, category, handler); capabilities: (node_id, source_path, category). Candidates are the
+    pairs of `link_candidates`; paths fit by whole parts.
+    """
+    r, c = _linked_sides(runtime, capabilities)
+    pairs = link_candidates(r, c, least, most).join(r, "runtime_id").join(c, "capability_id")
     split = lambda p: F.split(p, "/")
-    tail2 = lambda p: F.array_join(F.slice(split(p), F.greatest(F.size(split(p)) - 1, F.lit(1)), 2), "/")
-    name = lambda p: element(split(p), -1)
     single = lambda p: F.size(split(p)) == 1
-    r_path = lambda p: F.array_compact(F.array(F.when(~single(p), F.concat(F.lit("p:"), tail2(p))), F.concat(F.lit("m:"), name(p)), F.when(single(p), F.concat(F.lit("l:"), name(p)))))
-    c_path = lambda p: F.array_compact(F.array(F.when(~single(p), F.concat(F.lit("p:"), tail2(p))), F.concat(F.lit("l:"), name(p)), F.when(single(p), F.concat(F.lit("m:"), name(p)))))
-    # without another signal a pair needs three shared words, so each side may leave out its two most common ones
-    every = r.select(F.explode("r_words").alias("w")).unionByName(c.select(F.explode("c_words").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-
-    def rare(df: DataFrame, key: str, words: str) -> DataFrame:
-        ranked = df.select(key, F.size(words).alias("size"), F.explode(words).alias("w")).distinct().join(every, "w")
-        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("n", "w")))
-        return ranked.where(F.col("at") <= F.col("size") - 2).select(key, F.concat(F.lit("w:"), F.col("w")).alias("key"))
-
-    r_keys = r.select("runtime_id", F.explode(F.flatten(F.transform("paths", r_path))).alias("key")).unionByName(rare(r, "runtime_id", "r_words"))
-    c_keys = c.where("path <> ''").select("capability_id", F.explode(c_path(F.col("path"))).alias("key")).unionByName(rare(c, "capability_id", "c_words"))
-    met = r_keys.join(c_keys, "key").select("runtime_id", "capability_id")
-    # substring signals: distinct needles and ids, which meet by equal runs of signs
-    needles = r.select(F.explode(F.array_compact(F.array(F.when(F.col("handler") != "", F.col("handler")), "svc"))).alias("needle")).distinct()
-    ids = c.select("capability_id", F.lower("capability_id").alias("low")).distinct()
-    inside = containing(ids, needles)
-    by_word = r.select("runtime_id", F.explode(F.array_compact(F.array(F.when(F.col("handler") != "", F.col("handler")), "svc"))).alias("needle")).join(inside, "needle").select("runtime_id", "capability_id")
-    pairs = met.unionByName(by_word).distinct().join(r, "runtime_id").join(c, "capability_id")
 
     equal = F.exists("paths", lambda p: p == F.col("path"))
     ends = lambda a, b: (a == b) | a.endswith(F.concat(F.lit("/"), b))
-    partial = F.exists("paths", lambda p: ends(p, F.col("path")) | ends(F.col("path"), p) | (~single(p) & ~single(F.col("path")) & (tail2(p) == tail2(F.col("path")))))
+    partial = F.exists("paths", lambda p: ends(p, F.col("path")) | ends(F.col("path"), p) | (~single(p) & ~single(F.col("path")) & (_tail(p) == _tail(F.col("path")))))
     path_score = F.when((F.col("path") == "") | (F.size("paths") == 0), 0).when(equal, 65).when(partial, 32).otherwise(0)
     same = F.col("r_cat") == F.col("c_cat")
     m = F.trim(method(F.col("capability_id")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -17,6 +18,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder, for loops: unlike a checkpoint it carries no estimate of its size from
+    round to round, which a join in each round would multiply, and small tables are known to be small."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in local mode a folder of our own where that is unset, elsewhere that is an error."""
     sc = spark.sparkContext

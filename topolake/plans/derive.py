@@ -6,7 +6,7 @@ is over its 0.9 quantile. parts: a NODE row a part, with generated contracts, gh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import element
 
@@ -60,6 +60,26 @@ comp as (select node_id, least(node_id, coalesce(min(c.b), node_id)) as componen
 dag as (select distinct x.component as cs, y.component as cd from trade join comp x on x.node_id = src join comp y on y.node_id = dst where x.component <> y.component),
 levels as (with recursive w(c, l) as (select component, 0 from comp union select cd, l + 1 from w join dag on cs = c) select c as component, max(l) as level from w group by c)"""
 
+#: Parts of one brand that follow each other in an order: a graph of as many nodes as there are parts.
+CALLS = """lines as (select l_orderkey, l_linenumber, l_partkey, p_brand from lineitem join part on l_partkey = p_partkey),
+calls as (select distinct src, dst from (select 'p' || l_partkey as src, 'p' || lead(l_partkey) over w as dst, p_brand, lead(p_brand) over w as next_brand from lines window w as (partition by l_orderkey order by l_linenumber, l_partkey)) where p_brand = next_brand),
+ids as (select distinct 'p' || p_partkey as node_id from part),
+closure as (with recursive r(a, b) as (select src, dst from calls union select r.a, t.dst from r join calls t on r.b = t.src) select * from r),
+mutual as (select c.a, min(c.b) as least from closure c join closure d on d.a = c.b and d.b = c.a group by c.a),
+comp as (select node_id, coalesce(least(node_id, least), node_id) as component from ids left join mutual on a = node_id),
+dag as (select distinct x.component as cs, y.component as cd from calls join comp x on x.node_id = src join comp y on y.node_id = dst where x.component <> y.component),
+levels as (with recursive w(c, l) as (select component, 0 from comp union select cd, l + 1 from w join dag on cs = c) select c as component, max(l) as level from w group by c)"""
+
+
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst) of parts of one brand that follow each other in an order."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    every = lines.select(name(F.col("l_partkey")).alias("src"), name(F.lead("l_partkey").over(w)).alias("dst"), "p_brand", F.lead("p_brand").over(w).alias("next_brand"))
+    return every.where("p_brand = next_brand").select("src", "dst").distinct()
+
+
 #: Methods and endings that parts are dealt by their key.
 METHODS = ["execute", "build", "handle", "parse", "run", "report", "load"]
 ENDINGS = ["ts", "py", "go", "java", "txt"]

@@ -144,7 +144,7 @@ def _nations(s, d):
 
 query("g1_blast_radius", f"with {D.TRADE} select a as origin, b as node from closure where a <> b")(lambda s, d: G.blast_radius(_pairs(s, d), _nations(s, d)))
 query("g18_blast_risk", f"with {D.TRADE}, n as (select a as origin, count(*) as impacted from closure where a <> b group by a) select origin, impacted, case when impacted >= 5 then 'high' when impacted >= 2 then 'medium' else 'low' end as risk from n")(
-    lambda s, d: G.blast_radius(_pairs(s, d), _nations(s, d)).groupBy("origin").agg(F.count(F.lit(1)).alias("impacted")).withColumn("risk", X.risk_bucket(F.col("impacted")))
+    lambda s, d: G.impact(_pairs(s, d), _nations(s, d)).where("impacted > 0").withColumn("risk", X.risk_bucket(F.col("impacted")))
 )
 query("g19_blast_warning", f"with {D.TRADE} select count(distinct b) as impacted, count(distinct b) >= 5 as warn from closure where a in (select n_name from nation where n_nationkey < 5) and a <> b")(
     lambda s, d: G.blast_radius(_pairs(s, d), D.table(s, d, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("node_id"))).agg(F.countDistinct("node").alias("impacted")).withColumn("warn", F.col("impacted") >= 5)
@@ -156,6 +156,34 @@ query("g2_cycles", f"with {D.TRADE}, k as (select component, list_sort(list(node
 query("g5_levels", f"with {D.TRADE} select node_id, component, level::int as level from comp join levels using (component)")(lambda s, d: G.levels(_pairs(s, d), G.components(_pairs(s, d), _nations(s, d))))
 
 
+# graph of parts of one brand that follow each other in an order
+
+_CALL_CYCLES = "k as (select component, list_sort(list(node_id)) as m, bool_or(node_id in (select src from calls where src = dst)) as l from comp group by component)"
+
+
+def _part_ids(s, d):
+    return D.table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id")).distinct()
+
+
+query("g1_blast_radius_parts", f"with {D.CALLS} select a as origin, b as node from closure where a <> b")(lambda s, d: G.blast_radius(D.calls(s, d), _part_ids(s, d)))
+query("g18_blast_risk_parts", f"with {D.CALLS}, n as (select node_id as origin, count(b) filter (b <> node_id) as impacted from ids left join closure on a = node_id group by node_id) select origin, impacted, case when impacted >= 5 then 'high' when impacted >= 2 then 'medium' else 'low' end as risk from n")(
+    lambda s, d: G.impact(D.calls(s, d), _part_ids(s, d)).withColumn("risk", X.risk_bucket(F.col("impacted")))
+)
+query("g19_blast_warning_parts", f"with {D.CALLS}, n as (select count(distinct b) as impacted from closure join part on a = 'p' || p_partkey where p_size = (select max(p_size) from part) and a <> b) select impacted, impacted >= 5 as warn from n")(
+    lambda s, d: G.blast_radius(D.calls(s, d), _largest_parts(s, d)).agg(F.countDistinct("node").alias("impacted")).withColumn("warn", F.col("impacted") >= 5)
+)
+query("g2_components_parts", f"with {D.CALLS} select node_id, component from comp")(lambda s, d: G.components(D.calls(s, d), _part_ids(s, d)))
+query("g2_cycles_parts", f"with {D.CALLS}, {_CALL_CYCLES} select component, array_to_string(m, ' -> ') as signature from k where len(m) > 1 or l")(
+    lambda s, d: G.cycles(D.calls(s, d), _part_ids(s, d)).select("component", "signature")
+)
+query("g5_levels_parts", f"with {D.CALLS} select node_id, component, level::int as level from comp join levels using (component)")(lambda s, d: G.levels(D.calls(s, d), G.components(D.calls(s, d), _part_ids(s, d))))
+
+
+def _largest_parts(s, d):
+    parts = D.table(s, d, "part")
+    return parts.join(parts.agg(F.max("p_size").alias("p_size")), "p_size").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"))
+
+
 def _trade_contracts(s, d):
     p = _pairs(s, d)
     key = F.concat_ws(">", "src", "dst")
