@@ -48,9 +48,9 @@ BLOCK, EVERY = 1 << 17, 512
 #: Ids and documents after which a task begins its next file.
 FILE_IDS, FILE_DOCS = 64 << 20, 1 << 20
 #: Blocks that a reader takes at once, and that one task reads.
-AT_ONCE, RUN = 8, 32
+AT_ONCE, RUN = 16, 64
 #: Signs of text that a task encodes at once, and chunks whose ids a worker keeps.
-SIGNS, KEPT = 1 << 19, 400_000
+SIGNS, KEPT = 1 << 19, 800_000
 _SEAM = re.compile(r"(?<=\S)(?=[ \n])|(?<=[^\W_])(?=[,.])")
 _LATE = re.compile(r"(?<![^\W_])[,.]")
 
@@ -181,7 +181,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, specials_as_text
             here[: len(far)] += far
             far = here
             raw = [_packed_ids(x) for x in rows]
-            return rows_of(doc_ids, [len(x) for x in rows], [zstd.compress(x, asbytes=True) for x in raw], [zlib.crc32(x) for x in raw])
+            return rows_of(doc_ids, [len(x) for x in rows], [_stored_ids(x, zstd) for x in raw], [zlib.crc32(x) for x in raw])
 
         for b in it:
             doc_ids, texts, signs = [], [], 0
@@ -211,13 +211,19 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, specials_as_text
 
 
 def _packed_ids(ids: np.ndarray) -> bytes:
-    """The low bytes of all ids, then the next, and so on: bytes of a kind stand together."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """The width of a number in bytes, 2 or 4, and the ids."""
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
 
 
-def _unpacked_ids(data: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel()
+def _stored_ids(raw: bytes, zstd: pa.Codec) -> bytes:
+    """The width by itself, and the rest compressed."""
+    return raw[:1] + zstd.compress(raw[1:], asbytes=True)
+
+
+def _unpacked_ids(data: pa.Buffer, n: int) -> np.ndarray:
+    width = data[0]
+    return np.frombuffer(pa.Codec("zstd").decompress(data.slice(1), width * n), f"<u{width}")
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -409,7 +415,7 @@ class FileReader:
 
     def documents(self, first: int, blocks: int) -> Iterator[tuple[int | None, int, int, int]]:
         """(doc_id, first id, number of ids, CRC-32 of them) of the documents that begin in these blocks."""
-        stop = first + blocks
+        stop = min(first + blocks, len(self.places))
         begin = int(self.block_first[first])
         end = int(self.block_first[stop]) if stop < len(self.places) else self.n
         docs = range(int(np.searchsorted(self.firsts, begin)), int(np.searchsorted(self.firsts, end)))
@@ -420,7 +426,8 @@ class FileReader:
             starts.append(self.n)
         d, crc, at, block = 0, 0, starts[0], first
         while d < len(docs):
-            taken = [self.block(k) for k in range(block, min(block + AT_ONCE, len(self.places)))]
+            # beyond its own blocks only the rest of one document is read
+            taken = [self.block(k) for k in range(block, min(block + AT_ONCE, stop) if block < stop else block + 1)]
             ids, low = np.concatenate(self.decoder.blocks(taken)).astype("<u4"), int(self.block_first[block])
             block += len(taken)
             view, high = memoryview(ids).cast("B"), low + len(ids)
