@@ -4,12 +4,13 @@ A lexicon keeps the terms within a band of inverse document frequency, idf_low <
 N x exp(-idf_high) documents hold each of them, so there are at most exp(idf_high) x the mean number of distinct terms of
 a document: a bound that does not grow with the corpus, and the lexicon is broadcast only while it keeps under it.
 
-There are 16 families of random lexicon subsets. A term's SHA-256 gives it a level in each: level j or more with chance
-2^-j, so the terms of level j or more are a random subset of the lexicon, nested in those before it. A text takes from each
-family the sparsest subset that still holds one of its terms, sorts its distinct terms there and hashes them; so short
-texts and long ones, of common languages and rare ones, come to a term or two a hash, which an edit elsewhere leaves as they
-are. The fingerprint is all 16 hashes, and the likeness of two fingerprints the share of them that agree. A text without
-lexicon terms hashes whole, so equal texts have equal fingerprints and different ones without common terms don't look alike.
+There are 16 random subsets of the lexicon, the same for all texts. A term's SHA-256 decides on each of them: subset k keeps
+a term with chance 2^-SPARSE[k]. Of each subset a text's distinct terms that are in it are sorted and hashed; the fingerprint
+is all 16 hashes, with zeros for a subset that holds none of the text's terms. The subsets are sparse, since an edit of
+half a text changes most of its terms, and differ in how sparse, so that texts of ten terms and of a thousand have subsets
+that hold a few of theirs. The likeness of two fingerprints is the share of agreeing hashes among the subsets that hold
+terms of either text. A text without a term in any subset hashes whole, so equal texts have equal fingerprints and
+different ones without common terms don't look alike. Only terms that are in a subset move.
 
 Neighbours by doc_id meet in places: ranges of doc_id between measured quantiles, taken level by level, and ranges of a
 text hash where one doc_id (or none) has many rows. One shuffle brings a place's texts together, with the first row of the
@@ -30,7 +31,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .util import SPACE, cut, own, stored
 
-SUBSETS = 16
+#: A term is in subset k with chance 2^-SPARSE[k].
+SPARSE = (3, 4, 5, 6, 6, 7, 7, 7, 8, 8, 8, 8, 9, 9, 9, 10)
+SUBSETS, EMPTY = len(SPARSE), "0" * 8
 IDF_LOW, IDF_HIGH = 1.0, 7.0
 #: The most rows that are broadcast (about 50 bytes each); a larger lexicon joins by a shuffle.
 MOST_BROADCAST = 600_000
@@ -44,40 +47,38 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIGH) -> tuple[DataFrame, bool]:
-    """(term, head, levels) of all terms in the band, and whether it is small enough to broadcast.
+    """(term, head, subsets) of all terms in the band that a subset keeps, and whether it is small enough to broadcast.
 
-    head is 60 bits of MD5, levels four bits a family. Counts cover all documents.
+    head is 60 bits of MD5, subsets a bit a subset. Counts cover all documents.
     """
     n = docs.count()
     low, high = n * math.exp(-idf_high), n * math.exp(-idf_low)
     df = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     value = lambda text: F.conv(text, 16, 10).cast("long")
     sha = F.sha2(F.col("term").cast("binary"), 256)
-    levels = [F.shiftleft((16 - F.length(F.bin(value(F.substring(sha, 1 + 4 * k, 4))))).cast("long"), 4 * k) for k in range(SUBSETS)]
+    held = [F.when(value(F.substring(sha, 1 + 4 * k, 4)) < 1 << 16 - bits, 1 << k).otherwise(0) for k, bits in enumerate(SPARSE)]
     head = value(F.substring(F.md5(F.col("term").cast("binary")), 1, 15))
-    kept = cut(df.where(F.col("df").between(max(low, 2), high)).select("term", head.alias("head"), reduce(Column.bitwiseOR, levels).alias("levels")))
+    kept = cut(df.where(F.col("df").between(max(low, 2), high)).select("term", head.alias("head"), reduce(Column.bitwiseOR, held).alias("subsets")).where("subsets <> 0"))
     return kept, kept.count() <= MOST_BROADCAST
 
 
 def subset_hashes(packs: Column, whole: Column) -> Column:
-    """Fingerprint of an array of (head, levels), sorted; `whole` stands in where there is none."""
+    """Fingerprint of an array of (head, subsets), sorted; `whole` stands in where there is none."""
     def one(k: int) -> Column:
-        level = lambda p: F.shiftright(p["levels"], 4 * k).bitwiseAND(F.lit(15))
-        kept = lambda top: F.transform(F.filter(packs, lambda p: level(p) == top), lambda p: p["head"])
-        # the greatest level is bound as an element, else every term would look for it anew
-        mine = F.get(F.transform(F.array(F.array_max(F.transform(packs, level))), kept), 0)
-        return F.substring(F.md5(F.concat_ws(",", mine.cast("array<string>")).cast("binary")), 1, 8)
+        mine = F.transform(F.filter(packs, lambda p: p["subsets"].bitwiseAND(F.lit(1 << k)) != 0), lambda p: p["head"].cast("string"))
+        code = lambda heads: F.when(F.size(heads) == 0, EMPTY).otherwise(F.substring(F.md5(F.array_join(heads, ",").cast("binary")), 1, 8))
+        return F.get(F.transform(F.array(mine), code), 0)  # bound as an element, so that it is filtered once
 
-    def bare(k: int) -> Column:
-        return F.substring(F.md5(F.concat(F.lit("="), whole).cast("binary")), 1, 8)
-
-    return F.when(F.size(packs) == 0, F.concat(*(bare(k) for k in range(SUBSETS)))).otherwise(F.concat(*(one(k) for k in range(SUBSETS))))
+    bare = F.substring(F.md5(F.concat(F.lit("="), whole).cast("binary")), 1, 8)
+    return F.when(F.size(packs) == 0, F.repeat(bare, F.lit(SUBSETS))).otherwise(F.concat(*(one(k) for k in range(SUBSETS))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of subsets that agree."""
-    same = [F.when(F.substring(a, 8 * k + 1, 8) == F.substring(b, 8 * k + 1, 8), 1).otherwise(0) for k in range(SUBSETS)]
-    return sum(same[1:], same[0]) / F.lit(float(SUBSETS))
+    """Share of subsets that agree, of those that hold terms of either text."""
+    of = lambda x, k: F.substring(x, 8 * k + 1, 8)
+    same = [F.when((of(a, k) == of(b, k)) & (of(a, k) != EMPTY), 1).otherwise(0) for k in range(SUBSETS)]
+    either = [F.when((of(a, k) != EMPTY) | (of(b, k) != EMPTY), 1).otherwise(0) for k in range(SUBSETS)]
+    return sum(same[1:], same[0]) / F.greatest(sum(either[1:], either[0]), F.lit(1)).cast("double")
 
 
 def fingerprint(texts: DataFrame, lex: DataFrame, small: bool, keys: tuple[str, ...], *carry: str) -> DataFrame:
@@ -85,7 +86,7 @@ def fingerprint(texts: DataFrame, lex: DataFrame, small: bool, keys: tuple[str,
     found = texts.select(*keys, *carry, F.md5(F.col("text").cast("binary")).alias("whole"), F.posexplode_outer(terms(F.col("text"))).alias("pos", "term"))
     first = F.coalesce("pos", F.lit(0)) == 0  # what is carried rides on a text's first term only
     joined = found.join(F.broadcast(lex) if small else lex, "term", "left").where(F.col("head").isNotNull() | first)
-    slim = joined.select(*keys, F.when(F.col("head").isNotNull(), F.struct("head", "levels")).alias("pack"), *(F.when(first, F.col(c)).alias(c) for c in ("whole", *carry)))
+    slim = joined.select(*keys, F.when(F.col("head").isNotNull(), F.struct("head", "subsets")).alias("pack"), *(F.when(first, F.col(c)).alias(c) for c in ("whole", *carry)))
     packs = slim.groupBy(*keys).agg(F.sort_array(F.collect_list("pack")).alias("packs"), *(F.first(c, ignorenulls=True).alias(c) for c in ("whole", *carry)))
     return packs.select(*keys, *carry, subset_hashes(F.col("packs"), F.col("whole")).alias("fingerprint"))
 

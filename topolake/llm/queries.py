@@ -107,25 +107,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _imatch_sql() -> str:
     terms = "list_filter(list_distinct(string_split_regex(lower({t}), '[ \\t-\\r]+')), lambda x: x <> '')"
-    level = lambda k: f"(16 - length(bin(('0x' || substr(sha256(term), {1 + 4 * k}, 4))::int)))"
-    levels = ", ".join(f"{level(k)} as l{k}" for k in range(imatch.SUBSETS))
-    tops = ", ".join(f"max(l{k}) over (partition by doc_id, version) as t{k}" for k in range(imatch.SUBSETS))
-    one = "left(md5(case when count(head) = 0 then '=' || any_value(whole) else string_agg(head::varchar, ',' order by head) filter (l{k} = t{k}) end), 8)"
+    held = ", ".join(f"('0x' || substr(sha256(term), {1 + 4 * k}, 4))::int < {1 << 16 - bits} as l{k}" for k, bits in enumerate(imatch.SPARSE))
+    any_ = " or ".join(f"l{k}" for k in range(imatch.SUBSETS))
+    one = "case when bool_and(head is null) then left(md5('=' || any_value(whole)), 8) else coalesce(left(md5(string_agg(head::varchar, ',' order by head) filter (l{k})), 8), '" + imatch.EMPTY + "') end"
     prints = " || ".join(one.format(k=k) for k in range(imatch.SUBSETS))
-    same = " + ".join(f"(substr(a.fp, {8 * k + 1}, 8) = substr({{b}}, {8 * k + 1}, 8))::int" for k in range(imatch.SUBSETS))
+    of = lambda t, k: f"substr({t}.fp, {8 * k + 1}, 8)"
+    like = lambda a, b: "(" + " + ".join(f"({of(a, k)} = {of(b, k)} and {of(a, k)} <> '{imatch.EMPTY}')::int" for k in range(imatch.SUBSETS)) + ")::double / greatest(1, " + " + ".join(f"({of(a, k)} <> '{imatch.EMPTY}' or {of(b, k)} <> '{imatch.EMPTY}')::int" for k in range(imatch.SUBSETS)) + ")"
     return f"""
     with d as (select doc_id, coalesce(text, '') as text, coalesce(lead(coalesce(text, '')) over (order by doc_id desc), first_value(coalesce(text, '')) over (order by doc_id desc)) as following,
         coalesce(lead(doc_id) over (order by doc_id desc), max(doc_id) over ()) as next from documents),
     e as (select *, left(text, (length(text) - length(text) // 2)::bigint) || left(following, (length(text) // 2)::bigint) as edit from d),
     df as (select term, count(*) as df from (select unnest({terms.format(t='text')}) as term from d) group by term),
-    lex as (select term, ('0x' || substr(md5(term), 1, 15))::bigint as head, {levels} from df, (select count(*) as n from d)
-        where df >= greatest(n * exp(-{imatch.IDF_HIGH}), 2) and df <= n * exp(-{imatch.IDF_LOW})),
+    lex as (select * from (select term, ('0x' || substr(md5(term), 1, 15))::bigint as head, {held} from df, (select count(*) as n from d)
+        where df >= greatest(n * exp(-{imatch.IDF_HIGH}), 2) and df <= n * exp(-{imatch.IDF_LOW})) where {any_}),
     v as (select doc_id, 0 as version, text as t from e union all select doc_id, 1, edit from e),
     x as (select doc_id, version, md5(t) as whole, unnest(case when len({terms.format(t='t')}) = 0 then [''] else {terms.format(t='t')} end) as term from v),
-    p as (select doc_id, version, whole, lex.*, {tops} from x left join lex using (term)),
+    p as (select doc_id, version, whole, lex.* from x left join lex using (term)),
     f as (select doc_id, version, {prints} as fp from p group by doc_id, version)
     select e.doc_id, length(e.text)::bigint as n_chars, sha256(e.edit) as edited_sha256, a.fp as fingerprint, b.fp as edited_fingerprint,
-        ({same.format(b='b.fp')})::double / {imatch.SUBSETS} as near_edited, ({same.format(b='c.fp')})::double / {imatch.SUBSETS} as near_next
+        {like('a', 'b')} as near_edited, {like('a', 'c')} as near_next
     from e join f a on a.doc_id = e.doc_id and a.version = 0 join f b on b.doc_id = e.doc_id and b.version = 1 join f c on c.doc_id = e.next and c.version = 0
     """
 
