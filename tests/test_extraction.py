@@ -276,3 +276,18 @@ def test_verify_skips_without_a_baseline(spark):
     v = M.metric_vector(none, S.empty(spark, S.RT_NODE), S.empty(spark, S.RT_EDGE), S.empty(spark, S.DIAG), policy)
     assert {r.key: r.status for r in M.verify(v).collect()}["runtime_unmatched_route_count"] == "skip" and v.first().ghost_ratio == 0.0
     assert R.api_path("a//b/") == "/a/b"
+
+
+def test_calls_are_read_as_tokens():
+    """Brackets, texts and comments inside arguments don't end a call; owners come from one index a file."""
+    from topolake.operators.extract.called import Code
+
+    code = Code("# q.enqueue(a)\n@router.get('/x/{id}', deps=[Depends(f('))'))])\nasync def load(a, b=g(1)):\n    '''r.delay(1)'''\n    return self.item_service.run(h(a), 'x,y', k={'m': 2})\n", "python")
+    said = [[code.tokens[n] for n in c.names] for c in code.calls]
+    assert ["q", "enqueue"] not in said and ["r", "delay"] not in said
+    run = next(c for c in code.calls if code.name(c) == "run")
+    assert [code.said(*code.argument(run, k)) for k in range(4)] == ["h(a)", "'x,y'", "k={'m': 2}", ""]
+    assert code.name(run, -2) == "item_service" and code.name(run, -4) == ""
+    assert code.owner(code.start(run.open))[0] == "load" and code.owner(3) is None
+    many = Code("\n".join(f"def f{i}():\n    redis.get({i})" for i in range(3000)), "python")
+    assert [many.owner(many.start(c.open))[0] for c in many.calls if many.name(c) == "get"] == [f"f{i}" for i in range(3000)]

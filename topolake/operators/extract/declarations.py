@@ -20,6 +20,7 @@ _REST = r"[A-Za-z_$][\w$]*|\d[\w.]*|->|=>|::|\.\.\.|\S"
 _LEXERS = {
     "rust": re.compile(rf"(?P<no>{_COMMENT})|{_TEXT}|'[A-Za-z_]\w*(?!')|{_QUOTED}|{_REST}", re.S),
     "cpp": re.compile(rf"(?P<no>{_COMMENT}|^[ \t]*#(?:\\\n|[^\n])*)|{_TEXT}|{_QUOTED}|{_REST}", re.S | re.M),
+    "python": re.compile(rf"""(?P<no>\#[^\n]*)|\"{{3}}(?:\\.|[^\\])*?\"{{3}}|'{{3}}(?:\\.|[^\\])*?'{{3}}|{_TEXT}|{_QUOTED}|{_REST}""", re.S),
     "": re.compile(rf"(?P<no>{_COMMENT})|{_TEXT}|{_QUOTED}|{_REST}", re.S),
 }
 _PAIRS = {"(": ")", "[": "]", "{": "}"}

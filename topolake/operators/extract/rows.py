@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...ship import ship
+from .called import Code
 
 DDL = (
     "kind string, id string, type string, label string, source_path string, category string, framework string, metadata map<string,string>, src string, dst string, confidence double, "
@@ -51,13 +53,23 @@ def service_id(call: str) -> str:
     return runtime_id(f"Service.{m[1] if m else call.strip()}")
 
 
+@lru_cache(maxsize=1)
+def _code(content: str, language: str) -> Code:
+    """The last file's tokens; all extractors of a file ask for them one after the other."""
+    return Code(content, language)
+
+
 class Finder:
-    """Collects the rows of one file."""
+    """Collects the rows of one file; `code` has its tokens, read when they are first asked for."""
 
     def __init__(self, path: str, language: str, content: str) -> None:
         self.path, self.language, self.content = path, language, content
         self.out: list[dict] = []
 
+    @property
+    def code(self) -> Code:
+        return _code(self.content, self.language)
+
     def _evidence(self, kind: str, text: str, at: int, confidence: float) -> dict:
         before = re.split(r"\r?\n", self.content[: max(0, at)])
         return {"ev_path": self.path, "ev_line": len(before), "ev_column": len(before[-1]) + 1, "ev_kind": kind, "ev_text": text.strip()[:240], "ev_confidence": confidence}
