@@ -291,3 +291,31 @@ def test_calls_are_read_as_tokens():
     assert code.owner(code.start(run.open))[0] == "load" and code.owner(3) is None
     many = Code("\n".join(f"def f{i}():\n    redis.get({i})" for i in range(3000)), "python")
     assert [many.owner(many.start(c.open))[0] for c in many.calls if many.name(c) == "get"] == [f"f{i}" for i in range(3000)]
+
+
+def test_routes_that_begin_with_a_parameter(spark):
+    """10,000 routes and calls that begin with a parameter: each call meets one route a mask, and the first that fits counts."""
+    from topolake.operators import linkage as L
+
+    n = 10_000
+    routes = spark.createDataFrame([(f"r{i}", "GET", f"/{{tenant}}/k{i}/run", i) for i in range(n)] + [("wide", "GET", "/{a}/{b}/{c}", n)], "route_id string, method string, path string, ord int")
+    calls = [(i, "get", f"/:param/k{i}/run" if i % 2 else f"/acme/k{i}/run") for i in range(n)] + [(n, "get", "/acme/none/of"), (n + 1, "post", "/acme/k1/run"), (n + 2, "get", "/:param/:param/run"), (n + 3, "get", "/acme/k7")]
+    got = {r.call_id: r.route_id for r in L.match_routes(spark.createDataFrame(calls, "call_id long, method string, path string"), routes).collect()}
+    assert got == {i: f"r{i}" for i in range(n)} | {n: "wide", n + 2: "r0"}
+
+
+def test_routes_against_all_pairs(spark):
+    import itertools
+
+    from topolake.operators import linkage as L
+
+    parts = ["a", "b", ":param", "{id}"]
+    paths = ["/" + "/".join(p) for k in (1, 2, 3) for p in itertools.product(parts, repeat=k)]
+    routes = [(f"r{i}", "GET", p, i) for i, p in enumerate(paths[::3])]
+    calls = [(i, "GET", p) for i, p in enumerate(paths)]
+    r, c = spark.createDataFrame(routes, "route_id string, method string, path string, ord int"), spark.createDataFrame(calls, "call_id long, method string, path string")
+    v = L.X.path_variants(L.F.col("path"))
+    pairs = c.select("call_id", L.F.explode(v).alias("a")).crossJoin(r.select("route_id", "ord", L.F.explode(v).alias("b")))
+    step = L.F.when(L.F.col("a") == L.F.col("b"), 0).when((L.F.col("a").contains(":param") | L.F.col("b").contains(":param")) & L.X.paths_match(L.F.col("a"), L.F.col("b")), 1)
+    want = {x.call_id: x.route_id for x in L.first_by(pairs.withColumn("step", step).where("step is not null"), ["call_id"], L.F.col("step"), L.F.col("ord")).collect()}
+    assert {x.call_id: x.route_id for x in L.match_routes(c, r).collect()} == want

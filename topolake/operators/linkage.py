@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from ..functions.scalars import element
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as X
+from ..functions.scalars import element
 from .shared import first_by, small, top_by
 from .topk_join import best_pairs
 
@@ -243,21 +242,31 @@ def runtime_leaves(matches: DataFrame, cap_leaves: DataFrame, per_capability: in
 def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """(call_id, route_id): the first route of the call's method that shares a variant, else the first that fits by parts.
 
-    calls: (call_id, method, path); routes: (route_id, method, path, ord). Exact matches meet by (method, variant), the rest
-    by (method, number of parts, first part), and only those whose first part is a parameter by (method, number of parts).
+    calls: (call_id, method, path); routes: (route_id, method, path, ord). Parts fit if they are equal or one is a parameter.
+    A path's mask says which of its parts are parameters. Few masks occur, so a call is keyed for each mask that routes of
+    its method and length have, and a route for each mask of calls: both masks, and the parts that are fixed under both. Of
+    equal keys the first route is chosen before calls meet it, so parameters lead to no more pairs than fixed parts do.
     """
-    c = calls.select("call_id", F.upper("method").alias("method"), X.path_variants(F.col("path")).alias("v"))
-    r = routes.select("route_id", F.upper("method").alias("method"), X.path_variants(F.col("path")).alias("rv"), "ord")
-    exact = c.select("call_id", "method", F.explode("v").alias("x")).join(r.select("route_id", "method", "ord", F.explode("rv").alias("x")), ["method", "x"]).select("call_id", "route_id", "ord", F.lit(0).alias("step"))
-    size = lambda v: F.size(X.segments(v))
-    cx, rx = c.select("call_id", "method", F.explode("v").alias("a")).withColumn("n", size(F.col("a"))), r.select("route_id", "method", "ord", F.explode("rv").alias("b")).withColumn("n", size(F.col("b")))
-    first = lambda v: F.get(X.segments(v), F.lit(0))
-    cx, rx = cx.withColumn("p", first(F.col("a"))), rx.withColumn("p", first(F.col("b")))
-    free, key = F.coalesce(F.col("p").contains(":param"), F.lit(True)), ["method", "n"]
-    fixed = cx.where(~free).join(rx.where(~free), [*key, "p"])
-    loose = fixed.drop("p").unionByName(cx.where(free).drop("p").join(rx.drop("p"), key)).unionByName(cx.where(~free).drop("p").join(rx.where(free).drop("p"), key))
-    loose = loose.where(F.col("a").contains(":param") | F.col("b").contains(":param")).where(X.paths_match(F.col("a"), F.col("b"))).select("call_id", "route_id", "ord", F.lit(1).alias("step"))
-    return first_by(exact.unionByName(loose), ["call_id"], F.col("step"), F.col("ord")).select("call_id", "route_id")
+    c = calls.select("call_id", F.upper("method").alias("method"), F.explode(X.path_variants(F.col("path"))).alias("v"))
+    r = routes.select("route_id", F.upper("method").alias("method"), "ord", F.explode(X.path_variants(F.col("path"))).alias("v"))
+    place = F.struct("ord", "route_id")
+    exact = c.join(r.groupBy("method", "v").agg(F.min(place).alias("first")), ["method", "v"]).select("call_id", "first", F.lit(0).alias("step"))
+
+    def masked(df: DataFrame) -> DataFrame:
+        parts = df.withColumn("parts", X.segments(X.comparable_path(F.col("v")))).withColumn("n", F.size("parts"))
+        return parts.withColumn("mask", F.array_join(F.transform("parts", lambda x: x.rlike(X.DYNAMIC).cast("int").cast("string")), "")).withColumn("free", F.col("v").contains(":param"))
+
+    def keyed(df: DataFrame, others: DataFrame) -> DataFrame:
+        """Each path with each mask of the other side, `other`, and the parts that neither mask leaves open."""
+        met = df.join(small(others.select("method", "n", F.col("mask").alias("other")).distinct()), ["method", "n"])
+        one = lambda mask, i: F.substring(mask, i + 1, F.lit(1)) == "1"
+        return met.withColumn("key", F.array_join(F.transform("parts", lambda x, i: F.when(one(F.col("mask"), i) | one(F.col("other"), i), "\x01").otherwise(x)), "/"))
+
+    cm, rm = masked(c), masked(r)
+    firsts = keyed(rm, cm).groupBy("method", "n", F.col("other").alias("mask"), F.col("mask").alias("other"), "key").agg(F.min(place).alias("any"), F.min(F.when(F.col("free"), place)).alias("open"))
+    loose = keyed(cm, rm).join(firsts, ["method", "n", "mask", "other", "key"]).select("call_id", F.when(F.col("free"), F.col("any")).otherwise(F.col("open")).alias("first"), F.lit(1).alias("step")).where("first is not null")
+    best = exact.unionByName(loose).groupBy("call_id").agg(F.min(F.struct("step", "first")).alias("best"))
+    return best.select("call_id", F.col("best.first.route_id").alias("route_id"))
 
 
 def best_frame_node(frames: DataFrame, nodes: DataFrame) -> DataFrame:
