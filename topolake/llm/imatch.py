@@ -58,7 +58,8 @@ def lexicon(docs: DataFrame, idf_low: float = IDF_LOW, idf_high: float = IDF_HIG
     sha = F.sha2(F.col("term").cast("binary"), 256)
     held = [F.when(value(F.substring(sha, 1 + 4 * k, 4)) < 1 << 16 - bits, 1 << k).otherwise(0) for k, bits in enumerate(SPARSE)]
     head = value(F.substring(F.md5(F.col("term").cast("binary")), 1, 15))
-    kept = cut(df.where(F.col("df").between(max(low, 2), high)).select("term", head.alias("head"), reduce(Column.bitwiseOR, held).alias("subsets")).where("subsets <> 0"))
+    kept = cut(df.where(F.col("df").between(max(low, 2), high)).select("term", head.alias("head"), reduce(Column.bitwiseOR, held).alias("subsets")))
+    kept = kept.where("subsets <> 0")  # after the cut, else Spark would hash every occurrence of a term to filter before it counts
     return kept, kept.count() <= MOST_BROADCAST
 
 
