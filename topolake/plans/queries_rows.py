@@ -232,14 +232,24 @@ def _verify_sql() -> str:
 
 
 query("c1_verify", _verify_sql())(lambda s, d: T.verify(_whole_vector(s, d), 1000).select("key", "status"))
-query("c8_findings", f"""{_VEC} select 'FINDING_EXECUTE_RATIO_HIGH' as finding, 'warning' as severity from vec where round(execute_like_count / nodes, 6) >= 0.1 union all select 'FINDING_GHOST_RATIO_HIGH', 'warning' from vec where round(ghost_nodes / nodes, 6) >= 0.4
+#: How many parts of the contract graph have six consumers or more.
+_FAN = "fan as (select count(*) as wide from (select src from n_edges where src <> dst group by src having count(distinct dst) >= 6))"
+
+
+def _findings(s, d):
+    nodes = D.parts(s, d)
+    wide = E.fanout_counts(E.produced(nodes), E.required(nodes), 6).agg(F.count(F.lit(1)).alias("wide"))
+    return advice.findings(_vector(s, d).join(wide), F.col("wide"))  # one row each
+
+
+query("c8_findings", f"""{_VEC}, {_FAN} select 'FINDING_EXECUTE_RATIO_HIGH' as finding, 'warning' as severity from vec where round(execute_like_count / nodes, 6) >= 0.1 union all select 'FINDING_GHOST_RATIO_HIGH', 'warning' from vec where round(ghost_nodes / nodes, 6) >= 0.4
 union all select 'FINDING_RUNTIME_UNMATCHED_ROUTES', case when runtime_unmatched_route_count > 22 then 'error' else 'warning' end from vec where runtime_unmatched_route_count > 0 union all select 'FINDING_RUNTIME_DIAGNOSTICS_NO_CODE', 'error' from vec where diagnostics_no_code > 0
-union all select 'FINDING_HIGH_FANOUT_CAPABILITY', 'warning'""")(lambda s, d: advice.findings(_vector(s, d), 3).select("finding", "severity"))
-query("t5_proposal_ranking", f"""{_VEC}, q as (select *, round(execute_like_count / nodes, 6) as er, round(ghost_nodes / nodes, 6) as gr, runtime_unmatched_route_count as n from vec),
+union all select 'FINDING_HIGH_FANOUT_CAPABILITY', 'warning' from fan where wide > 0""")(lambda s, d: _findings(s, d).select("finding", "severity"))
+query("t5_proposal_ranking", f"""{_VEC}, {_FAN}, q as (select *, round(execute_like_count / nodes, 6) as er, round(ghost_nodes / nodes, 6) as gr, runtime_unmatched_route_count as n from vec),
 p as (select 'DIAGNOSTICS_CONTRACT_ENFORCEMENT' as proposal, 'high' as priority, 0.95 as confidence from q where diagnostics_no_code > 0
 union all select 'CAPABILITY_EXECUTE_DENOISE', 'high', least(0.92, greatest(0, least(0.95, 0.6 + 0.25 * greatest(0, er - 0.1) / 0.1))) from q where er >= 0.1 union all select 'GHOST_SIGNAL_REBALANCE', 'high', least(0.9, greatest(0, least(0.95, 0.6 + 0.25 * greatest(0, gr - 0.4) / 0.4))) from q where gr >= 0.4
-union all select 'RUNTIME_ROUTE_ALIGNMENT', 'medium', least(0.88, least(0.95, 0.55 + n * 0.02)) from q where n > 0 union all select 'SPLIT_HIGH_FANOUT', 'medium', 0.79)
-select proposal, priority, confidence::double as confidence from p where confidence >= 0.55 order by priority = 'high' desc, confidence desc, proposal limit 5""")(lambda s, d: advice.proposals(advice.findings(_vector(s, d), 3)).select("proposal", "priority", "confidence"))
+union all select 'RUNTIME_ROUTE_ALIGNMENT', 'medium', least(0.88, least(0.95, 0.55 + n * 0.02)) from q where n > 0 union all select 'SPLIT_HIGH_FANOUT', 'medium', 0.79 from fan where wide > 0)
+select proposal, priority, confidence::double as confidence from p where confidence >= 0.55 order by priority = 'high' desc, confidence desc, proposal limit 5""")(lambda s, d: advice.proposals(_findings(s, d)).select("proposal", "priority", "confidence"))
 
 
 def _rules(s, rows):
@@ -250,8 +260,9 @@ query("j17_rules", f"""{_VEC} select 'diagnostics_no_code' as key, case when dia
 union all select 'ghost_ratio', case when round(ghost_nodes / nodes, 6) < 0.4 then 'pass' else 'fail' end from vec union all select 'rendered_edges_consistency', 'pass' union all select 'runtime_unmatched_route_count', case when runtime_unmatched_route_count <= ceil(1000 * 1.1) then 'pass' else 'fail' end from vec union all select 'absent', 'error'""")(
     lambda s, d: V.evaluate(_rules(s, [(k, op, n, f, True) for k, op, n, f in V.REQUIRED_RULES] + [("absent", "lt", 1.0, None, True)]), T.as_metrics(_vector(s, d)), 1000.0).select("key", "status")
 )
-query("c7_gate", "select 2 as exit_code, false as passed")(lambda s, d: V.gate(V.evaluate(_rules(s, [(k, op, n, f, True) for k, op, n, f in V.REQUIRED_RULES]), T.as_metrics(_vector(s, d)), 1000.0).unionByName(V.schema_check(_diags(s, d).na.fill("X", ["code"])))))
-query("c7_gate_error", "select 5 as exit_code, false as passed")(lambda s, d: V.gate(V.schema_check(_diags(s, d))))
+_BROKEN = "(diagnostics_no_code <> 0 or round(execute_like_count / nodes, 6) >= 0.1 or round(ghost_nodes / nodes, 6) >= 0.4 or runtime_unmatched_route_count > ceil(1000 * 1.1))"
+query("c7_gate", f"{_VEC} select case when {_BROKEN} then 2 else 0 end as exit_code, not {_BROKEN} as passed from vec")(lambda s, d: V.gate(V.evaluate(_rules(s, [(k, op, n, f, True) for k, op, n, f in V.REQUIRED_RULES]), T.as_metrics(_vector(s, d)), 1000.0).unionByName(V.schema_check(_diags(s, d).na.fill("X", ["code"])))))
+query("c7_gate_error", "select case when bool_or(event_type = 'error') then 5 else 0 end as exit_code, not bool_or(event_type = 'error') as passed from events")(lambda s, d: V.gate(V.schema_check(_diags(s, d))))
 
 # coverage: documents as files
 
