@@ -271,3 +271,16 @@ def test_scored_links_against_all_pairs(spark):
     finally:
         L.link_candidates = whole
     assert got == want
+
+
+def test_edges_after_a_change_equal_a_full_run(spark):
+    r = random.Random(7)
+    make = lambda i, f: (f"N{i}.run", "core", f"f{f}", "x", [f"T{r.randrange(20)} (x)"], [f"T{r.randrange(20)}"])
+    before = [make(i, i % 30) for i in range(100)] + [make(3, 29), make(5, 28)]  # two nodes that two files declare
+    gone = {"f3", "f7"}
+    with_path = lambda rows: nodes(spark, rows).withColumn("path", F.col("source_path"))
+    old, taken = with_path(before), with_path([make(i, 3) for i in (3, 33, 200, 201)]).withColumn("ord", (F.col("ord") + 1000).cast("long"))
+    new = old.where(~F.col("path").isin(*gone)).unionByName(taken)
+    found = E.resync(E.contract_edges(old), old, spark.createDataFrame([(g,) for g in gone], "path string"), taken)
+    rows = lambda df: sorted(tuple(x) for x in df.select("src", "dst", "contract").collect())
+    assert rows(found) == rows(E.contract_edges(new))

@@ -51,6 +51,24 @@ def contract_edges(nodes: DataFrame, ignore: Iterable[str] = (), ignore_generic:
     return edges_of(produced(nodes, lambda c: K.key_graph(c, False, ignore, ignore_generic)), required(nodes, lambda c: K.key_graph(c, True, ignore, ignore_generic)))
 
 
+def resync(edges: DataFrame, nodes: DataFrame, changed: DataFrame, extracted: DataFrame) -> DataFrame:
+    """EDGE rows after files changed, without joining again what didn't: old edges, less those of nodes that changed files
+    had or have, and those nodes' new edges on both sides.
+
+    nodes: NODE rows with `path` of the file; changed: (path); extracted: NODE rows of the changed files as they are now. A
+    node that other files declare as well is joined again from all of them.
+    """
+    ids = lambda df: df.select(F.trim("node_id").alias("node_id"))
+    after = nodes.join(changed.select("path"), "path", "left_anti").unionByName(extracted.select(*nodes.columns))
+    touched = ids(nodes.join(changed.select("path"), "path", "left_semi")).unionByName(ids(extracted)).distinct()
+    answers, demands = produced(after), required(after)
+    end = lambda side: touched.select(F.col("node_id").alias(side))
+    kept = edges.select("src", "dst", "contract").join(end("src"), "src", "left_anti").join(end("dst"), "dst", "left_anti")
+    out = edges_of(answers.join(touched, "node_id", "left_semi"), demands)
+    into = edges_of(answers.join(touched, "node_id", "left_anti"), demands.join(touched, "node_id", "left_semi"))
+    return kept.select("src", "dst", "contract").unionByName(out).unionByName(into)
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst)."""
     return edges.select("src", "dst").distinct()

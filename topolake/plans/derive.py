@@ -86,8 +86,8 @@ ENDINGS = ["ts", "py", "go", "java", "txt"]
 CATEGORIES = ["backend", "core", "frontend"]
 
 
-def parts(spark: SparkSession, sf: str) -> DataFrame:
-    """NODE rows of parts."""
+def parts(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """NODE rows of parts, or of other rows like those."""
     k = F.col("p_partkey")
     pick = lambda values, n: element(F.array(*(F.lit(v) for v in values)), (k % n + 1).cast("int"))
     s = lambda c: c.cast("string")
@@ -99,7 +99,7 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
     ))
     answer = F.array_compact(F.array(F.concat(F.lit("Type"), s((F.col("p_size") * 7) % 50 + 1), F.lit("_"), s((k * 3) % 97)), F.when(k % 10 == 0, F.lit("void"))))
     none = "array<struct<raw:string,mode:string,target:string,value_type:string,retained:boolean,score:int>>"
-    return table(spark, sf, "part").select(
+    return (table(spark, sf, "part") if rows is None else rows).select(
         node.alias("node_id"), pick(CATEGORIES, 3).alias("category"), path.alias("source_path"), F.col("p_name").alias("problem"), demand.alias("demand"), answer.alias("answer"),
         F.array().cast(none).alias("ghost_reads"), F.array().cast("array<string>").alias("promotion_reasons"), F.array().cast("array<string>").alias("folded_leaves"), k.alias("ord"),
     )

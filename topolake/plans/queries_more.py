@@ -237,6 +237,30 @@ query("x12_call_paths", """select case p_partkey % 3 when 0 then '/api/x' || (p_
 )
 
 
+_NEXT = D.PARTS.replace("(select *, p_partkey as k from part)", "(select * replace (case when p_size = 50 then 1 else p_size end as p_size), p_partkey as k from part)")
+
+
+@query("w2_resync", f"with {_NEXT} select src, dst, contract, (select count(*) from part where p_size = 50) as extracted from n_edges")
+def w2_resync(s, d):
+    """Edges after parts of one size got another: only the files that a manifest says changed are taken up again."""
+    from ..operators.shared import written
+
+    part = D.table(s, d, "part")
+    old = written(_with_paths(D.parts(s, d)))
+    edges = written(E.contract_edges(old))
+    now = part.withColumn("p_size", F.when(F.col("p_size") == 50, 1).otherwise(F.col("p_size")))
+    content = lambda p: p.select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string")).alias("path"), F.to_json(F.struct("p_name", "p_size", "p_brand")).alias("content"))
+    _, diff = auto_run.changed(V.fingerprints(content(part)), content(now))
+    changed = written(diff.select("path"))
+    taken = now.join(changed.select(F.substring("path", 7, 20).cast("long").alias("p_partkey")), "p_partkey", "left_semi")
+    n = changed.agg(F.count(F.lit(1)).alias("extracted"))
+    return E.resync(edges, old, changed, _with_paths(D.parts(s, d, taken))).join(n)  # n is one row
+
+
+def _with_paths(nodes):
+    return nodes.withColumn("path", F.concat(F.lit("parts/"), F.col("ord").cast("string")))
+
+
 @query("w2_incremental", "select 1 as run, 3::bigint as files union all select 2, 2::bigint")
 def w2(s, d):
     """A folder taken up, then two files more: the second run sees only those."""
