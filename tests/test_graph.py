@@ -284,3 +284,18 @@ def test_edges_after_a_change_equal_a_full_run(spark):
     found = E.resync(E.contract_edges(old), old, spark.createDataFrame([(g,) for g in gone], "path string"), taken)
     rows = lambda df: sorted(tuple(x) for x in df.select("src", "dst", "contract").collect())
     assert rows(found) == rows(E.contract_edges(new))
+
+
+def test_canonical_order_of_alike_nodes(spark):
+    """Renamed copies of a fragment of eight nodes of one colour have one digest, and the order is the least of all permutations."""
+    from itertools import permutations
+
+    r = random.Random(4)
+    weights = [3, 1, 4, 1, 5, 2, 6, 5]
+    rows = [(f"o{k}", f"{r.random()}", "same", w) for k in range(5) for w in r.sample(weights, 8)]
+    rows += [("small", n, c, w) for n, c, w in (("a", "x", 2), ("b", "x", 1), ("c", "w", 9), ("d", "x", 1))]
+    got = canonical.canonical_order(spark.createDataFrame(rows, "owner string, node_id string, colour string, weight int")).collect()
+    assert len({x.digest for x in got if x.owner != "small"}) == 1
+    mine = [(c, w, n) for o, n, c, w in rows if o == "small"]
+    best = min((p for p in permutations(mine) if [x[0] for x in p] == sorted(x[0] for x in p)), key=lambda p: ([x[1] for x in p], [x[2] for x in p]))
+    assert [x.node_id for x in sorted((x for x in got if x.owner == "small"), key=lambda x: x.place)] == [x[2] for x in best]

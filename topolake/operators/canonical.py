@@ -1,48 +1,24 @@
-"""The canonical order of a small fragment: by refined colour, and among equals the least of all permutations."""
+"""The canonical order of a small fragment: by refined colour, then weight; nodes that agree in both are alike, and go by id."""
 
 from __future__ import annotations
 
-import hashlib
-from itertools import permutations, product
-from math import factorial, prod
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from ..ship import ship
-
-#: The most orders that are compared; beyond it nodes go by colour and id.
-MOST = 4096
-
-
-def order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (owner, node_id, colour, weight) with their canonical `place` and the fragment's `digest`."""
-    groups = [g.sort_values("node_id") for _, g in pdf.groupby("colour", sort=True)]
-    if prod(factorial(len(g)) for g in groups) > MOST:
-        best = pd.concat(groups)
-    else:
-        def key(rows: list[tuple]) -> tuple:
-            return tuple((w, c) for _, c, w in rows), tuple(n for n, _, _ in rows)
-
-        choices = [list(permutations(g[["node_id", "colour", "weight"]].itertuples(index=False, name=None))) for g in groups]
-        rows = min(([r for part in pick for r in part] for pick in product(*choices)), key=key)
-        best = pdf.set_index("node_id").loc[[r[0] for r in rows]].reset_index()
-    text = "|".join(f"{c}:{w}" for c, w in zip(best["colour"], best["weight"], strict=True))
-    return best.assign(place=range(len(best)), digest=hashlib.sha256(text.encode()).hexdigest())[["owner", "node_id", "place", "digest"]]
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def canonical_order(nodes: DataFrame, most_nodes: int = 8) -> DataFrame:
     """(owner, node_id, place, digest, mode) of fragments (owner, node_id, colour, weight).
 
-    Fragments of at most `most_nodes` nodes are ordered strictly; larger ones fall back to the order of their ids, with the
-    digest of their weights, largest first. Fragments are never gathered beyond `most_nodes` rows.
+    Fragments of at most `most_nodes` nodes are ordered strictly. Of all orders that keep colours together the least sequence
+    of weights is that which sorts each colour's, so no permutation is tried, and the digest of colours and weights in that
+    order is the same for all names of the nodes, however many share a colour. Larger fragments fall back to the order of
+    their ids, with the digest of their weights, largest first. Fragments are never gathered beyond `most_nodes` rows.
     """
-    from pyspark.sql import Window, functions as F
-
-    ship(nodes.sparkSession)
     size = nodes.groupBy("owner").agg(F.count(F.lit(1)).alias("_n"))
     rows = nodes.select("owner", "node_id", "colour", "weight").join(size, "owner")
-    strict = rows.where(F.col("_n") <= most_nodes).drop("_n").groupBy("owner").applyInPandas(order, "owner string, node_id string, place long, digest string").withColumn("mode", F.lit("strict"))
+    few = rows.where(F.col("_n") <= most_nodes).drop("_n")
+    ranked = few.withColumn("place", (F.row_number().over(Window.partitionBy("owner").orderBy("colour", "weight", "node_id")) - 1).cast("long"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("colour", "weight"))), lambda x: F.concat(F.coalesce(x["colour"], F.lit("")), F.lit(":"), x["weight"].cast("string")))
+    strict = ranked.join(few.groupBy("owner").agg(F.sha2(F.array_join(texts, "|"), 256).alias("digest")), "owner").select("owner", "node_id", "place", "digest", F.lit("strict").alias("mode"))
     large = rows.where(F.col("_n") > most_nodes)
     by_weight = large.groupBy("owner", "weight").agg(F.count(F.lit(1)).alias("k")).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "k"))).alias("p"))  # a row a weight
     digest = by_weight.select("owner", F.sha2(F.array_join(F.transform("p", lambda x: F.concat((-x["w"]).cast("string"), F.lit("x"), x["k"].cast("string"))), ","), 256).alias("digest"))

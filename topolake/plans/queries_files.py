@@ -240,7 +240,11 @@ query("c2_closure", f"with {D.PARTS}, {FOCUS} select artifact, problem from clos
 query("c2_focus_gate", f"with {D.PARTS}, {FOCUS}, k as (select (select count(*) from drift) as a, (select count(*) from closed) as c) select case when a + c > 0 then 'fail' else 'pass' end as status, case when a > 0 and c > 0 then 'mixed' when a > 0 then 'protocol_focus_alignment' when c > 0 then 'focus_closure' end as failure from k")(
     lambda s, d: focus.gate(_references(s, d), _classes(s, d))
 )
-query("g11_canonical_order")(lambda s, d: canonical.canonical_order(D.parts(s, d).select(F.split("node_id", r"\.")[0].alias("owner"), "node_id", F.size("demand").cast("string").alias("colour"), F.size("answer").alias("weight"))))
+query("g11_canonical_order", f"""with {D.PARTS}, f as (select split_part(node_id, '.', 1) as owner, node_id, len(demand)::varchar as colour, len(answer) as weight from nodes), n as (select owner, count(*) as n from f group by owner),
+s as (select owner, sha256(string_agg(colour || ':' || weight, '|' order by colour, weight)) as digest from f group by owner), w as (select owner, weight, count(*) as k from f group by owner, weight),
+l as (select owner, sha256(string_agg(weight || 'x' || k, ',' order by weight desc)) as digest from w group by owner)
+select f.owner, node_id, row_number() over (partition by f.owner order by colour, weight, node_id) - 1 as place, s.digest, 'strict' as mode from f join n using (owner) join s using (owner) where n <= 8
+union all select f.owner, node_id, row_number() over (partition by f.owner order by node_id) - 1, l.digest, 'fallback' from f join n using (owner) join l using (owner) where n > 8""")(lambda s, d: canonical.canonical_order(D.parts(s, d).select(F.split("node_id", r"\.")[0].alias("owner"), "node_id", F.size("demand").cast("string").alias("colour"), F.size("answer").alias("weight"))))
 query("g17_display_nodes", "select status, count(*) as n from (select case when ord % 13 = 0 then 'modified' else 'unchanged' end as status from (select p_partkey as ord from part)) group by 1")(
     lambda s, d: knowledge.graph(D.parts(s, d).select("node_id", "problem"), D.parts(s, d).where("ord % 13 = 0").select("node_id", F.lit("modify").alias("op"), "problem", F.lit(None).cast("string").alias("parent_id")), E.contract_edges(D.parts(s, d)))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 )
