@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as X
 from ..functions.scalars import element
-from .shared import first_by, small, top_by
+from .shared import first_by, many, small, top_by
 from .topk_join import best_pairs
 
 
@@ -133,12 +133,12 @@ def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12
     c = capabilities.select(F.col("node_id").alias("capability_id"), F.coalesce("source_path", F.lit("")).alias("path"), "folded_leaves")
     f = leaves.select(F.col("node_id").alias("leaf_id"), F.coalesce("source_path", F.lit("")).alias("path"), "ord")
     ids = f.select("leaf_id").distinct()
-    exact = c.join(ids, c.capability_id == ids.leaf_id).select("capability_id", "leaf_id", F.lit("exact").alias("relation"), F.lit(0.99).alias("confidence"), F.lit(0).cast("long").alias("pos"))
-    folded = c.select("capability_id", F.posexplode("folded_leaves").alias("i", "leaf_id")).join(ids, "leaf_id").select("capability_id", "leaf_id", F.lit("folded_leaf").alias("relation"), F.lit(0.96).alias("confidence"), (F.lit(1_000) + F.col("i")).cast("long").alias("pos"))
+    exact = c.join(many(ids), c.capability_id == ids.leaf_id).select("capability_id", "leaf_id", F.lit("exact").alias("relation"), F.lit(0.99).alias("confidence"), F.lit(0).cast("long").alias("pos"))
+    folded = c.select("capability_id", F.posexplode("folded_leaves").alias("i", "leaf_id")).join(many(ids), "leaf_id").select("capability_id", "leaf_id", F.lit("folded_leaf").alias("relation"), F.lit(0.96).alias("confidence"), (F.lit(1_000) + F.col("i")).cast("long").alias("pos"))
     co, fo = c.withColumn("o", owner(F.col("capability_id"))).where("o <> ''"), f.withColumn("o", owner(F.col("leaf_id"))).where("o <> ''")
     # an owner's first leaves are chosen once for all of its capabilities
     firsts = top_by(fo, ["o", "path"], most, F.col("ord"))
-    owned = co.join(firsts, ["o", "path"]).select("capability_id", "leaf_id", F.lit("owner_match").alias("relation"), F.lit(0.78).alias("confidence"), (F.lit(1_000_000) + F.col("rank")).cast("long").alias("pos"))
+    owned = co.join(many(firsts), ["o", "path"]).select("capability_id", "leaf_id", F.lit("owner_match").alias("relation"), F.lit(0.78).alias("confidence"), (F.lit(1_000_000) + F.col("rank")).cast("long").alias("pos"))
     return first_by(exact.unionByName(folded).unionByName(owned), ["capability_id", "leaf_id"], F.col("pos"))
 
 
@@ -151,9 +151,9 @@ def containing(ids: DataFrame, needles: DataFrame) -> DataFrame:
     low, needle = F.col("low"), F.col("needle")
     held = ids.select("capability_id", "low", F.explode(F.concat(*(runs(low, F.lit(n)) for n in (1, 2, 3)))).alias("run"))
     often = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    keys = needles.where(F.length(needle) > 0).select("needle", F.explode(runs(needle, F.least(F.lit(3), F.length(needle)))).alias("run")).join(often, "run", "left")
+    keys = needles.where(F.length(needle) > 0).select("needle", F.explode(runs(needle, F.least(F.lit(3), F.length(needle)))).alias("run")).join(many(often), "run", "left")
     best = keys.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("k")).select("needle", F.col("k.run").alias("run"))
-    return held.join(best, "run").where(low.contains(needle)).select("capability_id", "needle")
+    return held.join(many(best), "run").where(low.contains(needle)).select("capability_id", "needle")
 
 
 def _tail(path: Column) -> Column:
@@ -198,12 +198,12 @@ def link_candidates(r: DataFrame, c: DataFrame, least: int = 35, most: int = 6)
         r.where("svc is not null").select(F.when(F.length("svc") > F.length("svc_method"), F.col("svc")).otherwise(F.col("svc_method")).alias("needle"), needle("s").alias("text"), F.when(F.length("svc") > F.length("svc_method"), F.col("svc_method")).otherwise(F.col("svc")).alias("other"), F.lit("s").alias("mark"))
     ).distinct()
     ids = c.select("capability_id", F.lower("capability_id").alias("low")).distinct()
-    held = containing(ids, asked.select("needle").distinct()).join(asked, "needle").where(F.lower("capability_id").contains(F.col("other"))).select("capability_id", "text", "mark")
-    named = c.select("capability_id", F.trim(method(F.col("capability_id"))).alias("text"), F.lit("h").alias("mark")).where("text <> ''").join(asked.where("mark = 'h'").select("text"), "text", "left_semi")
+    held = containing(ids, asked.select("needle").distinct()).join(many(asked), "needle").where(F.lower("capability_id").contains(F.col("other"))).select("capability_id", "text", "mark")
+    named = c.select("capability_id", F.trim(method(F.col("capability_id"))).alias("text"), F.lit("h").alias("mark")).where("text <> ''").join(many(asked.where("mark = 'h'").select("text")), "text", "left_semi")
     signal = held.unionByName(named.select(*held.columns)).distinct().withColumn("x", F.struct(F.concat_ws(":", "mark", "text").alias("feature"), F.when(F.col("mark") == "h", 3).otherwise(4).alias("kind"), F.when(F.col("mark") == "h", 34).otherwise(40).alias("weight")))
     c_row = F.xxhash64("capability_id", "path", "c_cat").alias("row")
     c_all = F.concat(words(F.col("c_words")), F.when(F.col("path") != "", of_path(F.col("path"), "l", "m")).otherwise(F.array()), F.array(feature("c", F.col("c_cat"), 2, 26)))
-    right = c.select(F.col("capability_id").alias("id"), c_row, F.explode(c_all).alias("x")).unionByName(c.join(signal, "capability_id").select(F.col("capability_id").alias("id"), c_row, "x")).select("id", "row", "x.*")
+    right = c.select(F.col("capability_id").alias("id"), c_row, F.explode(c_all).alias("x")).unionByName(c.join(many(signal), "capability_id").select(F.col("capability_id").alias("id"), c_row, "x")).select("id", "row", "x.*")
     return best_pairs(left, right, most, least, -8, 4).select(F.col("left_id").alias("runtime_id"), F.col("right_id").alias("capability_id"))
 
 
@@ -214,7 +214,7 @@ def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int
     pairs of `link_candidates`; paths fit by whole parts.
     """
     r, c = _linked_sides(runtime, capabilities)
-    pairs = link_candidates(r, c, least, most).join(r, "runtime_id").join(c, "capability_id")
+    pairs = link_candidates(r, c, least, most).join(many(r), "runtime_id").join(many(c), "capability_id")
     split = lambda p: F.split(p, "/")
     single = lambda p: F.size(split(p)) == 1
 
@@ -236,7 +236,7 @@ def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int
 def runtime_leaves(matches: DataFrame, cap_leaves: DataFrame, per_capability: int = 8) -> DataFrame:
     """(runtime_id, leaf_id, confidence) through matched capabilities; the first leaves of each, score / 120."""
     firsts = top_by(cap_leaves, ["capability_id"], per_capability, F.col("pos")).select("capability_id", "leaf_id")
-    return matches.join(firsts, "capability_id").groupBy("runtime_id", "leaf_id").agg(F.max(X.confidence(F.col("score") / 120.0)).alias("confidence"))
+    return matches.join(many(firsts), "capability_id").groupBy("runtime_id", "leaf_id").agg(F.max(X.confidence(F.col("score") / 120.0)).alias("confidence"))
 
 
 def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -312,8 +312,8 @@ def view_map(runtime: DataFrame, capabilities: DataFrame, leaves: DataFrame, top
     rc = runtime_capabilities(runtime, capabilities).where(F.col("rank") <= top)
     paths = capabilities.select(F.col("node_id").alias("capability_id"), F.col("source_path"))
     reasons = {"exact": "capability and leaf have the same id", "folded_leaf": "the capability folds this leaf", "owner_match": "capability and leaf share path and owner"}
-    a = cl.join(paths, "capability_id", "left").select(F.lit("capability").alias("from_view"), F.col("capability_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), "relation", "confidence", F.coalesce(*(F.when(F.col("relation") == k, F.lit(v)) for k, v in reasons.items())).alias("reason"), "source_path", F.lit(0).cast("long").alias("ord"))
-    b = rc.join(paths, "capability_id", "left").select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("capability").alias("to_view"), F.col("capability_id").alias("to_id"), F.lit("runtime_capability").alias("relation"), X.confidence(F.col("score") / 100.0).alias("confidence"), "reason", "source_path", F.col("rank").cast("long").alias("ord"))
+    a = cl.join(many(paths), "capability_id", "left").select(F.lit("capability").alias("from_view"), F.col("capability_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), "relation", "confidence", F.coalesce(*(F.when(F.col("relation") == k, F.lit(v)) for k, v in reasons.items())).alias("reason"), "source_path", F.lit(0).cast("long").alias("ord"))
+    b = rc.join(many(paths), "capability_id", "left").select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("capability").alias("to_view"), F.col("capability_id").alias("to_id"), F.lit("runtime_capability").alias("relation"), X.confidence(F.col("score") / 100.0).alias("confidence"), "reason", "source_path", F.col("rank").cast("long").alias("ord"))
     d = runtime_leaves(rc, cl).select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), F.lit("runtime_leaf_derived").alias("relation"), "confidence", F.lit("through a matched capability").alias("reason"), F.lit(None).cast("string").alias("source_path"), F.lit(0).cast("long").alias("ord"))
     from .merge import both_ways
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import top_by, written as cut
+from .shared import many, top_by, written as cut
 
 #: The signs between the features of a set; no feature holds it.
 _SEP = "\x1f"
@@ -17,8 +17,8 @@ def feature_lists(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFra
 
     left, right: (id, row, feature, kind, weight); row tells rows of one id apart.
     """
-    often = right.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).join(left.select("feature").distinct(), "feature")
-    sides = [df.distinct().join(often, "feature").groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("n", "feature", "kind", "weight"))).alias("rest")) for df in (left, right)]
+    often = right.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).join(many(left.select("feature").distinct()), "feature")
+    sides = [df.distinct().join(many(often), "feature").groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("n", "feature", "kind", "weight"))).alias("rest")) for df in (left, right)]
     return sides[0], sides[1]
 
 
@@ -56,11 +56,11 @@ def best_pairs(left: DataFrame, right: DataFrame, k: int, least: int, base: int,
     while True:
         l, r = _grown(l, most).where(_hope(most) >= least), _grown(r, most)
         lists = top_by(r.select("key", "id").distinct(), ["key"], k + 1, F.col("id")).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 at most
-        met = cut(l.join(lists, "key"))
+        met = cut(l.join(many(lists), "key"))
         common = F.size("ids") > k
         pairs = met.where(~common | (F.col("score") >= least)).select(F.col("id").alias("left_id"), F.explode(F.slice("ids", 1, k)).alias("right_id"))
         found = pairs if found is None else found.unionByName(pairs)
         l = met.where(common & (F.size("rest") > 0)).drop("ids")
         if l.isEmpty():
             return found.distinct()
-        r = cut(r.where(F.size("rest") > 0).join(l.select("key").distinct(), "key", "left_semi"))
+        r = cut(r.where(F.size("rest") > 0).join(many(l.select("key").distinct()), "key", "left_semi"))
