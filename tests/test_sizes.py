@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from topolake.operators import linkage as L
+from topolake.operators import edges as E, linkage as L
 from topolake.operators.topk_join import feature_lists
 
 
@@ -19,3 +19,16 @@ def test_rows_of_links_are_never_broadcast(spark):
     for df in frames:
         assert "BroadcastHashJoin" not in plan(df)
     assert [(r.capability_id, r.score) for r in frames[-1].collect()] == [("Shop.a.run", 65 + 18 + 34 + 40 + 2 * 6)]
+
+
+def test_fanout_makes_no_pair_of_nodes(spark):
+    """A contract that many answer and many demand: lists and counts against plain sets, and few rows in any step."""
+    a = [(f"n{i}", c) for i in range(300) for c in (["x"] if i % 3 else ["x", "y"])] + [("lone", "z"), ("m1", "y")]
+    d = [(f"n{i}", "x") for i in range(0, 200)] + [(f"m{i}", c) for i in range(50) for c in ("y", "x")] + [("m0", "z")]
+    answers, demands = (spark.createDataFrame(x, "node_id string, contract string") for x in (a, d))
+    want = {n: sorted({e for e, x in d if x in {c for o, c in a if o == n}} - {n}) for n, _ in a}
+    counts = E.fanout_counts(answers, demands)
+    assert {r.node_id: r.downstream_count for r in counts.collect()} == {n: len(v) for n, v in want.items() if v}
+    assert {r.node_id: (r.downstream_count, r.downstream) for r in E.fanout(answers, demands, 2).collect()} == {n: (len(v), v) for n, v in want.items() if len(v) >= 2}
+    kinds = E.kinds(answers), E.kinds(demands)
+    assert E.met_kinds(kinds[0], answers, kinds[1], demands).count() == 9

@@ -10,7 +10,7 @@ from ..functions.scalars import element
 
 from ..functions import contracts as K
 from ..functions.scalars import slashes
-from .shared import first_by
+from .shared import first_by, many
 
 
 def contracts(nodes: DataFrame) -> DataFrame:
@@ -74,17 +74,45 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
+def kinds(side: DataFrame) -> DataFrame:
+    """(node_id, kind) of distinct (node_id, contract): nodes with the same contracts have the same kind, and so the same others
+    to meet. A kind is the number of contracts and sums of two 60-bit parts of their digests, so no node's contracts are gathered."""
+    digest = F.sha2("contract", 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return side.groupBy("node_id").agg(F.concat_ws(",", F.count(F.lit(1)).cast("string"), part(1), part(16)).alias("kind"))
+
+
+def _of_kinds(kind: DataFrame, side: DataFrame) -> DataFrame:
+    """(kind, contract): the contracts of one node of each kind."""
+    return kind.groupBy("kind").agg(F.min("node_id").alias("node_id")).join(many(side), "node_id").select("kind", "contract")
+
+
+def met_kinds(a_kinds: DataFrame, answers: DataFrame, d_kinds: DataFrame, demands: DataFrame) -> DataFrame:
+    """Distinct (a_kind, d_kind) of kinds that share a contract: as many as kinds lead to, however many nodes there are of each."""
+    a = _of_kinds(a_kinds, answers).withColumnRenamed("kind", "a_kind")
+    d = _of_kinds(d_kinds, demands).withColumnRenamed("kind", "d_kind")
+    return a.join(many(d), "contract").select("a_kind", "d_kind").distinct()
+
+
 def fanout(answers: DataFrame, demands: DataFrame, least: int = 1) -> DataFrame:
-    """(node_id, downstream_count, downstream) over others' demands; self excluded."""
-    others = adjacency(edges_of(answers, demands)).where("src <> dst")
-    out = others.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("downstream_count"), F.sort_array(F.collect_list("dst")).alias("downstream"))
-    return out.where(F.col("downstream_count") >= least)
+    """(node_id, downstream_count, downstream) over others' demands; self excluded. A list is made once for all nodes of a kind."""
+    answers, demands = answers.select("node_id", "contract").distinct(), demands.select("node_id", "contract").distinct()
+    a_kinds, d_kinds = kinds(answers), kinds(demands)
+    ends = met_kinds(a_kinds, answers, d_kinds, demands).join(many(d_kinds.select(F.col("kind").alias("d_kind"), F.col("node_id").alias("dst"))), "d_kind")
+    lists = ends.groupBy(F.col("a_kind").alias("kind")).agg(F.sort_array(F.collect_list("dst")).alias("downstream"))
+    out = a_kinds.join(many(lists), "kind").select("node_id", F.array_remove("downstream", F.col("node_id")).alias("downstream"))
+    return out.select("node_id", F.size("downstream").cast("long").alias("downstream_count"), "downstream").where(F.col("downstream_count") >= F.lit(max(1, least)))
 
 
 def fanout_counts(answers: DataFrame, demands: DataFrame, least: int = 1) -> DataFrame:
-    """J3 without the lists: (node_id, downstream_count)."""
-    others = adjacency(edges_of(answers, demands)).where("src <> dst")
-    return others.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("downstream_count")).where(F.col("downstream_count") >= least)
+    """J3 without the lists: (node_id, downstream_count). Kinds are counted with their nodes, so no pair of nodes is made."""
+    answers, demands = answers.select("node_id", "contract").distinct(), demands.select("node_id", "contract").distinct()
+    a_kinds, d_kinds = kinds(answers), kinds(demands)
+    sizes = d_kinds.groupBy(F.col("kind").alias("d_kind")).agg(F.count(F.lit(1)).alias("n"))
+    totals = met_kinds(a_kinds, answers, d_kinds, demands).join(many(sizes), "d_kind").groupBy(F.col("a_kind").alias("kind")).agg(F.sum("n").alias("n"))
+    own = answers.join(many(demands), ["node_id", "contract"], "left_semi").select("node_id").distinct().withColumn("own", F.lit(1))
+    counts = a_kinds.join(many(totals), "kind").join(many(own), "node_id", "left").select("node_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("downstream_count"))
+    return counts.where(F.col("downstream_count") >= F.lit(max(1, least)))
 
 
 def neighbourhood(answers: DataFrame, demands: DataFrame) -> DataFrame:
