@@ -32,3 +32,12 @@ def test_fanout_makes_no_pair_of_nodes(spark):
     assert {r.node_id: (r.downstream_count, r.downstream) for r in E.fanout(answers, demands, 2).collect()} == {n: (len(v), v) for n, v in want.items() if len(v) >= 2}
     kinds = E.kinds(answers), E.kinds(demands)
     assert E.met_kinds(kinds[0], answers, kinds[1], demands).count() == 9
+
+
+def test_capability_leaves_of_repeated_ids(spark):
+    """A pair's first link is an aggregation: no window over all rows of one pair, and repeated capabilities count once."""
+    caps = spark.createDataFrame([("S.run", "p", ["S.load"])] * 50, "node_id string, source_path string, folded_leaves array<string>")
+    leaves = spark.createDataFrame([(x, "p", i) for i, x in enumerate(["S.run", "S.load", "S.x"] * 20)], "node_id string, source_path string, ord long")
+    df = L.capability_leaves(caps, leaves)
+    assert plan(df).count("Window [") <= 1
+    assert sorted((r.leaf_id, r.relation, r.pos) for r in df.collect()) == [("S.load", "folded_leaf", 1000), ("S.run", "exact", 0), ("S.x", "owner_match", 1000003)]

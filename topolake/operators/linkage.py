@@ -130,7 +130,7 @@ def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12
     capabilities: (node_id, source_path, folded_leaves); leaves: (node_id, source_path, ord). Of the owner's leaves the
     first `most` in order are looked at, before those already linked drop.
     """
-    c = capabilities.select(F.col("node_id").alias("capability_id"), F.coalesce("source_path", F.lit("")).alias("path"), "folded_leaves")
+    c = capabilities.select(F.col("node_id").alias("capability_id"), F.coalesce("source_path", F.lit("")).alias("path"), "folded_leaves").distinct()
     f = leaves.select(F.col("node_id").alias("leaf_id"), F.coalesce("source_path", F.lit("")).alias("path"), "ord")
     ids = f.select("leaf_id").distinct()
     exact = c.join(many(ids), c.capability_id == ids.leaf_id).select("capability_id", "leaf_id", F.lit("exact").alias("relation"), F.lit(0.99).alias("confidence"), F.lit(0).cast("long").alias("pos"))
@@ -139,7 +139,9 @@ def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12
     # an owner's first leaves are chosen once for all of its capabilities
     firsts = top_by(fo, ["o", "path"], most, F.col("ord"))
     owned = co.join(many(firsts), ["o", "path"]).select("capability_id", "leaf_id", F.lit("owner_match").alias("relation"), F.lit(0.78).alias("confidence"), (F.lit(1_000_000) + F.col("rank")).cast("long").alias("pos"))
-    return first_by(exact.unionByName(folded).unionByName(owned), ["capability_id", "leaf_id"], F.col("pos"))
+    # the first of each pair by an aggregation, which ids that many rows repeat don't gather in one task
+    first = exact.unionByName(folded).unionByName(owned).groupBy("capability_id", "leaf_id").agg(F.min(F.struct("pos", "relation", "confidence")).alias("x"))
+    return first.select("capability_id", "leaf_id", "x.relation", "x.confidence", "x.pos")
 
 
 def containing(ids: DataFrame, needles: DataFrame) -> DataFrame:
