@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from topolake.operators import edges as E, linkage as L
 from topolake.operators.topk_join import feature_lists
+from topolake.plans import derive as D, queries_graph as Q
 
 
 def plan(df):
@@ -34,6 +35,13 @@ def test_fanout_makes_no_pair_of_nodes(spark):
     assert E.met_kinds(kinds[0], answers, kinds[1], demands).count() == 9
 
 
+def test_nation_pairs_are_joined_once(spark):
+    """What loops take again and again is a small table, not the join of all lines."""
+    p = Q._pairs(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in p._jdf.queryExecution().optimizedPlan().toString() and "Join" not in p._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(p.collect()) == sorted(D.trade(spark, "/root/testdata/sf0.001").select("src", "dst").collect())
+
+
 def test_capability_leaves_of_repeated_ids(spark):
     """A pair's first link is an aggregation: no window over all rows of one pair, and repeated capabilities count once."""
     caps = spark.createDataFrame([("S.run", "p", ["S.load"])] * 50, "node_id string, source_path string, folded_leaves array<string>")

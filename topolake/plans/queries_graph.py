@@ -10,7 +10,7 @@ from ..functions.scalars import element
 
 from ..functions import contracts as K, scalars as X
 from ..operators import advice, edges as E, governance, graph as G, linkage as L, merge as M, metrics as T, trend as R
-from ..operators.shared import top_by
+from ..operators.shared import top_by, written
 from . import derive as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,7 +135,8 @@ query("a8_domain_ids", f"with {D.PARTS} select node_id, case when category = 'ba
 
 
 def _pairs(s, d):
-    return D.trade(s, d).select("src", "dst")
+    """Written once: a pair of nations a row, at most, which loops would join from all lines again in each of their steps."""
+    return written(D.trade(s, d).select("src", "dst"))
 
 
 def _nations(s, d):
@@ -184,8 +185,8 @@ def _largest_parts(s, d):
     return parts.join(parts.agg(F.max("p_size").alias("p_size")), "p_size").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"))
 
 
-def _trade_contracts(s, d):
-    p = _pairs(s, d)
+def _trade_contracts(s, d, p=None):
+    p = _pairs(s, d) if p is None else p
     key = F.concat_ws(">", "src", "dst")
     return p.select(F.col("src").alias("node_id"), key.alias("contract")), p.select(F.col("dst").alias("node_id"), key.alias("contract")), p.withColumn("contract", key)
 
@@ -196,8 +197,9 @@ _PART = f"{_WEIGHTS}, lw as (select level, sum(weight) as w from comp join level
 
 
 def _partition(s, d):
-    a, b, e = _trade_contracts(s, d)
-    return G.partition(G.levels(_pairs(s, d), G.components(_pairs(s, d), _nations(s, d))), G.weights(a, b, e, _nations(s, d)))
+    p = _pairs(s, d)
+    a, b, e = _trade_contracts(s, d, p)
+    return G.partition(G.levels(p, G.components(p, _nations(s, d))), G.weights(a, b, e, _nations(s, d)))
 
 
 query("g7_partition", f"with {D.TRADE}, {_PART} select array_to_string(p, ',') as partition from part")(lambda s, d: _partition(s, d).select(F.array_join(F.col("partition").cast("array<string>"), ",").alias("partition")))
