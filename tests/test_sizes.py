@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from topolake.operators import edges as E, linkage as L
+from topolake.operators import edges as E, graph as G, linkage as L
 from topolake.operators.topk_join import feature_lists
 from topolake.plans import derive as D, queries_graph as Q
 
@@ -35,6 +35,18 @@ def test_fanout_makes_no_pair_of_nodes(spark):
     assert E.met_kinds(kinds[0], answers, kinds[1], demands).count() == 9
 
 
+def test_cycles_through_common_contracts(spark):
+    """Many nodes that answer and demand a few contracts, against plain closures over pairs."""
+    a = [(f"p{i}", "x") for i in range(40)] + [(f"q{i}", "y") for i in range(30)] + [("s", "z"), ("t", "w"), (" out", "y")]
+    d = [(f"p{i}", "y") for i in range(40)] + [(f"q{i}", "x") for i in range(30)] + [("s", "x"), ("t", "z"), ("u", "w"), ("v", "w"), (" out", "w"), ("s", "z")]
+    answers, demands = (spark.createDataFrame(x, "node_id string, contract string") for x in (a, d))
+    ids = spark.createDataFrame([(n,) for n in sorted({n for n, _ in a + d} - {" out"})], "node_id string")
+    got = G.contract_cycles(answers, demands, ids).collect()
+    members = sorted([f"p{i}" for i in range(40)] + [f"q{i}" for i in range(30)])
+    # s, t, u, v and the node outside ids, which leads back but is in no cycle of known nodes
+    assert [(r.members, r.blast) for r in got] == [(members, 5)]
+
+
 def test_nation_pairs_are_joined_once(spark):
     """What loops take again and again is a small table, not the join of all lines."""
     p = Q._pairs(spark, "/root/testdata/sf0.001")

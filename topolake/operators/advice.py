@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import element
 
 from ..functions import scalars as X
-from .edges import adjacency
-from .graph import blast_radius, cycles
+from .graph import contract_cycles
 
 # Words of nodes that orchestrate, beginnings of methods that are pieces.
 ORCHESTRATION = r"(?i)(workflow|orchestrate|dispatch|pipeline|plan|apply|bootstrap|sync)"
@@ -60,15 +59,17 @@ def fragment_groups(nodes: DataFrame, fan: DataFrame, least: int = 3) -> DataFra
     return out.where((F.col("size") >= least) & ((F.col("helpers") > 0) | ((F.col("paths") <= 1) & (F.col("mean_fanout") <= 1.5))))
 
 
-def restructure(nodes: DataFrame, edges: DataFrame, fan: DataFrame, split_at: int = 6) -> DataFrame:
-    """(operation, target, targets, score) best first: cycles to collapse, fat nodes to split, pieces to gather; or a start."""
-    pairs = adjacency(edges)
+def restructure(nodes: DataFrame, edges: DataFrame | None, fan: DataFrame, split_at: int = 6, sides: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(operation, target, targets, score) best first: cycles to collapse, fat nodes to split, pieces to gather; or a start.
+
+    sides: what nodes answer and demand, each (node_id, contract), in place of edges, which grow with the pairs that share a contract.
+    """
     ids = nodes.select("node_id").distinct()
-    loops = cycles(pairs, ids).where(F.size("members") >= 2)
-    member = loops.select("component", F.explode("members").alias("node_id"))
-    hit = blast_radius(pairs, member.select("node_id")).join(member, F.col("origin") == member.node_id).select("component", "node").distinct()
-    outer = hit.join(member.select(F.col("component").alias("c2"), F.col("node_id").alias("m2")), (F.col("component") == F.col("c2")) & (F.col("node") == F.col("m2")), "left_anti").groupBy("component").agg(F.count(F.lit(1)).alias("blast"))
-    a = loops.join(outer, "component", "left").select(F.lit("renormalize").alias("operation"), F.get("members", F.lit(0)).alias("target"), F.col("members").alias("targets"), (1000 + 20 * F.size("members") + F.coalesce("blast", F.lit(0))).cast("long").alias("score"))
+    if sides is None:
+        key = F.to_json(F.array("src", "dst")).alias("contract")  # an edge is a contract of its own
+        sides = edges.select(F.col("src").alias("node_id"), key), edges.select(F.col("dst").alias("node_id"), key)
+    loops = contract_cycles(*sides, ids)
+    a = loops.select(F.lit("renormalize").alias("operation"), F.get("members", F.lit(0)).alias("target"), F.col("members").alias("targets"), (1000 + 20 * F.size("members") + F.col("blast")).cast("long").alias("score"))
     mixes = nodes.select("node_id", (F.col("node_id").rlike(ORCHESTRATION) | F.coalesce(F.col("problem").rlike(ORCHESTRATION), F.lit(False))).alias("mix"))
     b = fan.where(F.col("downstream_count") >= split_at).join(mixes, "node_id").select(F.lit("split").alias("operation"), F.col("node_id").alias("target"), F.array("node_id").alias("targets"), (500 + 10 * F.col("downstream_count") + F.when(F.col("mix"), 25).otherwise(0)).cast("long").alias("score"))
     g = fragment_groups(nodes, fan)

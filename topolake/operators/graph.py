@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import runtime_id
-from .shared import spread_top_by, written as cut
+from .shared import many, spread_top_by, written as cut
 
 def _spread(ways: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, word, bits): all bits that reach a node over ways (a, b) from seeds (node, word, bits), by one step or more.
@@ -152,6 +152,36 @@ def cycles(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where((F.col("n") > 1) | F.col("loop")).select("component", "members", F.array_join("members", " -> ").alias("signature"))
 
 
+def contract_cycles(answers: DataFrame, demands: DataFrame, ids: DataFrame) -> DataFrame:
+    """(component, members, blast) of cycles of two nodes or more, through nodes of `ids`: their nodes, and how many others they reach.
+
+    Nodes with the same contracts on both sides are one vertex, and contracts are vertices between them, so the graph has as
+    many edges as there are kinds of nodes and their contracts, and no pair of a producer and a consumer is made. What a cycle
+    reaches is counted over the graph of components.
+    """
+    from .edges import kinds
+
+    sides = [x.select("node_id", "contract").distinct() for x in (answers, demands)]
+    a, d = (kinds(x).withColumnRenamed("kind", c) for x, c in zip(sides, "ad"))
+    told = ids.select("node_id").distinct().withColumn("known", F.lit(True))
+    filled = [F.coalesce(c, F.lit("")).alias(c) for c in "ad"]
+    of = cut(a.join(many(d), "node_id", "full").join(many(told), "node_id", "left").select("node_id", *filled, F.coalesce("known", F.lit(False)).alias("known")))
+    vertex = cut(of.groupBy("a", "d", "known").agg(F.min("node_id").alias("node_id"), F.count(F.lit(1)).alias("n")))
+    of_node, of_contract = F.concat(F.lit("n"), "node_id"), F.concat(F.lit("c"), "contract")
+    out, in_ = (x.join(many(vertex), "node_id") for x in sides)
+    edges = cut(out.select(of_node.alias("src"), of_contract.alias("dst"), "known").unionByName(in_.select(of_contract.alias("src"), of_node.alias("dst"), "known")))
+    comp = components(edges.where("known"), edges.select(F.explode(F.array("src", "dst")).alias("node_id")))
+    sized = comp.join(many(vertex.select(of_node.alias("node_id"), "n", "a", "d", "known")), "node_id", "left")
+    found = cut(sized.groupBy("component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("vertices")))
+    loops = found.where("vertices > 1 and n > 1").select("component")
+    members = sized.where("n is not null").join(many(loops), "component", "left_semi").select("component", "a", "d", "known").join(many(of), ["a", "d", "known"]).groupBy("component").agg(F.sort_array(F.collect_list("node_id")).alias("members"))
+    end = lambda side: many(comp.select(F.col("node_id").alias(side), F.col("component").alias(f"{side}_in")))
+    between = edges.join(end("src"), "src").join(end("dst"), "dst").where("src_in <> dst_in").select(F.col("src_in").alias("src"), F.col("dst_in").alias("dst"))
+    hit = reach(between, loops.withColumnRenamed("component", "node_id")).where("origin <> node")
+    blast = hit.join(many(found.select(F.col("component").alias("node"), "n")), "node").groupBy(F.col("origin").alias("component")).agg(F.sum("n").alias("blast"))
+    return members.join(many(blast), "component", "left").select("component", "members", F.coalesce("blast", F.lit(0).cast("long")).alias("blast"))
+
+
 def collapse(pairs: DataFrame, nodes: DataFrame, answers: DataFrame, demands: DataFrame) -> DataFrame:
     """(macro_id, members, demand, answer): one node for each cycle, with the contracts that cross its boundary."""
     from .edges import group_boundary

@@ -416,7 +416,8 @@ query("t8_top_per_group", "select l_suppkey, l_orderkey, l_linenumber, rank from
 def c9(s, d):
     """Proposals over the parts as nodes of one file: cycles to collapse, nodes to split, pieces to gather."""
     nodes = D.parts(s, d).withColumn("source_path", F.lit("src/all.ts"))
-    return advice.restructure(nodes, E.contract_edges(nodes), E.fanout_counts(E.produced(nodes), E.required(nodes))).select("operation", "target", F.array_join("targets", ",").alias("targets"), "score")
+    sides = E.produced(nodes), E.required(nodes)
+    return advice.restructure(nodes, None, E.fanout_counts(*sides), sides=sides).select("operation", "target", F.array_join("targets", ",").alias("targets"), "score")
 
 
 _FAN = "fan as (select src as node_id, count(distinct dst) as downstream_count from n_edges where src <> dst group by src)"
