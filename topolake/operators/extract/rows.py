@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -91,13 +92,19 @@ class Finder:
 Extractor = Callable[[Finder], None]
 
 
+def batches(rows: Iterator[dict], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of up to `most` rows of any number of files; a batch a file costs more than extraction itself."""
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in some], f.type) for f in schema], schema=schema)
+
+
 def run(files: DataFrame, extractors: list[tuple[str, Extractor]]) -> DataFrame:
     """Rows of all extractors over (path, language, content), in order; a failure gives RUNTIME_EXTRACTOR_FAILED and no more.
 
-    One pass over the files; each file's rows leave before the next is read.
+    One pass over the files; rows leave in batches, so no more than one file's and one batch's are held.
     """
 
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in it:
             for path, language, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 got: list[dict] = []
@@ -109,9 +116,11 @@ def run(files: DataFrame, extractors: list[tuple[str, Extractor]]) -> DataFrame:
                         find.out = []
                         find.diag("error", "RUNTIME_EXTRACTOR_FAILED", name, str(e))
                     got += find.out
-                rows = [{"ord": i, **r} for i, r in enumerate(got)]
-                for at in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in SCHEMA} | {"metadata": list((r.get("metadata") or {}).items())} for r in rows[at : at + 2000]], schema=SCHEMA)
+                for i, r in enumerate(got):
+                    yield {"ord": i, **r, "metadata": list((r.get("metadata") or {}).items())}
+
+    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches(found_in(it), SCHEMA)
 
     ship(files.sparkSession)
     found = files.select("path", "language", "content").mapInArrow(each, DDL)

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows on all cores: a table of keys is a small file that one task reads, and texts that are made of its keys and
+    extracted from would stay in that task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _month(c: str):
     return F.date_format(c, "yyyy-MM")
 

@@ -28,8 +28,7 @@ _PATH = "case p_partkey % 5 when 0 then concat('api/f', p_partkey, '.py') when 1
 
 
 def source_files(s: SparkSession, d: str) -> DataFrame:
-    # texts are made after the keys are dealt out, so extraction runs on all cores though the table is one small file
-    keys = D.table(s, d, "part").select("p_partkey").repartition(s.sparkContext.defaultParallelism)
+    keys = D.dealt(D.table(s, d, "part").select("p_partkey"))
     rows = keys.select(F.expr(_PATH).alias("path"), F.expr(_CODE).alias("content"))
     return rows.withColumn("language", FS.file_kind(F.col("path")))
 
@@ -61,7 +60,7 @@ union all select 'calls', 'Service.load' || p_partkey, 'ExternalApi.HTTP', 1 fro
 )
 query("e6_infra", "select case p_partkey % 3 when 0 then 'Cache.Redis' when 1 then 'DataStore.Postgres' else 'ObjectStore.MinIO' end as id, count(*) as n from part group by 1")(
     lambda s, d: R.run(
-        D.table(s, d, "part").select(F.expr("concat('a', p_partkey, '/docker-compose.yml')").alias("path"), F.lit("yaml").alias("language"), F.expr("concat('services:', chr(10), '  ', case p_partkey % 3 when 0 then 'redis' when 1 then 'db' else 'minio' end, ':', chr(10), '    image: ', case p_partkey % 3 when 0 then 'redis:7' when 1 then 'postgres:16' else 'minio/minio' end, chr(10))").alias("content")), [("infra", RT.infra)]
+        D.dealt(D.table(s, d, "part").select("p_partkey")).select(F.expr("concat('a', p_partkey, '/docker-compose.yml')").alias("path"), F.lit("yaml").alias("language"), F.expr("concat('services:', chr(10), '  ', case p_partkey % 3 when 0 then 'redis' when 1 then 'db' else 'minio' end, ':', chr(10), '    image: ', case p_partkey % 3 when 0 then 'redis:7' when 1 then 'postgres:16' else 'minio/minio' end, chr(10))").alias("content")), [("infra", RT.infra)]
     ).where("kind = 'node'").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 )
 
