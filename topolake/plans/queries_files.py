@@ -92,11 +92,11 @@ union all select 'Store' || p_partkey || 'Service._hide', 'core', 'stores/s' ||
     .select("node_id", "category", "source_path", F.array_join("demand", ",").alias("demand"), F.array_join("answer", ",").alias("answer"))
 )
 query("e12_registrations", "select 'Item' || (p_partkey % 7) || 's' as owner, 'list_' || p_partkey as name from part")(
-    lambda s, d: SG.extract(D.table(s, d, "part").select(F.concat(F.lit("api/r"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("app.get('/v/item"), (F.col("p_partkey") % 7).cast("string"), F.lit("s/:id', list_"), F.col("p_partkey").cast("string"), F.lit(")")).alias("content"), F.lit("api").alias("kind"))).select("owner", "name")
+    lambda s, d: SG.extract(D.dealt(D.table(s, d, "part").select("p_partkey")).select(F.concat(F.lit("api/r"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), F.lit("javascript").alias("language"), F.concat(F.lit("app.get('/v/item"), (F.col("p_partkey") % 7).cast("string"), F.lit("s/:id', list_"), F.col("p_partkey").cast("string"), F.lit(")")).alias("content"), F.lit("api").alias("kind"))).select("owner", "name")
 )
 query("j20_imports", "select 'pkg/u' || p_partkey || '.py' as source_path, 'pkg/m' || (p_partkey % 5) || '.py' as defined_in, 'Result' as type from part")(
     lambda s, d: imports.resolve(
-        D.table(s, d, "part").select(F.expr("concat('pkg/u', p_partkey, '.py')").alias("path"), F.lit("python").alias("language"), F.expr("concat('from .m', p_partkey % 5, ' import go as run', chr(10))").alias("content"))
+        D.dealt(D.table(s, d, "part").select("p_partkey")).select(F.expr("concat('pkg/u', p_partkey, '.py')").alias("path"), F.lit("python").alias("language"), F.expr("concat('from .m', p_partkey % 5, ' import go as run', chr(10))").alias("content"))
         .unionByName(s.range(5).select(F.expr("concat('pkg/m', id, '.py')").alias("path"), F.lit("python").alias("language"), F.lit("def go() -> Result: ...\n").alias("content")))
     ).select("source_path", "defined_in", "type")
 )
