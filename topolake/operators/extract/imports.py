@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ...ship import ship
+from ..shared import written
 from .declarations import Source, declared
+from .rows import batches
 from .signatures import infer, type_name
 
 _DDL = "kind string, source_path string, module string, name string, alias string, type string"
@@ -62,7 +64,7 @@ def script_symbols(path: str, text: str) -> Iterator[dict]:
     s = Source(text, "typescript")
     here = _SCRIPT.sub("", path)
     homes = [here, here.removesuffix("/index")] if here.endswith("/index") else [here]
-    defined = {d.name: type_name(d.result) if d.result else "unknown" for d in declared(text, "typescript") if d.owner is None}
+    defined = {d.name: type_name(d.result) if d.result else "unknown" for d in declared(s, "typescript") if d.owner is None}
     for i, t in enumerate(s.tokens):
         if t == "import" and s.token(i + 1) not in ("(", "."):
             end = s.until(i + 1, ("from", ";"))
@@ -103,13 +105,13 @@ def resolve(files: DataFrame) -> DataFrame:
     """(source_path, alias, module, name, defined_in, type) of every import; defined_in is null for what no file defines."""
 
     def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            read = {"python": symbols}
-            rows = [{"source_path": p, **r} for p, t, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for r in read.get(x, script_symbols)(p or "", t or "")]
-            if rows:
-                yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in _SCHEMA} for r in rows], schema=_SCHEMA)
+        read = {"python": symbols}
+        rows = ({"source_path": p, **r} for b in it for p, t, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for r in read.get(x, script_symbols)(p or "", t or ""))
+        return batches(rows, _SCHEMA)
 
     ship(files.sparkSession)
-    found = files.where("language in ('python', 'typescript', 'javascript')").select("path", "content", "language").mapInArrow(each, _DDL)
-    defined = found.where("kind = 'definition'").groupBy("module", "name").agg(F.max_by("type", "source_path").alias("_type"), F.max("source_path").alias("defined_in"))
+    # written, as imports and definitions would each extract from all files again
+    found = written(files.where("language in ('python', 'typescript', 'javascript')").select("path", "content", "language").mapInArrow(each, _DDL))
+    asked = found.where("kind = 'import'").select("module", "name").distinct()
+    defined = found.where("kind = 'definition'").join(asked, ["module", "name"], "left_semi").groupBy("module", "name").agg(F.max_by("type", "source_path").alias("_type"), F.max("source_path").alias("defined_in"))
     return found.where("kind = 'import'").drop("type", "kind").join(defined, ["module", "name"], "left").select("source_path", "alias", "module", "name", "defined_in", F.col("_type").alias("type"))
