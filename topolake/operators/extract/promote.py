@@ -8,6 +8,7 @@ from ...functions import contracts as K
 from ...functions.scalars import element, slashes, total
 from ...sources.config import Parser
 from ..merge import merge_entries
+from ..shared import written
 
 # Beginnings and endings of names, and words, that tell capabilities from helpers.
 HARD_HELPERS = ["set", "build", "parse", "format", "normalize", "sanitize", "validate", "collect", "resolve", "prepare", "infer", "guess", "convert", "merge", "filter", "check"]
@@ -170,6 +171,7 @@ def problem_text(node_id: Column, path: Column, raw: Column) -> Column:
 
 def capabilities(rows: DataFrame, config: Parser | None = None) -> DataFrame:
     """fold's nodes, and one of each file that gives none but has functions to show; Java and C++ have no such files."""
+    rows = written(rows)  # taken three times, and each would extract from all files again
     folded = fold(rows, config)
     last = file_fallback(rows.where(~F.col("language").isin("java", "cpp")), folded)
     return folded.unionByName(last.withColumn("promotion_reasons", F.array().cast("array<string>")))
