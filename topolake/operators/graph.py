@@ -29,27 +29,60 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return every.select("node", F.shiftright("_n", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_n").bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
 
 
+def _doubled(pairs: DataFrame, starts: DataFrame, most: int = 16) -> DataFrame | None:
+    """(a, b, d): all pairs that lead to each other over (src, dst) by one step or more, and by how few, in rounds that are the
+    logarithm of the longest such way; None where that would be more work than a search step by step.
+
+    A pair at a distance over k and up to 2k has a node on its way at k exactly, so a round joins the pairs at k with all that
+    are known, and each pair is found about once. Where ways are many (a round would make over `most` times as many pairs as
+    there are), or starts are few, it gives up.
+    """
+    known, k = cut(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("d")).distinct()), 1
+    heads = known.select(F.col("a").alias("node_id")).distinct()
+    if 4 * heads.join(many(starts.select("node_id").distinct()), "node_id", "left_semi").count() < heads.count():
+        return None
+    while True:
+        last = known.where(F.col("d") == k)
+        sizes = last.groupBy(F.col("b").alias("m")).agg(F.count(F.lit(1)).alias("n")).join(many(known.groupBy(F.col("a").alias("m")).agg(F.count(F.lit(1)).alias("o"))), "m")
+        made = sizes.agg(F.sum(F.col("n") * F.col("o"))).first()[0]
+        if not made:
+            return known
+        if made > most * known.count():
+            return None
+        further = last.select("a", F.col("b").alias("m")).join(many(known.select(F.col("a").alias("m"), "b", (F.col("d") + k).alias("d"))), "m").select("a", "b", "d")
+        known, k = cut(known.unionByName(further).groupBy("a", "b").agg(F.min("d").alias("d"))), 2 * k
+
+
 def reach(pairs: DataFrame, starts: DataFrame) -> DataFrame:
     """Distinct (origin, node) reachable from each start over (src, dst) by one step or more; cycles may return to it.
 
-    The search holds a bit for each start; pairs are only made of its result.
+    Where all search and what they reach is little, ways are doubled. Else the search holds a bit for each start, and pairs are
+    only made of its result.
     """
+    pairs = cut(pairs.select("src", "dst").distinct())
+    if (near := _doubled(pairs, starts)) is not None:
+        return near.select(F.col("a").alias("origin"), F.col("b").alias("node")).join(many(starts.select(F.col("node_id").alias("origin")).distinct()), "origin", "left_semi")
     seeds = _numbered(starts)
     found = _spread(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), seeds)
     return found.join(seeds.select("word", F.col("node").alias("origin"), F.col("bits").alias("bit")), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select("origin", "node")
 
 
 def impact(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(origin, impacted): how many other nodes each node reaches over (src, dst); no pair is made.
+    """(origin, impacted): how many other nodes each node reaches over (src, dst).
 
-    Each node's bit goes against the edges, so what has come to a node are the nodes that it reaches; they are counted by words.
+    Where what nodes reach is little, ways are doubled and counted. Else no pair is made: each node's bit goes against the edges, so what has come to a node are the nodes that it reaches; they are counted by words.
     """
+    pairs = cut(pairs.select("src", "dst").distinct())
+    ids = nodes.select(F.col("node_id").alias("origin")).distinct()
+    if (near := _doubled(pairs, pairs.select(F.col("src").alias("node_id")))) is not None:
+        counts = near.where("a <> b").groupBy("a").agg(F.count(F.lit(1)).alias("impacted"))
+        return ids.join(many(counts), F.col("origin") == F.col("a"), "left").select("origin", F.coalesce("impacted", F.lit(0).cast("long")).alias("impacted"))
     seeds = _numbered(pairs.select(F.explode(F.array("src", "dst")).alias("node_id")))
     found = _spread(pairs.select(F.col("dst").alias("a"), F.col("src").alias("b")), seeds)
     own = seeds.select("node", "word", F.col("bits").alias("own"))
     others = found.join(own, ["node", "word"], "left").select("node", F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0).cast("long"))))).alias("n"))
     counts = others.groupBy("node").agg(F.sum("n").alias("impacted"))
-    return nodes.select(F.col("node_id").alias("origin")).distinct().join(counts, F.col("origin") == F.col("node"), "left").select("origin", F.coalesce("impacted", F.lit(0).cast("long")).alias("impacted"))
+    return ids.join(counts, F.col("origin") == F.col("node"), "left").select("origin", F.coalesce("impacted", F.lit(0).cast("long")).alias("impacted"))
 
 
 def blast_radius(pairs: DataFrame, starts: DataFrame, is_contract_change: bool = True) -> DataFrame:
