@@ -46,9 +46,20 @@ def edges_of(answers: DataFrame, demands: DataFrame) -> DataFrame:
     return a.join(d, "contract").select("src", "dst", "contract")
 
 
+def contract_sides(nodes: DataFrame, ignore: Iterable[str] = (), ignore_generic: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(answers, demands) of NODE rows, which J1 joins."""
+    return produced(nodes, lambda c: K.key_graph(c, False, ignore, ignore_generic)), required(nodes, lambda c: K.key_graph(c, True, ignore, ignore_generic))
+
+
 def contract_edges(nodes: DataFrame, ignore: Iterable[str] = (), ignore_generic: bool = True) -> DataFrame:
     """J1 over NODE rows."""
-    return edges_of(produced(nodes, lambda c: K.key_graph(c, False, ignore, ignore_generic)), required(nodes, lambda c: K.key_graph(c, True, ignore, ignore_generic)))
+    return edges_of(*contract_sides(nodes, ignore, ignore_generic))
+
+
+def linked(answers: DataFrame, demands: DataFrame) -> DataFrame:
+    """Distinct (node_id) at either end of J1's edges, by semi-joins of contracts: edges grow with pairs and are not made."""
+    met = lambda side, other: side.join(many(other.select("contract").distinct()), "contract", "left_semi").select("node_id")
+    return met(answers, demands).unionByName(met(demands, answers)).distinct()
 
 
 def resync(edges: DataFrame, nodes: DataFrame, changed: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -69,6 +80,20 @@ def resync(edges: DataFrame, nodes: DataFrame, changed: DataFrame, extracted: Da
     return kept.select("src", "dst", "contract").unionByName(out).unionByName(into)
 
 
+def resync_contracts(answers: DataFrame, demands: DataFrame, nodes: DataFrame, changed: DataFrame, extracted: DataFrame) -> DataFrame:
+    """W2 over a graph that is kept as its two sides of contracts, as its edges grow with pairs: the same edges as `resync`.
+
+    Contracts of untouched nodes stay as they were kept, those of touched nodes are taken again, and edges are made once, as the
+    result; none is stored or shuffled.
+    """
+    ids = lambda df: df.select(F.trim("node_id").alias("_n"))
+    touched = ids(nodes.join(many(changed.select("path")), "path", "left_semi")).unionByName(ids(extracted)).distinct()
+    after = nodes.join(many(changed.select("path")), "path", "left_anti").unionByName(extracted.select(*nodes.columns))
+    again = contract_sides(after.join(many(touched), F.trim("node_id") == F.col("_n"), "left_semi"))
+    stay = lambda side: side.select("node_id", "contract").join(many(touched), F.col("node_id") == F.col("_n"), "left_anti")
+    return edges_of(*(stay(old).unionByName(new) for old, new in zip((answers, demands), again)))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst)."""
     return edges.select("src", "dst").distinct()

@@ -248,7 +248,7 @@ query("g17_display_nodes", "select status, count(*) as n from (select case when
     lambda s, d: knowledge.graph(D.parts(s, d).select("node_id", "problem"), D.parts(s, d).where("ord % 13 = 0").select("node_id", F.lit("modify").alias("op"), "problem", F.lit(None).cast("string").alias("parent_id")), E.contract_edges(D.parts(s, d)))[0].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 )
 query("f14_hideable", f"with {D.PARTS} select node_id from nodes where node_id not in (select src from n_edges union select dst from n_edges) and not regexp_matches(node_id, '(?i)(workflow|pipeline|service|agent|planner|orchestrator|controller|handler|api|route)')")(
-    lambda s, d: knowledge.hideable(D.parts(s, d).select("node_id"), E.contract_edges(D.parts(s, d)))
+    lambda s, d: knowledge.hideable_by_contracts(D.parts(s, d).select("node_id"), *E.contract_sides(D.parts(s, d)))
 )
 
 # streams
