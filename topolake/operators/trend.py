@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalars import ratio
-from .edges import degrees
+from .edges import degrees, edges_of, linked
 from .graph import cycles
 from .metrics import execute_like, has_ghost
+from .shared import many
 
 
 def risk(nodes: DataFrame, degree: DataFrame, in_least: int = 5, out_least: int = 5, least: int = 8, top: int = 80) -> DataFrame:
@@ -57,6 +58,21 @@ def removed_edges(old: DataFrame, new: DataFrame, new_nodes: DataFrame) -> DataF
     return live.join(new, ["src", "dst", "contract"], "left_anti")
 
 
+def removed_contract_edges(old_answers: DataFrame, old_demands: DataFrame, new_answers: DataFrame, new_demands: DataFrame | None = None) -> DataFrame:
+    """J13 over distinct sides of contracts, the new demands the old ones if none are given: the same edges as `removed_edges`.
+
+    An edge is gone if one of its sides is, so only sides that are gone are joined, and neither version's edges are made.
+    """
+    key = ["node_id", "contract"]
+    ends = linked(new_answers, old_demands if new_demands is None else new_demands)
+    a, d = (x.select(*key).join(many(ends), "node_id", "left_semi") for x in (old_answers, old_demands))
+    gone = edges_of(a.join(many(new_answers.select(*key)), key, "left_anti"), d)
+    if new_demands is None:
+        return gone
+    stay = a.join(many(new_answers.select(*key)), key, "left_semi")
+    return gone.unionByName(edges_of(stay, d.join(many(new_demands.select(*key)), key, "left_anti")))
+
+
 def new_cycles(old_pairs: DataFrame, new_pairs: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
     """Cycles whose members did not form one before."""
     return cycles(new_pairs, new_nodes).select("signature").join(cycles(old_pairs, old_nodes).select("signature"), "signature", "left_anti")

@@ -344,15 +344,22 @@ def _version(s, d, m):
     return D.answers(s, d).where(F.split("contract", "@")[0].cast("int") % m != 0)
 
 
+def _sides(s, d):
+    """(old answers, demands, new answers) of two versions, from tables written once: their joins would make each from all lines again."""
+    every, demands = written(D.answers(s, d)), written(D.demands(s, d))
+    old, new = (every.where(F.split("contract", "@")[0].cast("int") % m != 0) for m in (7, 5))
+    return old, demands, new
+
+
 query("j12_broken_contracts", f"with {D.CONTRACTS}, {_VER} select d.node_id, contract, array_to_string((select list_sort(list(distinct node_id)) from oa where oa.contract = d.contract), ',') as producers from demands d where contract not in (select contract from na) and contract in (select contract from oa)")(
     lambda s, d: R.broken_contracts(_version(s, d, 7), _version(s, d, 5), D.demands(s, d)).select("node_id", "contract", F.array_join("producers", ",").alias("producers"))
 )
 query("j13_removed_edges", f"with {D.CONTRACTS}, {_VER}, nn as (select src as n from ne union select dst from ne) select src, dst, contract from oe where src in (select n from nn) and dst in (select n from nn) except select * from ne")(
-    lambda s, d: R.removed_edges(E.edges_of(_version(s, d, 7), D.demands(s, d)), (ne := E.edges_of(_version(s, d, 5), D.demands(s, d))), ne.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct())
+    lambda s, d: R.removed_contract_edges(*_sides(s, d))
 )
 query("g3_degraded", f"""with {D.CONTRACTS}, {_VER}, nn as (select src as n from ne union select dst from ne), b as (select count(*) as n from demands d where contract not in (select contract from na) and contract in (select contract from oa)),
 r as (select count(*) as n from (select src, dst, contract from oe where src in (select n from nn) and dst in (select n from nn) except select * from ne)) select b.n as broken_contracts, r.n as removed_edges, b.n > 0 or r.n > 0 as degraded from b, r""")(
-    lambda s, d: R.degraded(s.createDataFrame([], "x string"), R.broken_contracts(_version(s, d, 7), _version(s, d, 5), D.demands(s, d)), R.removed_edges(E.edges_of(_version(s, d, 7), D.demands(s, d)), (ne := E.edges_of(_version(s, d, 5), D.demands(s, d))), ne.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct())).select("broken_contracts", "removed_edges", "degraded")
+    lambda s, d: (lambda old, demands, new: R.degraded(s.createDataFrame([], "x string"), R.broken_contracts(old, new, demands), R.removed_contract_edges(old, demands, new)))(*_sides(s, d)).select("broken_contracts", "removed_edges", "degraded")
 )
 query("g3_new_cycles", f"with {D.TRADE}, k as (select list_sort(list(node_id)) as m, bool_or(node_id in (select src from trade where src = dst)) as l from comp group by component) select array_to_string(m, ' -> ') as signature from k where len(m) > 1 or l")(
     lambda s, d: R.new_cycles(_pairs(s, d).limit(0), _pairs(s, d), _nations(s, d), _nations(s, d))
