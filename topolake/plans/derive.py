@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import element
+from ..operators.shared import many
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -79,7 +80,7 @@ levels as (with recursive w(c, l) as (select component, 0 from comp union select
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """(src, dst) of parts of one brand that follow each other in an order."""
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf, "lineitem").join(many(table(spark, sf, "part")), F.col("l_partkey") == F.col("p_partkey"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     name = lambda c: F.concat(F.lit("p"), c.cast("string"))
     every = lines.select(name(F.col("l_partkey")).alias("src"), name(F.lead("l_partkey").over(w)).alias("dst"), "p_brand", F.lead("p_brand").over(w).alias("next_brand"))

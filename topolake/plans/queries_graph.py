@@ -166,6 +166,18 @@ def _part_ids(s, d):
     return D.table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id")).distinct()
 
 
+def _calls(s, d):
+    """Written once, for operators that take it more than once."""
+    return written(D.calls(s, d))
+
+
+@query("g5_levels_parts", f"with {D.CALLS} select node_id, component, level::int as level from comp join levels using (component)")
+def g5_parts(s, d):
+    """Levels of the graph of parts."""
+    calls = _calls(s, d)
+    return G.levels(calls, G.components(calls, _part_ids(s, d)))
+
+
 query("g1_blast_radius_parts", f"with {D.CALLS} select a as origin, b as node from closure where a <> b")(lambda s, d: G.blast_radius(D.calls(s, d), _part_ids(s, d)))
 query("g18_blast_risk_parts", f"with {D.CALLS}, n as (select node_id as origin, count(b) filter (b <> node_id) as impacted from ids left join closure on a = node_id group by node_id) select origin, impacted, case when impacted >= 5 then 'high' when impacted >= 2 then 'medium' else 'low' end as risk from n")(
     lambda s, d: G.impact(D.calls(s, d), _part_ids(s, d)).withColumn("risk", X.risk_bucket(F.col("impacted")))
@@ -175,9 +187,8 @@ query("g19_blast_warning_parts", f"with {D.CALLS}, n as (select count(distinct b
 )
 query("g2_components_parts", f"with {D.CALLS} select node_id, component from comp")(lambda s, d: G.components(D.calls(s, d), _part_ids(s, d)))
 query("g2_cycles_parts", f"with {D.CALLS}, {_CALL_CYCLES} select component, array_to_string(m, ' -> ') as signature from k where len(m) > 1 or l")(
-    lambda s, d: G.cycles(D.calls(s, d), _part_ids(s, d)).select("component", "signature")
+    lambda s, d: G.cycles(_calls(s, d), _part_ids(s, d)).select("component", "signature")
 )
-query("g5_levels_parts", f"with {D.CALLS} select node_id, component, level::int as level from comp join levels using (component)")(lambda s, d: G.levels(D.calls(s, d), G.components(D.calls(s, d), _part_ids(s, d))))
 
 
 def _largest_parts(s, d):
