@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as X
 from ..functions.scalars import element
-from .shared import first_by, many, small, top_by
+from .shared import first_by, many, small, top_by, written as cut
 from .topk_join import best_pairs
 
 
@@ -147,15 +147,16 @@ def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12
 def containing(ids: DataFrame, needles: DataFrame) -> DataFrame:
     """(capability_id, needle) of ids (capability_id, low) whose low contains the needle (needle), without a cross product.
 
-    A needle's key is the run of min(3, its length) signs that fewest ids have; ids meet it by all runs of that length.
+    A needle's head is its first three signs, or all of fewer. Where an id has a head, the runs of the lengths of that head's
+    needles begin; runs meet needles by equality, so what meets is what is contained.
     """
-    runs = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
     low, needle = F.col("low"), F.col("needle")
-    held = ids.select("capability_id", "low", F.explode(F.concat(*(runs(low, F.lit(n)) for n in (1, 2, 3)))).alias("run"))
-    often = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    keys = needles.where(F.length(needle) > 0).select("needle", F.explode(runs(needle, F.least(F.lit(3), F.length(needle)))).alias("run")).join(many(often), "run", "left")
-    best = keys.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("k")).select("needle", F.col("k.run").alias("run"))
-    return held.join(many(best), "run").where(low.contains(needle)).select("capability_id", "needle")
+    asked = needles.where(F.length(needle) > 0).select("needle").distinct()
+    heads = asked.groupBy(F.substring(needle, 1, 3).alias("head")).agg(F.collect_set(F.length(needle)).alias("lengths"))  # no more than the longest is long
+    at = ids.select("capability_id", "low", F.explode(F.sequence(F.lit(1), F.length(low))).alias("at")).where(F.length(low) > 0)
+    held = at.select("capability_id", "low", "at", F.explode(F.array(*(F.substr(low, F.col("at"), F.lit(n)) for n in (1, 2, 3)))).alias("head")).join(small(heads), "head")
+    runs = held.select("capability_id", "low", "at", F.explode("lengths").alias("n")).select("capability_id", F.substr(low, F.col("at"), F.col("n")).alias("needle"))
+    return cut(runs.join(many(asked), "needle", "left_semi").distinct().select("capability_id", "needle"))
 
 
 def _tail(path: Column) -> Column:
@@ -180,7 +181,7 @@ def link_candidates(r: DataFrame, c: DataFrame, least: int = 35, most: int = 6)
     """(runtime_id, capability_id): all pairs that J7 may rank, by a top-k join on what each pair shares.
 
     Features are words, whole paths and their last parts (one of these counts), categories, and the substring signals: a
-    handler, and a service with its method, which meet ids by their rarest run of three signs (fewer in shorter ones).
+    handler, and a service with its method, which meet ids by the runs that begin with their first three signs.
     """
     name = lambda p: element(F.split(p, "/"), -1)
     single = lambda p: F.size(F.split(p, "/")) == 1
@@ -194,18 +195,23 @@ def link_candidates(r: DataFrame, c: DataFrame, least: int = 35, most: int = 6)
         words(F.col("r_words")), F.flatten(F.transform("paths", lambda p: of_path(p, "m", "l"))), F.array(feature("c", F.col("r_cat"), 2, 26)),
         F.array_compact(F.array(F.when(F.col("handler") != "", feature("h", needle("h"), 3, 34)), F.when(F.col("svc").isNotNull(), feature("s", needle("s"), 4, 40)))),
     )
-    left = r.select(F.col("runtime_id").alias("id"), F.xxhash64(*r.columns).alias("row"), F.explode(r_all).alias("x")).select("id", "row", "x.*")
-    # handlers and services that ids hold; a service's longer part is looked up and the other compared
-    asked = r.where("handler <> ''").select(needle("h").alias("needle"), needle("h").alias("text"), F.lit("").alias("other"), F.lit("h").alias("mark")).unionByName(
-        r.where("svc is not null").select(F.when(F.length("svc") > F.length("svc_method"), F.col("svc")).otherwise(F.col("svc_method")).alias("needle"), needle("s").alias("text"), F.when(F.length("svc") > F.length("svc_method"), F.col("svc_method")).otherwise(F.col("svc")).alias("other"), F.lit("s").alias("mark"))
-    ).distinct()
+    left = cut(r.select(F.col("runtime_id").alias("id"), F.xxhash64(*r.columns).alias("row"), F.array_distinct(r_all).alias("x"))).select("id", "row", F.inline("x"))
+    # handlers and services that ids hold; of a service and its method the one that fewer ids hold is looked up and the other compared
+    handlers, services = r.where("handler <> ''").select(needle("h").alias("text")).distinct(), r.where("svc is not null").select("svc", "svc_method").distinct()
     ids = c.select("capability_id", F.lower("capability_id").alias("low")).distinct()
-    held = containing(ids, asked.select("needle").distinct()).join(many(asked), "needle").where(F.lower("capability_id").contains(F.col("other"))).select("capability_id", "text", "mark")
-    named = c.select("capability_id", F.trim(method(F.col("capability_id"))).alias("text"), F.lit("h").alias("mark")).where("text <> ''").join(many(asked.where("mark = 'h'").select("text")), "text", "left_semi")
-    signal = held.unionByName(named.select(*held.columns)).distinct().withColumn("x", F.struct(F.concat_ws(":", "mark", "text").alias("feature"), F.when(F.col("mark") == "h", 3).otherwise(4).alias("kind"), F.when(F.col("mark") == "h", 34).otherwise(40).alias("weight")))
+    found = containing(ids, handlers.select(F.col("text").alias("needle")).unionByName(services.select(F.explode(F.array("svc", "svc_method")).alias("needle"))))
+    often = cut(found.groupBy("needle").agg(F.count(F.lit(1)).alias("n")))
+    both = services.join(many(often.select(F.col("needle").alias("svc_method"), F.col("n").alias("n_m"))), "svc_method").join(many(often.select(F.col("needle").alias("svc"), F.col("n").alias("n_s"))), "svc")
+    rarer = F.col("n_s") < F.col("n_m")
+    both = both.select(F.when(rarer, F.col("svc")).otherwise(F.col("svc_method")).alias("needle"), F.when(rarer, F.col("svc_method")).otherwise(F.col("svc")).alias("other"), needle("s").alias("text"))
+    served = found.join(many(both), "needle").where(F.lower("capability_id").contains(F.col("other"))).select("capability_id", "text", F.lit("s").alias("mark"))
+    held = found.select("capability_id", F.col("needle").alias("text"), F.lit("h").alias("mark")).join(many(handlers), "text", "left_semi")
+    named = c.select("capability_id", F.trim(method(F.col("capability_id"))).alias("text"), F.lit("h").alias("mark")).where("text <> ''").join(many(handlers), "text", "left_semi")
+    signal = served.unionByName(held.select(*served.columns)).unionByName(named.select(*served.columns)).distinct().withColumn("x", F.struct(F.concat_ws(":", "mark", "text").alias("feature"), F.when(F.col("mark") == "h", 3).otherwise(4).alias("kind"), F.when(F.col("mark") == "h", 34).otherwise(40).alias("weight")))
     c_row = F.xxhash64("capability_id", "path", "c_cat").alias("row")
     c_all = F.concat(words(F.col("c_words")), F.when(F.col("path") != "", of_path(F.col("path"), "l", "m")).otherwise(F.array()), F.array(feature("c", F.col("c_cat"), 2, 26)))
-    right = c.select(F.col("capability_id").alias("id"), c_row, F.explode(c_all).alias("x")).unionByName(c.join(many(signal), "capability_id").select(F.col("capability_id").alias("id"), c_row, "x")).select("id", "row", "x.*")
+    own = cut(c.select(F.col("capability_id").alias("id"), c_row, F.array_distinct(c_all).alias("x"))).select("id", "row", F.inline("x"))
+    right = own.unionByName(cut(c.select("capability_id", c_row).join(many(signal), "capability_id").select(F.col("capability_id").alias("id"), "row", "x.*")))
     return best_pairs(left, right, most, least, -8, 4).select(F.col("left_id").alias("runtime_id"), F.col("right_id").alias("capability_id"))
 
 
@@ -216,7 +222,7 @@ def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int
     pairs of `link_candidates`; paths fit by whole parts.
     """
     r, c = _linked_sides(runtime, capabilities)
-    pairs = link_candidates(r, c, least, most).join(many(r), "runtime_id").join(many(c), "capability_id")
+    pairs = link_candidates(r, c, least, most).join(many(c), "capability_id").join(many(r), "runtime_id")
     split = lambda p: F.split(p, "/")
     single = lambda p: F.size(split(p)) == 1
 

@@ -341,7 +341,7 @@ def _leaf_rows(s, d):
 
 
 def _link_rows(s, d):
-    k = D.table(s, d, "part")
+    k = D.dealt(D.table(s, d, "part").select("p_partkey", "p_name", "p_type"))
     caps = k.select(F.expr("'Shop.' || replace(p_name, ' ', '.') || '.m' || p_partkey").alias("node_id"), F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'").alias("source_path"), F.expr("case p_partkey % 3 when 0 then 'core' when 1 then 'backend' end").alias("category"))
     run = k.select(F.expr("'Service.' || split_part(p_name, ' ', 1) || '.m' || (p_partkey * 4)").alias("id"), F.col("p_name").alias("label"), F.array(F.expr("'src/' || lower(p_type) || '/f' || (p_partkey % 23) || '.py'")).alias("source_paths"), F.expr("case p_partkey % 2 when 0 then 'core' end").alias("category"), F.expr("case when p_partkey % 5 = 0 then 'm' || (p_partkey * 8) end").alias("handler"))
     return run, caps
