@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as X
@@ -124,11 +127,11 @@ def method(node_id: Column) -> Column:
     return F.coalesce(element(parts, -1), F.lit(""))
 
 
-def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12) -> DataFrame:
+def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int | None = 12) -> DataFrame:
     """(capability_id, leaf_id, relation, confidence, pos): equal ids, then folded leaves, then owner and path; the first counts.
 
     capabilities: (node_id, source_path, folded_leaves); leaves: (node_id, source_path, ord). Of the owner's leaves the
-    first `most` in order are looked at, before those already linked drop.
+    first `most` in order are looked at (all for None), before those already linked drop.
     """
     c = capabilities.select(F.col("node_id").alias("capability_id"), F.coalesce("source_path", F.lit("")).alias("path"), "folded_leaves").distinct()
     f = leaves.select(F.col("node_id").alias("leaf_id"), F.coalesce("source_path", F.lit("")).alias("path"), "ord")
@@ -137,13 +140,43 @@ def capability_leaves(capabilities: DataFrame, leaves: DataFrame, most: int = 12
     folded = c.select("capability_id", F.posexplode("folded_leaves").alias("i", "leaf_id")).join(many(ids), "leaf_id").select("capability_id", "leaf_id", F.lit("folded_leaf").alias("relation"), F.lit(0.96).alias("confidence"), (F.lit(1_000) + F.col("i")).cast("long").alias("pos"))
     co, fo = c.withColumn("o", owner(F.col("capability_id"))).where("o <> ''"), f.withColumn("o", owner(F.col("leaf_id"))).where("o <> ''")
     # an owner's first leaves are chosen once for all of its capabilities
-    firsts = top_by(fo, ["o", "path"], most, F.col("ord"))
+    firsts = top_by(fo, ["o", "path"], most or 1 << 30, F.col("ord"))
     owned = co.join(many(firsts), ["o", "path"]).select("capability_id", "leaf_id", F.lit("owner_match").alias("relation"), F.lit(0.78).alias("confidence"), (F.lit(1_000_000) + F.col("rank")).cast("long").alias("pos"))
     # the first of each pair by an aggregation, which ids that many rows repeat don't gather in one task
     first = exact.unionByName(folded).unionByName(owned).groupBy("capability_id", "leaf_id").agg(F.min(F.struct("pos", "relation", "confidence")).alias("x"))
     return first.select("capability_id", "leaf_id", "x.relation", "x.confidence", "x.pos")
 
 
+class OwnerLinks(NamedTuple):
+    """J6 links without a row a pair: those of one owner and path link all of its capabilities to all of its members."""
+
+    capabilities: DataFrame  # (capability_id, home)
+    members: DataFrame  # (leaf_id, home): leaves that are linked through their one home only, and to themselves there
+    rest: DataFrame  # (capability_id, leaf_id, relation, confidence, pos) of all other leaves
+
+
+def owner_links(capabilities: DataFrame, leaves: DataFrame) -> OwnerLinks:
+    """The links of `capability_leaves` for all leaves of an owner and path; pairs, which grow with the square of these, are not made.
+
+    A leaf is no member, and its links are rows, if it has several paths or no owner, if a capability folds it, or if a
+    capability of its id has other paths only.
+    """
+    def homes(df: DataFrame, name: str) -> DataFrame:
+        o = owner(F.col("node_id"))
+        return df.select(F.col("node_id").alias("id"), F.when(o != "", F.xxhash64(o, F.coalesce("source_path", F.lit("")))).alias("home"), *(F.lit(n == name).alias(n) for n in ("leaf", "capability", "folded")))
+
+    folded = capabilities.select(F.explode("folded_leaves").alias("node_id"), F.lit(None).cast("string").alias("source_path"))
+    every = homes(leaves, "leaf").unionByName(homes(capabilities, "capability")).unionByName(homes(folded, "folded"))
+    told = every.groupBy("id", "home").agg(*(F.max(n).alias(n) for n in ("leaf", "capability", "folded")))
+    both = F.col("leaf") & F.col("capability")
+    known = cut(told.groupBy("id").agg(F.max(F.when(F.col("leaf"), F.col("home"))).alias("home"), F.count_if("leaf").alias("homes"), F.max("capability").alias("capability"), F.max("folded").alias("folded"), F.count_if(both).alias("both")))
+    member = F.col("home").isNotNull() & (F.col("homes") == 1) & ~F.col("folded") & (~F.col("capability") | (F.col("both") == 1))
+    others = known.where((F.col("homes") > 0) & ~member).select(F.col("id").alias("node_id"))
+    asked = capabilities if not others.isEmpty() else capabilities.limit(0)
+    rest = capability_leaves(asked, leaves.join(many(others), "node_id", "left_semi"), None)
+    return OwnerLinks(told.where(F.col("capability") & F.col("home").isNotNull()).select(F.col("id").alias("capability_id"), "home"), known.where(member).select(F.col("id").alias("leaf_id"), "home"), rest)
+
+
 def containing(ids: DataFrame, needles: DataFrame) -> DataFrame:
     """(capability_id, needle) of ids (capability_id, low) whose low contains the needle (needle), without a cross product.
 
@@ -241,10 +274,17 @@ def runtime_capabilities(runtime: DataFrame, capabilities: DataFrame, least: int
     return top_by(scored, ["runtime_id"], most, F.desc("score"), F.col("capability_id"))
 
 
-def runtime_leaves(matches: DataFrame, cap_leaves: DataFrame, per_capability: int = 8) -> DataFrame:
-    """(runtime_id, leaf_id, confidence) through matched capabilities; the first leaves of each, score / 120."""
-    firsts = top_by(cap_leaves, ["capability_id"], per_capability, F.col("pos")).select("capability_id", "leaf_id")
-    return matches.join(many(firsts), "capability_id").groupBy("runtime_id", "leaf_id").agg(F.max(X.confidence(F.col("score") / 120.0)).alias("confidence"))
+def runtime_homes(matches: DataFrame, links: OwnerLinks) -> DataFrame:
+    """(runtime_id, home, score): the greatest score of a runtime node's capabilities in each owner and path."""
+    return matches.select("runtime_id", "capability_id", "score").join(many(links.capabilities), "capability_id").groupBy("runtime_id", "home").agg(F.max("score").alias("score"))
+
+
+def runtime_leaves(matches: DataFrame, links: OwnerLinks) -> DataFrame:
+    """(runtime_id, leaf_id, confidence) through matched capabilities, the greatest score / 120. Members have one home, so their pairs are told once."""
+    confidence = X.confidence(F.col("score") / 120.0).alias("confidence")
+    plain = runtime_homes(matches, links).select("runtime_id", "home", confidence).join(many(links.members), "home").select("runtime_id", "leaf_id", "confidence")
+    rest = matches.select("runtime_id", "capability_id", confidence).join(many(links.rest.select("capability_id", "leaf_id")), "capability_id").groupBy("runtime_id", "leaf_id").agg(F.max("confidence").alias("confidence"))
+    return plain.unionByName(rest)
 
 
 def match_routes(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -291,7 +331,6 @@ def best_frame_node(frames: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def link_stats(links: DataFrame, runtime_ids: DataFrame, capability_ids: DataFrame, leaf_ids: DataFrame) -> DataFrame:
     """One row of counts and match rates over links of both directions."""
-    sizes = [df.select(F.countDistinct(df.columns[0]).alias(n)) for df, n in ((runtime_ids, "runtime_nodes"), (capability_ids, "capability_nodes"), (leaf_ids, "leaf_nodes"))]
     rc = (F.col("from_view") == "runtime") & (F.col("to_view") == "capability")
     cl = (F.col("from_view") == "capability") & (F.col("to_view") == "leaf")
     rl = (F.col("from_view") == "runtime") & (F.col("to_view") == "leaf")
@@ -299,8 +338,14 @@ def link_stats(links: DataFrame, runtime_ids: DataFrame, capability_ids: DataFra
         F.count(F.lit(1)).alias("link_count"), F.count_if(rc).alias("runtime_capability_links"), F.count_if(cl).alias("capability_leaf_links"), F.count_if(rl).alias("runtime_leaf_links"),
         F.countDistinct(F.when(rc, F.col("from_id"))).alias("runtime_matched"), F.countDistinct(F.when(cl, F.col("from_id"))).alias("capability_matched"), F.countDistinct(F.when(cl, F.col("to_id"))).alias("leaf_matched"), F.countDistinct(F.when(rl, F.col("from_id"))).alias("end_to_end"),
     )
-    for s in sizes:  # one-row frames
-        got = got.join(s)
+    return with_rates(got, runtime_ids, capability_ids, leaf_ids)
+
+
+def with_rates(got: DataFrame, runtime_ids: DataFrame, capability_ids: DataFrame, leaf_ids: DataFrame) -> DataFrame:
+    """A row of counts of links with the numbers of nodes and the match rates."""
+    sizes = [df.select(F.countDistinct(df.columns[0]).alias(n)) for df, n in ((runtime_ids, "runtime_nodes"), (capability_ids, "capability_nodes"), (leaf_ids, "leaf_nodes"))]
+    names = ["link_count", "runtime_capability_links", "capability_leaf_links", "runtime_leaf_links", "runtime_matched", "capability_matched", "leaf_matched", "end_to_end"]
+    got = reduce(DataFrame.join, sizes, got.select(*names))  # one-row frames
     return got.withColumns({"runtime_match_rate": X.ratio(F.col("runtime_matched"), F.col("runtime_nodes")), "capability_leaf_rate": X.ratio(F.col("capability_matched"), F.col("capability_nodes")), "leaf_capability_rate": X.ratio(F.col("leaf_matched"), F.col("leaf_nodes")), "end_to_end_rate": X.ratio(F.col("end_to_end"), F.col("runtime_nodes"))})
 
 
@@ -311,18 +356,28 @@ def runtime_paths(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.array_distinct(F.filter(F.transform(every, lambda p: X.slashes(F.trim(p))), lambda p: p.isNotNull() & (p != ""))).alias("source_paths"))
 
 
+def _matched(runtime: DataFrame, capabilities: DataFrame, top: int) -> DataFrame:
+    """(runtime_id, capability_id, score, reason, path): J7's first `top` links, one row for each pair."""
+    rc = runtime_capabilities(runtime, capabilities).where(F.col("rank") <= top)
+    reasons = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "reason"))), lambda x: x["reason"]))  # `top` at most
+    return cut(rc.groupBy("runtime_id", "capability_id").agg(F.max("score").alias("score"), F.array_join(reasons, "|").alias("reason"), F.min_by("path", "rank").alias("path")))
+
+
 def view_map(runtime: DataFrame, capabilities: DataFrame, leaves: DataFrame, top: int = 3) -> DataFrame:
     """LINK rows between the three views, both ways.
 
-    runtime: (id, label, source_paths, category, handler); others as in J6 and J7.
+    runtime: (id, label, source_paths, category, handler); others as in J6 and J7, of which all leaves count.
     """
-    cl = capability_leaves(capabilities, leaves)
-    rc = runtime_capabilities(runtime, capabilities).where(F.col("rank") <= top)
-    paths = capabilities.select(F.col("node_id").alias("capability_id"), F.col("source_path"))
+    links = owner_links(capabilities, leaves)
+    rc = _matched(runtime, capabilities, top)
+    paths = capabilities.groupBy(F.col("node_id").alias("capability_id")).agg(F.min("source_path").alias("source_path"))
     reasons = {"exact": "capability and leaf have the same id", "folded_leaf": "the capability folds this leaf", "owner_match": "capability and leaf share path and owner"}
-    a = cl.join(many(paths), "capability_id", "left").select(F.lit("capability").alias("from_view"), F.col("capability_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), "relation", "confidence", F.coalesce(*(F.when(F.col("relation") == k, F.lit(v)) for k, v in reasons.items())).alias("reason"), "source_path", F.lit(0).cast("long").alias("ord"))
-    b = rc.join(many(paths), "capability_id", "left").select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("capability").alias("to_view"), F.col("capability_id").alias("to_id"), F.lit("runtime_capability").alias("relation"), X.confidence(F.col("score") / 100.0).alias("confidence"), "reason", "source_path", F.col("rank").cast("long").alias("ord"))
-    d = runtime_leaves(rc, cl).select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), F.lit("runtime_leaf_derived").alias("relation"), "confidence", F.lit("through a matched capability").alias("reason"), F.lit(None).cast("string").alias("source_path"), F.lit(0).cast("long").alias("ord"))
+    same = F.col("capability_id") == F.col("leaf_id")
+    owned = links.capabilities.join(many(paths), "capability_id").join(many(links.members), "home").select("capability_id", "leaf_id", F.when(same, "exact").otherwise("owner_match").alias("relation"), F.when(same, 0.99).otherwise(0.78).alias("confidence"), "source_path")
+    cl = owned.unionByName(links.rest.join(many(paths), "capability_id").select(*owned.columns))
+    a = cl.select(F.lit("capability").alias("from_view"), F.col("capability_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), "relation", "confidence", F.coalesce(*(F.when(F.col("relation") == k, F.lit(v)) for k, v in reasons.items())).alias("reason"), "source_path")
+    b = rc.select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("capability").alias("to_view"), F.col("capability_id").alias("to_id"), F.lit("runtime_capability").alias("relation"), X.confidence(F.col("score") / 100.0).alias("confidence"), "reason", F.when(F.col("path") != "", F.col("path")).alias("source_path"))
+    d = runtime_leaves(rc, links).select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), F.lit("runtime_leaf_derived").alias("relation"), "confidence", F.lit("through a matched capability").alias("reason"), F.lit(None).cast("string").alias("source_path"))
     from .merge import both_ways
 
-    return both_ways(a.unionByName(b).unionByName(d))
+    return both_ways(a.unionByName(b).unionByName(d).withColumn("ord", F.lit(0).cast("long")))

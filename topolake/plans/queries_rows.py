@@ -368,21 +368,23 @@ select runtime_id, lid as leaf_id, max({_CONF.format("score / 120.0")}) as confi
 query("c6_view_map", f"with {_LINKS} select fv || '::' || f || '::' || relation || '::' || tv || '::' || t as id, relation, max(conf) as confidence from links group by all")(lambda s, d: _view_map(s, d))
 
 
-def _runtime_leaves(s, d):
+def _view_rows(s, d):
     run, caps = _link_rows(s, d)
-    return L.runtime_leaves(L.runtime_capabilities(run, caps), L.capability_leaves(caps.withColumn("folded_leaves", F.array().cast("array<string>")), caps.withColumn("ord", F.monotonically_increasing_id())))
+    return run, caps.withColumn("folded_leaves", F.array().cast("array<string>")), caps.withColumn("ord", F.xxhash64("node_id"))
+
+
+def _runtime_leaves(s, d):
+    run, caps, leaves = _view_rows(s, d)
+    return L.runtime_leaves(L.runtime_capabilities(run, caps), L.owner_links(caps, leaves))
 
 
 def _view_map(s, d):
-    run, caps = _link_rows(s, d)
-    return L.view_map(run, caps.withColumn("folded_leaves", F.array().cast("array<string>")), caps.withColumn("ord", F.xxhash64("node_id"))).select("id", "relation", "confidence")
+    return L.view_map(*_view_rows(s, d)).select("id", "relation", "confidence")
 
 
 def _view_stats(s, d):
-    run, caps = _link_rows(s, d)
-    leaves = caps.withColumn("ord", F.xxhash64("node_id"))
-    links = L.view_map(run, caps.withColumn("folded_leaves", F.array().cast("array<string>")), leaves)
-    return L.link_stats(links, run.select("id"), caps.select("node_id"), leaves.select("node_id"))
+    run, caps, leaves = _view_rows(s, d)
+    return L.link_stats(L.view_map(run, caps, leaves), run.select("id"), caps.select("node_id"), leaves.select("node_id"))
 
 
 query("a12_link_stats", f"""with {_LINKS}, n as (select (select count(distinct rid) from r) as runtime_nodes, (select count(distinct cid) from c) as capability_nodes, (select count(distinct cid) from c) as leaf_nodes, count(*) as link_count,
