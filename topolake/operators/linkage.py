@@ -381,3 +381,28 @@ def view_map(runtime: DataFrame, capabilities: DataFrame, leaves: DataFrame, top
     from .merge import both_ways
 
     return both_ways(a.unionByName(b).unionByName(d).withColumn("ord", F.lit(0).cast("long")))
+
+
+def view_stats(runtime: DataFrame, capabilities: DataFrame, leaves: DataFrame, top: int = 3) -> DataFrame:
+    """A12 of the links of `view_map`: the same row as `link_stats` of them, counted by owners and paths without making them."""
+    links = owner_links(capabilities, leaves)
+    rc = _matched(runtime, capabilities, top)
+    members = cut(links.members.groupBy("home").agg(F.count(F.lit(1)).alias("n")))
+    ids = lambda df, c: df.select(F.col(c).alias("id"))
+    distinct = lambda *dfs: reduce(DataFrame.unionByName, dfs).agg(F.countDistinct("id"))
+    rest = cut(links.rest)
+    of = links.capabilities.join(many(members), "home").select("capability_id", "home", "n").transform(cut)
+    led = runtime_homes(rc, links).join(many(members), "home").select("runtime_id", "n").transform(cut)
+    through = rc.join(many(rest), "capability_id").select("runtime_id", "leaf_id").distinct().transform(cut)
+    total = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0)))
+    counted = lambda df: df.agg(F.count(F.lit(1)))
+    cells = {
+        "cl_n": total(of), "cl_rest": counted(rest), "rl_n": total(led), "rl_rest": counted(through), "runtime_capability_links": counted(rc), "runtime_matched": distinct(ids(rc, "runtime_id")),
+        "capability_matched": distinct(ids(of, "capability_id"), ids(rest, "capability_id")), "leaf_matched": distinct(ids(links.members.join(many(of.select("home").distinct()), "home", "left_semi"), "leaf_id"), ids(rest, "leaf_id")),
+        "end_to_end": distinct(ids(led, "runtime_id"), ids(through, "runtime_id")),
+    }
+    got = reduce(DataFrame.join, (df.toDF(n) for n, df in cells.items()))  # one-row frames
+    got = got.withColumns({"capability_leaf_links": F.col("cl_n") + F.col("cl_rest"), "runtime_leaf_links": F.col("rl_n") + F.col("rl_rest")})
+    # no link is within a view, so each has its reverse
+    got = got.withColumn("link_count", 2 * (F.col("runtime_capability_links") + F.col("capability_leaf_links") + F.col("runtime_leaf_links")))
+    return with_rates(got, runtime.select("id"), capabilities.select("node_id"), leaves.select("node_id"))

@@ -383,8 +383,7 @@ def _view_map(s, d):
 
 
 def _view_stats(s, d):
-    run, caps, leaves = _view_rows(s, d)
-    return L.link_stats(L.view_map(run, caps, leaves), run.select("id"), caps.select("node_id"), leaves.select("node_id"))
+    return L.view_stats(*_view_rows(s, d))
 
 
 query("a12_link_stats", f"""with {_LINKS}, n as (select (select count(distinct rid) from r) as runtime_nodes, (select count(distinct cid) from c) as capability_nodes, (select count(distinct cid) from c) as leaf_nodes, count(*) as link_count,
