@@ -366,7 +366,8 @@ def _matched(runtime: DataFrame, capabilities: DataFrame, top: int) -> DataFrame
 def view_map(runtime: DataFrame, capabilities: DataFrame, leaves: DataFrame, top: int = 3) -> DataFrame:
     """LINK rows between the three views, both ways.
 
-    runtime: (id, label, source_paths, category, handler); others as in J6 and J7, of which all leaves count.
+    runtime: (id, label, source_paths, category, handler); others as in J6 and J7, of which all leaves count. Each pair is
+    told once, so no row of the result is grouped or shuffled.
     """
     links = owner_links(capabilities, leaves)
     rc = _matched(runtime, capabilities, top)
@@ -378,9 +379,9 @@ def view_map(runtime: DataFrame, capabilities: DataFrame, leaves: DataFrame, top
     a = cl.select(F.lit("capability").alias("from_view"), F.col("capability_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), "relation", "confidence", F.coalesce(*(F.when(F.col("relation") == k, F.lit(v)) for k, v in reasons.items())).alias("reason"), "source_path")
     b = rc.select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("capability").alias("to_view"), F.col("capability_id").alias("to_id"), F.lit("runtime_capability").alias("relation"), X.confidence(F.col("score") / 100.0).alias("confidence"), "reason", F.when(F.col("path") != "", F.col("path")).alias("source_path"))
     d = runtime_leaves(rc, links).select(F.lit("runtime").alias("from_view"), F.col("runtime_id").alias("from_id"), F.lit("leaf").alias("to_view"), F.col("leaf_id").alias("to_id"), F.lit("runtime_leaf_derived").alias("relation"), "confidence", F.lit("through a matched capability").alias("reason"), F.lit(None).cast("string").alias("source_path"))
-    from .merge import both_ways
+    from .merge import mirrored
 
-    return both_ways(a.unionByName(b).unionByName(d).withColumn("ord", F.lit(0).cast("long")))
+    return mirrored(a.unionByName(b).unionByName(d))
 
 
 def view_stats(runtime: DataFrame, capabilities: DataFrame, leaves: DataFrame, top: int = 3) -> DataFrame:

@@ -92,6 +92,13 @@ def both_ways(links: DataFrame) -> DataFrame:
     )
 
 
+def mirrored(links: DataFrame) -> DataFrame:
+    """J9 for links that are told once and lead from view to view: each and its reverse, with ids; nothing is left to merge."""
+    ends = lambda a, b: F.struct(F.col(f"{a}_view").alias("from_view"), F.col(f"{a}_id").alias("from_id"), F.col(f"{b}_view").alias("to_view"), F.col(f"{b}_id").alias("to_id"))
+    every = links.select(F.explode(F.array(ends("from", "to"), ends("to", "from"))).alias("_e"), "relation", "confidence", "reason", "source_path").select("_e.*", "relation", "confidence", "reason", "source_path")
+    return every.withColumn("id", link_id("from_view", "from_id", "relation", "to_view", "to_id"))
+
+
 def apply_changes(nodes: DataFrame, changes: DataFrame) -> DataFrame:
     """Nodes after a change set (op, node_id, <node columns>): modify replaces, create_child adds, reuse leaves.
 
